@@ -207,9 +207,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts."""
+    """``docs`` with one row of each group of equal texts.
+
+    Index and table meet on digest and id together, so that no key has more rows than one id; repeated
+    rows of the id that stays are folded in the same sorted partitions.
+    """
     packed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     marked = with_digest(packed)
     index = materialise(build_index(marked.select("id", "_digest", "_row"), "id", docs.count()))
-    keep = index.select(F.lower(F.hex("digest")).alias("_digest"), F.col("keep_row").alias("_row"))
-    return marked.join(keep.hint("merge"), ["_digest", "_row"], "left_semi").select("doc.*")
+    key = lambda digest, key: F.concat(digest, F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))).alias("_key")
+    keep = index.select(key(F.lower(F.hex("digest")), F.col("keep_id")))
+    found = marked.select("doc", key(F.col("_digest"), F.col("id"))).join(keep.hint("merge"), "_key", "left_semi")
+    return found.groupBy("_key").agg(F.first("doc").alias("doc")).select("doc.*")

@@ -7,11 +7,12 @@ columns from what the operator returns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, simhash, substrings, toxicity
+from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, pii, simhash, substrings, toxicity
 from corpusloom.llm.shared import shared_folder  # noqa: F401
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -56,6 +57,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", F.col("flagged").alias("toxic"))
 
 
+def _is_kind(kind: str, span: Column) -> Column:
+    return span["kind"] == kind
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, partial(_is_kind, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.span_list(base), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -83,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_model": op3_language_model,
     "op4_simhash": op4_simhash,
     "op5_toxicity": op5_toxicity,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
     "op10_substrings": op10_substrings,
