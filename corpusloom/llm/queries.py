@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, pii, simhash, substrings, toxicity
+from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, pii, simhash, sketches, substrings, toxicity
 from corpusloom.llm.shared import shared_folder  # noqa: F401
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -83,6 +83,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_chat": op8_chat,
+    "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
 }
 
