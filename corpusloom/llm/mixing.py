@@ -50,7 +50,7 @@ def targets(sources: DataFrame, most: int = 3) -> DataFrame:
         if row["n"] == held:
             break
         held = row["n"]
-        capped = F.lit(share) * F.col("weight") > F.lit(float(most)) * F.col("source_size")
+        capped = capped | (F.lit(share) * F.col("weight") > F.lit(float(most)) * F.col("source_size"))
     return sources.withColumn("target", F.when(capped, F.lit(float(most)) * F.col("source_size")).otherwise(F.lit(share) * F.col("weight")))
 
 
