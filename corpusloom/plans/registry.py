@@ -1,11 +1,9 @@
-"""All registered queries outside the training-data folder."""
+"""All registered queries outside the training-data folder, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import corpus, search, tables
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "hybrid_search"
+QUERIES = tables.QUERIES | corpus.QUERIES | search.QUERIES
+ORACLE_SQL = tables.ORACLE_SQL | corpus.ORACLE_SQL | search.ORACLE_SQL
