@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentences, token_estimate
@@ -14,35 +14,36 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low:
     Sentences are packed until the next would pass ``high`` tokens. The next chunk then starts with the
     whole sentences before that one which fill the overlap (none of over ``overlap`` tokens), fewer if
     the next would not fit behind them. The first chunk starts at 0 and the last ends with the text.
-    ``low`` is only checked. Where a chunk that closes at a sentence makes the next one start depends on
-    that sentence alone, so starts are one array, and packing is one fold over token sums.
+    ``low`` is only checked. Ids are unique. Sentences are sized as rows; a document's numbers are then
+    packed by one fold over running token sums, and the text is joined at the end.
     """
     if not 0 < low < high or not 0 <= overlap < low:
         raise ValueError("need 0 <= overlap < low < high")
     size = 4 * high
-    cut = F.flatten(F.transform(F.col("pieces"), lambda p: F.when(token_estimate(p) <= high, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda k: F.substring(p, k * size + 1, F.lit(size))))))
-    lead = F.length(F.regexp_extract(F.col("text"), r"^\s*", 0))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S"))
-    cuts = rows.withColumn("pieces", sentences(F.col("text"))).withColumn("pieces", cut)
-    sized = cuts.withColumn("ends", F.expr("aggregate(pieces, array(0), (a, p) -> concat(a, array(element_at(a, -1) + length(p))))")).withColumn("lead", lead)
-    marks = F.filter(F.arrays_zip(F.col("pieces").alias("p"), F.expr("slice(ends, 1, size(pieces))").alias("s")), lambda z: z["p"].rlike(r"\S"))
-    spans = sized.withColumn("spans", F.transform(marks, lambda z: F.struct((z["s"] + F.col("lead")).alias("s"), (z["s"] + F.col("lead") + F.length(z["p"])).alias("e"), token_estimate(z["p"]).alias("t"))))
-    sums = spans.withColumn("sums", F.expr("aggregate(spans, array(0), (a, z) -> concat(a, array(element_at(a, -1) + z.t)))"))
-    back = f"""transform(sequence(0, size(spans) - 1), i -> aggregate(
-        IF(i = 0, cast(array() as array<int>), reverse(sequence(greatest(0, i - {overlap}), i - 1))),
-        named_struct('at', i, 'go', true),
-        (a, k) -> IF(a.go AND sums[i] - sums[a.at] < {overlap} AND spans[k].t <= {overlap} AND sums[i + 1] - sums[k] <= {high}, named_struct('at', k, 'go', true), named_struct('at', a.at, 'go', false)),
-        a -> a.at))"""
-    fold = f"""aggregate(sequence(0, size(spans) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<a: int, b: int>>)),
-        (s, i) -> IF(i > s.at AND sums[i + 1] - sums[s.at] > {high}, named_struct('at', back[i], 'out', concat(s.out, array(named_struct('a', s.at, 'b', i)))), s),
-        s -> concat(s.out, array(named_struct('a', s.at, 'b', size(spans)))))"""
-    packed = sums.withColumn("back", F.expr(back)).withColumn("chunks", F.expr(fold))
-    each = packed.select("id", "text", "spans", F.posexplode("chunks").alias("chunk_index", "c"), F.size("chunks").alias("n"))
-    start = F.when(F.col("chunk_index") == 0, 0).otherwise(F.expr("spans[c.a].s"))
-    end = F.when(F.col("chunk_index") == F.col("n") - 1, F.length("text")).otherwise(F.expr("spans[c.b - 1].e"))
-    placed = each.select("id", "chunk_index", start.alias("char_start"), end.alias("char_end"), "text")
-    content = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return placed.select("id", "chunk_index", "char_start", "char_end", content.alias("content"), token_estimate(content).alias("token_count"))
+    text = F.col("text")
+    windows = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda k: F.substring(p, k * size + 1, F.lit(size)))
+    pieces = F.flatten(F.transform(sentences(text), lambda p: F.when(F.length(p) <= high, F.array(p)).when(token_estimate(p) <= high, F.array(p)).otherwise(windows(p))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(text.rlike(r"\S"))
+    each = rows.select("id", F.length("text").alias("n"), F.length(F.regexp_extract("text", r"^\s*", 0)).alias("lead"), F.posexplode(pieces).alias("k", "p"))
+    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    placed = each.select("id", "n", "k", (F.col("lead") + sum_before(F.length("p"))).alias("s"), F.length("p").alias("size"), token_estimate(F.col("p")).alias("t"), F.col("p").rlike(r"\S").alias("full")).where("full")
+    spans = placed.select("id", "n", F.struct("k", "s", (F.col("s") + F.col("size")).alias("e"), "t", sum_before(F.col("t")).alias("u")).alias("z"))
+    lists = spans.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("z")).alias("z"))
+    back = f"""aggregate(reverse(sequence(greatest(0, i - {overlap}), i - 1)), named_struct('at', i, 'go', true),
+        (a, k) -> IF(a.go AND z[i].u - z[a.at].u < {overlap} AND z[k].t <= {overlap} AND z[i].u + z[i].t - z[k].u <= {high},
+            named_struct('at', k, 'go', true), named_struct('at', a.at, 'go', false)), a -> a.at)"""
+    fold = f"""aggregate(sequence(0, size(z) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<a: int, b: int>>)),
+        (s, i) -> IF(i > s.at AND z[i].u + z[i].t - z[s.at].u > {high}, named_struct('at', {back}, 'out', concat(s.out, array(named_struct('a', s.at, 'b', i)))), s),
+        s -> concat(s.out, array(named_struct('a', s.at, 'b', size(z)))))"""
+    packed = lists.select("id", "n", "z", F.expr(fold).alias("c"))
+    cuts = packed.select("id", "n", "z", F.size("c").alias("m"), F.posexplode("c").alias("chunk_index", "c"))
+    start = F.when(F.col("chunk_index") == 0, 0).otherwise(F.expr("z[c.a].s"))
+    end = F.when(F.col("chunk_index") == F.col("m") - 1, F.col("n")).otherwise(F.expr("z[c.b - 1].e"))
+    found = cuts.select("id", "chunk_index", start.alias("char_start"), end.alias("char_end")).join(rows, "id")
+    content = F.substring(text, F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    made = found.select("id", "chunk_index", "char_start", "char_end", content.alias("content"))
+    return made.withColumn("token_count", token_estimate(F.col("content")))
 
 
 def with_pages(chunks: DataFrame, pages: DataFrame, source: str = "id") -> DataFrame:

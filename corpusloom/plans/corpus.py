@@ -86,14 +86,12 @@ c AS (SELECT id, k0, 0 AS j, p0 AS p FROM w WHERE t0 <= 800 UNION ALL
       SELECT id, k0, j, substr(p0, j * 3200 + 1, 3200) AS p FROM (SELECT id, k0, p0, unnest(range((length(p0) - 1) // 3200 + 1)) AS j FROM w WHERE t0 > 800)),
 o AS (SELECT id, p, k0, j, coalesce(sum(length(p)) OVER (PARTITION BY id ORDER BY k0, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c),
 z AS (SELECT o.id, row_number() OVER (PARTITION BY o.id ORDER BY k0, j) - 1 AS i, (s + lead)::BIGINT AS s, (s + lead + length(p))::BIGINT AS e, {TOKENS.format('p')} AS t FROM o JOIN d ON o.id = d.id WHERE regexp_matches(p, '\S')),
-q AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, count(*) OVER (PARTITION BY id) AS n FROM z),
-b AS (SELECT x.id, x.i, coalesce(min(y.i) FILTER (x.before - (y.before + y.t) < 75 AND y.t <= 75 AND x.before + x.t - y.before <= 800
-           AND NOT EXISTS (SELECT 1 FROM q v WHERE v.id = x.id AND v.i > y.i AND v.i < x.i AND v.t > 75)), x.i) AS back
-      FROM q x LEFT JOIN q y ON y.id = x.id AND y.i < x.i AND y.i >= x.i - 75 GROUP BY x.id, x.i),
-f AS (SELECT id, 0::BIGINT AS a, (SELECT min(y.i) FROM q y WHERE y.id = q.id AND y.i > 0 AND y.before + y.t > 800) AS b, 0 AS k FROM q WHERE i = 0
-      UNION ALL
-      SELECT f.id, b.back, (SELECT min(y.i) FROM q y JOIN q x ON x.id = y.id AND x.i = b.back WHERE y.id = f.id AND y.i > b.back AND y.before + y.t - x.before > 800), k + 1
-      FROM f JOIN b ON b.id = f.id AND b.i = f.b),
+q AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+        coalesce(max(CASE WHEN t > 75 THEN i END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS big FROM z),
+b AS (SELECT x.id, x.i, coalesce(min(y.i), x.i) AS back FROM q x LEFT JOIN q y ON y.id = x.id AND y.i < x.i AND y.i >= x.i - 75 AND y.i > x.big
+        AND x.before - (y.before + y.t) < 75 AND x.before + x.t - y.before <= 800 GROUP BY x.id, x.i),
+g AS (SELECT x.id, x.i AS a, min(y.i) AS b FROM q x LEFT JOIN q y ON y.id = x.id AND y.i > x.i AND y.before + y.t - x.before > 800 GROUP BY x.id, x.i),
+f AS (SELECT id, a, b, 0 AS k FROM g WHERE a = 0 UNION ALL SELECT g.id, g.a, g.b, k + 1 FROM f JOIN b ON b.id = f.id AND b.i = f.b JOIN g ON g.id = b.id AND g.a = b.back),
 chunks AS (SELECT f.id, f.k AS chunk_index, CASE WHEN f.k = 0 THEN 0 ELSE x.s END::BIGINT AS char_start, CASE WHEN f.b IS NULL THEN length(d.text) ELSE y.e END::BIGINT AS char_end,
              substr(d.text, CASE WHEN f.k = 0 THEN 1 ELSE x.s + 1 END, CASE WHEN f.b IS NULL THEN length(d.text) ELSE y.e END - CASE WHEN f.k = 0 THEN 0 ELSE x.s END) AS content
            FROM f JOIN d ON d.id = f.id JOIN q x ON x.id = f.id AND x.i = f.a LEFT JOIN q y ON y.id = f.id AND y.i = f.b - 1)
