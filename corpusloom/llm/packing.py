@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.shared import slices
 
 _FALLBACK = re.compile(r" (?:\s|\Z)")
-_CACHED = 400_000
+_CACHED = 700_000
 
 
 class WordCachedTokenizer:
@@ -37,7 +37,8 @@ class WordCachedTokenizer:
 
     Byte-level BPE never merges across a space that stands between two non-spaces, so such texts are cut
     there and each different word is encoded once. Any other text is encoded whole. Ids are those of
-    ``tokenizers`` in both cases; the cache is bounded and changes only the speed.
+    ``tokenizers`` in both cases. The cache has two generations of bounded size, so that frequent words
+    outlive a change; it affects only the speed.
     """
 
     def __init__(self, path: str):
@@ -47,6 +48,7 @@ class WordCachedTokenizer:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # control strings inside a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
@@ -54,14 +56,16 @@ class WordCachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.known) > _CACHED:
-            self.known.clear()
-        known = self.known
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         parts = [None if _FALLBACK.search(t) else t.split(" ") for t in texts]
         missing: set[str] = set()
         for p in parts:
             if p is not None:
                 missing.update(set(p[1:]).difference(known))
-        words = list(missing)
+        again = missing.intersection(before)
+        known.update((w, before[w]) for w in again)
+        words = list(missing - again)
         known.update(zip(words, self._ids([" " + w for w in words]), strict=True))
         whole = [t if p is None else p[0] for t, p in zip(texts, parts, strict=True)]
         heads = self._ids(whole)
