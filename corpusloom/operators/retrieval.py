@@ -59,10 +59,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalise(v: Column) -> Column:
     """Length one; empty and zero vectors stay as they are."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda x, n: F.when(n > 0, F.transform(x, lambda e: e.cast("double") / n)).otherwise(F.transform(x, lambda e: e.cast("double")))
+    return _let(v, lambda x: _let(norm(x), lambda n: scaled(x, n)))
 
 
 def has_vector(v: Column) -> Column:
@@ -79,13 +84,12 @@ def dot(a: Column, b: Column) -> Column:
 
 def hash_embedding(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for a model: bytes of the text's SHA-256, scaled by round and normalised."""
-    digest = F.sha2(text, 256)
 
-    def at(i: Column) -> Column:
+    def at(digest: Column, i: Column) -> Column:
         byte = F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
         return (byte / 255.0 - 0.5) * ((F.floor(i / 32) + 1) * F.lit(0.1))
 
-    return l2_normalise(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at))
+    return l2_normalise(_let(F.sha2(text, 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(d, i))))
 
 
 def embed(rows: DataFrame, text: str, model: Callable | None = None, size: int = 64) -> DataFrame:

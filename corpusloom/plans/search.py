@@ -1,3 +1,228 @@
-"""Queries."""
+"""Queries that search, ground and evaluate: BM25, cosine, fusion, citations, quality metrics."""
 
-QUERIES, ORACLE_SQL = {}, {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as tx
+from corpusloom.operators import evaluation, grounding, retrieval, tables
+from corpusloom.plans.base import Query, register, table
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def entered(sql: str | None = None):
+    return register(QUERIES, ORACLE_SQL, sql)
+
+
+# ---- the query set: every benchmark item asks one of the twenty sources
+
+
+def asked(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("scope"), F.col("text").alias("query"))
+
+
+def passages(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("scope"), "text")
+
+
+def embedded(spark, sf) -> tuple[DataFrame, DataFrame]:
+    q = asked(spark, sf)
+    p = passages(spark, sf)
+    return q.withColumn("embedding", retrieval.hash_embedding(F.col("query"))), p.withColumn("embedding", retrieval.hash_embedding(F.col("text")))
+
+
+_TOKENS = r"[w for w in regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+') if length(w) > 1]"
+_QUERIES = "asked AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS scope, text AS query FROM benchmark)"
+_INDEX = f"""words AS (SELECT source AS scope, doc_id AS id, {_TOKENS.format('text')} AS w FROM documents),
+scopes AS (SELECT scope, count(*) AS n, avg(len(w)) AS mean_length FROM words GROUP BY scope),
+postings AS (SELECT scope, id, length, term, count(*) AS tf FROM (SELECT scope, id, len(w) AS length, unnest(w) AS term FROM words) GROUP BY ALL),
+terms AS (SELECT scope, term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT scope, term, count(*) AS df FROM postings GROUP BY scope, term) JOIN scopes USING (scope))"""
+_BM25 = f"""{_QUERIES}, {_INDEX},
+wanted AS (SELECT DISTINCT query_id, scope, unnest({_TOKENS.format('query')}) AS term FROM asked),
+hits AS (SELECT query_id, id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS score
+         FROM wanted JOIN postings USING (scope, term) JOIN terms USING (scope, term) JOIN scopes USING (scope) GROUP BY query_id, id),
+every AS (SELECT q.query_id, d.doc_id AS id, coalesce(h.score, 0) AS score FROM (SELECT DISTINCT query_id, scope FROM wanted) q JOIN documents d ON d.source = q.scope LEFT JOIN hits h ON h.query_id = q.query_id AND h.id = d.doc_id),
+bm25 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM every)"""
+_HASH = "[(('0x' || substr(h, (i % 32) * 2 + 1, 2))::INT::DOUBLE / 255.0::DOUBLE - 0.5::DOUBLE) * ((i // 32 + 1) * 0.1::DOUBLE) for i in range(64)]"
+_COSINE = f"""qv AS (SELECT query_id, scope, {_HASH} AS v FROM (SELECT *, sha256(query) AS h FROM asked)), dv AS (SELECT doc_id AS id, source AS scope, {_HASH} AS v FROM (SELECT *, sha256(text) AS h FROM documents)),
+cosine AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, dv.id, list_cosine_similarity(qv.v, dv.v) AS score FROM qv JOIN dv USING (scope)) WHERE score >= 0)"""
+_FUSED = """lists AS (SELECT query_id, id, rank FROM cosine WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM bm25 WHERE rank <= 20),
+fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, sum(1 / (60 + rank)) AS score FROM lists GROUP BY query_id, id))"""
+
+
+@entered(f"WITH {_INDEX} SELECT scope, term, df, round(idf, 6) AS idf FROM terms")
+def bm25_terms(spark, sf) -> DataFrame:
+    return retrieval.bm25_index(passages(spark, sf))[1].withColumn("idf", F.round("idf", 6))
+
+
+@entered(f"WITH {_BM25} SELECT query_id, id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10")
+def bm25_search(spark, sf) -> DataFrame:
+    return retrieval.bm25_search(asked(spark, sf), passages(spark, sf)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@entered("""WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(q.v, p.v) AS score FROM p q JOIN p ON q.label = p.label WHERE q.vec_id % 50 = 0)
+            SELECT query_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0) WHERE rank <= 10""")
+def cosine_search(spark, sf) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), "embedding")
+    found = retrieval.cosine_search(vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id"), vectors)
+    return found.select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@entered()
+def approximate_search(spark, sf) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), "embedding")
+    return retrieval.approximate_search(vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id"), vectors)
+
+
+@entered(f"SELECT doc_id, round(v[1] / sqrt(list_sum([x * x for x in v])), 6) AS first, round(v[64] / sqrt(list_sum([x * x for x in v])), 6) AS last FROM (SELECT doc_id, {_HASH} AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents))")
+def hash_embeddings(spark, sf) -> DataFrame:
+    made = table(spark, sf, "documents").select("doc_id", retrieval.hash_embedding(F.col("text")).alias("v"))
+    return made.select("doc_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
+
+
+@entered(f"WITH {_BM25}, {_COSINE}, {_FUSED} SELECT query_id, id, rank, round(score, 8) AS score FROM fused WHERE rank <= 10")
+def hybrid_search(spark, sf) -> DataFrame:
+    return retrieval.hybrid_search(*embedded(spark, sf)).select("query_id", "id", "rank", F.round("score", 8).alias("score"))
+
+
+@entered(f"WITH {_BM25} SELECT request_id, id, rank, round(score, 6) AS score, lists FROM (SELECT query_id % 20 AS request_id, id, sum(score) AS score, count(*) AS lists, row_number() OVER (PARTITION BY query_id % 20 ORDER BY round(sum(score), 9) DESC, id) AS rank FROM bm25 WHERE rank <= 20 GROUP BY query_id % 20, id) WHERE rank <= 10")
+def merged_queries(spark, sf) -> DataFrame:
+    found = retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 20).withColumn("request_id", F.col("query_id") % 20)
+    return retrieval.merge_queries(found).select("request_id", "id", "rank", F.round("score", 6).alias("score"), "lists")
+
+
+@entered(f"WITH {_BM25} SELECT query_id, rank AS citation_index, bm25.id, CASE WHEN length(text) <= 220 THEN text ELSE substr(text, 1, 217) || '...' END AS quote FROM bm25 JOIN documents ON doc_id = bm25.id WHERE rank <= 5")
+def evidence_packs(spark, sf) -> DataFrame:
+    found = retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 5)
+    return grounding.evidence(found, passages(spark, sf)).select("query_id", "citation_index", "id", "quote")
+
+
+def _answers(spark, sf) -> DataFrame:
+    return asked(spark, sf).select("query_id", F.concat("query", F.lit(" ["), (F.col("query_id") % 4 + 1).cast("string"), F.lit("][9] and ["), (F.col("query_id") % 4 + 1).cast("string"), F.lit("]")).alias("answer"))
+
+
+@entered(f"WITH {_BM25}, c AS (SELECT query_id, unnest([0, 1]) AS place, unnest([query_id % 4 + 1, 9]) AS citation_index FROM asked) SELECT c.query_id, place, citation_index, bm25.id, bm25.id IS NULL AS missing FROM c LEFT JOIN bm25 ON bm25.query_id = c.query_id AND bm25.rank = c.citation_index AND rank <= 5")
+def citation_alignment(spark, sf) -> DataFrame:
+    found = grounding.evidence(retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 5), passages(spark, sf))
+    return grounding.align(_answers(spark, sf), found)
+
+
+@entered("SELECT id, id IN (SELECT doc_id FROM documents) AS valid FROM (SELECT DISTINCT l_partkey AS id FROM lineitem)")
+def citation_validation(spark, sf) -> DataFrame:
+    cited = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"))
+    return grounding.validate_ids(cited, table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
+_PAIRS = "pairs AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
+_W = r"[w for w in regexp_split_to_array(lower({0}), '\s+') if w <> '']"
+
+
+@entered(rf"""WITH {_PAIRS}, w AS (SELECT *, list_distinct({_W.format('answer')}) AS a, {_W.format('question')} AS q, {_W.format('answer')} AS all_a FROM pairs)
+    SELECT conv_id, turn, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, q)) / len(a) ELSE 0.0 END, 6) AS groundedness,
+           round(CASE WHEN len(all_a) = 0 OR len(q) = 0 THEN 0.0 ELSE least(1.0, len(all_a) / greatest(10, 2 * len(q))) END, 6) AS completeness,
+           CASE WHEN coalesce(answer, '') = '' THEN 0.0 WHEN NOT regexp_matches(lower(answer), '{"|".join(evaluation.CONTRAST)}') THEN 1.0 WHEN regexp_matches(lower(question), '{"|".join(evaluation.CONTRAST)}') THEN 0.8 ELSE 0.5 END::DOUBLE AS faithfulness,
+           len([x for x in all_a[1:5] if length(x) > 3 AND contains(lower(question), x)]) > 0 AS supported FROM w""")
+def answer_quality(spark, sf) -> DataFrame:
+    pairs = tables.question_pairs(table(spark, sf, "conversations"), "conv_id", "turn")
+    a, q = F.col("answer"), F.col("question")
+    return pairs.select("conv_id", "turn", F.round(evaluation.groundedness(a, q), 6).alias("groundedness"), F.round(evaluation.completeness(a, q), 6).alias("completeness"), evaluation.faithfulness(a, q).alias("faithfulness"), evaluation.supports(a, q).alias("supported"))
+
+
+def truth(spark, sf) -> DataFrame:
+    """Documents of the asked source that hold all eight-word shingles of an item; joined by shingle."""
+    shingles = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 7, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(c, i, 8), " "))))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).select("query_id", shingles(F.col("w")).alias("s"))
+    q = q.select("query_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("w")).select("id", F.explode(shingles(F.col("w"))).alias("shingle"))
+    met = q.hint("shuffle_hash").join(d, "shingle").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("met"))
+    return met.where("met = n").select("query_id", "id")
+
+
+_SHINGLES = r"list_distinct([md5(array_to_string(w[i:i + 7], ' ')) for i in range(1, greatest(len(w) - 7, 1) + 1)])"
+_TRUTH = rf"""bq AS (SELECT item_id AS query_id, {_SHINGLES} AS s FROM (SELECT item_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS w FROM benchmark)),
+qs AS (SELECT query_id, len(s) AS n, unnest(s) AS shingle FROM bq), ds AS (SELECT doc_id AS id, unnest({_SHINGLES}) AS shingle FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] AS w FROM documents)),
+truth AS (SELECT query_id, id FROM qs JOIN ds USING (shingle) GROUP BY query_id, id, n HAVING count(*) = n)"""
+
+
+def _wide(spark, sf) -> DataFrame:
+    """Evaluate over whole-corpus retrieval: one scope for all."""
+    q = asked(spark, sf).withColumn("scope", F.lit("all"))
+    p = passages(spark, sf).withColumn("scope", F.lit("all"))
+    return evaluation.retrieval_metrics(retrieval.bm25_search(q, p, 10, pad_zero=False), truth(spark, sf))
+
+
+_ALL = _BM25.replace("'src' || (item_id % 20)", "'all'").replace("SELECT source AS scope, doc_id AS id", "SELECT 'all' AS scope, doc_id AS id").split("every AS")[0] + "ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits)"
+_METRICS = f"""{_ALL}, {_TRUTH}, t AS (SELECT query_id, count(*) AS relevant FROM truth GROUP BY query_id), h AS (SELECT query_id, rank FROM ranked JOIN truth USING (query_id, id) WHERE rank <= 10),
+m AS (SELECT t.query_id, count(rank) / any_value(relevant) AS recall, count(rank) / 10 AS precision, (count(rank) > 0)::INT AS hit,
+        coalesce(sum(1 / log2(rank + 1)), 0) / any_value(list_sum([1 / log2(i + 1) for i in range(1, least(relevant, 10) + 1)])) AS ndcg, coalesce(1 / min(rank), 0) AS reciprocal_rank FROM t LEFT JOIN h USING (query_id) GROUP BY t.query_id)"""
+
+
+@entered(f"WITH {_METRICS} SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, hit, round(ndcg, 6) AS ndcg, round(reciprocal_rank, 6) AS reciprocal_rank FROM m")
+def retrieval_metrics(spark, sf) -> DataFrame:
+    found = _wide(spark, sf)
+    return found.select("query_id", *[c if c == "hit" else F.round(c, 6).alias(c) for c in found.columns if c != "query_id"])
+
+
+@entered(f"WITH {_METRICS} SELECT round(coalesce(avg(reciprocal_rank), 0), 6) AS mrr, count(*) AS queries FROM m")
+def mean_reciprocal_rank(spark, sf) -> DataFrame:
+    return evaluation.mean_reciprocal_rank(_wide(spark, sf)).withColumn("mrr", F.round("mrr", 6))
+
+
+@entered(f"WITH {_METRICS}, l AS (UNPIVOT (SELECT query_id, recall::DOUBLE AS recall, precision::DOUBLE AS precision, ndcg::DOUBLE AS ndcg FROM m) ON recall, precision, ndcg INTO NAME metric_type VALUE metric_value) SELECT metric_type, round(avg(metric_value), 6) AS mean, count(*) AS n FROM l GROUP BY metric_type")
+def metric_summary(spark, sf) -> DataFrame:
+    wide = _wide(spark, sf)
+    long = evaluation.long_metrics(wide.select("query_id", "recall", "precision", "ndcg"), "query_id", ["recall", "precision", "ndcg"])
+    return evaluation.summary(long, wide, "query_id").withColumn("mean", F.round("mean", 6))
+
+
+@entered("""WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels GROUP BY ALL), t AS (SELECT sum(n) AS t, sum(n) FILTER (a = b) AS same FROM c),
+    e AS (SELECT sum(x.n * y.n) AS c FROM (SELECT a AS l, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b AS l, sum(n) AS n FROM c GROUP BY b) y USING (l))
+    SELECT round(same / t, 6) AS agreement, round((same / t - c / (t * t)) / (1 - c / (t * t)), 6) AS kappa FROM t, e""")
+def judge_agreement(spark, sf) -> DataFrame:
+    found = evaluation.kappa(table(spark, sf, "labels").select(F.col("quality").alias("a"), F.col("toxic").alias("b")))
+    return found.select(F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"))
+
+
+@entered("""WITH p AS (SELECT source, n_chars AS a, length(text) - length(replace(text, ' ', '')) AS b FROM documents),
+    r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 AS rb FROM p)
+    SELECT source, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY source""")
+def rank_correlation(spark, sf) -> DataFrame:
+    pairs = table(spark, sf, "documents").select("source", F.col("n_chars").alias("a"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("b"))
+    return evaluation.spearman(pairs, "source").withColumn("spearman", F.round("spearman", 6))
+
+
+@entered("SELECT day::VARCHAR AS day, metric_type, round(mean, 4) AS mean, round(mean - lag(mean) OVER (PARTITION BY metric_type ORDER BY day), 4) AS change FROM (SELECT ts::DATE AS day, event_type AS metric_type, avg(value) AS mean FROM events GROUP BY ALL)")
+def run_trends(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"))
+    return evaluation.compare_runs(rows, "day").select(F.col("day").cast("string").alias("day"), "metric_type", F.round("mean", 4).alias("mean"), F.round("change", 4).alias("change"))
+
+
+@entered("SELECT user_id, round(avg(value), 4) AS score, CASE WHEN avg(value) * 100 < 60 THEN 'low' WHEN avg(value) * 100 < 80 THEN 'medium' ELSE 'high' END AS band FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+def run_scores(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "events").where("event_type IN ('click', 'view')").select("user_id", F.concat(F.col("event_type"), F.lit("_support")).alias("metric_type"), F.col("value").alias("metric_value"))
+    return evaluation.run_score(rows, "user_id").withColumn("score", F.round("score", 4))
+
+
+@entered("SELECT event_type AS metric_type, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def metric_spread(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"))
+    return evaluation.describe(rows).select("metric_type", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max")
+
+
+@entered(rf"""WITH {_PAIRS} SELECT conv_id, turn, CASE WHEN len(q) < 5 THEN 'short' WHEN regexp_matches(lower(question), '^(is|are|do|does|did|can|was|were|will|has|have)\b') THEN 'yes or no'
+    WHEN len(list_intersect(list_distinct(l), regexp_split_to_array(trim(regexp_replace(lower(answer), '\s+', ' ', 'g')), ' '))) / len(list_distinct(l)) > 0.8 THEN 'copy' END AS problem
+    FROM (SELECT *, regexp_split_to_array(trim(regexp_replace(question, '\s+', ' ', 'g')), ' ') AS q, regexp_split_to_array(lower(trim(regexp_replace(question, '\s+', ' ', 'g'))), ' ') AS l FROM pairs)""")
+def poor_questions(spark, sf) -> DataFrame:
+    pairs = tables.question_pairs(table(spark, sf, "conversations"), "conv_id", "turn")
+    return pairs.select("conv_id", "turn", tables.poor_question(F.col("question"), F.col("answer")).alias("problem"))
+
+
+@entered()
+def prompts(spark, sf) -> DataFrame:
+    found = grounding.evidence(retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 3), passages(spark, sf))
+    made = grounding.prompt(found, asked(spark, sf))
+    return made.select("query_id", tx.token_estimate(F.col("prompt")).alias("tokens"), tx.over_budget(tx.token_estimate(F.col("prompt"))).alias("too_long"))
