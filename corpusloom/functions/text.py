@@ -68,7 +68,7 @@ def sentences(text: Column) -> Column:
 def snapshot_sentences(text: Column) -> Column:
     """Sentences after . ! ? or CJK stops and white space; a single piece is cut after every stop."""
     whole = F.filter(F.split(collapse(text), r"(?<=[.!?。！？])\s+"), lambda s: s != "")
-    parts = F.filter(F.transform(F.split(collapse(text), r"(?<=[.!?。！？])"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(collapse(text), r"(?<=[.!?。！？])"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(whole) == 1, parts).otherwise(whole)
 
 
@@ -133,7 +133,7 @@ def rewrite_strategy(query: Column, has_history: Column, short: int = 6) -> Colu
 
 def clean_query(raw: Column, most: int = 240) -> Column:
     """First non-blank line without a label or quotes, cut at a word if it is too long."""
-    line = F.get(F.filter(F.transform(F.split(raw, "\n"), F.trim), lambda s: s != ""), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split(raw, "\n"), lambda s: F.trim(s)), lambda s: s != ""), F.lit(0))
     bare = F.regexp_replace(line, r"(?i)^(rewritten query|rewrite|query|standalone query|search query)\s*:\s*", "")
     bare = collapse(F.regexp_replace(bare, r"""^["'`\s]+|["'`\s]+$""", ""))
     cut = F.substring(bare, 1, most)

@@ -39,14 +39,14 @@ def html_title(html: Column) -> Column:
 
 def heading_lines(text: Column, most: int = 10) -> Column:
     """Short lines without a closing stop, the first ``most``."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
     fits = F.filter(lines, lambda s: (F.length(s) > 0) & (F.length(s) < 100) & ~s.rlike(r"[.,;:]$") & (F.size(F.split(s, r"\s+")) <= 10))
     return F.slice(fits, 1, most)
 
 
 def text_title(text: Column, stem: Column | None = None) -> Column:
     """The file's stem, else the first non-blank line under 200 characters."""
-    line = F.get(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: (s != "") & (F.length(s) < 200)), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & (F.length(s) < 200)), F.lit(0))
     return line if stem is None else F.coalesce(F.nullif(stem, F.lit("")), line)
 
 
