@@ -15,7 +15,7 @@ columns of any name are carried through ``emit``. Empty tables give empty result
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import WORD, materialise
@@ -35,7 +35,8 @@ def cycle_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
     order = [F.col("source").isNull(), F.col("source")]
     dealt = materialise(sources.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.expr("b.part < a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return dealt.join(F.broadcast(before), "part").withColumn("weight", 1 + (F.col("before") + F.col("at")) % cycle).drop("part", "at", "before")
 
 
