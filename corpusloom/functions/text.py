@@ -6,6 +6,7 @@ All are plain expressions, evaluated in the JVM. Null text gives null unless sai
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,9 +68,12 @@ def sentences(text: Column) -> Column:
 
 def snapshot_sentences(text: Column) -> Column:
     """Sentences after . ! ? or CJK stops and white space; a single piece is cut after every stop."""
-    whole = F.filter(F.split(collapse(text), r"(?<=[.!?。！？])\s+"), lambda s: s != "")
-    parts = F.filter(F.transform(F.split(collapse(text), r"(?<=[.!?。！？])"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when(F.size(whole) == 1, parts).otherwise(whole)
+    def cut(flat: Column) -> Column:
+        whole = F.filter(F.split(flat, r"(?<=[.!?。！？])\s+"), lambda s: s != "")
+        parts = F.filter(F.transform(F.split(flat, r"(?<=[.!?。！？])"), lambda s: F.trim(s)), lambda s: s != "")
+        return F.when(F.size(whole) == 1, parts).otherwise(whole)
+
+    return bind(collapse(text), cut)
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -163,12 +167,23 @@ def quote(content: Column, *marked: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(m), F.lit("")) for m in marked], F.when(F.length(content) <= 220, content).otherwise(F.concat(F.substring(content, 1, 217), F.lit("..."))))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once, however often ``body`` uses it, inside lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim_to_tokens(text: Column, budget: int) -> Column:
-    """The longest run of words from the start whose token estimate is within the budget."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda k: token_estimate(F.array_join(F.slice(words, 1, k), " ")) <= budget)
-    bounded = F.array_join(F.slice(F.slice(words, 1, 4 * budget), 1, F.coalesce(F.array_max(fits), F.lit(0))), " ")
-    return F.when(token_estimate(text) <= budget, F.trim(text)).otherwise(bounded)
+    """The longest run of words from the start whose token estimate is within the budget.
+
+    A word and its space make half a token at least, so longer runs than twice the budget can't fit.
+    """
+    def cut(words: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.greatest(F.least(F.size(words), F.lit(2 * budget + 2)), F.lit(1)))
+        fits = F.filter(sizes, lambda k: bind(F.array_join(F.slice(words, 1, k), " "), lambda head: token_estimate(head)) <= budget)
+        return F.array_join(F.slice(words, 1, F.coalesce(F.array_max(fits), F.lit(0))), " ")
+
+    split = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return bind(text, lambda t: F.when(token_estimate(t) <= budget, F.trim(t)).otherwise(bind(split(t), cut)))
 
 
 def slug(label: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import lexical_tokens
+from corpusloom.functions.text import bind, lexical_tokens
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -59,15 +59,10 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once, however often ``body`` uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def l2_normalise(v: Column) -> Column:
     """Length one; empty and zero vectors stay as they are."""
     scaled = lambda x, n: F.when(n > 0, F.transform(x, lambda e: e.cast("double") / n)).otherwise(F.transform(x, lambda e: e.cast("double")))
-    return _let(v, lambda x: _let(norm(x), lambda n: scaled(x, n)))
+    return bind(v, lambda x: bind(norm(x), lambda n: scaled(x, n)))
 
 
 def has_vector(v: Column) -> Column:
@@ -89,7 +84,7 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
         byte = F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
         return (byte / 255.0 - 0.5) * ((F.floor(i / 32) + 1) * F.lit(0.1))
 
-    return l2_normalise(_let(F.sha2(text, 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(d, i))))
+    return l2_normalise(bind(F.sha2(text, 256), lambda d: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: at(d, i))))
 
 
 def embed(rows: DataFrame, text: str, model: Callable | None = None, size: int = 64) -> DataFrame:
