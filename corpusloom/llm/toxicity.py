@@ -142,7 +142,7 @@ def fit_chain(categories: list[str], doc: np.ndarray, feature: np.ndarray, label
 
 def _featurise(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, width):
+        for batch in slices(batches, width, 1 << 20):
             doc, feature = features(batch.column(width))
             cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             found = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -188,7 +188,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         model = shared.value
         for array in texts:
             found = []
-            for part in slices(iter([pa.RecordBatch.from_arrays([array], ["text"])]), 0):
+            for part in slices(iter([pa.RecordBatch.from_arrays([array], ["text"])]), 0, 1 << 20):
                 doc, feature = features(part.column(0))
                 found.append(model.predict(doc, feature, part.num_rows))
             p = np.concatenate(found) if found else np.zeros((0, len(names)))
