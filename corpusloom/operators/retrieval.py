@@ -35,6 +35,7 @@ def bm25_index(passages: DataFrame, text: str = "text") -> tuple[DataFrame, Data
 def bm25_search(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, least: float = 0.0, pad_zero: bool = True, query: str = "query") -> DataFrame:
     """BM25 over distinct query terms. With ``pad_zero``, passages without any term fill the list up to k.
 
+    Scores are rounded to nine places, so that equal passages tie in whatever order their terms are added.
     Padding takes at most k passages of a scope, those with the smallest ids that aren't matched, so it
     never crosses queries with all passages.
     """
@@ -43,7 +44,7 @@ def bm25_search(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float
     # only terms that some query has go on: a semi join before anything is scored
     hits = wanted.join(postings, ["scope", "term"]).join(terms.select("scope", "term", "idf"), ["scope", "term"]).join(scopes, "scope")
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.withColumn("w", weight).groupBy("query_id", "scope", "id").agg(F.sum("w").alias("score")).where(F.col("score") >= least)
+    scored = hits.withColumn("w", weight).groupBy("query_id", "scope", "id").agg(F.round(F.sum("w"), 9).alias("score")).where(F.col("score") >= least)
     if pad_zero and least <= 0:
         asked = wanted.select("query_id", "scope").distinct()
         matched = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
@@ -150,5 +151,5 @@ def hybrid_search(queries: DataFrame, passages: DataFrame, k: int = 10, depth: i
 
 def merge_queries(found: DataFrame, k: int = 10) -> DataFrame:
     """Results (request_id, query_id, id, score) of a request's rewritten queries as one list."""
-    merged = found.groupBy("request_id", "id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("lists"))
+    merged = found.groupBy("request_id", "id").agg(F.round(F.sum("score"), 9).alias("score"), F.count(F.lit(1)).alias("lists"))
     return top_k(merged, k, by="request_id")

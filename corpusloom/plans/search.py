@@ -42,7 +42,7 @@ postings AS (SELECT scope, id, length, term, count(*) AS tf FROM (SELECT scope,
 terms AS (SELECT scope, term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT scope, term, count(*) AS df FROM postings GROUP BY scope, term) JOIN scopes USING (scope))"""
 _BM25 = f"""{_QUERIES}, {_INDEX},
 wanted AS (SELECT DISTINCT query_id, scope, unnest({_TOKENS.format('query')}) AS term FROM asked),
-hits AS (SELECT query_id, id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS score
+hits AS (SELECT query_id, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 9) AS score
          FROM wanted JOIN postings USING (scope, term) JOIN terms USING (scope, term) JOIN scopes USING (scope) GROUP BY query_id, id),
 every AS (SELECT q.query_id, d.doc_id AS id, coalesce(h.score, 0) AS score FROM (SELECT DISTINCT query_id, scope FROM wanted) q JOIN documents d ON d.source = q.scope LEFT JOIN hits h ON h.query_id = q.query_id AND h.id = d.doc_id),
 bm25 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM every)"""

@@ -9,7 +9,7 @@ from corpusloom.plans import registry
 
 
 def value(v):
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT", "nan"):
         return None
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
