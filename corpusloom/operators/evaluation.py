@@ -115,7 +115,7 @@ def spearman(pairs: DataFrame, by: str) -> DataFrame:
     return pairs.select(by, ranks("a").alias("ra"), ranks("b").alias("rb")).groupBy(by).agg(F.corr("ra", "rb").alias("spearman"))
 
 
-def compare_runs(metrics: DataFrame, order: str) -> DataFrame:
-    """Each metric's mean by run group and its change from the one before."""
-    means = metrics.groupBy(order, "metric_type").agg(F.avg("metric_value").alias("mean"))
+def compare_runs(metrics: DataFrame, order: str, digits: int = 6) -> DataFrame:
+    """Each metric's mean by run group, rounded, and its change from the one before."""
+    means = metrics.groupBy(order, "metric_type").agg(F.round(F.avg("metric_value"), digits).alias("mean"))
     return means.withColumn("change", F.col("mean") - F.lag("mean").over(Window.partitionBy("metric_type").orderBy(order)))

@@ -195,16 +195,16 @@ def rank_correlation(spark, sf) -> DataFrame:
     return evaluation.spearman(pairs, "source").withColumn("spearman", F.round("spearman", 6))
 
 
-@entered("SELECT day::VARCHAR AS day, metric_type, round(mean, 4) AS mean, round(mean - lag(mean) OVER (PARTITION BY metric_type ORDER BY day), 4) AS change FROM (SELECT ts::DATE AS day, event_type AS metric_type, avg(value) AS mean FROM events GROUP BY ALL)")
+@entered("SELECT day::VARCHAR AS day, metric_type, mean, round(mean - lag(mean) OVER (PARTITION BY metric_type ORDER BY day), 8) AS change FROM (SELECT ts::DATE AS day, event_type AS metric_type, round(avg(value), 9) AS mean FROM events GROUP BY ALL)")
 def run_trends(spark, sf) -> DataFrame:
     rows = table(spark, sf, "events").select(F.to_date("ts").alias("day"), F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"))
-    return evaluation.compare_runs(rows, "day").select(F.col("day").cast("string").alias("day"), "metric_type", F.round("mean", 4).alias("mean"), F.round("change", 4).alias("change"))
+    return evaluation.compare_runs(rows, "day", 9).select(F.col("day").cast("string").alias("day"), "metric_type", "mean", F.round("change", 8).alias("change"))
 
 
-@entered("SELECT user_id, round(avg(value), 4) AS score, CASE WHEN avg(value) * 100 < 60 THEN 'low' WHEN avg(value) * 100 < 80 THEN 'medium' ELSE 'high' END AS band FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+@entered("SELECT user_id, round(avg(value), 9) AS score, CASE WHEN avg(value) * 100 < 60 THEN 'low' WHEN avg(value) * 100 < 80 THEN 'medium' ELSE 'high' END AS band FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
 def run_scores(spark, sf) -> DataFrame:
     rows = table(spark, sf, "events").where("event_type IN ('click', 'view')").select("user_id", F.concat(F.col("event_type"), F.lit("_support")).alias("metric_type"), F.col("value").alias("metric_value"))
-    return evaluation.run_score(rows, "user_id").withColumn("score", F.round("score", 4))
+    return evaluation.run_score(rows, "user_id").withColumn("score", F.round("score", 9))
 
 
 @entered("SELECT event_type AS metric_type, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
