@@ -113,20 +113,31 @@ def cosine_search(queries: DataFrame, passages: DataFrame, k: int = 10, least: f
     return top_k(q.join(p, "scope").select("query_id", "id", dot(F.col("q"), F.col("p")).alias("score")).where(F.col("score") >= least), k)
 
 
-def approximate_search(queries: DataFrame, passages: DataFrame, k: int = 10, tables: int = 4, length: float = 0.6, within: float = 1.1) -> DataFrame:
-    """Cosine by random projections: candidates that share a bucket in some table, then exact scores.
+def approximate_search(queries: DataFrame, passages: DataFrame, k: int = 10, tables: int = 4, length: float = 0.6, least: float = 0.0) -> DataFrame:
+    """Cosine by random projections: candidates that share a bucket of their scope in some table, then exact scores.
 
-    Every passage is in the index. Distances of unit vectors and cosines order alike.
+    Every passage is in the index. Distances of unit vectors and cosines order alike. A pair is scored in the
+    first table where its buckets agree. Queries left with fewer than k rows are answered by ``cosine_search``.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    unit = lambda df, key: df.where(has_vector(F.col("embedding"))).where(norm(F.col("embedding")) > 0).select(key, "scope", array_to_vector(l2_normalise(F.col("embedding"))).alias("v"))
-    q, p = unit(queries, "query_id"), unit(passages, "id")
+    unit = lambda df, key, name: df.where(has_vector(F.col("embedding"))).where(norm(F.col("embedding")) > 0).select(F.col(key), "scope", l2_normalise(F.col("embedding")).alias(name)).withColumn("v", array_to_vector(name))
+    q, p = unit(queries, "query_id", "q"), unit(passages, "id", "p")
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(p)
-    near = model.approxSimilarityJoin(q, p, within).where("datasetA.scope = datasetB.scope")
-    scored = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), dot(vector_to_array("datasetA.v"), vector_to_array("datasetB.v")).alias("score"))
-    return top_k(scored, k)
+
+    def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
+        buckets = F.array(*[vector_to_array(F.col("h")[n])[0].cast("long") for n in range(tables)])
+        placed = model.transform(df).select(key, "scope", name, buckets.alias(f"{name}_buckets"))
+        return placed.select("*", F.posexplode(f"{name}_buckets").alias("table", "bucket"))
+
+    near = keyed(q, "query_id", "q").join(keyed(p, "id", "p"), ["scope", "table", "bucket"])
+    first = F.array_position(F.zip_with("q_buckets", "p_buckets", lambda x, y: x == y), True) == F.col("table") + 1
+    scored = near.where(first).select("query_id", "id", dot(F.col("q"), F.col("p")).alias("score")).where(F.col("score") >= least)
+    found = top_k(scored, k)
+    full = found.where(F.col("rank") == k).select("query_id")
+    rest = cosine_search(queries.join(full, "query_id", "left_anti"), passages, k, least)
+    return found.join(full, "query_id", "left_semi").unionByName(rest)
 
 
 def fuse(lists: list[DataFrame], k: int | None = None, constant: int = 60) -> DataFrame:

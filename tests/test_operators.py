@@ -1,6 +1,7 @@
 """Golden cases and awkward rows for the operators."""
 
 import json
+import math
 import uuid
 
 import pytest
@@ -100,6 +101,28 @@ def test_vectors_without_values_are_never_returned(spark):
     assert [(r["id"], r["score"]) for r in retrieval.cosine_search(q, p).collect()] == [(1, 1.0)]
 
 
+def test_approximate_search_recalls_the_exact_neighbours(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), "embedding")
+    asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = {(r["query_id"], r["id"]): r["score"] for r in retrieval.cosine_search(asked, rows).collect()}
+    found = {(r["query_id"], r["id"]): r["score"] for r in retrieval.approximate_search(asked, rows).collect()}
+    recall = len(exact.keys() & found.keys()) / len(exact)
+    print(f"recall@10 {recall:.4f} of {len(exact)} rows")
+    assert len(found) == len(exact) == 400 and recall >= 0.9
+    assert all(found[key] == pytest.approx(exact[key]) for key in exact.keys() & found.keys())
+
+
+def test_approximate_search_without_enough_candidates_is_exact(spark):
+    rows = spark.createDataFrame([(n, "s", [math.cos(n * 0.01), math.sin(n * 0.01)]) for n in range(150)] + [(900, "s", [0.0, 0.0]), (901, "t", [1.0, 0.0])], "id int, scope string, embedding array<double>")
+    asked = rows.where("id IN (0, 70, 149, 900, 901)").withColumnRenamed("id", "query_id")
+    plain = lambda found: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in found.collect())
+    for length, k in ((0.6, 3), (0.0001, 3), (0.6, 200)):
+        found = plain(retrieval.approximate_search(asked, rows, k, length=length))
+        assert len({r[::2] for r in found}) == len(found)
+        if length < 0.01 or k > 150:
+            assert found == plain(retrieval.cosine_search(asked, rows, k))
+
+
 def test_bm25_pads_and_scores(spark):
     p = spark.createDataFrame([(1, "s", "python programming language"), (2, "s", "java programming basics"), (3, "s", ""), (4, "s", None), (5, "t", "python")], "id int, scope string, text string")
     q = spark.createDataFrame([(1, "s", "Python programming"), (2, "s", "  "), (3, "u", "python")], "query_id int, scope string, query string")
