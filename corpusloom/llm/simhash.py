@@ -18,7 +18,7 @@ counts as larger than every other. Repeated rows share a fingerprint. Empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,14 +143,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("id", "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "keep_row")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component of ``find``: the one with the smallest id.
 
     Rows that repeat this document's id and text count once; other texts under its id stay with it.
     """
     packed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     key = F.coalesce(F.concat(F.lit("id:"), F.col("id").cast("string")), F.lit("none")).alias("key")
-    rows = materialise(near_duplicates(packed, "id", "text", shingle).where("id <=> component_id").groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    rows = materialise(find(packed, "id", "text", shingle).where("id <=> component_id").groupBy(key).agg(F.count(F.lit(1)).alias("n")))
     kept = packed.select("doc", "text", key).join(rows.select("key").hint("merge"), "key", "left_semi")
     if not rows.where("n > 1").isEmpty():
         kept = kept.groupBy("key", F.xxhash64("text").alias("hash")).agg(F.first("doc").alias("doc"))
