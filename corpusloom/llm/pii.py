@@ -3,11 +3,13 @@
 Generators are patterns of high recall whose spans may overlap: for each kind the base pattern, and looser
 ones (spelled-out addresses, numbers without a plus sign, dotted card numbers). A base span that passes its
 check (octets, Luhn, number of digits) is always kept. The others are scored by gradient-boosted trees over
-format and context features, taught by base spans that pass and that fail their checks. All features are
+format and context features, taught by base spans that pass and that fail their checks, by passing ones as
+the looser generators would see them, and by other candidates that format or context contradicts (these are
+never taken). ``octets`` says for an address whether it has an @ or a bracketed at. All features are
 small whole numbers, so one aggregation over every candidate gives the complete training set as a table of
 at most a few thousand different feature rows with counts; trees are fitted to those counts and scored as a
 SQL expression. Each kind's threshold is the lowest at which the other half of the documents shows a
-precision of ``precision`` or more; a kind without both outcomes there adds nothing. Added spans never
+precision of ``precision`` or more, 0.5 for a kind without failures there; one without passes adds nothing. Added spans never
 overlap base spans; of those that overlap each other the best one stays.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans. Repeated rows are separate rows.
@@ -18,6 +20,7 @@ class costs linear time. Empty tables give empty results; columns of other names
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,7 +60,9 @@ def _class(c: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every proposed span of every text: row, id, mark, kind, base, start, end, features, and ``valid`` (base check).
+    """Every proposed span of every text: row, id, mark, kind, base, start, end, features, and ``valid``:
+    the check of a base span; false for another that its format or context contradicts (a bare "at" in running
+    prose, a wrong number of digits, a failed Luhn check, a version or page before it), else null.
 
     A text without any gives one row of nulls. ``mark`` is a hash of the text.
     """
@@ -73,7 +78,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = rows.select("row", "id", "mark", F.inline_outer(proposing))
     spans = lists.select(
         "row", "id", "mark", "generator", "kind", "base",
-        F.posexplode_outer(F.expr("transform(hits, (h, i) -> struct(h AS hit, length(gaps[i]) AS gap, right(gaps[i], 24) AS prior, left(gaps[i + 1], 1) AS next))")).alias("at", "s"),
+        F.posexplode_outer(F.expr("transform(hits, (h, i) -> struct(h AS hit, length(gaps[i]) AS gap, right(gaps[i], 24) AS prior, left(gaps[i + 1], 2) AS next))")).alias("at", "s"),
     ).select("row", "id", "mark", "generator", "kind", "base", "at", "s.*")
     order = Window.partitionBy("row", "generator").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("hit")
@@ -87,17 +92,20 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(n.between(12, 19), _luhn(digits).cast("int")).otherwise(0).alias("luhn"),
         F.least(F.regexp_count("hit", F.lit("[0-9]+")), F.lit(8)).alias("groups"),
         F.when(F.col("gap") == 0, 0).otherwise(_class(F.right("prior", F.lit(1)))).alias("before"),
-        _class(F.coalesce("next", F.lit(""))).alias("after"),
+        _class(F.left(F.coalesce("next", F.lit("")), F.lit(1))).alias("after"),
         F.least(F.length(F.regexp_replace("hit", "[^A-Za-z]", "")), F.lit(3)).alias("letters"),
         F.least(F.length(F.regexp_replace("hit", r"[^.]", "")), F.lit(4)).alias("dots"),
         F.col("hit").startswith("+").cast("int").alias("plus"),
-        F.when(F.col("hit").rlike(r"^[0-9]+(\.[0-9]+){3}$"), octets.cast("int")).otherwise(0).alias("octets"),
+        F.when(F.col("kind") == 0, F.col("hit").rlike(r"@|[\[(]at[\])]").cast("int")).when(F.col("hit").rlike(r"^[0-9]+(\.[0-9]+){3}$"), octets.cast("int")).otherwise(0).alias("octets"),
         F.when(F.col("prior").rlike(_CUE_FOR), 2).when(F.col("prior").rlike(_CUE_AGAINST), 1).otherwise(0).alias("cue"),
         n.alias("n"),
+        F.coalesce(F.col("next").rlike(r"^[\x20.-][0-9]") | F.col("prior").rlike(r"[0-9][\x20.-]$"), F.lit(False)).alias("runs_on"),
     )
     valid = (F.when(F.col("kind") == 0, F.lit(True)).when(F.col("kind") == 1, F.col("octets") == 1)
              .when(F.col("kind") == 2, F.col("n").between(14, 19) & (F.col("luhn") == 1)).otherwise(F.col("n").between(10, 15)))
-    return made.withColumn("valid", F.when(F.col("base"), valid)).drop("n")
+    against = (F.when(F.col("cue") == 1, True).when(F.col("kind") == 0, (F.col("octets") == 0) & (F.col("cue") != 2))
+               .when(F.col("kind") == 2, ~F.col("n").between(14, 19) | (F.col("luhn") == 0)).otherwise(~F.col("n").between(10, 15) | F.col("runs_on")))
+    return made.withColumn("valid", F.when(F.col("base"), valid).when(against, False)).drop("n")
 
 
 # A tree is a leaf's value or (feature, threshold, left, right): left if feature <= threshold.
@@ -168,7 +176,10 @@ def fit(counts: list[tuple[tuple, int, int, int]], rounds: int = 20, depth: int
             score[x] += rate * _value(tree, x)
     for kind in range(len(KINDS)):
         held = sorted(((model.probability(x), p, q) for x, half, p, q in counts if half == 1 and x[0] == kind), reverse=True)
-        if not sum(q for _, _, q in held) or not sum(p for _, p, _ in held):
+        if not sum(q for _, _, q in held):
+            continue
+        if not sum(p for _, p, _ in held):
+            model.thresholds[kind] = 0.5
             continue
         wrong = right = 0
         for k, (chance, p, q) in enumerate(held):
@@ -179,18 +190,44 @@ def fit(counts: list[tuple[tuple, int, int, int]], rounds: int = 20, depth: int
     return model
 
 
+def _loosened(x: tuple) -> list[tuple]:
+    """How a base span's features read where it is written as the looser generators find it, with and without its cue."""
+    row = dict(zip(FEATURES, x, strict=True))
+    kind = KINDS[row["kind"]]
+    if kind == "email":
+        forms = [{"dots": dots} for dots in (0, 1)]
+    elif kind == "card":
+        forms = [{"groups": 4, "dots": dots} for dots in (0, 3)]
+    elif kind == "phone":
+        fewer = [{"digits": row["digits"] - 1, "groups": row["groups"] - 1, "plus": 0}] if row["digits"] > 10 else []
+        forms = [{"plus": 0}, *fewer]
+    else:
+        forms = []
+    return [tuple((row | form | {"cue": cue}).values()) for form in forms for cue in sorted({0, row["cue"]})]
+
+
 def train(found: DataFrame, **how: float) -> BoostedTrees:
-    """Trees from all base candidates; the driver sees counts of different feature rows only."""
+    """Trees from base candidates, these in looser spelling, and contradicted candidates of the looser generators.
+
+    Parts of longer numbers don't count: they may be the rest of a base span. The driver sees counts of different
+    feature rows only.
+    """
     half = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 2).cast("int").alias("half")
-    rows = found.where("base AND kind IS NOT NULL").groupBy(*FEATURES, half).agg(F.count_if(~F.col("valid")).alias("failed"), F.count_if("valid").alias("passed"))
-    counts = sorted((tuple(int(r[f]) for f in FEATURES), r["half"], r["failed"], r["passed"]) for r in rows.toLocalIterator())
-    return fit(counts, **how)
+    rows = found.where("valid IS NOT NULL AND kind IS NOT NULL AND (base OR NOT runs_on)").groupBy(*FEATURES, "base", half).agg(F.count_if(~F.col("valid")).alias("failed"), F.count_if("valid").alias("passed"))
+    counts: Counter = Counter()
+    for r in rows.toLocalIterator():
+        x = tuple(int(r[f]) for f in FEATURES)
+        for each in [x, *(_loosened(x) if r["base"] and r["passed"] else [])]:
+            counts[each, r["half"], False] += r["failed"] if each == x else 0
+            counts[each, r["half"], True] += r["passed"]
+    keys = sorted({key[:2] for key in counts})
+    return fit([(x, h, counts[x, h, False], counts[x, h, True]) for x, h in keys], **how)
 
 
 def choose(found: DataFrame, model: BoostedTrees) -> DataFrame:
     """The spans to redact: row, id, kind, start, end, base, score."""
     limit = F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), F.col("kind") + 1)
-    taken = found.withColumn("score", F.when(F.col("base"), 1.0).otherwise(model.expression())).where(F.col("valid") | (~F.col("base") & (F.col("score") >= limit)))
+    taken = found.withColumn("score", F.when(F.col("base"), 1.0).otherwise(model.expression())).where((F.col("base") & F.col("valid")) | (~F.col("base") & F.col("valid").isNull() & (F.col("score") >= limit)))
     by_start = Window.partitionBy("row").orderBy("start")
     taken = taken.withColumn("reach", F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0)))
     taken = taken.withColumn("next_base", F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing)))

@@ -82,3 +82,14 @@ def test_added_spans_and_redaction(spark):
     text = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert text[1000] == "see [CARD] there" and text[1001] is None and text[1002] == "mail [EMAIL] now"
     assert pii.find(docs.where("doc_id < 0")).count() == 0
+
+
+def test_spelled_out_addresses_and_bare_phones_are_redacted(spark):
+    rows = [(i, f"write to me{i}@host.example.org or call +1 (584) 555-{4000 + i} now") for i in range(200)]
+    rows += [(1000, "reach jane [at] host [dot] org soon"), (1001, "ask joe(at)host.com today"), (1002, "ring (826) 555-4081 or so"), (1003, "(843) 555-7672")]
+    rows += [(1004, "we met at home.Then we left"), (1005, "see version 123-456-7890 of it"), (1006, "about 12 345 678 of them"), (1007, "number 1234 5678 9012 3456 is no card")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert [text[i] for i in range(1000, 1004)] == ["reach [EMAIL] soon", "ask [EMAIL] today", "ring [PHONE] or so", "[PHONE]"]
+    assert [text[i] for i in range(1004, 1008)] == [t for _, t in rows[-4:]]
+    assert text[7] == "write to [EMAIL] or call [PHONE] now"
