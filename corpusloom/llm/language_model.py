@@ -1,249 +1,273 @@
-"""Scoring texts with a weighted backoff automaton over word bigrams.
+"""Scoring texts with a weighted backoff automaton over word n-grams up to three.
 
-States are the root and one for each word seen in training (and the start of a text). From state u an arc
-for each seen bigram (u, w) leads to state w with weight (c(u,w) - D) / c(u) + F(u) P(w); the failure arc
-leads to the root with weight F(u) = D T(u) / c(u), where T(u) is the number of different followers. The
-root's arcs are P(w) = (c(w) + 1) / (N + V + 1), for unknown words too. D is n1 / (n1 + 2 n2), from the
-numbers of bigrams seen once and twice. A text is read once from left to right: each word takes an arc or
-fails to the root, adds the weight's logarithm and sets the next state.
+States are the root, a state for each word v seen in training (and the start of a text), and a state for each
+pair (u, v) seen. From state h an arc for each seen n-gram (h, w) leads to the state of the last two words, with
+weight
 
-Counts cover every training text. Documents are dealt into batches by a hash of their id; a batch sends
-each different bigram, then each different word, once to a shard that adds the counts up and answers with
-the totals. That is the part of the automaton the batch's texts can reach, so no task holds the whole of
-it, and a word that a third of the corpus has arrives once a batch. The text is shuffled once; the three
-steps that read it share that exchange.
+    P(w | h) = (c(h, w) + K P(w | h')) / (c(h) + K)
+
+where h' is h without its first word; its failure arc leads to h' with weight K / (c(h) + K), the share that h
+leaves to words not seen after it. So the weights of a state's arcs and failures are a distribution. The root's
+arcs are P(w) = (c(w) + 1) / (N + V + 1), for unknown words too. K is one of ``strengths``, for states
+of one word and of two. A text is read once from left to right: the state that the last word led to is carried along;
+where it has no arc for the next word its failure arcs are followed, and all weights' logarithms are added up.
+
+Counts cover every training text. Documents are dealt into batches by a hash of their id and row; a batch sends
+each different word and word pair once to a range of hashes, which adds the counts up and answers with the totals and
+with a bit for pairs that other batches have too. Only a trigram of two such pairs can occur elsewhere, so
+only those are sent; the others' counts are the batch's own. What comes back is the part of the automaton that
+the batch's texts can reach, so no task holds the whole of it, and an n-gram that a third of the corpus has
+arrives once a batch. The text is shuffled once; the three steps that read it share that exchange. Messages
+grow in proportion to the text (:func:`shared.batch_count`).
 
 Words are runs of bytes between ASCII white space after lower-casing A-Z; one end follows each text and
 counts as a token. Null or empty texts have the end alone. A document is held out of training if
 crc32(id as text) mod ``folds`` is ``held``; a null id is never held out. Repeated rows count as often as
 they occur. With no training text at all every token gets the root's probability. Empty tables give empty
-results. Words are told apart by 64-bit hashes, bigrams by 48 bits and their shard.
+results. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ascii_lowered, mixed, span_hashes, text_buffer, text_bytes, word_spans
-from corpusloom.llm.substrings import _cuts
+from corpusloom.llm.shared import ascii_lowered, batch_count, cuts, deal, mixed, pack_sorted, span_hashes, text_buffer, unpack_sorted, word_spans
 
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _PRIME = np.uint64(0x9FB21C651E98DF25)
-_SENT = "shard long, batch long, hashes binary, counts binary, extra binary"
+_SENT = "part long, batch long, hashes binary, counts binary"
+_ANSWER = "batch long, part long, totals binary, others binary, tokens long, words long"
 
 
 def _pack(counts: np.ndarray) -> bytes:
-    """Whole numbers in as many bytes each as the largest needs, after one byte that says how many."""
+    """Whole numbers as bytes, all low bytes first, without high bytes that are all zero."""
     most = int(counts.max()) if len(counts) else 0
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    width = max(1, (most.bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(counts.astype("<i8")).view(np.uint8).reshape(-1, 8)
+    return bytes([width]) + np.ascontiguousarray(planes[:, :width].T).tobytes()
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[0]}", offset=1).astype(np.int64)
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.view("<i8").ravel()
 
 
-def _narrow(hashes: np.ndarray) -> bytes:
-    """48 of a bigram's 64 bits."""
-    return np.ascontiguousarray((hashes >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+class Grams:
+    """The different n-grams of one order in a batch, each token's place among them (-1: none ends there),
+    a token where each ends, and how often they occur in training texts."""
 
-
-def _widen(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    def __init__(self, hashes: np.ndarray, there: np.ndarray | None, training: np.ndarray):
+        at = np.arange(len(hashes)) if there is None else np.flatnonzero(there)
+        self.hashes, first, place = np.unique(hashes[at], return_index=True, return_inverse=True)
+        self.first = at[first]
+        self.counts = np.bincount(place, training[at], len(self.hashes)).astype(np.int64)
+        self.place = np.full(len(hashes), -1, np.int32)
+        self.place[at] = place
 
 
 class Tokens:
-    """The tokens of a batch of documents, and the states before them."""
+    """The tokens of a batch of documents and the n-grams that end at them."""
 
     def __init__(self, table: pa.Table):
         data, offsets = text_buffer(table.column("text"))
         data = ascii_lowered(data)
         starts, ends, counts = word_spans(data, offsets)
         self.sizes = counts + 1
-        self.train = ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+        self.train = ~table.column("held_out").to_numpy().astype(bool)
         last = np.cumsum(self.sizes) - 1
-        tokens = np.empty(int(self.sizes.sum()), np.uint64)
-        is_end = np.zeros(len(tokens), bool)
-        is_end[last] = True
-        tokens[is_end] = _END
-        tokens[~is_end] = span_hashes(data, (starts, ends))[0]
-        states = np.empty_like(tokens)
-        states[1:] = tokens[:-1]
-        states[last - self.sizes + 1] = _START
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.in_training = self.train[self.doc].astype(float)
-        self.tokens, self.states = tokens, states
-
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different words with the start, and each token's and each state's place among them."""
-        words, place = np.unique(np.append(self.tokens, _START), return_inverse=True)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = place[: len(self.tokens) - 1]
-        before[self.states == _START] = place[-1]
-        return words, place[:-1], before
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different bigrams, a token of each, and each token's place among them."""
-        return np.unique(mixed(self.states * _PRIME + self.tokens), return_index=True, return_inverse=True)
-
-
-def _sent(key: tuple, hashes: np.ndarray, counts: np.ndarray, extra: np.ndarray, shards: int, pack) -> pa.Table:
-    cuts = _cuts(hashes, shards)
-    rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        self.begins = last - self.sizes + 1
+        words = np.empty(int(self.sizes.sum()), np.uint64)
+        inside = np.ones(len(words), bool)
+        inside[last] = False
+        words[last] = _END
+        words[inside] = span_hashes(data, (starts, ends))[0]
+        before = np.empty_like(words)
+        before[1:] = words[:-1]
+        before[self.begins] = _START
+        pairs = mixed(before * _PRIME + words)
+        later = np.ones(len(words), bool)
+        later[self.begins] = False
+        triples = np.empty_like(words)
+        triples[1:] = mixed(pairs[:-1] * _PRIME + words[1:])
+        training = np.repeat(self.train, self.sizes).astype(float)
+        self.words, self.pairs, self.triples = Grams(words, None, training), Grams(pairs, None, training), Grams(triples, later, training)
+
+    def before(self, grams: np.ndarray) -> np.ndarray:
+        """The place of the word before the token where each pair ends; -1 at the start of a text."""
+        out = self.words.place[grams - 1].copy()
+        out[np.isin(grams, self.begins)] = -1
+        return out
+
+
+def _messages(part: int, hashes: np.ndarray, counts: np.ndarray, ranges: int, whole: bool = False) -> list[tuple]:
+    """(part, hashes, counts) for each range of sorted hashes; for empty ranges too if ``whole``."""
+    edges = cuts(hashes, ranges)
+    step = (1 << 64) // ranges
+    return [(part * ranges + int(k), pack_sorted(hashes[a:b], int(k) * step), _pack(counts[a:b])) for k, a, b in zip(range(ranges), edges[:-1], edges[1:], strict=True) if whole or b > a]
+
+
+def _rows(batch: int, rows: list[tuple]) -> pa.Table:
     return pa.table({
-        "shard": pa.array([k for k, _ in rows], pa.int64()),
-        "batch": pa.array([key[0].as_py()] * len(rows), pa.int64()),
-        "hashes": pa.array([pack(hashes[s]) for _, s in rows], pa.binary()),
-        "counts": pa.array([_pack(counts[s]) for _, s in rows], pa.binary()),
-        "extra": pa.array([_pack(extra[s]) for _, s in rows], pa.binary()),
+        "part": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([batch] * len(rows), pa.int64()),
+        "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
     })
 
 
-def _send_bigrams(shards: int):
+def _send_words_and_pairs(ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         batch = Tokens(table)
-        different, _, place = batch.bigrams()
-        counts = np.bincount(place, batch.in_training, len(different)).astype(np.int64)
-        return _sent(key, different, counts, np.zeros(0, np.int64), shards, _narrow)
+        words = _messages(0, batch.words.hashes, batch.words.counts, ranges, whole=True)
+        return _rows(key[0].as_py(), words + _messages(1, batch.pairs.hashes, batch.pairs.counts, ranges))
 
     return run
 
 
-def _split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(values, np.cumsum(sizes)[:-1])
-
-
-def _first_row(value: int, rows: int) -> pa.Array:
-    return pa.array([value] + [0] * (rows - 1), pa.int64())
+def _match(ranges: int):
+    """Total counts, and which n-grams several batches have; for words also the tokens and different words of the range."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        part, n = key[0].as_py(), table.num_rows
+        if part < 0:  # a batch's message to itself
+            return _answers(table, part, table.column("counts").to_pylist(), table.column("hashes").to_pylist(), 0, 0)
+        hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+        edges = np.cumsum([len(x) for x in hashes])[:-1]
+        counts = np.concatenate([_unpack(x) for x in table.column("counts").to_pylist()])
+        different, place, members = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        total = np.bincount(place, counts, len(different)).astype(np.int64)
+        totals = [_pack(x) for x in np.split(total[place], edges)]
+        others = [np.packbits(x).tobytes() for x in np.split((members > 1)[place], edges)] if part >= ranges else [None] * n
+        return _answers(table, part, totals, others, int(total.sum()), int((total > 0).sum()))
 
-def _match_bigrams(key: tuple, table: pa.Table) -> pa.Table:
-    """Total counts, for each batch; and which batch is to credit the bigram to its first word."""
-    hashes = [_widen(x) for x in table.column("hashes").to_pylist()]
-    counts = np.concatenate([_unpack(x) for x in table.column("counts").to_pylist()])
-    sizes, n = [len(x) for x in hashes], table.num_rows
-    different, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(place, counts, len(different)).astype(np.int64)
-    owner = np.full(len(different), -1)
-    seen = np.flatnonzero(counts)[::-1]
-    owner[place[seen]] = seen
-    credit = np.zeros(len(counts), bool)
-    credit[owner[owner >= 0]] = True
-    return pa.table({
-        "batch": table.column("batch"), "shard": pa.array([key[0].as_py()] * n, pa.int64()),
-        "totals": pa.array([_pack(x) for x in _split(total[place], sizes)], pa.binary()),
-        "credits": pa.array([np.packbits(x).tobytes() for x in _split(credit, sizes)], pa.binary()),
-        "a": _first_row(int((total == 1).sum()), n), "b": _first_row(int((total == 2).sum()), n),
-    })
+    return run
 
 
-def _gather(table: pa.Table, column: str, cuts: np.ndarray, decode) -> np.ndarray:
-    """Answers of all shards, in the order in which this batch sent its hashes."""
-    out = np.zeros(int(cuts[-1]), np.int64)
-    for k, blob in zip(table.column("shard").to_pylist(), table.column(column).to_pylist(), strict=True):
-        out[cuts[k] : cuts[k + 1]] = decode(blob, int(cuts[k + 1] - cuts[k]))
-    return out
+def _answers(table: pa.Table, part: int, totals: list, others: list, tokens: int, words: int) -> pa.Table:
+    n = table.num_rows
+    same = lambda x: pa.array([x] * n, pa.int64())
+    return pa.table({"batch": table.column("batch"), "part": same(part), "totals": pa.array(totals, pa.binary()), "others": pa.array(others, pa.binary()), "tokens": same(tokens), "words": same(words)})
 
 
-def _bits(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n)
+def _totals(answers: pa.Table, part: int, ranges: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and bits of one kind of n-gram, in the order of its hashes."""
+    edges, out, others = cuts(hashes, ranges), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    for k, totals, bits in zip(*(answers.column(c).to_pylist() for c in ("part", "totals", "others")), strict=True):
+        if k // ranges == part and k >= 0:
+            a, b = int(edges[k % ranges]), int(edges[k % ranges + 1])
+            out[a:b] = _unpack(totals)
+            if bits is not None:
+                others[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+    return out, others
 
 
-def _numbers(blob: bytes, n: int) -> np.ndarray:
-    return _unpack(blob)
+def _elsewhere(batch: Tokens, others: np.ndarray) -> np.ndarray:
+    """Which different trigrams may occur in other batches: those of two pairs that do."""
+    at = batch.triples.first
+    return others[batch.pairs.place[at]] & others[batch.pairs.place[at - 1]]
 
 
-def _send_words(shards: int):
+def _send_triples(ranges: int):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        number = key[0].as_py()
         if not table.num_rows:
-            return pa.table({"shard": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("hashes", "counts", "extra")}})
+            return _rows(number, [])
         batch = Tokens(table)
-        words, place, before = batch.words()
-        different, first, _ = batch.bigrams()
-        credits = _gather(answers, "credits", _cuts(different, shards), _bits)
-        followers = np.bincount(before[first], credits, len(words)).astype(np.int64)
-        counts = np.bincount(place, batch.in_training, len(words)).astype(np.int64)
-        counts[np.searchsorted(words, _START)] = int(batch.train.sum())
-        return _sent(key, words, counts, followers, shards, lambda h: h.astype("<u8").tobytes())
+        words, _ = _totals(answers, 0, ranges, batch.words.hashes)
+        pairs, others = _totals(answers, 1, ranges, batch.pairs.hashes)
+        first = [k < ranges for k in answers.column("part").to_pylist()]
+        sums = [sum(x for x, w in zip(answers.column(c).to_pylist(), first, strict=True) if w) for c in ("tokens", "words")]
+        sent = _elsewhere(batch, others)
+        rows = _messages(0, batch.triples.hashes[sent], batch.triples.counts[sent], ranges)
+        own = _pack(np.concatenate([np.array(sums, np.int64), words, pairs]))
+        return _rows(number, [*rows, (-1 - number, np.packbits(others).tobytes(), own)])
 
     return run
 
 
-def _match_words(key: tuple, table: pa.Table) -> pa.Table:
-    """Total counts and followers for each batch; the shard's tokens and different words."""
-    hashes = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
-    sizes, n = [len(x) for x in hashes], table.num_rows
-    different, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = []
-    for column in ("counts", "extra"):
-        values = np.concatenate([_unpack(x) for x in table.column(column).to_pylist()])
-        totals.append(np.bincount(place, values, len(different)).astype(np.int64))
-    real = different != _START
-    return pa.table({
-        "batch": table.column("batch"), "shard": pa.array([key[0].as_py()] * n, pa.int64()),
-        "totals": pa.array([_pack(x) for x in _split(totals[0][place], sizes)], pa.binary()),
-        "followers": pa.array([_pack(x) for x in _split(totals[1][place], sizes)], pa.binary()),
-        "a": _first_row(int(totals[0][real].sum()), n), "b": _first_row(int((totals[0][real] > 0).sum()), n),
-    })
-
-
-def weights(count: np.ndarray, bigram: np.ndarray, state: np.ndarray, followers: np.ndarray, n: int, v: int, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """The root's and the automaton's probability of tokens with these counts."""
-    root = (count + 1) / (n + v + 1)
-    at = np.maximum(state, 1)
-    return root, np.where(state > 0, np.maximum(bigram - discount, 0) / at + discount * followers / at * root, root)
-
-
-def _traverse(shards: int):
+class Automaton:
+    """Log10 weights of arcs (NaN: no arc) and of failure arcs, by the place of their n-gram in a batch."""
+
+    def __init__(self, batch: Tokens, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, tokens: int, different: int, starts: int, strengths: tuple[float, float]):
+        k2, k3 = strengths
+        root = (words + 1) / (tokens + different + 1)
+        at = batch.pairs.first
+        before = batch.before(at)
+        seen = np.append(words, starts)  # place -1 is the start of a text
+        second = (pairs + k2 * root[batch.words.place[at]]) / (seen[before] + k2)
+        at = batch.triples.first
+        context = pairs[batch.pairs.place[at - 1]]
+        third = (triples + k3 * second[batch.pairs.place[at]]) / (context + k3)
+        arc = lambda p, count: np.where(count > 0, np.log10(p), np.nan)
+        self.root = np.log10(root)
+        self.after_word, self.after_pair = arc(second, pairs), arc(third, triples)
+        self.word_fails, self.pair_fails = np.log10(k2 / (seen + k2)), np.log10(k3 / (pairs + k3))
+        self.is_state = words > 0
+
+    def walk(self, batch: Tokens, begin: int, size: int, started: bool) -> float:
+        """One text's log10 probability. The state is the last ``depth`` words: 2 a pair, 1 a word, 0 the root."""
+        tokens = slice(begin, begin + size)
+        words, pairs, triples = batch.words.place[tokens], batch.pairs.place[tokens], batch.triples.place[tokens]
+        last = np.append([-1], words[:-1])
+        steps = zip(
+            self.root[words].tolist(), self.after_word[pairs].tolist(), self.after_pair[triples].tolist() if len(self.after_pair) else [0.0] * size,
+            self.word_fails[last].tolist(), self.pair_fails[np.append([0], pairs[:-1])].tolist(), self.is_state[words].tolist(), strict=True,
+        )
+        depth, total = int(started), 0.0
+        for root, after_word, after_pair, word_fails, pair_fails, is_state in steps:
+            if depth == 2:
+                if after_pair == after_pair:
+                    total += after_pair
+                    continue
+                total, depth = total + pair_fails, 1
+            if depth == 1:
+                if after_word == after_word:
+                    total, depth = total + after_word, 2
+                    continue
+                total += word_fails
+            total, depth = total + root, int(is_state)
+        return total
+
+
+def _traverse(ranges: int, strengths: tuple[float, float]):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["n_tokens", "n_known", "train_tokens"]
         if not table.num_rows:
             return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), **{c: pa.array([], pa.int64()) for c in names}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         batch = Tokens(table)
-        words, place, before = batch.words()
-        different, _, bigram = batch.bigrams()
-        about_words = answers.filter(pc.equal(answers.column("kind"), 1))
-        about_bigrams = answers.filter(pc.equal(answers.column("kind"), 0))
-        cuts = _cuts(words, shards)
-        count, followers = _gather(about_words, "totals", cuts, _numbers), _gather(about_words, "followers", cuts, _numbers)
-        pairs = _gather(about_bigrams, "totals", _cuts(different, shards), _numbers)
-        once, twice, n, v = (answers.column(c)[0].as_py() for c in ("once", "twice", "n", "v"))
-        discount = once / (once + 2 * twice) if once else 0.75
-        root, arc = weights(count[place], pairs[bigram], count[before], followers[before], n, v, discount)
-        add = lambda x: np.bincount(batch.doc, x, len(batch.sizes))
+        own = answers.column("part").to_pylist().index(-1 - key[0].as_py())
+        values, n = _unpack(answers.column("totals")[own].as_py()), len(batch.words.hashes)
+        tokens, different, words, pairs = int(values[0]), int(values[1]), values[2 : 2 + n], values[2 + n :]
+        others = np.unpackbits(np.frombuffer(answers.column("others")[own].as_py(), np.uint8), count=len(pairs)).astype(bool)
+        triples, sent = batch.triples.counts.copy(), _elsewhere(batch, others)
+        triples[sent] = _totals(answers, 0, ranges, batch.triples.hashes[sent])[0]
+        starts = int(words[np.searchsorted(batch.words.hashes, _END)])  # as many as ends
+        model = Automaton(batch, words, pairs, triples, tokens, different, starts, strengths)
+        add = lambda x: np.add.reduceat(x[batch.words.place], batch.begins)
+        score = [model.walk(batch, int(b), int(s), True) for b, s in zip(batch.begins, batch.sizes, strict=True)]
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
-            "n_tokens": pa.array(batch.sizes, pa.int64()),
-            "n_known": pa.array(add((count[place] > 0).astype(float)).astype(np.int64), pa.int64()),
-            "train_tokens": pa.array(np.full(len(batch.sizes), n), pa.int64()),
-            "base_score": pa.array(add(np.log10(root))), "score": pa.array(add(np.log10(arc))),
+            "n_tokens": pa.array(batch.sizes, pa.int64()), "n_known": pa.array(add((words > 0).astype(np.int64)), pa.int64()),
+            "train_tokens": pa.array(np.full(len(batch.sizes), tokens), pa.int64()),
+            "base_score": pa.array(add(model.root)), "score": pa.array(score, pa.float64()),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2) -> DataFrame:
-    """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, strengths: tuple[float, float] = (8.0, 2.0), most: int = 64 << 20) -> DataFrame:
+    """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+
+    ``most`` bounds a batch's bytes of text; a task needs about thirty times as much memory.
+    """
     held_out = F.coalesce(F.crc32(docs[id_col].cast("string")) % folds == held, F.lit(False))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), held_out.alias("held_out"))
-    _, size = text_bytes(docs.sparkSession, rows, "text")
-    batch_bytes = min(48 << 20, max(1 << 20, int((size * 40_000) ** 0.5)))
-    shards = max(8, -(-size // batch_bytes))
-    by_batch = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).groupBy("batch")
-    bigrams = by_batch.applyInArrow(_send_bigrams(shards), _SENT).groupBy("shard").applyInArrow(_match_bigrams, "batch long, shard long, totals binary, credits binary, a long, b long")
-    sent = by_batch.cogroup(bigrams.groupBy("batch")).applyInArrow(_send_words(shards), _SENT)
-    words = sent.groupBy("shard").applyInArrow(_match_words, "batch long, shard long, totals binary, followers binary, a long, b long")
-    none = F.lit(0).cast("long")
-    sums = bigrams.select(F.col("a").alias("once"), F.col("b").alias("twice"), none.alias("n"), none.alias("v")).union(words.select(none, none, "a", "b"))
-    sums = sums.agg(*[F.sum(c).alias(c) for c in ("once", "twice", "n", "v")]).withColumn("one", F.lit(1))
-    answers = bigrams.select("batch", F.lit(0).alias("kind"), "shard", "totals", F.lit(None).cast("binary").alias("followers"))
-    answers = answers.union(words.select("batch", F.lit(1), "shard", "totals", "followers")).withColumn("one", F.lit(1))
-    answers = answers.join(F.broadcast(sums), "one").drop("one")  # a single row of sums
+    n = batch_count(docs.sparkSession, rows, "text", most)
+    by_batch = deal(rows, n, "doc_id").groupBy("batch")
+    first = by_batch.applyInArrow(_send_words_and_pairs(n), _SENT).groupBy("part").applyInArrow(_match(n), _ANSWER)
+    second = by_batch.cogroup(first.groupBy("batch")).applyInArrow(_send_triples(n), _SENT).groupBy("part").applyInArrow(_match(n), _ANSWER)
     kind = dict(rows.dtypes)["doc_id"]
-    return by_batch.cogroup(answers.groupBy("batch")).applyInArrow(_traverse(shards), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_batch.cogroup(second.groupBy("batch")).applyInArrow(_traverse(n, strengths), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,4 +1,4 @@
-"""What several operators need: cutting lineage, Arrow text buffers, word boundaries and hashes."""
+"""What several operators need: cutting lineage, Arrow text buffers, word boundaries, hashes and messages of hashes."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SEGMENT = 1 << 21
-_powers: list[np.ndarray] = []
+_BASE, _STEP = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes up to which spans are hashed side by side.
+_LONG = 256
+#: Bytes of text that one message from a batch of documents to a range of hashes stands for.
+MESSAGE = 40_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -107,45 +110,70 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _powers:
-        for base in (_BASE, _BASE_INVERSE):
-            table = np.full(_SEGMENT + 1, base, np.uint64)
-            table[0] = 1
-            _powers.append(np.multiply.accumulate(table))
-    return _powers[0], _powers[1]
+def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray], seed: int = 0) -> list[np.ndarray]:
+    """64-bit hashes of byte spans (starts, ends), one array for each pair.
 
-
-def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """64-bit hashes of byte spans: differences of one running polynomial, so any span costs the same.
-
-    All ``spans`` are pairs (starts, ends) over the same words in rising order. Work goes by segments
-    of two million bytes, whatever the length of a text; a longer word is hashed by itself.
+    A span is read eight bytes at a time; each step mixes the whole state, so that no algebraic relation
+    between bytes carries over to hashes. Spans of more than ``_LONG`` bytes are hashed one by one.
     """
-    up, down = _power_tables()
-    out = [np.empty(len(starts), np.uint64) for starts, _ in spans]
-    first, last = spans[0][0], np.maximum.reduce([ends for _, ends in spans]) if len(spans[0][0]) else None
-    at = 0
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(last, first[at] + _SEGMENT, "right")))
-        lo, hi = int(first[at]), int(last[to - 1])
-        if hi - lo > _SEGMENT:  # one giant word
-            for o, (starts, ends) in zip(out, spans, strict=True):
-                h = np.uint64(0)
-                for k in range(int(starts[at]), int(ends[at]), _SEGMENT):
-                    part = data[k : min(k + _SEGMENT, int(ends[at]))].astype(np.uint64) + np.uint64(1)
-                    h = mixed(np.array([h], np.uint64))[0] + np.add.reduce(part * up[: len(part)])
-                o[at] = mixed(np.array([h ^ np.uint64(int(ends[at] - starts[at]))]))[0]
-        else:
-            running = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=running[1:])
-            for o, (starts, ends) in zip(out, spans, strict=True):
-                s, e = starts[at:to] - lo, ends[at:to] - lo
-                o[at:to] = mixed((running[e] - running[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        at = to
-    return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    return [_span_hash(data, eight, starts, ends - starts, seed) for starts, ends in spans]
+
+
+def _span_hash(data: np.ndarray, eight: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    state = mixed(sizes.astype(np.uint64) * _STEP + np.uint64(_BASE + seed * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+    long = np.flatnonzero(sizes > _LONG)
+    live, at = np.flatnonzero((sizes > 0) & (sizes <= _LONG)), 0
+    while len(live):
+        left = np.minimum(sizes[live] - at, 8)
+        state[live] = mixed((state[live] ^ (eight[starts[live] + at] & _MASKS[left])) * _STEP)
+        at += 8
+        live = live[sizes[live] > at]
+    for k in long.tolist():
+        state[k] ^= np.uint64(xxhash.xxh3_64_intdigest(data[starts[k] : starts[k] + sizes[k]].tobytes(), seed))
+    return state
 
 
 def ascii_lowered(data: np.ndarray) -> np.ndarray:
     """Bytes with A-Z lower-cased."""
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def batch_count(spark: SparkSession, docs: DataFrame, text: str, most: int) -> int:
+    """How many batches of documents, and as many ranges of hashes, to deal a table into.
+
+    A batch has the square root of the text's bytes times ``MESSAGE``, so that a message from a batch to a
+    range stands for ``MESSAGE`` bytes of text at every size: messages grow in proportion to the text, not with
+    its square. ``most`` bounds a batch by the memory of a task; only where it takes hold (at the default, from
+    about 7 TB) do messages get smaller.
+    """
+    _, size = text_bytes(spark, docs, text)
+    return max(8, -(-size // min(most, max(1 << 20, int((size * MESSAGE) ** 0.5)))))
+
+
+def deal(docs: DataFrame, batches: int, *keys: str) -> DataFrame:
+    """``docs`` with ``batch``, from a hash of ``keys`` and the row's number: repeated and null keys spread too."""
+    return docs.withColumn("batch", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(batches)))
+
+
+def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Where the part of each of ``ranges`` equal ranges starts in sorted hashes."""
+    edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+
+
+def pack_sorted(hashes: np.ndarray, base: int = 0) -> bytes:
+    """Rising 64-bit numbers as the bytes of their differences, low bytes first, without the high bytes that are all zero."""
+    steps = np.diff(hashes, prepend=np.uint64(base))
+    planes = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + np.ascontiguousarray(planes[:, :width].T).tobytes()
+
+
+def unpack_sorted(blob: bytes, base: int = 0) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : blob[0]] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64) + np.uint64(base)

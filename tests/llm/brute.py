@@ -64,31 +64,53 @@ def repeats(docs, n=13):
     return out
 
 
+class Automaton:
+    """Arcs and failure arcs of a backoff automaton over words, written out as dictionaries."""
+
+    def __init__(self, texts, k2=8.0, k3=2.0):
+        one, two, three = Counter(), Counter(), Counter()
+        for t in texts:
+            seq = ["<s>", *t, "</s>"]
+            one.update(seq)
+            two.update(zip(seq, seq[1:]))
+            three.update(zip(seq, seq[1:], seq[2:]))
+        self.count = one
+        self.n, self.v = sum(one.values()) - one["<s>"], len([w for w in one if w != "<s>"])
+        self.arcs, self.fails = defaultdict(dict), {}
+        for w in one:
+            if w != "<s>":
+                self.arcs[()][w] = (one[w] + 1) / (self.n + self.v + 1)
+        self.unknown = 1 / (self.n + self.v + 1)
+        for w in one:
+            self.fails[w,] = k2 / (one[w] + k2)
+        for (u, w), c in two.items():
+            self.arcs[u,][w] = (c + k2 * self.arcs[()][w]) / (one[u] + k2)
+            self.fails[u, w] = k3 / (c + k3)
+        for (u, v, w), c in three.items():
+            self.arcs[u, v][w] = (c + k3 * self.arcs[v,][w]) / (two[u, v] + k3)
+
+    def step(self, state, w):
+        """(probability, next state)"""
+        p = 1.0
+        while w not in self.arcs[state] and state:
+            p, state = p * self.fails[state], state[1:]
+        p *= self.arcs[state].get(w, self.unknown)
+        state = (*state, w)[-2:]
+        while state and state not in self.fails:
+            state = state[1:]
+        return p, state
+
+
 def language_model(docs):
     """[(id, text)] -> {id: (held_out, n_tokens, n_known, N, base, score)}"""
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
-    one, two, after = Counter(), Counter(), defaultdict(set)
-    for i, t in docs:
-        if not held[i]:
-            seq = ["<s>", *lower(t), "</s>"]
-            one.update(seq)
-            two.update(zip(seq, seq[1:]))
-            for a, b in zip(seq, seq[1:]):
-                after[a].add(b)
-    n, v = sum(one.values()) - one["<s>"], len([w for w in one if w != "<s>"])
-    n1, n2 = sum(c == 1 for c in two.values()), sum(c == 2 for c in two.values())
-    d = n1 / (n1 + 2 * n2) if n1 else 0.75
+    model = Automaton([lower(t) for i, t in docs if not held[i]])
     out = {}
     for i, t in docs:
-        state, base, score, known = "<s>", 0.0, 0.0, 0
-        seq = [*lower(t), "</s>"]
+        state, base, score, seq = ("<s>",) if model.count["<s>"] else (), 0.0, 0.0, [*lower(t), "</s>"]
         for w in seq:
-            root = (one[w] + 1) / (n + v + 1)
-            known += one[w] > 0
-            base += math.log10(root)
-            c = one[state] if state is not None else 0
-            fail = d * len(after[state]) / c if c else 1.0
-            score += math.log10((max(two[state, w] - d, 0) / c if c else 0) + fail * root)
-            state = w
-        out[i] = (held[i], len(seq), known, n, base, score)
+            base += math.log10((model.count[w] + 1) / (model.n + model.v + 1))
+            p, state = model.step(state, w)
+            score += math.log10(p)
+        out[i] = (held[i], len(seq), sum(model.count[w] > 0 for w in seq), model.n, base, score)
     return out

@@ -9,6 +9,8 @@ import pytest
 
 from corpusloom.llm import exact_dedup, language_model, packing, queries, simhash, substrings
 
+from corpusloom.llm.shared import pack_sorted, span_hashes, unpack_sorted
+
 from . import brute
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -69,6 +71,55 @@ def test_substrings_match_brute_force(spark, docs):
     assert len(found) == len(rows) and got == brute.repeats(rows)
 
 
+def test_words_of_one_structure_are_told_apart(spark):
+    """Thue-Morse words, which every polynomial hash modulo 2^64 confuses."""
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{k}" for k in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{a[:64]} {tail}"), (4, f"{b[:64]} {tail}"), (5, f"{a} {tail}"), (6, a[:128]), (7, b[:128])]
+    found = {r["doc_id"]: r["removed"] for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert [len(found[i]) for i in range(1, 8)] == [0, 0, 0, 0, 1, 0, 0]
+    known = {r["doc_id"]: r["n_known"] for r in language_model.score_texts(frame(spark, [(i, t) for i, t in rows if i in (1, 2)]), folds=1, held=5).collect()}
+    assert known == {1: 14, 2: 14}
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    (h,) = span_hashes(data, (np.array([0, 2048, 0, 2048]), np.array([2048, 4096, 128, 2176])))
+    assert len(set(h.tolist())) == 4
+
+
+def test_all_null_and_all_equal_ids(spark):
+    for key in (None, 4):
+        rows = [(key, f"{PASSAGE} {i}") for i in range(300)]
+        found = substrings.remove_repeats(frame(spark, rows)).collect()
+        assert len(found) == 300 and not any(r["removed"] for r in found)
+        assert len({r["score"] for r in language_model.score_texts(frame(spark, rows)).collect()}) < 300
+
+
+def test_giant_document(spark):
+    giant = " ".join(f"g{i}" for i in range(400_000))
+    rows = [(1, giant), (2, giant[: len(giant) // 2]), (3, "small " + " ".join(f"g{i}" for i in range(100, 120)))]
+    found = {r["doc_id"]: sum(x["end"] - x["start"] for x in r["removed"]) for r in substrings.remove_repeats(frame(spark, rows)).collect()}
+    assert found[1] == 0 and found[3] == 20 and found[2] in (giant[: len(giant) // 2].count(" "), giant[: len(giant) // 2].count(" ") + 1)
+
+
+def test_substrings_in_many_batches(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "batch_count", lambda *_: 37)
+    rows = [(i, t) for i, t in docs] + [(10_000 + i, t) for i, t in AWKWARD] + [(2**63 - 1, PASSAGE + " z"), (-(2**63), " ".join(PASSAGE.split()[5:30]))]
+    found = substrings.remove_repeats(frame(spark, rows)).collect()
+    got = {r["doc_id"]: (r["n_words"], sum(x["end"] - x["start"] for x in r["removed"]), hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found}
+    assert got == brute.repeats(rows)
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        h = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (unpack_sorted(pack_sorted(h)) == h).all()
+        c = rng.integers(0, 70_000, n)
+        assert (language_model._unpack(language_model._pack(c)) == c).all()
+
+
 def test_substrings_repeated_rows_and_null_ids(spark):
     rows = [(5, PASSAGE), (5, PASSAGE), (2**60 + 1, "one"), (None, PASSAGE), (None, None)]
     got = sorted((r["doc_id"] is None, len(r["removed"]), r["n_words"]) for r in substrings.remove_repeats(frame(spark, rows)).collect())
@@ -84,14 +135,25 @@ def test_language_model_matches_brute_force(spark, docs):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
-def test_language_model_probabilities_sum_to_one():
-    counts = {"a": 5, "b": 3, "c": 2}
-    n, v = 10, 3
-    seen = {"a": 2, "b": 1}
-    c = np.array([*counts.values(), 0])
-    pairs = np.array([seen.get(w, 0) for w in [*counts, "?"]])
-    _, p = language_model.weights(c, pairs, np.full(4, 3), np.full(4, 2), n, v, 0.6)
-    assert p.sum() == pytest.approx(1)
+def test_automaton_states_are_distributions(docs):
+    model = brute.Automaton([brute.lower(t)[:300] for _, t in docs[:20]])
+    states = [(), *[s for s in model.fails if s[-1] != "</s>"]][:400]
+    for state in states:
+        assert sum(model.step(state, w)[0] for w in [*model.arcs[()], b"never seen"]) == pytest.approx(1)
+
+
+def test_language_model_takes_batches_apart(spark, monkeypatch):
+    """Counts of n-grams that are in one batch only, in several, or in held-out texts only."""
+    monkeypatch.setattr(language_model, "batch_count", lambda *_: 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 50)) for i in range(200)]
+    rows += [(i + 300, t) for i, t in rows[:20]] + [(None, "w1 w2"), (7, rows[7][1])]
+    want = brute.language_model([(i if k != 221 else "7", t) for k, (i, t) in enumerate(rows)])
+    want["None"] = want[None]
+    got = language_model.score_texts(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_known"], r["train_tokens"]) == want[r["doc_id"]][2:4] and r["score"] == pytest.approx(want[r["doc_id"]][5], rel=1e-9)
 
 
 def test_language_model_is_better_than_the_root_on_held_out_texts(spark, sf):
