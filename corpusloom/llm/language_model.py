@@ -258,7 +258,7 @@ def _traverse(ranges: int, strengths: tuple[float, float]):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, strengths: tuple[float, float] = (8.0, 2.0), most: int = 64 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, strengths: tuple[float, float] = (100.0, 8.0), most: int = 64 << 20) -> DataFrame:
     """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``most`` bounds a batch's bytes of text; a task needs about thirty times as much memory.

@@ -67,7 +67,7 @@ def repeats(docs, n=13):
 class Automaton:
     """Arcs and failure arcs of a backoff automaton over words, written out as dictionaries."""
 
-    def __init__(self, texts, k2=8.0, k3=2.0):
+    def __init__(self, texts, k2=100.0, k3=8.0):
         one, two, three = Counter(), Counter(), Counter()
         for t in texts:
             seq = ["<s>", *t, "</s>"]
