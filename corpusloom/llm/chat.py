@@ -178,20 +178,25 @@ def parse_segment(segment: str) -> tuple[str, str]:
 
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "content") -> DataFrame:
-    """(conv_id, turn, segment, loss_start, loss_end): offsets in code points of the segment, null outside the loss."""
+    """(conv_id, turn, role, segment, loss_start, loss_end): offsets in code points of the segment, null outside the loss."""
     role, text = F.coalesce(turns[role_col], F.lit("")), F.coalesce(turns[text_col], F.lit(""))
     head = F.concat(F.lit(START), _escape_role(role), F.lit("\n"))
     body = escape(text)
     lossy = role == LOSS_ROLE
     return turns.select(
-        turns[conv_col].alias("conv_id"), turns[order_col].alias("turn"), F.concat(head, body, F.lit(END + "\n")).alias("segment"),
+        turns[conv_col].alias("conv_id"), turns[order_col].alias("turn"), role.alias("role"), F.concat(head, body, F.lit(END + "\n")).alias("segment"),
         F.when(lossy, F.length(head)).alias("loss_start"), F.when(lossy, F.length(head) + F.length(body)).alias("loss_end"),
     )
 
 
 def in_order(segments: DataFrame) -> DataFrame:
-    """Segments with each conversation in one partition and in order: concatenated, they are its text."""
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
+    """Segments with each conversation in one partition and in order: concatenated, they are its text.
+
+    Ties of a turn go by role and unescaped text, which is read from the segment behind the exchange.
+    """
+    inner = F.regexp_extract("segment", r"(?s)^[^\n]*\n(.*)<\|im_end\|>\n\z", 1)
+    said = F.regexp_replace(inner, r"<\\(\\*)\|", "<$1|")
+    return segments.repartition("conv_id").withColumn("_said", said).sortWithinPartitions("conv_id", "turn", "role", "_said").drop("_said")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,8 +3,8 @@
 A text's digest is the SHA-256 of its UTF-8 bytes after lower-casing A-Z. Scan tasks fold each Arrow
 batch to one row per digest, so a text that a third of the corpus repeats reaches its shard as one row
 a batch. A shard then streams those rows through a :class:`CuckooIndex`: the filter answers most new
-digests, a hit is verified against the digests stored in its bucket, and a full filter is rebuilt
-larger from the stored keys.
+digests, a hit is verified against the content of its bucket, and a full filter is rebuilt larger from the
+stored keys.
 
 Null text counts as empty. Of equal texts the row with the largest id stays; a null id is the smallest,
 and of rows repeated with one id a single one stays. An empty table gives an empty result. Columns of
@@ -25,14 +25,24 @@ from corpusloom.llm.shared import ascii_lower, materialise
 SHARD_ROWS = 500_000
 
 
-class CuckooFilter:
-    """Two candidate buckets of four 16-bit tags for each digest; tags move until one fits."""
+class CuckooIndex:
+    """A cuckoo filter whose slots also hold the content that their tags stand for.
+
+    A digest has two candidate buckets of four slots. A lookup compares 16-bit tags; only where one agrees is
+    the whole digest stored in that slot compared, so most new digests cost two tag comparisons. Entries (digest, value)
+    move with their tags. Where no slot comes free the table overflows and is rebuilt larger from the stored digests.
+    """
 
     SLOTS, KICKS = 4, 200
 
     def __init__(self, buckets: int = 64):
+        self._clear(buckets)
+        self.resizes = self.verified = 0
+
+    def _clear(self, buckets: int) -> None:
         self.mask = buckets - 1
-        self.table = [[] for _ in range(buckets)]
+        self.tags: list[list[int]] = [[] for _ in range(buckets)]
+        self.content: list[list[tuple[bytes, list]]] = [[] for _ in range(buckets)]
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         tag = int.from_bytes(digest[:2], "little") or 1
@@ -42,83 +52,81 @@ class CuckooFilter:
     def _other(self, bucket: int, tag: int) -> int:
         return (bucket ^ (tag * 0x5BD1E995)) & self.mask
 
-    def __contains__(self, digest: bytes) -> bool:
-        tag, a, b = self._places(digest)
-        return tag in self.table[a] or tag in self.table[b]
-
-    def add(self, digest: bytes) -> bool:
-        """False if the filter overflows; it must then be rebuilt from the stored keys."""
+    def _find(self, digest: bytes) -> tuple[int, int] | None:
         tag, a, b = self._places(digest)
         for bucket in (a, b):
-            if len(self.table[bucket]) < self.SLOTS:
-                self.table[bucket].append(tag)
-                return True
-        at = b
-        for k in range(self.KICKS):
-            row = self.table[at]
-            row[k % self.SLOTS], tag = tag, row[k % self.SLOTS]
-            at = self._other(at, tag)
-            if len(self.table[at]) < self.SLOTS:
-                self.table[at].append(tag)
-                return True
-        return False
-
-    def remove(self, digest: bytes) -> None:
-        tag, a, b = self._places(digest)
-        self.table[a if tag in self.table[a] else b].remove(tag)
-
-
-class CuckooIndex:
-    """The filter, and the live digests it stands for, stored by bucket with a value each."""
-
-    STORE = 1 << 12
-
-    def __init__(self, buckets: int = 64):
-        self.filter = CuckooFilter(buckets)
-        self.stored: list[dict[bytes, list]] = [{} for _ in range(self.STORE)]
-        self.resizes = 0
-
-    def _bucket(self, digest: bytes) -> dict[bytes, list]:
-        return self.stored[int.from_bytes(digest[10:14], "little") % self.STORE]
+            if tag in self.tags[bucket]:
+                for slot, other in enumerate(self.tags[bucket]):
+                    if other == tag:
+                        self.verified += 1
+                        if self.content[bucket][slot][0] == digest:
+                            return bucket, slot
+        return None
 
     def get(self, digest: bytes) -> list | None:
-        """The value of a live digest. A filter hit counts only if the bucket holds the whole digest."""
-        return self._bucket(digest).get(digest) if digest in self.filter else None
+        """The value of a live digest: a tag that agrees counts only if its slot holds the whole digest."""
+        found = self._find(digest)
+        return None if found is None else self.content[found[0]][found[1]][1]
 
     def insert(self, digest: bytes, value: list) -> None:
-        self._bucket(digest)[digest] = value
-        if not self.filter.add(digest):
-            self._resize()
+        """Add a digest that isn't live."""
+        homeless = self._place((digest, value))
+        if homeless is not None:
+            self._resize(homeless)
+
+    def _place(self, entry: tuple[bytes, list]) -> tuple[bytes, list] | None:
+        """None, or the entry that is left without a slot."""
+        tag, a, b = self._places(entry[0])
+        for bucket in (a, b):
+            if len(self.tags[bucket]) < self.SLOTS:
+                self.tags[bucket].append(tag)
+                self.content[bucket].append(entry)
+                return None
+        at = b
+        for k in range(self.KICKS):
+            slot = k % self.SLOTS
+            tags, content = self.tags[at], self.content[at]
+            tags[slot], tag = tag, tags[slot]
+            content[slot], entry = entry, content[slot]
+            at = self._other(at, tag)
+            if len(self.tags[at]) < self.SLOTS:
+                self.tags[at].append(tag)
+                self.content[at].append(entry)
+                return None
+        return entry
 
     def delete(self, digest: bytes) -> bool:
         """Take a live digest out; an unknown one changes nothing."""
-        if self.get(digest) is None:
+        found = self._find(digest)
+        if found is None:
             return False
-        del self._bucket(digest)[digest]
-        self.filter.remove(digest)
+        bucket, slot = found
+        del self.tags[bucket][slot], self.content[bucket][slot]
         return True
 
-    def _resize(self) -> None:
-        buckets = self.filter.mask + 1
+    def _resize(self, homeless: tuple[bytes, list]) -> None:
+        stored, buckets = [*self.items(), homeless], self.mask + 1
         while True:
             buckets *= 2
             self.resizes += 1
-            fresh = CuckooFilter(buckets)
-            if all(fresh.add(d) for bucket in self.stored for d in bucket):
-                self.filter = fresh
+            self._clear(buckets)
+            if all(self._place(entry) is None for entry in stored):
                 return
 
     def items(self) -> Iterator[tuple[bytes, list]]:
-        for bucket in self.stored:
-            yield from bucket.items()
+        for bucket in self.content:
+            yield from bucket
 
 
 def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_digest``, the normalised text's SHA-256 in lower-case hex, and a row number ``_row``."""
+    """``docs`` with ``_digest``, the normalised text's SHA-256 in lower-case hex, and a row number ``_row``.
+
+    Null text has the digest of an empty one.
+    """
     return docs.withColumns({"_digest": F.sha2(ascii_lower(F.coalesce(docs[text_col].cast("string"), F.lit(""))), 256), "_row": F.monotonically_increasing_id()})
 
 
-_ENTRY = "digest binary, keep_id {id}, keep_row long, group_size long"
+_ENTRY = "digest binary, keep_id {id}, keep_row long, group_size long, same_id long"
 
 
 def _larger(a: list | tuple, b: list | tuple) -> bool:
@@ -126,39 +134,44 @@ def _larger(a: list | tuple, b: list | tuple) -> bool:
     return (a[0] is not None, a[0], a[1]) > (b[0] is not None, b[0], b[1])
 
 
+def _merge(have: list, more: tuple) -> None:
+    """Add an entry's (id, row, rows, rows with this id) to those of its digest."""
+    key, row, n, same = more
+    have[2] += n
+    if key == have[0]:
+        have[1], have[3] = max(have[1], row), have[3] + same
+    elif _larger((key, row), have):
+        have[0], have[1], have[3] = key, row, same
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each digest of a batch: its largest (id, row) and how many rows have it."""
+    """One row for each digest of a batch: its largest (id, row), and how many rows have it, in all and with this id."""
     for batch in batches:
         best: dict[bytes, list] = {}
-        for digest, key, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            have = best.get(digest)
-            if have is None:
-                best[digest] = [key, row, n]
+        for digest, *value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if digest in best:
+                _merge(best[digest], value)
             else:
-                have[2] += n
-                if _larger((key, row), have):
-                    have[:2] = key, row
+                best[digest] = value
         yield _entries(best.items(), batch.schema)
 
 
 def _entries(items, schema: pa.Schema) -> pa.RecordBatch:
     rows = [(d, *v) for d, v in items]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(4)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], schema.field(k).type) for k in range(5)], schema=schema)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index, schema = CuckooIndex(), None
     for batch in batches:
         schema = batch.schema
-        for digest, key, row, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if n < 0:
+        for digest, *value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if value[2] < 0:
                 index.delete(digest)
             elif (have := index.get(digest)) is None:
-                index.insert(digest, [key, row, n])
+                index.insert(digest, value)
             else:
-                have[2] += n
-                if _larger((key, row), have):
-                    have[:2] = key, row
+                _merge(have, value)
     rows = []
     for item in index.items():
         rows.append(item)
@@ -173,7 +186,7 @@ def build_index(digests: DataFrame, id_col: str = "doc_id", rows: int | None = N
     """Index entries (digest, keep_id, keep_row, group_size) of what :func:`with_digest` gives."""
     kind = dict(digests.dtypes)[id_col]
     entry = _ENTRY.format(id=kind)
-    keys = digests.select(F.unhex("_digest").alias("digest"), F.col(id_col).alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+    keys = digests.select(F.unhex("_digest").alias("digest"), F.col(id_col).alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("same_id"))
     shards = max(8, -(-(rows if rows is not None else digests.count()) // SHARD_ROWS))
     return keys.mapInArrow(_fold, entry).repartition(shards, "digest").mapInArrow(_index, entry)
 
@@ -185,11 +198,11 @@ def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: Da
     whole entry, however many rows stood for it.
     """
     kind = dict(index.dtypes)["keep_id"]
-    parts = index.select("digest", "keep_id", "keep_row", "group_size", F.lit(0).alias("_turn"))
+    parts = index.select("digest", "keep_id", "keep_row", "group_size", "same_id", F.lit(0).alias("_turn"))
     if deletes is not None:
-        parts = parts.unionByName(deletes.select(F.unhex("_digest").alias("digest"), F.lit(None).cast(kind).alias("keep_id"), F.lit(0).cast("long").alias("keep_row"), F.lit(-1).cast("long").alias("group_size"), F.lit(1).alias("_turn")).dropDuplicates(["digest"]))
+        parts = parts.unionByName(deletes.select(F.unhex("_digest").alias("digest"), F.lit(None).cast(kind).alias("keep_id"), F.lit(0).cast("long").alias("keep_row"), F.lit(-1).cast("long").alias("group_size"), F.lit(0).cast("long").alias("same_id"), F.lit(1).alias("_turn")).dropDuplicates(["digest"]))
     if inserts is not None:
-        keys = inserts.select(F.unhex("_digest").alias("digest"), F.col(id_col).cast(kind).alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+        keys = inserts.select(F.unhex("_digest").alias("digest"), F.col(id_col).cast(kind).alias("keep_id"), F.col("_row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"), F.lit(1).cast("long").alias("same_id"))
         parts = parts.unionByName(keys.mapInArrow(_fold, _ENTRY.format(id=kind)).withColumn("_turn", F.lit(2)))
     entry = _ENTRY.format(id=kind)
     return parts.repartition("digest").sortWithinPartitions("_turn").drop("_turn").mapInArrow(_index, entry)
@@ -209,13 +222,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts.
 
-    Index and table meet on digest and id together, so that no key has more rows than one id; repeated
-    rows of the id that stays are folded in the same sorted partitions.
+    Index and table meet on digest and id together, so that no key has more rows than one id. Only where the
+    id that stays has several rows are they folded, to the one with the smallest hash.
     """
     packed = docs.select(F.struct("*").alias("doc"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     marked = with_digest(packed)
     index = materialise(build_index(marked.select("id", "_digest", "_row"), "id", docs.count()))
-    key = lambda digest, key: F.concat(digest, F.lit(":"), F.coalesce(key.cast("string"), F.lit("null"))).alias("_key")
-    keep = index.select(key(F.lower(F.hex("digest")), F.col("keep_id")))
-    found = marked.select("doc", key(F.col("_digest"), F.col("id"))).join(keep.hint("merge"), "_key", "left_semi")
-    return found.groupBy("_key").agg(F.first("doc").alias("doc")).select("doc.*")
+    key = lambda digest, key: F.concat(digest, F.when(key.isNull(), F.lit("-")).otherwise(F.concat(F.lit(":"), key.cast("string")))).alias("_key")
+    keep = index.select(key(F.lower(F.hex("digest")), F.col("keep_id")), "same_id")
+    found = marked.select("doc", key(F.col("_digest"), F.col("id"))).join(keep.hint("merge"), "_key")
+    single = found.where("same_id = 1").select("doc.*")
+    if index.where("same_id > 1").isEmpty():
+        return single
+    folded = found.where("same_id > 1").groupBy("_key").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return single.unionByName(folded.select("doc.*"))

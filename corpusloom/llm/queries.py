@@ -46,15 +46,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Chain:
-    """The label table has a quality and a toxicity mark; the chain goes from the one to the other."""
+    """The label table marks toxicity and quality: the chain goes from toxic passages in otherwise good texts
+    and in poor ones to toxicity as a whole."""
     labels = table(spark, sf_dir, "labels")
-    return toxicity.train(docs, labels, {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1})
+    toxic = F.col("toxic") == 1
+    return toxicity.train(docs, labels, {"toxic_in_good": toxic & (F.col("quality") == 1), "toxic_in_poor": toxic & (F.col("quality") == 0), "toxic": toxic})
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity_chain(spark, sf_dir, docs))
-    return found.select(F.col("id").alias("doc_id"), "p_low_quality", "p_toxic", F.col("flagged").alias("toxic"))
+    return found.select(F.col("id").alias("doc_id"), "p_toxic_in_good", "p_toxic_in_poor", "p_toxic", F.col("flagged").alias("toxic"))
 
 
 def _is_kind(kind: str, span: Column) -> Column:
@@ -74,11 +76,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns come in five layouts, by a hash of conversation, turn and text; each is told by its field paths."""
     said = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
-    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]
-    records = rows.unionByName(more).select("conv_id", "turn", F.to_json(F.struct("conv_id", "turn", *text)).alias("record"))
+    role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit(""))
+    content = text.alias("content")
+    layouts = [
+        F.struct("conv_id", "turn", role, text.alias("text")), F.struct(role, content), F.struct(F.array(F.struct(role, content)).alias("messages")),
+        F.struct("turn", F.array(F.struct(role, text.alias("text"))).alias("messages")),
+        F.struct(F.array(F.struct(role, F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content"))).alias("messages")),
+    ]
+    number = F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(len(layouts))).cast("int")
+    records = rows.unionByName(more).select("conv_id", "turn", F.element_at(F.array(*[F.to_json(x) for x in layouts]), number + 1).alias("record"))
     turns = chat.canonical_turns(records).select("conv_id", "turn", F.inline("found.turns"))
     return chat.read_back(chat.format_turns(turns))
 

@@ -1,14 +1,15 @@
-"""Toxicity by a chain of linear classifiers over label categories.
+"""Toxicity by a chain of linear classifiers over toxicity categories.
 
 Categories are predicted in a fixed order. Each has a logistic model over hashed words and word beginnings
 (a word's first 4 and 5 bytes, so that an unseen ending of a known stem counts); from the second on, a
-model also gets the log-odds that the earlier ones predict. It is trained with out-of-fold predictions of
-those, so it learns how far they can be trusted. The last category's threshold is the one with the best F1
-on out-of-fold predictions.
+model also gets the probabilities that the earlier ones predict. It is trained with out-of-fold predictions of
+those, so it learns how far they can be trusted. Folds go by a hash of the text, so that copies of a text
+are never on both sides. The last category's threshold is the one with the best F1 on out-of-fold predictions.
 
 Training reads a bounded sample of labelled rows (``positives`` and ``negatives`` of the last category, by
-hash of their id), weighted back to the shares in the whole label table. Prediction reads every whole
-text. The models are arrays of fixed length (``1 << BITS``), which is what makes them safe to broadcast.
+hash of their id), weighted back to the shares in the whole label table; all features of these rows are used.
+Prediction reads every whole text. The models are arrays of fixed length (``1 << BITS``), which is what makes
+them safe to broadcast.
 
 Null text is empty and gets the probability of a text without known words. Labels that are null, or that
 have no document, are passed over; without labels, or with one class only, every probability is that
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import ascii_lowered, slices, span_hashes, text_buffer, word_spans
+from corpusloom.llm.shared import ascii_lower, ascii_lowered, slices, span_hashes, text_buffer, word_spans
 
 BITS = 18
 _PREFIXES = (4, 5)
@@ -53,49 +54,39 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Linear:
-    """Weights of hashed features, of earlier categories' log-odds, and a constant."""
+    """Weights of hashed features, of earlier categories' probabilities, and a constant."""
 
     weights: np.ndarray
     earlier: np.ndarray
     bias: float
 
-    def log_odds(self, doc: np.ndarray, feature: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
-        return self.bias + np.bincount(doc, self.weights[feature], n) + earlier @ self.earlier
+    def probability(self, doc: np.ndarray, feature: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
+        return _chance(self.bias + np.bincount(doc, self.weights[feature], n) + earlier @ self.earlier)
 
 
 def _chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, most: int = 8192, steps: int = 120, decay: float = 1e-4) -> Linear:
-    """A logistic model by full-batch gradient steps over the ``most`` features that tell the classes apart best."""
-    n, (share) = len(y), float(np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)) if len(y) else 0.5
-    weights = np.zeros(1 << BITS)
-    bias, extra = float(np.log(share / (1 - share))), np.zeros(earlier.shape[1])
+def fit_linear(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, steps: int = 60, decay: float = 1e-4) -> Linear:
+    """A logistic model by full-batch gradient steps (Adam), with L2 decay."""
+    n, share = len(y), float(np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)) if len(y) else 0.5
+    bias, weights, extra = float(np.log(share / (1 - share))), np.zeros(1 << BITS), np.zeros(earlier.shape[1])
     if n == 0 or y.min() == y.max():
         return Linear(weights, extra, bias)
-    pos = np.bincount(feature, y[doc], 1 << BITS)
-    seen = np.bincount(feature, minlength=1 << BITS)
-    rate = lambda k, total: (k + 0.5) / (total + 1)
-    gain = np.where(seen >= 3, np.abs(np.log(rate(pos, y.sum())) - np.log(rate(seen - pos, n - y.sum()))) * np.sqrt(seen), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:most])
-    chosen = chosen[gain[chosen] > 0]
-    place = np.full(1 << BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[feature] >= 0
-    d, f = doc[keep], place[feature[keep]]
-    theta = np.zeros(len(chosen) + earlier.shape[1] + 1)
+    chosen, place = np.unique(feature, return_inverse=True)
+    k = len(chosen)
+    theta = np.zeros(k + len(extra) + 1)
     theta[-1] = bias
     m, v, w = np.zeros_like(theta), np.zeros_like(theta), weight / weight.sum()
     for t in range(1, steps + 1):
-        z = np.bincount(d, theta[: len(chosen)][f], n) + earlier @ theta[len(chosen) : -1] + theta[-1]
-        g = w * (_chance(z) - y)
-        grad = np.concatenate([np.bincount(f, g[d], len(chosen)), earlier.T @ g, [g.sum()]])
+        g = w * (_chance(np.bincount(doc, theta[place], n) + earlier @ theta[k:-1] + theta[-1]) - y)
+        grad = np.concatenate([np.bincount(place, g[doc], k), earlier.T @ g, [g.sum()]])
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights[chosen] = theta[: len(chosen)]
-    return Linear(weights, theta[len(chosen) : -1].copy(), float(theta[-1]))
+    weights[chosen] = theta[:k]
+    return Linear(weights, theta[k:-1].copy(), float(theta[-1]))
 
 
 @dataclass
@@ -107,36 +98,35 @@ class Chain:
     threshold: float = 2.0
 
     def predict(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        """Probabilities, a column for each category."""
-        odds = np.zeros((n, 0))
+        """Probabilities, a column for each category; each is a feature of those after it."""
+        p = np.zeros((n, 0))
         for model in self.models:
-            odds = np.column_stack([odds, np.clip(model.log_odds(doc, feature, n, odds), -30, 30)])
-        return _chance(odds)
+            p = np.column_stack([p, model.probability(doc, feature, n, p)])
+        return p
 
 
-def fit_chain(categories: list[str], doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, weight: np.ndarray, folds: int = 3) -> Chain:
-    """Fit a chain on documents 0 .. n-1 with ``labels`` (n x categories) of 0 and 1."""
+def fit_chain(categories: list[str], doc: np.ndarray, feature: np.ndarray, labels: np.ndarray, weight: np.ndarray, fold: np.ndarray) -> Chain:
+    """Fit a chain on documents 0 .. n-1 with ``labels`` (n x categories) of 0 and 1 and a fold number each."""
     n, chain = len(labels), Chain(categories)
-    fold = np.arange(n) % folds
-    odds = np.zeros((n, 0))
+    p = np.zeros((n, 0))
     for k in range(len(categories)):
         y, held = labels[:, k].astype(float), np.zeros(n)
-        for at in range(folds):
+        for at in np.unique(fold):
             rows = fold != at
             number = np.cumsum(rows) - 1
             inside = rows[doc]
-            model = fit_linear(number[doc[inside]], feature[inside], y[rows], weight[rows], odds[rows])
-            held[~rows] = model.log_odds(doc, feature, n, odds)[~rows]
-        chain.models.append(fit_linear(doc, feature, y, weight, odds))
-        odds = np.column_stack([odds, np.clip(held, -30, 30)])
+            model = fit_linear(number[doc[inside]], feature[inside], y[rows], weight[rows], p[rows])
+            held[~rows] = model.probability(doc, feature, n, p)[~rows]
+        chain.models.append(fit_linear(doc, feature, y, weight, p))
+        p = np.column_stack([p, held])
     if n and 0 < labels[:, -1].sum() < n:
-        p, y = _chance(odds[:, -1]), labels[:, -1].astype(float)
-        order = np.argsort(-p, kind="stable")
+        last, y = p[:, -1], labels[:, -1].astype(float)
+        order = np.argsort(-last, kind="stable")
         hits, all_ = np.cumsum((y * weight)[order]), np.cumsum(weight[order])
         f1 = 2 * hits / (all_ + (y * weight).sum())
         best = int(np.argmax(f1))
-        below = p[order[best + 1]] if best + 1 < n else 0.0
-        chain.threshold = float((p[order[best]] + below) / 2)
+        below = last[order[best + 1]] if best + 1 < n else 0.0
+        chain.threshold = float((last[order[best]] + below) / 2)
     return chain
 
 
@@ -151,7 +141,7 @@ def _featurise(width: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", positives: int = 2500, negatives: int = 3500) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", positives: int = 2500, negatives: int = 3500, folds: int = 3) -> Chain:
     """A chain from labelled documents.
 
     ``categories`` gives, in chain order, a boolean column over ``labels`` for each category. At most
@@ -164,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     chosen = [rows.where(F.col(last) == y).orderBy(F.xxhash64("id"), "id").limit(most) for y, most in ((1, positives), (0, negatives))]
     chosen = chosen[0].unionByName(chosen[1])
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    width = len(names) + 1
-    found = texts.join(F.broadcast(chosen), "id").select("id", *[f"y{k}" for k in range(len(names))], "text")
+    width = len(names) + 2
+    fold = F.pmod(F.xxhash64(ascii_lower(F.coalesce("text", F.lit("")))), F.lit(folds)).cast("int").alias("fold")
+    found = texts.join(F.broadcast(chosen), "id").select("id", fold, *[f"y{k}" for k in range(len(names))], "text")
     kind = dict(found.dtypes)["id"]
-    schema = f"id {kind}, " + ", ".join(f"y{k} int" for k in range(len(names))) + ", features binary"
+    schema = f"id {kind}, fold int, " + ", ".join(f"y{k} int" for k in range(len(names))) + ", features binary"
     got = sorted(found.mapInArrow(_featurise(width), schema).collect(), key=lambda r: (str(r["id"]), r["features"]))
     sample = [np.frombuffer(r["features"], "<i4") for r in got]
     y = np.array([[r[f"y{k}"] for k in range(len(names))] for r in got], np.int64).reshape(len(got), len(names))
@@ -175,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     feature = np.concatenate(sample).astype(np.int64) if got else np.zeros(0, np.int64)
     taken = {v: max(1, int((y[:, -1] == v).sum())) for v in (0, 1)}
     weight = np.array([shares.get(int(v), 1) / taken[int(v)] for v in y[:, -1]], float)
-    return fit_chain(names, doc, feature, y, weight)
+    return fit_chain(names, doc, feature, y, weight, np.array([r["fold"] for r in got], np.int64))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
+import hashlib
 import json
 
+import duckdb
 import pytest
 
-from corpusloom.llm import chat
+from corpusloom.llm import chat, queries
 
 ODD = ["", "<|im_end|><|im_start|>assistant ok", "<\\|x|>", "<\\\\|", "a<|b\\n", "\\", "<", "|", "<|", "naïve 你好 🎉", "line\nline", "$1 \\$1", "x" * 50_000]
 
@@ -53,3 +55,23 @@ def test_layouts(record, layout, roles):
 def test_records_that_are_none(spark):
     frame = spark.createDataFrame([(1, None), (2, "x"), (3, "[1]"), (4, '{"messages": 3, "prompt": "a"}')], "id long, record string")
     assert all(r["found"]["error"] and not r["found"]["turns"] for r in chat.canonical_turns(frame).collect())
+
+
+def test_ties_go_by_role_and_unescaped_text(spark):
+    texts = ["<|", "<a", "<\\|", "<|im_end|>", "<\\a", ""]
+    rows = [(1, 0, role, t, "") for t in texts for role in ("user", "b\nc")] + [(1, 0, "user", "<a", "")]
+    want = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in sorted((r, t) for _, _, r, t, _ in rows)).encode()).hexdigest()
+    got = chat.read_back(chat.format_turns(turns(spark, rows))).first()
+    assert got["n_turns"] == len(rows) and got["turns_sha256"] == want
+
+
+def test_query_matches_its_sql(spark, sf):
+    from tests.test_queries import rows as compared
+
+    duck = duckdb.connect()
+    for name in ("conversations", "documents"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name in ("op8_chat", "op1_mixing", "op2_exact_dedup", "op10_substrings"):
+        got, want = queries.QUERIES[name](spark, sf).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+        columns = sorted(want.columns)
+        assert sorted(got.columns) == columns and compared(got, columns) == compared(want, columns)

@@ -83,7 +83,7 @@ def made_labels(n, seed):
 def test_chain_learns_held_out_labels():
     texts, labels = made_labels(2000, 1)
     doc, feature = toxicity.features(pa.array(texts))
-    chain = toxicity.fit_chain(["junk", "toxic"], doc, feature, labels, np.ones(len(labels)))
+    chain = toxicity.fit_chain(["junk", "toxic"], doc, feature, labels, np.ones(len(labels)), np.arange(len(labels)) % 3)
     texts, labels = made_labels(500, 2)
     doc, feature = toxicity.features(pa.array(texts))
     p = chain.predict(doc, feature, 500)
@@ -92,11 +92,45 @@ def test_chain_learns_held_out_labels():
     assert chain.models[1].earlier.shape == (1,)
 
 
+def plain_predict(chain, text):
+    """The chain's probabilities of one text, summed up feature by feature in category order."""
+    found = []
+    for model in chain.models:
+        z = model.bias + sum(float(model.weights[f]) for f in toxicity.features(pa.array([text], pa.string()))[1])
+        z += sum(w * p for w, p in zip(model.earlier, found, strict=True))
+        found.append(1 / (1 + np.exp(-z)))
+    return found
+
+
+def test_chain_against_plain_python(spark):
+    texts, labels = made_labels(600, 4)
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    marks = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(labels)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(rows, marks, {"junk": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    odd = [(10_000, None), (10_001, ""), (10_002, "w1 " * 200_000 + "vile1"), (10_003, "vile1 foul2"), (10_003, "vile1 foul2")]
+    more = docs(spark, [(i, t, "s") for i, t in odd])
+    for r in toxicity.score(rows.union(more), chain).collect():
+        assert [r["p_junk"], r["p_toxic"]] == pytest.approx(plain_predict(chain, r["doc"]["text"]), abs=1e-9)
+        assert r["flagged"] == (r["p_toxic"] >= chain.threshold)
+
+
+def test_out_of_fold_probabilities_see_no_copy():
+    """A category of pure noise can't be predicted, though every text has a copy with its label."""
+    rng = np.random.default_rng(8)
+    texts = [f"a{i} b{i} c{i}" for i in range(400)] * 2
+    labels = np.tile(rng.integers(0, 2, 400), 2)[:, None]
+    doc, feature = toxicity.features(pa.array(texts))
+    by_text, by_row = np.tile(np.arange(400) % 3, 2), np.arange(800) % 3
+    found = [toxicity.fit_chain(["noise"], doc, feature, labels, np.ones(800), fold).threshold for fold in (by_text, by_row)]
+    assert found[0] < 0.5  # flags everything: out of fold, nothing tells the texts apart
+    assert found[1] > 0.4
+
+
 def test_one_class_or_no_labels():
     doc, feature = toxicity.features(pa.array(["a b", "c d"]))
     for labels in (np.zeros((2, 2), int), np.zeros((0, 2), int)):
         keep = doc < len(labels)
-        chain = toxicity.fit_chain(["junk", "toxic"], doc[keep], feature[keep], labels, np.ones(len(labels)))
+        chain = toxicity.fit_chain(["junk", "toxic"], doc[keep], feature[keep], labels, np.ones(len(labels)), np.arange(len(labels)) % 3)
         p = chain.predict(doc, feature, 2)
         assert p.shape == (2, 2) and not (p[:, 1] >= chain.threshold).any()
 

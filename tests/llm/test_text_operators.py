@@ -182,12 +182,20 @@ def test_cuckoo_index_inserts_deletes_and_resizes():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     for i, k in enumerate(keys):
         assert index.get(k) is None
-        index.insert(k, [i, 0, 1])
-    assert index.resizes > 0 and all(index.get(k)[0] == i for i, k in enumerate(keys))
+        index.insert(k, [i, 0, 1, 1])
+    assert index.resizes > 0 and index.verified < 200 and all(index.get(k)[0] == i for i, k in enumerate(keys))
     assert all(index.delete(k) for k in keys[::2]) and not index.delete(keys[0])
     assert [index.get(k) is None for k in keys] == [i % 2 == 0 for i in range(3000)]
 
 
+def test_drop_exact_duplicates_folds_repeated_rows(spark):
+    rows = [(7, "t"), (7, "t"), (7, "T"), (3, "t"), (None, "n"), (None, "n"), (2, "u")]
+    kept = exact_dedup.drop_exact_duplicates(frame(spark, rows))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"].lower()) for r in kept.collect()) == [(False, 2, "u"), (False, 7, "t"), (True, 0, "n")]
+    texts = spark.createDataFrame([("null", "a"), (None, "a"), (None, "b")], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["text"]) for r in exact_dedup.drop_exact_duplicates(texts).collect()) == [("", "b"), ("null", "a")]
+
+
 def test_update_index(spark):
     start = exact_dedup.with_digest(frame(spark, [(1, "a"), (2, "b"), (3, "A")]))
     index = exact_dedup.build_index(start)
