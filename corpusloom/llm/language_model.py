@@ -12,13 +12,13 @@ arcs are P(w) = (c(w) + 1) / (N + V + 1), for unknown words too. K is one of ``s
 of one word and of two. A text is read once from left to right: the state that the last word led to is carried along;
 where it has no arc for the next word its failure arcs are followed, and all weights' logarithms are added up.
 
-Counts cover every training text. Documents are dealt into batches by a hash of their id and row; a batch sends
+Counts cover every training text. Documents are dealt into batches by size; a batch sends
 each different word and word pair once to a range of hashes, which adds the counts up and answers with the totals and
 with a bit for pairs that other batches have too. Only a trigram of two such pairs can occur elsewhere, so
 only those are sent; the others' counts are the batch's own. What comes back is the part of the automaton that
 the batch's texts can reach, so no task holds the whole of it, and an n-gram that a third of the corpus has
 arrives once a batch. The text is shuffled once; the three steps that read it share that exchange. Messages
-grow in proportion to the text (:func:`shared.batch_count`).
+grow in proportion to the text (:func:`shared.batch_size`).
 
 Words are runs of bytes between ASCII white space after lower-casing A-Z; one end follows each text and
 counts as a token. Null or empty texts have the end alone. A document is held out of training if
@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from corpusloom.llm.shared import ascii_lowered, batch_count, cuts, deal, mixed, pack_sorted, span_hashes, text_buffer, unpack_sorted, word_spans
+from corpusloom.llm.shared import ascii_lowered, batch_size, batch_table, blobs, cuts, expand, in_batches, mixed, pack_sorted, span_hashes, text_buffer, unblobbed, unpack_sorted, word_spans
 
 _START, _END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 _PRIME = np.uint64(0x9FB21C651E98DF25)
@@ -114,13 +115,13 @@ def _messages(part: int, hashes: np.ndarray, counts: np.ndarray, ranges: int, wh
 def _rows(batch: int, rows: list[tuple]) -> pa.Table:
     return pa.table({
         "part": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([batch] * len(rows), pa.int64()),
-        "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary()),
+        "hashes": blobs([r[1] for r in rows]), "counts": blobs([r[2] for r in rows]),
     })
 
 
 def _send_words_and_pairs(ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        batch = Tokens(table)
+        batch = Tokens(batch_table(table))
         words = _messages(0, batch.words.hashes, batch.words.counts, ranges, whole=True)
         return _rows(key[0].as_py(), words + _messages(1, batch.pairs.hashes, batch.pairs.counts, ranges))
 
@@ -133,10 +134,10 @@ def _match(ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part, n = key[0].as_py(), table.num_rows
         if part < 0:  # a batch's message to itself
-            return _answers(table, part, table.column("counts").to_pylist(), table.column("hashes").to_pylist(), 0, 0)
-        hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+            return _answers(table, part, unblobbed(table.column("counts")), unblobbed(table.column("hashes")), 0, 0)
+        hashes = [unpack_sorted(x) for x in unblobbed(table.column("hashes"))]
         edges = np.cumsum([len(x) for x in hashes])[:-1]
-        counts = np.concatenate([_unpack(x) for x in table.column("counts").to_pylist()])
+        counts = np.concatenate([_unpack(x) for x in unblobbed(table.column("counts"))])
         different, place, members = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         total = np.bincount(place, counts, len(different)).astype(np.int64)
         totals = [_pack(x) for x in np.split(total[place], edges)]
@@ -149,13 +150,13 @@ def _match(ranges: int):
 def _answers(table: pa.Table, part: int, totals: list, others: list, tokens: int, words: int) -> pa.Table:
     n = table.num_rows
     same = lambda x: pa.array([x] * n, pa.int64())
-    return pa.table({"batch": table.column("batch"), "part": same(part), "totals": pa.array(totals, pa.binary()), "others": pa.array(others, pa.binary()), "tokens": same(tokens), "words": same(words)})
+    return pa.table({"batch": table.column("batch"), "part": same(part), "totals": blobs(totals), "others": blobs(others), "tokens": same(tokens), "words": same(words)})
 
 
 def _totals(answers: pa.Table, part: int, ranges: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Totals and bits of one kind of n-gram, in the order of its hashes."""
     edges, out, others = cuts(hashes, ranges), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-    for k, totals, bits in zip(*(answers.column(c).to_pylist() for c in ("part", "totals", "others")), strict=True):
+    for k, totals, bits in zip(answers.column("part").to_pylist(), unblobbed(answers.column("totals")), unblobbed(answers.column("others")), strict=True):
         if k // ranges == part and k >= 0:
             a, b = int(edges[k % ranges]), int(edges[k % ranges + 1])
             out[a:b] = _unpack(totals)
@@ -175,7 +176,7 @@ def _send_triples(ranges: int):
         number = key[0].as_py()
         if not table.num_rows:
             return _rows(number, [])
-        batch = Tokens(table)
+        batch = Tokens(batch_table(table))
         words, _ = _totals(answers, 0, ranges, batch.words.hashes)
         pairs, others = _totals(answers, 1, ranges, batch.pairs.hashes)
         first = [k < ranges for k in answers.column("part").to_pylist()]
@@ -232,16 +233,18 @@ class Automaton:
         return total
 
 
-def _traverse(ranges: int, strengths: tuple[float, float]):
+def _traverse(ranges: int, strengths: tuple[float, float], kind: pa.DataType):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["n_tokens", "n_known", "train_tokens"]
         if not table.num_rows:
-            return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), **{c: pa.array([], pa.int64()) for c in names}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], kind), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in names}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        table = batch_table(table)
         batch = Tokens(table)
         own = answers.column("part").to_pylist().index(-1 - key[0].as_py())
-        values, n = _unpack(answers.column("totals")[own].as_py()), len(batch.words.hashes)
+        totals, others = (expand(answers.column(c)[own].as_py()) for c in ("totals", "others"))
+        values, n = _unpack(totals), len(batch.words.hashes)
         tokens, different, words, pairs = int(values[0]), int(values[1]), values[2 : 2 + n], values[2 + n :]
-        others = np.unpackbits(np.frombuffer(answers.column("others")[own].as_py(), np.uint8), count=len(pairs)).astype(bool)
+        others = np.unpackbits(np.frombuffer(others, np.uint8), count=len(pairs)).astype(bool)
         triples, sent = batch.triples.counts.copy(), _elsewhere(batch, others)
         triples[sent] = _totals(answers, 0, ranges, batch.triples.hashes[sent])[0]
         starts = int(words[np.searchsorted(batch.words.hashes, _END)])  # as many as ends
@@ -258,16 +261,17 @@ def _traverse(ranges: int, strengths: tuple[float, float]):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, strengths: tuple[float, float] = (100.0, 8.0), most: int = 64 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, strengths: tuple[float, float] = (100.0, 8.0), most: int = 24 << 20) -> DataFrame:
     """Each row's doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``most`` bounds a batch's bytes of text; a task needs about thirty times as much memory.
     """
     held_out = F.coalesce(F.crc32(docs[id_col].cast("string")) % folds == held, F.lit(False))
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), held_out.alias("held_out"))
-    n = batch_count(docs.sparkSession, rows, "text", most)
-    by_batch = deal(rows, n, "doc_id").groupBy("batch")
+    rows = docs.select(docs[id_col].alias("doc_id"), held_out.alias("held_out"), docs[text_col].cast("string").alias("text"))
+    size, n = batch_size(docs.sparkSession, rows, "text", most)
+    by_batch = in_batches(rows, size).groupBy("batch")
     first = by_batch.applyInArrow(_send_words_and_pairs(n), _SENT).groupBy("part").applyInArrow(_match(n), _ANSWER)
     second = by_batch.cogroup(first.groupBy("batch")).applyInArrow(_send_triples(n), _SENT).groupBy("part").applyInArrow(_match(n), _ANSWER)
-    kind = dict(rows.dtypes)["doc_id"]
-    return by_batch.cogroup(second.groupBy("batch")).applyInArrow(_traverse(n, strengths), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kind = rows.schema["doc_id"].dataType
+    walk = _traverse(n, strengths, to_arrow_type(kind))
+    return by_batch.cogroup(second.groupBy("batch")).applyInArrow(walk, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

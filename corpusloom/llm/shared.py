@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Bytes up to which spans are hashed side by side.
 _LONG = 256
 #: Bytes of text that one message from a batch of documents to a range of hashes stands for.
-MESSAGE = 40_000
+MESSAGE = 80_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -141,21 +143,69 @@ def ascii_lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def batch_count(spark: SparkSession, docs: DataFrame, text: str, most: int) -> int:
-    """How many batches of documents, and as many ranges of hashes, to deal a table into.
+def batch_size(spark: SparkSession, docs: DataFrame, text: str, most: int) -> tuple[int, int]:
+    """Bytes of text in a batch of documents, and how many ranges to cut hashes into.
 
-    A batch has the square root of the text's bytes times ``MESSAGE``, so that a message from a batch to a
-    range stands for ``MESSAGE`` bytes of text at every size: messages grow in proportion to the text, not with
-    its square. ``most`` bounds a batch by the memory of a task; only where it takes hold (at the default, from
-    about 7 TB) do messages get smaller.
+    A batch has the square root of the text's bytes times ``MESSAGE``, and there are as many ranges as batches; so a
+    message from a batch to a range stands for ``MESSAGE`` bytes of text at every size: messages grow in
+    proportion to the text, not with its square. ``most`` bounds a batch by the memory of a task. Where it takes
+    hold messages get smaller; give tasks on a large cluster more memory and raise it.
     """
     _, size = text_bytes(spark, docs, text)
-    return max(8, -(-size // min(most, max(1 << 20, int((size * MESSAGE) ** 0.5)))))
+    batch = min(most, max(1 << 20, int((size * MESSAGE) ** 0.5)))
+    return batch, max(8, -(-size // batch))
 
 
-def deal(docs: DataFrame, batches: int, *keys: str) -> DataFrame:
-    """``docs`` with ``batch``, from a hash of ``keys`` and the row's number: repeated and null keys spread too."""
-    return docs.withColumn("batch", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(batches)))
+def in_batches(docs: DataFrame, size: int) -> DataFrame:
+    """(batch, docs): rows of ``docs`` in the order of the scan, about ``size`` bytes of text a batch, compressed.
+
+    The last column is the text. Batches go by size alone, so repeated or null ids are no matter; a text larger
+    than ``size`` is a batch of its own. :func:`batch_table` reads one back.
+    """
+    names, text = docs.columns, len(docs.columns) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, weight = TaskContext.get().partitionId(), 0, [], 0
+        for piece in slices(batches, text, size):
+            more = int(text_buffer(piece.column(text))[1][-1])
+            if held and weight + more > size:
+                yield _as_row(part << 32 | number, held)
+                number, held, weight = number + 1, [], 0
+            held.append(piece)
+            weight += more
+        if held:
+            yield _as_row(part << 32 | number, held)
+
+    return docs.select(*names).mapInArrow(run, "batch long, docs binary")
+
+
+def _as_row(number: int, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pieces[0].schema) as writer:
+        for piece in pieces:
+            writer.write_batch(piece)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze(sink.getvalue())], pa.binary())], ["batch", "docs"])
+
+
+def batch_table(row: pa.Table) -> pa.Table:
+    """The documents of a batch's row."""
+    return pa.ipc.open_stream(expand(row.column("docs")[0].as_py())).read_all()
+
+
+def squeeze(data: bytes | pa.Buffer) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def blobs(values: list[bytes | None]) -> pa.Array:
+    return pa.array([None if x is None else squeeze(x) for x in values], pa.binary())
+
+
+def unblobbed(column: pa.ChunkedArray) -> list[bytes | None]:
+    return [None if x is None else expand(x) for x in column.to_pylist()]
 
 
 def cuts(hashes: np.ndarray, ranges: int) -> np.ndarray:

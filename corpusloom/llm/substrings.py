@@ -8,11 +8,11 @@ document. So non-overlapping blocks are indexed, and every rolling run of 7 word
 extended over the neighbouring runs that occur elsewhere too; windows that lie in such a stretch, hold a hit,
 and agree in all their words with one of a smaller document are the maximal repeats.
 
-Documents are dealt into batches by a hash of id and row, and a batch sends each different hash once to a
-range of hashes, packed into binary columns. A passage that a third of the corpus shares therefore reaches
+Documents are dealt into batches by size, and a batch sends each different hash once to a range of hashes,
+packed into binary columns. A passage that a third of the corpus shares therefore reaches
 its range as one entry a batch, and no pairs of documents are made. Answers come back as bits. The text is
 shuffled once; the three steps that read it share that exchange. Messages grow in proportion to the text
-(:func:`shared.batch_count`).
+(:func:`shared.batch_size`).
 
 Words are bytes between ASCII white space, compared unchanged. Anchors are compared as 64 bits (a false hit
 only costs a comparison); the words of windows as 128 bits from two hashes of every word with different seeds,
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import batch_count, cuts, deal, mixed, pack_sorted, span_hashes, text_buffer, unpack_sorted, word_spans
+from corpusloom.llm.shared import batch_size, batch_table, blobs, cuts, in_batches, mixed, pack_sorted, span_hashes, text_buffer, unblobbed, unpack_sorted, word_spans
 
 WINDOW, ANCHOR = 13, 7
 _PRIME = np.uint64(0x9FB21C651E98DF25)
@@ -115,7 +115,7 @@ def _slices(hashes: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
 def _rows(batch: int, rows: list[tuple[int, bytes, bytes, bytes | None]]) -> pa.Table:
     return pa.table({
         "shard": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([batch] * len(rows), pa.int64()),
-        **{name: pa.array([r[k] for r in rows], pa.binary()) for k, name in ((1, "hashes"), (2, "extra"), (3, "ids"))},
+        **{name: blobs([r[k] for r in rows]) for k, name in ((1, "hashes"), (2, "extra"), (3, "ids"))},
     })
 
 
@@ -137,7 +137,7 @@ def _several(groups: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def _send_anchors(ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, different, _, block = Batch(table).anchors()
+        _, different, _, block = Batch(batch_table(table)).anchors()
         return _rows(key[0].as_py(), [(k, pack_sorted(different[s], _base(k, ranges)), _pack(block[s]), None) for k, s in _slices(different, ranges)])
 
     return run
@@ -145,9 +145,9 @@ def _send_anchors(ranges: int):
 
 def _match_anchors(key: tuple, table: pa.Table) -> pa.Table:
     """Bits of the anchors that several batches have, and of those of them that are a block somewhere."""
-    hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+    hashes = [unpack_sorted(x) for x in unblobbed(table.column("hashes"))]
     edges = np.cumsum([len(x) for x in hashes])[:-1]
-    blocks = np.concatenate([_bits(x, len(h)) for x, h in zip(table.column("extra").to_pylist(), hashes, strict=True)])
+    blocks = np.concatenate([_bits(x, len(h)) for x, h in zip(unblobbed(table.column("extra")), hashes, strict=True)])
     _, group, members = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     repeated = (members > 1)[group]
     known = np.bincount(group, blocks, len(members))[group] > 0
@@ -155,7 +155,7 @@ def _match_anchors(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _answers(table: pa.Table, key: tuple, bits: list, more: list) -> pa.Table:
-    return pa.table({"batch": table.column("batch"), "shard": pa.array([key[0].as_py()] * table.num_rows, pa.int64()), "bits": pa.array(bits, pa.binary()), "more": pa.array(more, pa.binary())})
+    return pa.table({"batch": table.column("batch"), "shard": pa.array([key[0].as_py()] * table.num_rows, pa.int64()), "bits": blobs(bits), "more": blobs(more)})
 
 
 def _marks(batch: Batch, marks: pa.Table, ranges: int) -> np.ndarray:
@@ -164,7 +164,7 @@ def _marks(batch: Batch, marks: pa.Table, ranges: int) -> np.ndarray:
     repeated = _several(place, batch.doc[at], len(different))
     known = block.copy()
     edges = cuts(different, ranges)
-    for k, bits, more in zip(*(marks.column(c).to_pylist() for c in ("shard", "bits", "more")), strict=True):
+    for k, bits, more in zip(marks.column("shard").to_pylist(), unblobbed(marks.column("bits")), unblobbed(marks.column("more")), strict=True):
         part = slice(int(edges[k]), int(edges[k + 1]))
         n = part.stop - part.start
         repeated[part] |= _bits(bits, n)
@@ -179,7 +179,7 @@ def _send_windows(ranges: int):
         number = key[0].as_py()
         if not table.num_rows:
             return _rows(number, [])
-        batch = Batch(table)
+        batch = Batch(batch_table(table))
         at = _marks(batch, marks, ranges)
         if not len(at):
             return _rows(number, [])
@@ -198,12 +198,12 @@ def _send_windows(ranges: int):
 def _match_windows(key: tuple, table: pa.Table) -> pa.Table:
     """For each batch, bits of the windows that a smaller id than its own smallest has."""
     if key[0].as_py() < 0:
-        return _answers(table, (pa.scalar(-1),), table.column("extra").to_pylist(), [None] * table.num_rows)
-    hashes = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
+        return _answers(table, (pa.scalar(-1),), unblobbed(table.column("extra")), [None] * table.num_rows)
+    hashes = [unpack_sorted(x) for x in unblobbed(table.column("hashes"))]
     edges = np.cumsum([len(x) for x in hashes])[:-1]
-    a, b = np.concatenate(hashes), np.concatenate([np.frombuffer(x, "<u8") for x in table.column("extra").to_pylist()])
+    a, b = np.concatenate(hashes), np.concatenate([np.frombuffer(x, "<u8") for x in unblobbed(table.column("extra"))])
     ids, none = [], []
-    for blob, h in zip(table.column("ids").to_pylist(), hashes, strict=True):
+    for blob, h in zip(unblobbed(table.column("ids")), hashes, strict=True):
         width = blob[0]
         ids.append(np.frombuffer(blob, "<u4" if width == 4 else "<i8", len(h), 1).astype(np.int64))
         none.append(_bits(blob[1 + width * len(h) :], len(h)))
@@ -224,9 +224,9 @@ def _remove(ranges: int):
     def run(key: tuple, table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "removed": pa.array([], _RANGES), "kept_text": pa.array([], pa.string())})
-        batch = Batch(table)
+        batch = Batch(batch_table(table))
         gone = np.zeros(len(batch.words), bool)
-        bits = dict(zip(found.column("shard").to_pylist(), found.column("bits").to_pylist(), strict=True))
+        bits = dict(zip(found.column("shard").to_pylist(), unblobbed(found.column("bits")), strict=True))
         if -1 in bits:
             at = np.flatnonzero(_bits(bits[-1], len(batch.words)))
             a, _, first, place = batch.windows(at)
@@ -251,21 +251,21 @@ def _remove(ranges: int):
                 removed.append([])
             kept.append(b" ".join(words).decode())
         return pa.table({
-            "doc_id": table.column("doc_id").take(batch.order).cast(pa.int64()), "n_words": pa.array(batch.counts, pa.int64()),
+            "doc_id": pa.array(batch.ids, mask=batch.none), "n_words": pa.array(batch.counts, pa.int64()),
             "removed": pa.array(removed, _RANGES), "kept_text": pa.array(kept, pa.string()),
         })
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 64 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 32 << 20) -> DataFrame:
     """Each row's ``doc_id``, ``n_words``, ``removed`` (word ranges, end exclusive) and ``kept_text``.
 
     ``most`` bounds a batch's bytes of text; a task needs about fifteen times as much memory.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    n = batch_count(docs.sparkSession, rows, "text", most)
-    by_batch = deal(rows, n, "doc_id").groupBy("batch")
+    size, n = batch_size(docs.sparkSession, rows, "text", most)
+    by_batch = in_batches(rows, size).groupBy("batch")
     answer = "batch long, shard long, bits binary, more binary"
     anchors = by_batch.applyInArrow(_send_anchors(n), _SENT)
     marks = anchors.groupBy("shard").applyInArrow(_match_anchors, answer)

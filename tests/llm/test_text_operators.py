@@ -104,7 +104,7 @@ def test_giant_document(spark):
 
 
 def test_substrings_in_many_batches(spark, docs, monkeypatch):
-    monkeypatch.setattr(substrings, "batch_count", lambda *_: 37)
+    monkeypatch.setattr(substrings, "batch_size", lambda *_: (20_000, 37))
     rows = [(i, t) for i, t in docs] + [(10_000 + i, t) for i, t in AWKWARD] + [(2**63 - 1, PASSAGE + " z"), (-(2**63), " ".join(PASSAGE.split()[5:30]))]
     found = substrings.remove_repeats(frame(spark, rows)).collect()
     got = {r["doc_id"]: (r["n_words"], sum(x["end"] - x["start"] for x in r["removed"]), hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in found}
@@ -144,7 +144,7 @@ def test_automaton_states_are_distributions(docs):
 
 def test_language_model_takes_batches_apart(spark, monkeypatch):
     """Counts of n-grams that are in one batch only, in several, or in held-out texts only."""
-    monkeypatch.setattr(language_model, "batch_count", lambda *_: 40)
+    monkeypatch.setattr(language_model, "batch_size", lambda *_: (600, 40))
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 30) % 50)) for i in range(200)]
     rows += [(i + 300, t) for i, t in rows[:20]] + [(None, "w1 w2"), (7, rows[7][1])]
