@@ -5,31 +5,53 @@ All are plain expressions, evaluated in the JVM. Null text gives null unless sai
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns and word lists that results depend on.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 CJK = r"[㐀-鿿぀-ヿ가-힯]"
 SENTENCE = r"(?s).+?(?:\n+|[。！？；]\s*|[.!?;](?:\s+|\z)|\z)"
 GATE_TOKEN = r"[A-Za-z0-9_./:-]+"
 TOPIC_TOKEN = r"[A-Za-z][A-Za-z0-9_.:/-]{2,}"
-STOPWORDS = (
-    "a an and are as at be by does for from how i in into is it its itself me of on or please say should show summarize tell that "
-    "their them the there these this those they to us using what when where which why with work"
-).split()
-GENERIC_TERMS = (
-    "about difference differences discussed explain handle help limitation limitations mention mentioned overview problem problems "
-    "risk risks said summary tell why"
-).split()
+WORD_TOKEN = r"[A-Za-z][A-Za-z0-9-]{2,}"
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "i", "in", "into", "is", "it",
+    "its", "itself", "me", "of", "on", "or", "please", "say", "should", "show", "summarize", "tell", "that", "their",
+    "them", "the", "there", "these", "this", "those", "they", "to", "us", "using", "what", "when", "where", "which",
+    "why", "with", "work",
+]
+GENERIC_TERMS = [
+    "about", "difference", "differences", "discussed", "explain", "handle", "help", "limitation", "limitations",
+    "mention", "mentioned", "overview", "problem", "problems", "risk", "risks", "said", "summary", "tell", "why",
+]
 PRONOUN = r"(?i)\b(it|its|this|that|they|them|their|these|those|he|she|his|her|itself)\b"
 FOLLOW_UP = (
     r"(?i)\b(what about|how about|why (?:this|that)|why so|how does that work|how does this work|where is that mentioned|"
     r"where is this mentioned|does the document mention|is there anything about)\b"
 )
 SUMMARY = r"(?i)\b(summarize|summary|recap|overview|tl;dr)\b|总结一下|总结|概括一下|概括|这个怎么说|为什么这样"
+QUERY_LABEL = r"(?i)^(rewritten query|rewrite|query|standalone query|search query)\s*:\s*"
+EXPLANATION = r"(?i)^(because|reason|explanation|this query|i rewrote|i would rewrite|here(?:'s| is) the rewritten query)"
+STRATEGIES = ["no_rewrite", "reference_resolution", "standalone_expansion", "keyword_enrichment"]
+UNKNOWN = {"en": "I don't have enough information", "zh": "我没有足够的信息"}
+STEP_MESSAGES = {
+    "cancelled": "Ingestion was cancelled.",
+    "fetch": "Ingestion failed while loading the source.",
+    "parse": "Ingestion failed while parsing the source.",
+    "chunk": "Ingestion failed while preparing chunks.",
+    "snapshot": "Ingestion failed during snapshot generation.",
+    "embed": "Ingestion failed while generating embeddings.",
+    "save": "Ingestion failed while saving processed chunks.",
+}
+QUOTA_WORDS = ["quota", "credit", "balance", "insufficient", "resource package", "余额不足", "无可用资源包", "1113"]
+SAFETY_WORDS = ["content policy", "policy", "violative", "violation", "违规", "safety", "content_filter", "sensitive"]
+UPSTREAM_WORDS = ["timeout", "timed out", "connection", "temporarily unavailable", "service unavailable", "gateway", "overloaded"]
 COMPARISON = r"(?i)\b(compare|comparison|difference|differences|versus|vs\.?)\b|区别|对比"
 EVIDENCE = r"(?i)\b(where|mention|mentioned|evidence|source|sources|quote|quoted)\b|哪里提到|有没有说|文档里有没有|文档中有没有"
 CODE_OR_ERROR = (
@@ -40,6 +62,11 @@ CODE_OR_ERROR = (
 
 def token_estimate(text: Column) -> Column:
     """Tokens without a tokenizer: ASCII / 4 and other / 2, rounded half to even, and one for each CJK character."""
+    return F.when(F.octet_length(text) == F.length(text), F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.bround(F.length(text) / 4).cast("int")))).otherwise(_mixed_estimate(text))
+
+
+def _mixed_estimate(text: Column) -> Column:
+    """The estimate of a text that isn't all ASCII (as many bytes as characters)."""
     n = F.length(text)
     cjk = n - F.length(F.regexp_replace(text, CJK, ""))
     ascii_ = n - F.length(F.regexp_replace(text, r"[\x00-\x7F]", ""))
@@ -52,13 +79,25 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """White space runs to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of Unicode white space to one space, ends trimmed."""
+    return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
 def normalise_lines(text: Column) -> Column:
     """Collapse white space inside every line; keep the line ends."""
-    return F.array_join(F.transform(F.split(text, "\n"), lambda line: F.trim(F.regexp_replace(line, r"\s+", " "))), "\n")
+    return F.array_join(F.transform(F.split(text, "\n"), collapse), "\n")
+
+
+@F.arrow_udf(StringType())
+def nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Compatibility composition (NFKC); null stays null. Arrow, as Spark has no such function."""
+    for batch in texts:
+        yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in batch.to_pylist()], pa.string())
+
+
+def normalise_text(text: Column) -> Column:
+    """NFKC, then white space collapsed line by line."""
+    return normalise_lines(nfkc(text))
 
 
 def sentences(text: Column) -> Column:
@@ -93,10 +132,11 @@ def meaningful_terms(query: Column) -> Column:
     return F.filter(gate_tokens(query), lambda t: ~F.array_contains(_words(STOPWORDS, GENERIC_TERMS), t) & (F.length(t) >= 3))
 
 
-def ordered_distinct(items: Column) -> Column:
-    """Items whose lower-case form hasn't come before."""
-    lowered = F.transform(items, F.lower)
-    return F.filter(items, lambda item, i: F.array_position(lowered, F.lower(item)) == i + 1)
+def ordered_distinct(items: Column, most: int | None = None) -> Column:
+    """Items, white space collapsed, whose lower-case form hasn't come before; blank ones are left out, at most ``most`` stay."""
+    clean = F.filter(F.transform(items, collapse), lambda x: x != "")
+    found = F.transform(F.array_distinct(F.transform(clean, F.lower)), lambda low: F.get(F.filter(clean, lambda x: F.lower(x) == low), F.lit(0)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def protected_terms(query: Column) -> Column:
@@ -136,17 +176,17 @@ def rewrite_strategy(query: Column, has_history: Column, short: int = 6) -> Colu
 
 
 def clean_query(raw: Column, most: int = 240) -> Column:
-    """First non-blank line without a label or quotes, cut at a word if it is too long."""
-    line = F.get(F.filter(F.transform(F.split(raw, "\n"), lambda s: F.trim(s)), lambda s: s != ""), F.lit(0))
-    bare = F.regexp_replace(line, r"(?i)^(rewritten query|rewrite|query|standalone query|search query)\s*:\s*", "")
-    bare = collapse(F.regexp_replace(bare, r"""^["'`\s]+|["'`\s]+$""", ""))
+    """First non-blank line without a label and the signs around it, cut at a word if it is too long."""
+    line = F.get(F.filter(F.transform(F.split(raw, r"\r\n|[\n\r\x0b\x0c]"), collapse), lambda s: s != ""), F.lit(0))
+    bare = collapse(F.regexp_replace(F.regexp_replace(line, QUERY_LABEL, ""), r"""^[ \-:*'"]+|[ \-:*'"]+$""", ""))
     cut = F.substring(bare, 1, most)
-    return F.when(F.length(bare) <= most, bare).when(F.contains(cut, F.lit(" ")), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
+    return F.coalesce(F.when(F.length(bare) <= most, bare).otherwise(F.trim(F.regexp_replace(cut, r" [^ ]*$", ""))), F.lit(""))
 
 
-def looks_like_query(text: Column) -> Column:
-    q = collapse(text)
-    return (q != "") & (F.size(F.split(q, " ")) <= 32) & ~q.rlike(r"[{}]") & q.rlike(r"[\p{L}\p{N}]")
+def looks_like_query(text: Column, most: int = 32) -> Column:
+    """At most ``most`` words, no object, no explanation, and a Latin letter or digit."""
+    q = F.coalesce(text, F.lit(""))
+    return ~q.startswith("{") & ~q.endswith("}") & ~q.rlike(EXPLANATION) & (F.size(F.split(collapse(q), " ")) <= most) & q.rlike("[A-Za-z0-9]")
 
 
 def language(text: Column) -> Column:
@@ -200,13 +240,23 @@ def content_hash(text: Column) -> Column:
 
 
 def stable_chunk_id(source: Column, index: Column, start: Column, end: Column, content: Column) -> Column:
-    """A name-based identifier (version 5) within the source's own, from position and content."""
-    space = F.unhex(F.lit(uuid.NAMESPACE_URL.hex))
-    parent = F.sha1(F.concat(space, F.encode(source.cast("string"), "UTF-8")))
+    """A name-based identifier (version 5) in the namespace of the source's UUID, from position and content.
+
+    Null where the source's id is no UUID.
+    """
+    space = F.unhex(F.when(source.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.replace(source, F.lit("-"), F.lit(""))))
     name = F.concat_ws(":", index.cast("string"), start.cast("string"), end.cast("string"), F.substring(F.sha1(content), 1, 12))
-    digest = F.sha1(F.concat(F.unhex(F.substring(_version5(parent), 1, 32)), F.encode(name, "UTF-8")))
-    h = _version5(digest)
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return _dashed(_version5(F.sha1(F.concat(space, F.encode(name, "UTF-8")))))
+
+
+def named_uuid(name: Column) -> Column:
+    """A UUID (version 5) for the id of a source that isn't one, in the namespace of URLs."""
+    space = F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8"))
+    return _dashed(_version5(F.sha1(F.concat(space, F.encode(name.cast("string"), "UTF-8")))))
+
+
+def _dashed(h: Column) -> Column:
+    return F.when(h.isNotNull(), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
 
 
 def _version5(digest: Column) -> Column:
@@ -222,16 +272,67 @@ def tail(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.lit("..."), F.right(text, F.lit(most))))
 
 
-def error_class(status: Column, message: Column) -> Column:
-    """quota, safety, temporary or internal, from a status code and a message."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when((status.isin(402, 429)) | m.rlike("quota|rate limit|insufficient|billing"), "quota")
-        .when(m.rlike("safety|content policy|content filter|moderation"), "safety")
-        .when((status >= 500) | status.isin(408, 409, 425) | m.rlike("timeout|timed out|temporar|unavailable|connection"), "temporary")
-        .otherwise("internal")
-    )
+def _any_of(text: Column, words: list[str]) -> Column:
+    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), True) for w in words], F.lit(False))
+
+
+def error_class(status: Column, message: Column, name: Column | None = None) -> Column:
+    """quota, safety, temporary or internal, from a status code, a message and an exception's name."""
+    m, kind = F.lower(F.coalesce(message, F.lit(""))), F.lower(F.coalesce(F.lit("") if name is None else name, F.lit("")))
+    limited = F.coalesce(status == 429, F.lit(False)) | F.contains(kind, F.lit("ratelimiterror")) | F.contains(m, F.lit("429"))
+    upstream = F.contains(kind, F.lit("apitimeouterror")) | F.contains(kind, F.lit("apiconnectionerror"))
+    passing = F.coalesce(status.isin(408, 409, 425, 429, 500, 502, 503, 504), F.lit(False)) & _any_of(m, UPSTREAM_WORDS)
+    return F.when(limited & _any_of(m, QUOTA_WORDS), "quota").when(_any_of(m, SAFETY_WORDS), "safety").when(upstream | passing, "temporary").otherwise("internal")
+
+
+def retryable(status: Column, name: Column | None = None) -> Column:
+    """Whether a call is worth repeating: some client errors, all server errors, connection errors by name."""
+    by_code = F.coalesce(status.isin(408, 409, 425, 429) | (status >= 500), F.lit(False))
+    if name is None:
+        return by_code
+    return by_code | F.coalesce(name.isin("APIConnectionError", "APITimeoutError", "InternalServerError", "RateLimitError"), F.lit(False))
+
+
+def safe_message(step: Column) -> Column:
+    """What a user may read about a failed step."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in STEP_MESSAGES.items() for x in pair]), step), F.lit("Ingestion failed."))
+
+
+def thread_language(text: Column, role: Column) -> Column:
+    """The language of a thread's user messages, as an aggregate: Han anywhere, else Latin anywhere."""
+    said = F.when((role == "user") & (F.trim(text) != ""), language(text))
+    return F.when(F.bool_or(said == "zh"), "zh").when(F.bool_or(said == "en"), "en").otherwise("same_as_user")
+
+
+def unknown_message(lang: Column) -> Column:
+    return F.when(lang == "zh", UNKNOWN["zh"]).otherwise(UNKNOWN["en"])
+
+
+def is_unknown(answer: Column) -> Column:
+    """Whether an answer says that there isn't enough information."""
+    return strip(answer).isin(*UNKNOWN.values())
+
+
+def page_label(number: Column) -> Column:
+    return number.cast("string")
+
+
+def clamp(value: Column, low: int, high: int, default: int) -> Column:
+    """A number from a text, held between two limits; the default where it is none."""
+    return F.least(F.greatest(F.coalesce(value.try_cast("int"), F.lit(default)), F.lit(low)), F.lit(high))
+
+
+def usage_payload(raw: Column) -> Column:
+    """struct(prompt_tokens, completion_tokens, total_tokens, cached_tokens) of a provider's JSON, nested or flat; null without figures."""
+    inner = F.coalesce(F.get_json_object(raw, "$.usage"), raw)
 
+    def number(path: str) -> Column:
+        value = F.get_json_object(inner, f"$.{path}")
+        return F.when(value.rlike(r"^\s*-?[0-9]+(\.[0-9]+)?\s*$"), F.trim(value).cast("double").cast("long"))
 
-def retryable(status: Column) -> Column:
-    return F.coalesce(status.isin(408, 409, 425, 429) | (status >= 500), F.lit(False))
+    into, out, total = (number(f"{k}_tokens") for k in ("prompt", "completion", "total"))
+    cached = F.coalesce(number("cached_tokens"), number("prompt_tokens_details.cached_tokens"), number("input_tokens_details.cached_tokens"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    both = F.coalesce(F.nullif(total, F.lit(0)), zero(into) + zero(out))
+    made = F.struct(zero(into).alias("prompt_tokens"), zero(out).alias("completion_tokens"), both.alias("total_tokens"), cached.alias("cached_tokens"))
+    return F.when(F.coalesce(into, out, total).isNotNull(), made)

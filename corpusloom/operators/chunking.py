@@ -2,48 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import sentences, token_estimate
 
 
+def packed(sizes: list[int], tokens: list[int], lead: int, length: int, high: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of each chunk of a text from its pieces' sizes and tokens (0: blank), by running sums and bisection."""
+    ends = list(accumulate(sizes, initial=lead))[1:]
+    full = [k for k, t in enumerate(tokens) if t]
+    t = [tokens[k] for k in full]
+    until = list(accumulate(t))  # tokens up to and with each piece
+    before = [0, *until[:-1]]
+    big = list(accumulate((k if x > overlap else -1 for k, x in enumerate(t)), max))  # the last piece too large to repeat
+    found, a = [], 0
+    while True:
+        b = max(a + 1, bisect_right(until, before[a] + high))
+        start = 0 if a == 0 and not found else ends[full[a]] - sizes[full[a]]
+        if b >= len(t):
+            return [*found, (start, length)]
+        found.append((start, ends[full[b - 1]]))
+        a = min(b, max(bisect_right(until, before[b] - overlap), bisect_left(before, before[b] + t[b] - high), big[b - 1] + 1))
+
+
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: int = 300, high: int = 800, overlap: int = 75) -> DataFrame:
     """(id, chunk_index, char_start, char_end, content, token_count) of every non-blank text.
 
     Sentences are packed until the next would pass ``high`` tokens. The next chunk then starts with the
     whole sentences before that one which fill the overlap (none of over ``overlap`` tokens), fewer if
     the next would not fit behind them. The first chunk starts at 0 and the last ends with the text.
-    ``low`` is only checked. Ids are unique. Sentences are sized as rows; a document's numbers are then
-    packed by one fold over running token sums, and the text is joined at the end.
+    ``low`` is only checked. Sentences are split and sized in the JVM; only their numbers go through
+    :func:`packed`, in Arrow batches. Each row is chunked where it lies: nothing is shuffled.
     """
     if not 0 < low < high or not 0 <= overlap < low:
         raise ValueError("need 0 <= overlap < low < high")
     size = 4 * high
-    text = F.col("text")
     windows = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / size).cast("int")), lambda k: F.substring(p, k * size + 1, F.lit(size)))
-    pieces = F.flatten(F.transform(sentences(text), lambda p: F.when(F.length(p) <= high, F.array(p)).when(token_estimate(p) <= high, F.array(p)).otherwise(windows(p))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(text.rlike(r"\S"))
-    each = rows.select("id", F.length("text").alias("n"), F.length(F.regexp_extract("text", r"^\s*", 0)).alias("lead"), F.posexplode(pieces).alias("k", "p"))
-    before = Window.partitionBy("id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
-    placed = each.select("id", "n", "k", (F.col("lead") + sum_before(F.length("p"))).alias("s"), F.length("p").alias("size"), token_estimate(F.col("p")).alias("t"), F.col("p").rlike(r"\S").alias("full")).where("full")
-    spans = placed.select("id", "n", F.struct("k", "s", (F.col("s") + F.col("size")).alias("e"), "t", sum_before(F.col("t")).alias("u")).alias("z"))
-    lists = spans.groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("z")).alias("z"))
-    back = f"""aggregate(reverse(sequence(greatest(0, i - {overlap}), i - 1)), named_struct('at', i, 'go', true),
-        (a, k) -> IF(a.go AND z[i].u - z[a.at].u < {overlap} AND z[k].t <= {overlap} AND z[i].u + z[i].t - z[k].u <= {high},
-            named_struct('at', k, 'go', true), named_struct('at', a.at, 'go', false)), a -> a.at)"""
-    fold = f"""aggregate(sequence(0, size(z) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<a: int, b: int>>)),
-        (s, i) -> IF(i > s.at AND z[i].u + z[i].t - z[s.at].u > {high}, named_struct('at', {back}, 'out', concat(s.out, array(named_struct('a', s.at, 'b', i)))), s),
-        s -> concat(s.out, array(named_struct('a', s.at, 'b', size(z)))))"""
-    packed = lists.select("id", "n", "z", F.expr(fold).alias("c"))
-    cuts = packed.select("id", "n", "z", F.size("c").alias("m"), F.posexplode("c").alias("chunk_index", "c"))
-    start = F.when(F.col("chunk_index") == 0, 0).otherwise(F.expr("z[c.a].s"))
-    end = F.when(F.col("chunk_index") == F.col("m") - 1, F.col("n")).otherwise(F.expr("z[c.b - 1].e"))
-    found = cuts.select("id", "chunk_index", start.alias("char_start"), end.alias("char_end")).join(rows, "id")
-    content = F.substring(text, F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    made = found.select("id", "chunk_index", "char_start", "char_end", content.alias("content"))
-    return made.withColumn("token_count", token_estimate(F.col("content")))
+    pieces = F.flatten(F.transform(sentences(F.col("text")), lambda p: F.when(F.length(p) <= high, F.array(p)).when(token_estimate(p) <= high, F.array(p)).otherwise(windows(p))))
+    sized = F.transform(pieces, lambda p: F.struct(F.length(p).alias("size"), F.when(p.rlike(r"\S"), token_estimate(p)).otherwise(0).alias("tokens")))
+
+    @F.arrow_udf("array<struct<char_start: int, char_end: int>>")
+    def pack(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("char_start", pa.int32()), ("char_end", pa.int32())]))
+        for columns in batches:
+            rows = (packed(*row, high, overlap) for row in zip(*(c.to_pylist() for c in columns), strict=True))
+            yield pa.array([[{"char_start": a, "char_end": b} for a, b in row] for row in rows], kind)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\S")).withColumn("z", sized)
+    # marked nondeterministic so that no filter on the exploded array is inferred with the function in it
+    cuts = rows.withColumn("cuts", pack.asNondeterministic()("z.size", "z.tokens", F.length(F.regexp_extract("text", r"^\s*", 0)), F.length("text")))
+    each = cuts.select("id", "text", F.posexplode("cuts").alias("chunk_index", "c")).select("id", "chunk_index", "c.*", "text")
+    content = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return each.select("id", "chunk_index", "char_start", "char_end", content.alias("content")).withColumn("token_count", token_estimate(F.col("content")))
 
 
 def with_pages(chunks: DataFrame, pages: DataFrame, source: str = "id") -> DataFrame:

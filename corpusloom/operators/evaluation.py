@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.tables import in_time_range
+
 # Words that hint at a contradiction.
 CONTRAST = ("however", "but", "although", "contrary", "opposite", "disagree")
 
@@ -57,10 +59,17 @@ def supports(answer: Column, content: Column) -> Column:
     return F.exists(F.slice(_words(answer), 1, 5), lambda w: (F.length(w) > 3) & F.contains(F.lower(content), w))
 
 
-def citation_support(cited: DataFrame) -> DataFrame:
-    """Support and wrong rates of (query_id, answer, content) rows; null content is a wrong citation."""
+def citation_support(cited: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """Support and wrong rates of (query_id, answer, content) rows; null content is a wrong citation.
+
+    With ``answers`` (query_id) those that cite nothing have the rates 1 and 0.
+    """
     good = F.coalesce(supports(F.col("answer"), F.col("content")), F.lit(False))
-    return cited.groupBy("query_id").agg(F.avg(good.cast("double")).alias("support_rate"), F.avg((~good).cast("double")).alias("wrong_rate"))
+    found = cited.groupBy("query_id").agg(F.avg(good.cast("double")).alias("support_rate"), F.avg((~good).cast("double")).alias("wrong_rate"))
+    if answers is None:
+        return found
+    every = answers.select("query_id").distinct().join(found.hint("merge"), "query_id", "left")
+    return every.select("query_id", F.coalesce("support_rate", F.lit(1.0)).alias("support_rate"), F.coalesce("wrong_rate", F.lit(0.0)).alias("wrong_rate"))
 
 
 def long_metrics(wide: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -73,6 +82,19 @@ def summary(metrics: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     return metrics.join(runs.select(key).distinct(), key, "left_semi").groupBy("metric_type").agg(F.avg("metric_value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def runs_with_metrics(runs: DataFrame, metrics: DataFrame, key: str, kinds: list[str] | None = None, time: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Runs of a time range, with ``metrics``: their (metric_type, metric_value) by type, empty if they have none.
+
+    With ``kinds`` only runs that have one of these metrics stay, with all their metrics. A run has few metrics.
+    """
+    chosen = runs if time is None else in_time_range(runs, time, start, end)
+    if kinds is not None:
+        chosen = chosen.join(metrics.where(F.col("metric_type").isin(kinds)).select(key), key, "left_semi")
+    rows = metrics.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("metric_type", "metric_value"))).alias("metrics"))
+    none = F.array().cast("array<struct<metric_type: string, metric_value: double>>")
+    return chosen.join(rows, key, "left").withColumn("metrics", F.coalesce("metrics", none))
+
+
 def run_score(metrics: DataFrame, key: str) -> DataFrame:
     """Mean of the quality metrics of a run, else its first metric, and a band."""
     quality = F.col("metric_type").rlike("faithfulness|groundedness|completeness|support")
@@ -87,11 +109,14 @@ def describe(metrics: DataFrame) -> DataFrame:
 
 
 def bootstrap(metrics: DataFrame, rounds: int = 1000, seed: int = 11) -> DataFrame:
-    """95 % interval of each metric's mean, from Poisson weights drawn by hash of key and round."""
+    """95 % interval of each metric's mean, from Poisson weights drawn by hash of key and round.
+
+    A round in which all weights are 0 counts with the plain mean.
+    """
     draws = metrics.select("metric_type", "metric_value", "key", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     u = F.pmod(F.xxhash64("key", "metric_type", "round", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     weight = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.996340, 4).otherwise(5)
-    means = draws.withColumn("w", weight).groupBy("metric_type", "round").agg((F.sum(F.col("w") * F.col("metric_value")) / F.sum("w")).alias("m"))
+    means = draws.withColumn("w", weight).groupBy("metric_type", "round").agg(F.coalesce(F.sum(F.col("w") * F.col("metric_value")) / F.nullif(F.sum("w"), F.lit(0)), F.avg("metric_value")).alias("m"))
     return means.groupBy("metric_type").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
@@ -115,6 +140,37 @@ def spearman(pairs: DataFrame, by: str) -> DataFrame:
     return pairs.select(by, ranks("a").alias("ra"), ranks("b").alias("rb")).groupBy(by).agg(F.corr("ra", "rb").alias("spearman"))
 
 
+def kolmogorov_smirnov(pairs: DataFrame, by: str) -> DataFrame:
+    """The largest gap between the distribution functions of a and b in each group."""
+    rows = pairs.select(by, F.inline(F.array(F.struct(F.col("a").alias("v"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")), F.struct(F.col("b").alias("v"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))))).where("v IS NOT NULL")
+    steps = rows.groupBy(by, "v").agg(F.sum("in_a").alias("na"), F.sum("in_b").alias("nb"))
+    sums, whole = Window.partitionBy(by).orderBy("v"), Window.partitionBy(by)
+    share = lambda c: F.sum(c).over(sums) / F.sum(c).over(whole)
+    return steps.select(by, F.abs(share("na") - share("nb")).alias("gap")).groupBy(by).agg(F.max("gap").alias("ks"))
+
+
+def ab_test(metrics: DataFrame, variant: str, first: str, second: str, z: float = 1.96) -> DataFrame:
+    """Each metric's means under two variants, their difference, its interval, and whether that leaves 0 out."""
+    v = F.col("metric_value")
+
+    def side(name: str, tag: str) -> list[Column]:
+        mine = F.when(F.col(variant) == name, v)
+        return [F.avg(mine).alias(f"mean_{tag}"), (F.var_samp(mine) / F.count(mine)).alias(f"error_{tag}"), F.count(mine).alias(f"n_{tag}")]
+
+    both = metrics.groupBy("metric_type").agg(*side(first, "a"), *side(second, "b"))
+    change, width = F.col("mean_b") - F.col("mean_a"), z * F.sqrt(F.col("error_a") + F.col("error_b"))
+    return both.select("metric_type", "mean_a", "mean_b", "n_a", "n_b", change.alias("change"), (change - width).alias("low"), (change + width).alias("high"), (F.abs(change) > width).alias("significant"))
+
+
+def regressions(metrics: DataFrame, order: str, z: float = 1.96) -> DataFrame:
+    """Run groups whose mean of a metric lies below the one before by more than the interval of both."""
+    v = F.col("metric_value")
+    means = metrics.groupBy(order, "metric_type").agg(F.avg(v).alias("mean"), F.coalesce(F.var_samp(v) / F.count(v), F.lit(0.0)).alias("error"))
+    w = Window.partitionBy("metric_type").orderBy(order)
+    both = means.withColumns({"before": F.lag("mean").over(w), "before_error": F.lag("error").over(w)})
+    return both.where(F.col("mean") < F.col("before") - z * F.sqrt(F.col("error") + F.col("before_error"))).select(order, "metric_type", "mean", "before")
+
+
 def compare_runs(metrics: DataFrame, order: str, digits: int = 6) -> DataFrame:
     """Each metric's mean by run group, rounded, and its change from the one before."""
     means = metrics.groupBy(order, "metric_type").agg(F.round(F.avg("metric_value"), digits).alias("mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import citation_indices, quote
+from corpusloom.functions.text import citation_indices, is_unknown, language, quote, unknown_message
 
 
 def evidence(ranked: DataFrame, passages: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def align(answers: DataFrame, found: DataFrame, listed: Column | None = None) ->
     every = marks if listed is None else F.array_union(listed, marks)
     cited = answers.select("query_id", F.posexplode(every).alias("place", "citation_index"))
     known = found.select("query_id", "citation_index", "id")
-    return cited.join(known, ["query_id", "citation_index"], "left").withColumn("missing", F.col("id").isNull())
+    return cited.hint("merge").join(known, ["query_id", "citation_index"], "left").withColumn("missing", F.col("id").isNull())
 
 
 def validate_ids(cited: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
@@ -51,11 +51,29 @@ def keep_valid(citations: DataFrame, known: DataFrame, key: str = "id") -> DataF
     return citations.join(known.select(key), key, "left_semi")
 
 
-def finalise(answers: DataFrame, counts: DataFrame, fallback: Column) -> DataFrame:
-    """Answers without evidence or text become the fallback."""
+def removed_counts(citations: DataFrame, known: DataFrame, by: str = "query_id", key: str = "id") -> DataFrame:
+    """(by, kept, removed): how many citations of each answer point to chunks that exist, and how many don't."""
+    marked = citations.join(known.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
+    return marked.groupBy(by).agg(F.count("_known").alias("kept"), F.count_if(F.col("_known").isNull()).alias("removed"))
+
+
+def finalise(answers: DataFrame, counts: DataFrame, question: str = "question") -> DataFrame:
+    """Answers without evidence or text say so in the question's language; ``cited`` is whether citations stay."""
     joined = answers.join(counts.select("query_id", "chunk_count"), "query_id", "left")
     bare = (F.coalesce("chunk_count", F.lit(0)) == 0) | (F.trim(F.coalesce("answer", F.lit(""))) == "")
-    return joined.withColumn("answer", F.when(bare, fallback).otherwise(F.col("answer"))).withColumn("grounded", ~bare)
+    made = joined.withColumn("answer", F.when(bare, unknown_message(language(F.coalesce(question, F.lit(""))))).otherwise(F.col("answer")))
+    return made.withColumn("cited", ~bare & ~is_unknown(F.col("answer")))
+
+
+def citation_rows(answers: DataFrame, found: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, id, citation_index, quote, score, page, source_title) of what each answer cites, in order of the index.
+
+    ``found`` is numbered evidence (with ``page`` if it has pages); ``titles`` has (id, source_title).
+    """
+    aligned = align(answers, found).where(~F.col("missing")).select("query_id", "citation_index")
+    page = F.col("page").cast("string") if "page" in found.columns else F.lit(None).cast("string")
+    packed = found.select("query_id", "citation_index", "id", "quote", "score", page.alias("page")).join(titles.select("id", "source_title"), "id")
+    return aligned.hint("merge").join(packed, ["query_id", "citation_index"]).select("query_id", "id", "citation_index", "quote", "score", "page", "source_title").orderBy("query_id", "citation_index")
 
 
 def by_source(found: DataFrame, source: str = "scope") -> DataFrame:

@@ -27,48 +27,82 @@ def history_context(messages: DataFrame, by: str, order: str, most: int = 1200,
     return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("history"))
 
 
-def parse_rewrite(raw: Column) -> Column:
-    """struct(query, searches) of a model's answer: a JSON object, fenced or bare, or a line that looks like a query."""
-    fenced = F.coalesce(F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit("")), F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit("")))
-    query = F.coalesce(*[F.nullif(F.trim(F.get_json_object(fenced, f"$.{k}")), F.lit("")) for k in ("standalone_query", "rewritten_query", "query")])
-    listed = F.from_json(F.get_json_object(fenced, "$.search_queries"), "array<string>")
-    plain = F.when(fenced.isNull() & tx.looks_like_query(raw), tx.clean_query(raw))
-    best = F.coalesce(tx.clean_query(query), plain)
-    return F.struct(best.alias("query"), search_queries(listed, best).alias("searches"))
+def parse_rewrite(raw: Column, fallback: Column | None = None) -> Column:
+    """struct(query, searches, strategy) of a model's answer; the query is null where it can't be used.
+
+    A JSON object counts, fenced or bare, under the usual names; a text that is none counts if it looks like a
+    query. A strategy that isn't known becomes ``fallback``.
+    """
+    whole = F.trim(raw)
+    fenced = F.trim(F.regexp_extract(whole, r"(?is)```(?:json)?\s*\n?(.*?)\n?```", 1))
+    object_ = lambda c: F.when(c.startswith("{") & c.endswith("}") & F.get_json_object(c, "$").isNotNull(), c)
+    found = F.coalesce(object_(whole), object_(fenced))
+    named = F.coalesce(*[F.nullif(F.get_json_object(found, f"$.{k}"), F.lit("")) for k in ("standalone_query", "query", "rewritten_query")])
+    query = tx.clean_query(F.when(found.isNotNull(), F.coalesce(named, F.lit(""))).otherwise(whole))
+    best = F.when(tx.looks_like_query(query), query)
+    listed = F.from_json(F.get_json_object(found, "$.search_queries"), "array<string>")
+    said = F.lower(F.trim(F.get_json_object(found, "$.strategy")))
+    strategy = F.when(said.isin(tx.STRATEGIES), said).otherwise(F.lit(None).cast("string") if fallback is None else fallback)
+    return F.struct(best.alias("query"), search_queries(listed, best).alias("searches"), strategy.alias("strategy"))
 
 
 def search_queries(listed: Column, standalone: Column, most: int = 3) -> Column:
     """Cleaned queries, each once, the standalone one if there are none."""
     clean = F.filter(F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda q: tx.clean_query(q)), lambda q: tx.looks_like_query(q))
-    return F.slice(tx.ordered_distinct(F.when(F.size(clean) > 0, clean).otherwise(F.array(standalone))), 1, most)
+    return tx.ordered_distinct(F.when(F.size(clean) > 0, clean).otherwise(F.array(standalone)), most)
 
 
 def apply_rewrites(requests: DataFrame, outputs: DataFrame) -> DataFrame:
     """Requests (request_id, query, has_history) with their strategy, final query and searches.
 
     A model's output (request_id, raw) counts only where the gate asks for a rewrite, it can be parsed,
-    and it keeps the protected terms.
+    and it keeps the protected terms. ``rewritten`` is whether the query that is used is another one.
     """
     strategy = tx.rewrite_strategy(F.col("query"), F.col("has_history"))
-    joined = requests.withColumn("strategy", strategy).join(outputs.select("request_id", parse_rewrite(F.col("raw")).alias("r")), "request_id", "left")
-    good = (F.col("strategy") != "no_rewrite") & F.col("r.query").isNotNull() & tx.keeps_terms(F.col("r.query"), tx.protected_terms(F.col("query")))
-    good = F.coalesce(good, F.lit(False))
-    return joined.select(*requests.columns, "strategy", F.when(good, F.col("r.query")).otherwise(tx.collapse(F.col("query"))).alias("final_query"),
-                         F.when(good, F.col("r.searches")).otherwise(F.array(tx.collapse(F.col("query")))).alias("searches"), good.alias("rewritten"))
+    parsed = outputs.select("request_id", parse_rewrite(F.col("raw")).alias("r"))
+    joined = requests.withColumn("strategy", strategy).join(parsed, "request_id", "left")
+    plain = tx.collapse(F.col("query"))
+    good = F.coalesce((F.col("strategy") != "no_rewrite") & F.col("r.query").isNotNull() & tx.keeps_terms(F.col("r.query"), tx.protected_terms(F.col("query"))), F.lit(False))
+    final = F.when(good, F.col("r.query")).otherwise(plain)
+    return joined.select(*requests.columns, F.when(good, F.coalesce("r.strategy", "strategy")).otherwise(F.col("strategy")).alias("strategy"), final.alias("final_query"),
+                         F.when(good, F.col("r.searches")).otherwise(F.array(plain)).alias("searches"), (F.lower(final) != F.lower(plain)).alias("rewritten"))
+
 
+def prepare_answers(requests: DataFrame, passages: DataFrame, k: int = 5, index: retrieval.Index | None = None) -> DataFrame:
+    """Evidence of each request: its searches retrieved, merged, numbered (query_id is the request).
 
-def prepare_answers(requests: DataFrame, passages: DataFrame, k: int = 5) -> DataFrame:
-    """Evidence of each request: its searches retrieved, merged, numbered (query_id is the request)."""
+    Passages (scope, id, text) with an ``embedding`` are searched by hybrid search, where the requests' searches
+    are embedded likewise; others by BM25.
+    """
     each = requests.select("request_id", "scope", F.posexplode("searches").alias("n", "query")).withColumn("query_id", F.concat_ws("#", "request_id", "n"))
-    found = retrieval.bm25_search(each.select("query_id", "scope", "query"), passages, 2 * k)
-    merged = retrieval.merge_queries(found.join(each.select("query_id", "request_id"), "query_id"), k)
-    return grounding.evidence(merged.withColumnRenamed("request_id", "query_id"), passages)
+    asked = each.select("query_id", "scope", "query")
+    if "embedding" in passages.columns:
+        found = retrieval.hybrid_search(retrieval.embed(asked, "query"), passages, 2 * k, index=index)
+    else:
+        found = retrieval.bm25_search(asked, passages, 2 * k, index=index)
+    merged = retrieval.merge_queries(found.join(each.select("query_id", "request_id").hint("merge"), "query_id"), k)
+    return grounding.evidence(merged.select(F.col("request_id").alias("query_id"), "rank", "id", "score"), passages)
+
+
+def evaluation_run(queries: DataFrame, passages: DataFrame, truth: DataFrame, k: int = 10, index: retrieval.Index | None = None) -> DataFrame:
+    """(query_id, metric_type, metric_value) of a retrieval run: hybrid search where there are embeddings, else BM25."""
+    if "embedding" in queries.columns and "embedding" in passages.columns:
+        ranked = retrieval.hybrid_search(queries, passages, k, index=index)
+    else:
+        ranked = retrieval.bm25_search(queries, passages, k, index=index)
+    wide = evaluation.retrieval_metrics(ranked, truth, k).withColumn("hit", F.col("hit").cast("double"))
+    return evaluation.long_metrics(wide, "query_id", ["recall", "precision", "hit", "ndcg", "reciprocal_rank"])
 
 
-def evaluation_run(queries: DataFrame, passages: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, metric_type, metric_value) of a retrieval run, ready to replace the run's rows."""
-    wide = evaluation.retrieval_metrics(retrieval.bm25_search(queries, passages, k), truth, k).withColumn("hit", F.col("hit").cast("double"))
-    return evaluation.long_metrics(wide, "query_id", ["recall", "precision", "hit", "ndcg", "reciprocal_rank"])
+def record_run(runs: DataFrame, metrics: DataFrame, made: DataFrame, key: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """Runs with their status, and the metric table with the rows of these runs replaced by ``made``.
+
+    A run without any new row has failed and says so; its old rows go too.
+    """
+    have = made.select(key).distinct().withColumn("_made", F.lit(True))
+    done = F.coalesce("_made", F.lit(False))
+    marked = runs.drop("status", "error_message").join(have, key, "left").withColumns({"status": F.when(done, "completed").otherwise("failed"), "error_message": F.when(~done, "no truth to evaluate against")}).drop("_made")
+    return marked, metrics.join(runs.select(key).distinct(), key, "left_anti").unionByName(made)
 
 
 def verdict_rates(verdicts: DataFrame, by: str, verdict: str) -> DataFrame:
@@ -84,11 +118,28 @@ def rerank(ranked: DataFrame, scores: DataFrame, k: int = 10) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, by: str, order: str, tokens: str, budget: int) -> DataFrame:
-    """Rows in order while they fit; one that doesn't is passed over, later ones may still fit."""
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("int").alias("t")))).alias("z"))
-    fold = f"aggregate(z, named_struct('sum', 0, 'kept', slice(transform(z, x -> x.o), 1, 0)), (a, x) -> IF(a.sum + x.t <= {budget}, named_struct('sum', a.sum + x.t, 'kept', concat(a.kept, array(x.o))), a), a -> a.kept)"
-    kept = lists.select(by, F.explode(F.expr(fold)).alias(order))
-    return rows.join(kept, [by, order], "left_semi")
+    """Rows in order while they fit; one that doesn't is passed over, later ones may still fit.
+
+    Rows larger than the whole budget are left out first. The others are sorted inside the partitions of their
+    groups and streamed: a task holds one running sum, never a group.
+    """
+    names, kinds = [by, order, tokens], dict(rows.dtypes)
+    fits = rows.where(F.col(tokens) <= budget)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, None
+        for batch in batches:
+            keep = []
+            for group, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if used is None or group != now:
+                    now, used = group, 0
+                keep.append(used + size <= budget)
+                used += size if keep[-1] else 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = fits.select(*names).repartition(by).sortWithinPartitions(by, order)
+    kept = ordered.mapInArrow(take, ", ".join(f"`{c}` {kinds[c]}" for c in names)).select(by, order)
+    return fits.hint("merge").join(kept, [by, order], "left_semi")
 
 
 def priority(index: Column, count: Column) -> Column:

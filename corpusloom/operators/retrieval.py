@@ -7,8 +7,9 @@ and returns (query_id, id, score, rank), ties broken by id. Text stays out of jo
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import bind, lexical_tokens
@@ -20,38 +21,105 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_index(passages: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings (scope, term, id, tf, length), terms (scope, term, idf) and scopes (scope, n, mean_length)."""
-    words = passages.select("scope", "id", lexical_tokens(F.col(text)).alias("words"))
-    sizes = words.select("scope", "id", F.size("words").alias("length"))
-    scopes = sizes.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    postings = words.select("scope", "id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("scope", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    seen = postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = seen.join(scopes, "scope").select("scope", "term", "df", idf.alias("idf"))
-    return postings, terms, scopes
+def bm25_index(passages: DataFrame, text: str = "text") -> Index:
+    """Postings, terms, scopes and members of ``passages`` (scope, id, text)."""
+    words = passages.select("scope", "id", lexical_tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
+    members = words.select("scope", "id", "length")
+    return Index(_postings(words), members)
+
+
+def _postings(words: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(scope, term, id, tf, length); only ``wanted`` (scope, term) pairs if given, met before anything is counted."""
+    each = words.select("scope", "id", "length", F.explode("words").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.hint("shuffle_hash"), ["scope", "term"], "left_semi")
+    return each.groupBy("scope", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+@dataclass
+class Index:
+    """A BM25 index: postings (scope, term, id, tf, length) and members (scope, id, length)."""
+
+    postings: DataFrame
+    members: DataFrame
+
+    def scopes(self) -> DataFrame:
+        """(scope, n, mean_length)"""
+        return self.members.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+
+    def terms(self) -> DataFrame:
+        """(scope, term, df, idf)"""
+        seen = self.postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        return seen.join(self.scopes().hint("merge"), "scope").select("scope", "term", "df", idf.alias("idf"))
+
+
+#: Files by hash of the scope that a stored index is cut into; a search reads only those of its scopes.
+BUCKETS = 64
+
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("scope"), F.lit(BUCKETS)).cast("int")
 
-def bm25_search(queries: DataFrame, passages: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, least: float = 0.0, pad_zero: bool = True, query: str = "query") -> DataFrame:
-    """BM25 over distinct query terms. With ``pad_zero``, passages without any term fill the list up to k.
 
-    Scores are rounded to nine places, so that equal passages tie in whatever order their terms are added.
-    Padding takes at most k passages of a scope, those with the smallest ids that aren't matched, so it
-    never crosses queries with all passages.
+def store_index(passages: DataFrame, path: str, text: str = "text") -> None:
+    """Build the index of ``passages`` and write it, postings sorted by scope and term inside each bucket."""
+    index = bm25_index(passages, text)
+    for part, order in (("postings", ["scope", "term"]), ("members", ["scope", "id"])):
+        rows = getattr(index, part).withColumn("bucket", _bucket())
+        rows.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{part}")
+
+
+def load_index(spark: SparkSession, path: str, scopes: DataFrame | None = None) -> Index:
+    """A stored index, whole or only the buckets of ``scopes``; the driver sees at most ``BUCKETS`` numbers."""
+    parts = [spark.read.parquet(f"{path}/{part}") for part in ("postings", "members")]
+    if scopes is not None:
+        found = [r[0] for r in scopes.select(_bucket()).distinct().collect()]
+        parts = [p.where(F.col("bucket").isin(found)) for p in parts]
+    return Index(*[p.drop("bucket") for p in parts])
+
+
+def refresh_index(passages: DataFrame, path: str, changed: DataFrame, text: str = "text") -> None:
+    """Rebuild the buckets of ``changed`` (scope) from ``passages``; the others' files stay.
+
+    A scope that has no passages any more leaves the index with that; a bucket left with none at all is written empty.
+    """
+    spark = passages.sparkSession
+    found = [r[0] for r in changed.select(_bucket()).distinct().collect()]
+    store_index(passages.where(_bucket().isin(found)), path, text)
+    for part in ("postings", "members"):
+        have = {r[0] for r in spark.read.parquet(f"{path}/{part}").where(F.col("bucket").isin(found)).join(passages.select("scope").distinct(), "scope", "left_semi").select("bucket").distinct().collect()}
+        for bucket in set(found) - have:
+            spark.read.parquet(f"{path}/{part}").drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/{part}/bucket={bucket}")
+
+
+def bm25_search(queries: DataFrame, passages: DataFrame | None = None, k: int = 10, k1: float = 1.5, b: float = 0.75, least: float = 0.0, pad_zero: bool = True, query: str = "query", index: Index | None = None) -> DataFrame:
+    """BM25 over distinct query terms, in ``index`` or else in ``passages``.
+
+    Without an index, tokens meet the asked (scope, term) pairs before they are counted. Scores are rounded to
+    nine places, so that equal passages tie in whatever order their terms are added. With ``pad_zero``, passages
+    without any term fill the list up to k: at most k of a scope, those with the smallest ids that aren't matched,
+    so padding never crosses queries with all passages.
     """
     wanted = queries.select("query_id", "scope", F.explode(F.array_distinct(lexical_tokens(F.col(query)))).alias("term"))
-    postings, terms, scopes = bm25_index(passages)
-    # only terms that some query has go on: a semi join before anything is scored
-    hits = wanted.join(postings, ["scope", "term"]).join(terms.select("scope", "term", "idf"), ["scope", "term"]).join(scopes, "scope")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = hits.withColumn("w", weight).groupBy("query_id", "scope", "id").agg(F.round(F.sum("w"), 9).alias("score")).where(F.col("score") >= least)
+    pairs = wanted.select("scope", "term").distinct()
+    if index is None:
+        words = passages.select("scope", "id", lexical_tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
+        index = Index(_postings(words, pairs), words.select("scope", "id", "length"))
+    postings = index.postings.join(pairs.hint("shuffle_hash"), ["scope", "term"], "left_semi")
+    seen = Window.partitionBy("scope", "term")
+    met = postings.withColumn("df", F.count(F.lit(1)).over(seen)).join(index.scopes().hint("shuffle_hash"), "scope")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    hits = wanted.hint("merge").join(met.select("scope", "term", "id", weight.alias("w")), ["scope", "term"])
+    scored = hits.groupBy("query_id", "scope", "id").agg(F.round(F.sum("w"), 9).alias("score")).where(F.col("score") >= least)
     if pad_zero and least <= 0:
         asked = wanted.select("query_id", "scope").distinct()
         matched = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
-        first = passages.select("scope", "id").withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy("id")))
+        first = index.members.select("scope", "id").withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy("id")))
         # k + matches are enough: of those at most the matches themselves drop out
-        short = asked.join(matched, "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < k)
-        pads = short.join(first.where(F.col("place") <= 2 * k), "scope").join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        short = asked.join(matched.hint("merge"), "query_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < k)
+        pads = short.hint("merge").join(first.where(F.col("place") <= 2 * k), "scope").hint("merge").join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
         scored = scored.select("query_id", "id", "score").unionByName(pads.select("query_id", "id", F.lit(0.0).alias("score")))
     return top_k(scored.select("query_id", "id", "score"), k)
 
@@ -154,13 +222,24 @@ def fuse(lists: list[DataFrame], k: int | None = None, constant: int = 60) -> Da
     return top_k(fused, k) if k else fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
 
 
-def hybrid_search(queries: DataFrame, passages: DataFrame, k: int = 10, depth: int | None = None, constant: int = 60) -> DataFrame:
-    """Cosine (list 0) and BM25 (list 1), each with twice k candidates, fused."""
+def hybrid_search(queries: DataFrame, passages: DataFrame, k: int = 10, depth: int | None = None, constant: int = 60, index: Index | None = None) -> DataFrame:
+    """Cosine (list 0) and BM25 (list 1), each with twice k candidates, fused. ``passages`` has scope, id,
+    embedding and, unless there is an ``index``, the text."""
     depth = depth or 2 * k
-    return fuse([cosine_search(queries, passages, depth), bm25_search(queries, passages, depth)], k, constant)
+    return fuse([cosine_search(queries, passages, depth), bm25_search(queries, passages, depth, index=index)], k, constant)
 
 
 def merge_queries(found: DataFrame, k: int = 10) -> DataFrame:
-    """Results (request_id, query_id, id, score) of a request's rewritten queries as one list."""
-    merged = found.groupBy("request_id", "id").agg(F.round(F.sum("score"), 9).alias("score"), F.count(F.lit(1)).alias("lists"))
+    """Results (request_id, query_id, id, score, rank) of a request's rewritten queries as one list.
+
+    Scores are summed; ``best_score`` and ``best_rank`` keep the best of the lists.
+    """
+    best = [F.max("score").alias("best_score"), F.min("rank").alias("best_rank")]
+    merged = found.groupBy("request_id", "id").agg(F.round(F.sum("score"), 9).alias("score"), F.count(F.lit(1)).alias("lists"), *best)
     return top_k(merged, k, by="request_id")
+
+
+def embedding_coverage(chunks: DataFrame, by: str | None = None, embedding: str = "embedding") -> DataFrame:
+    """(total, embedded, coverage_percent) of chunks, for each ``by`` or for all; 0 % of none."""
+    found = chunks.groupBy(*([by] if by else [])).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce(has_vector(F.col(embedding)), F.lit(False))).alias("embedded"))
+    return found.withColumn("coverage_percent", F.when(F.col("total") > 0, F.col("embedded") / F.col("total") * 100).otherwise(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse, token_estimate
+from corpusloom.functions.text import GENERIC_TERMS, STOPWORDS, TOPIC_TOKEN, WORD_TOKEN, collapse, token_estimate
 
 
 def effective_status(ingestion: Column, source: Column) -> Column:
@@ -87,6 +87,48 @@ def live(rows: DataFrame) -> DataFrame:
     return rows.where("deleted_at IS NULL")
 
 
+def live_jobs(jobs: DataFrame, sources: DataFrame, notebooks: DataFrame) -> DataFrame:
+    """Jobs (job_id, source_id) with their source (source_id, notebook_id), of notebooks that aren't deleted."""
+    here = live(notebooks).select("notebook_id")
+    return jobs.join(sources, "source_id").join(here, "notebook_id", "left_semi")
+
+
+def live_sources(asked: DataFrame, sources: DataFrame, notebooks: DataFrame, owner: Column | None = None) -> DataFrame:
+    """Each asked source_id with ``found``: whether it exists in a notebook that isn't deleted, of ``owner`` if given."""
+    here = live(notebooks if owner is None else notebooks.where(F.col("owner") == owner)).select("notebook_id")
+    known = sources.join(here, "notebook_id", "left_semi").select("source_id").distinct().withColumn("found", F.lit(True))
+    return asked.select("source_id").distinct().join(known, "source_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def reset_ingestion(sources: DataFrame, jobs: DataFrame, chunks: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sources pending again without an error, and jobs and chunks without those of the ``chosen`` source_id."""
+    picked = chosen.select("source_id").distinct().withColumn("_again", F.lit(True))
+    again = F.coalesce("_again", F.lit(False))
+    fresh = sources.join(picked, "source_id", "left").withColumns({"status": F.when(again, "pending").otherwise(F.col("status")), "error_message": F.when(again, None).otherwise(F.col("error_message"))}).drop("_again")
+    return fresh, *[t.join(picked, "source_id", "left_anti") for t in (jobs, chunks)]
+
+
+def newest_first(rows: DataFrame, time: str, tie: str) -> DataFrame:
+    return rows.orderBy(F.col(time).desc_nulls_last(), tie)
+
+
+def total_pages(rows: DataFrame, size: int) -> DataFrame:
+    """(total, pages) of a listing."""
+    return rows.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+
+
+def in_time_range(rows: DataFrame, time: str, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows from ``start`` to ``end``, both included; an end that isn't given is open."""
+    for limit, keep in ((start, lambda v: F.col(time) >= v), (end, lambda v: F.col(time) <= v)):
+        rows = rows if limit is None else rows.where(keep(limit))
+    return rows
+
+
+def pending(jobs: DataFrame, by: str, status: str = "status") -> DataFrame:
+    """Whether a group still has jobs that aren't resolved, and how many jobs it has."""
+    return jobs.groupBy(by).agg(F.bool_or(~resolved(F.col(status))).alias("has_pending"), F.count(F.lit(1)).alias("n"))
+
+
 def cost(tokens: Column, rate: Column) -> Column:
     """Tokens by the thousand times a rate; null without a rate."""
     return tokens / 1000 * rate
@@ -112,15 +154,22 @@ def merge_usage(rows: DataFrame, by: str) -> DataFrame:
 
 
 def history_topics(messages: DataFrame, by: str, order: str, text: str = "text", most: int = 6) -> DataFrame:
-    """A conversation's topics: identifiers in order, then frequent word pairs, then frequent words."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9-]{2,}"), F.lit(0)), lambda w: F.length(w) > 3)
-    names = F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z][A-Za-z0-9]*[_./:][A-Za-z0-9_./:-]*[A-Za-z0-9]"), F.lit(0))
-    tag = lambda items, kind: F.transform(items, lambda t: F.struct(t.alias("topic"), F.lit(kind).alias("kind")))
+    """A conversation's topics: identifiers in order, then word pairs and then words, the frequent first.
+
+    An identifier has a capital, a digit or one of _ - . / : in it. Stop words don't count; a topic comes once,
+    whatever its case; of equal counts the one seen first is first.
+    """
+    plain = lambda t: ~F.array_contains(F.array(*[F.lit(w) for w in [*STOPWORDS, *GENERIC_TERMS]]), F.lower(t))
+    flat = collapse(F.col(text))
+    names = F.filter(F.regexp_extract_all(flat, F.lit(TOPIC_TOKEN), F.lit(0)), lambda t: plain(t) & t.rlike(r"[A-Z0-9_\-./:]"))
+    words = F.transform(F.filter(F.regexp_extract_all(flat, F.lit(WORD_TOKEN), F.lit(0)), plain), F.lower)
+    tag = lambda items, kind: F.transform(items, lambda t: F.struct(t.alias("label"), F.lit(kind).alias("kind")))
     every = F.concat(tag(names, 0), tag(bigrams(words), 1), tag(words, 2))
     each = messages.select(by, order, F.posexplode(every).alias("pos", "t")).select(by, order, "pos", "t.*")
-    counted = each.groupBy(by, "topic").agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("first")).where("kind = 0 OR n > 1")
+    found = each.groupBy(by, F.lower("label").alias("topic"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos", "label")).alias("first"))
+    once = found.withColumn("turn", F.row_number().over(Window.partitionBy(by, "topic").orderBy("kind"))).where("turn = 1")
     rank = F.row_number().over(Window.partitionBy(by).orderBy("kind", F.when(F.col("kind") > 0, -F.col("n")).otherwise(0), "first"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= most).select(by, "rank", "topic", "kind", "n")
+    return once.withColumn("rank", rank).where(F.col("rank") <= most).select(by, "rank", F.col("first.label").alias("topic"), "kind", "n")
 
 
 def share_of_total(rows: DataFrame, by: str, stage: str, value: str) -> DataFrame:

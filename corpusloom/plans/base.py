@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt out by id where the file has fewer splits than the cluster has cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` on all cores. A table of many splits, as any large one, is left where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """The path of something derived from a table folder, built at its first use in an application.
+
+    It lies in the shared checkpoint folder, or in the warehouse where none is set.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{folder}/{name}-{key[0]}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+        build(path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def register(queries: dict[str, Query], oracle: dict[str, str], sql: str | None = None) -> Callable[[Query], Query]:
     """A decorator that enters a query, with its SQL if there is one, under the function's name."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import profiles, tables
 from corpusloom.operators.chunking import chunk
-from corpusloom.plans.base import Query, register, table
+from corpusloom.plans.base import Query, documents, register, table
 from corpusloom.plans.tables import TOKENS
 from corpusloom.sources import web
 
@@ -24,8 +24,8 @@ def word_list(words: list[str]) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-_HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'),
- '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_HTML = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'),
+ '<style[^>]*>.*?</style>', '', 'gis'), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
 
 
 @entered(f"SELECT page_id, md5({_HTML}) AS text_md5, length({_HTML}) AS n FROM pages")
@@ -41,17 +41,17 @@ def html_title(spark, sf) -> DataFrame:
 
 @entered(r"""SELECT doc_id, coalesce(array_to_string([l for l in [trim(x) for x in string_split(text, chr(10))] if length(l) > 0 AND length(l) < 100 AND NOT regexp_matches(l, '[.,;:]$') AND len(regexp_split_to_array(l, '\s+')) <= 10][1:10], '|'), '') AS headings FROM documents""")
 def heading_lines(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.array_join(web.heading_lines(F.col("text")), "|").alias("headings"))
+    return documents(spark, sf).select("doc_id", F.array_join(web.heading_lines(F.col("text")), "|").alias("headings"))
 
 
 @entered(r"SELECT doc_id, [l for l in [trim(x) for x in string_split(text, chr(10))] if l <> '' AND length(l) < 200][1] AS title FROM documents")
 def text_title(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", web.text_title(F.col("text")).alias("title"))
+    return documents(spark, sf).select("doc_id", web.text_title(F.col("text")).alias("title"))
 
 
 @entered(r"SELECT doc_id, sha256(array_to_string([trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split(text, chr(10))], chr(10))) AS hash FROM documents")
 def normalised_text(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.content_hash(tx.normalise_lines(F.col("text"))).alias("hash"))
+    return documents(spark, sf).select("doc_id", tx.content_hash(tx.normalise_text(F.col("text"))).alias("hash"))
 
 
 @entered(r"""SELECT page_id, nullif(regexp_extract(u, '(?:youtube\.com/watch\?(?:.*&)?v=)([A-Za-z0-9_-]{11})', 1), '') AS video, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host
@@ -63,18 +63,18 @@ def url_ids(spark, sf) -> DataFrame:
 
 @entered("""SELECT source, doc_id, coalesce(sum(CASE WHEN trim(text) = '' THEN 0 ELSE length(text) + 1 END) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start FROM documents""")
 def page_offsets(spark, sf) -> DataFrame:
-    return web.page_offsets(table(spark, sf, "documents"), "source", "doc_id", "text").select("source", "doc_id", "char_start")
+    return web.page_offsets(documents(spark, sf), "source", "doc_id", "text").select("source", "doc_id", "char_start")
 
 
 @entered("SELECT CASE WHEN kind = 'docx' AND n_chars > 10485760 OR kind = 'text' AND n_chars > 10485760 THEN 'too large' WHEN kind = 'exe' THEN 'type not allowed' END AS error, count(*) AS n FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'exe' ELSE 'docx' END AS kind, n_chars * 2000 AS n_chars FROM documents) GROUP BY 1")
 def upload_rules(spark, sf) -> DataFrame:
     kind = F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "exe").otherwise("docx")
-    return table(spark, sf, "documents").select(web.upload_error(kind, F.col("n_chars") * 2000).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    return documents(spark, sf).select(web.upload_error(kind, F.col("n_chars") * 2000).alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @entered(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents")
 def token_estimates(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
+    return documents(spark, sf).select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
 CHUNKS = rf"""
@@ -100,7 +100,7 @@ chunks AS (SELECT f.id, f.k AS chunk_index, CASE WHEN f.k = 0 THEN 0 ELSE x.s EN
 
 @entered(CHUNKS + f"SELECT id AS doc_id, chunk_index, char_start, char_end, {TOKENS.format('content')} AS token_count, md5(content) AS body FROM chunks")
 def chunk_documents(spark, sf) -> DataFrame:
-    found = chunk(table(spark, sf, "documents"))
+    found = chunk(documents(spark, sf))
     return found.select(F.col("id").alias("doc_id"), "chunk_index", "char_start", "char_end", "token_count", F.md5("content").alias("body"))
 
 
@@ -108,23 +108,25 @@ def chunk_documents(spark, sf) -> DataFrame:
     SELECT id AS doc_id, count(*) AS chunk_count, sum(t)::BIGINT AS tokens, max(char_end) AS char_length, sum(greatest(char_end - greatest(char_start, m), 0))::BIGINT AS covered,
            round_even(least(1.0, sum(greatest(char_end - greatest(char_start, m), 0)) / max(char_end)), 4) AS coverage_ratio FROM s GROUP BY id""")
 def source_metrics(spark, sf) -> DataFrame:
-    return profiles.content_metrics(chunk(table(spark, sf, "documents"))).withColumnRenamed("id", "doc_id")
+    return profiles.content_metrics(chunk(documents(spark, sf))).withColumnRenamed("id", "doc_id")
 
 
 @entered(CHUNKS + "SELECT id AS doc_id, chunk_index FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM chunks) WHERE chunk_index IN (0, n // 2, n - 1)")
 def representative_chunks(spark, sf) -> DataFrame:
-    return profiles.representative(chunk(table(spark, sf, "documents"))).select(F.col("id").alias("doc_id"), "chunk_index")
+    return profiles.representative(chunk(documents(spark, sf))).select(F.col("id").alias("doc_id"), "chunk_index")
 
 
-KEYWORDS = rf"""t AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.:/-]{{2,}}')) AS label, 1.0 AS w FROM documents
-    UNION ALL SELECT doc_id, source, unnest(regexp_extract_all(text, '[一-鿿]{{2,8}}')), 0.8 FROM documents),
-k AS (SELECT doc_id, source, lower(label) AS term, round((count(*) * max(w))::DOUBLE, 3) AS weight FROM t WHERE lower(label) NOT IN {word_list(tx.STOPWORDS)} GROUP BY doc_id, source, lower(label)),
+_HEADINGS = r"[l for l in [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split(text, chr(10))] if length(l) > 0 AND length(l) < 100 AND NOT regexp_matches(l, '[.,;:]$') AND len(string_split(l, ' ')) <= 10]"
+KEYWORDS = rf"""t AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{profiles.LATIN_TERM}')) AS label, 1.0 AS w FROM documents
+    UNION ALL SELECT doc_id, source, unnest([h for h in regexp_extract_all(text, '{profiles.HAN_TERM}') if h NOT IN {word_list(profiles.CHINESE_STOPWORDS)}]), 0.8 FROM documents),
+k AS (SELECT doc_id, source, term, round(sum(w)::DOUBLE, 3) AS weight FROM (SELECT doc_id, source, lower(label) AS term, w FROM t WHERE lower(label) NOT IN {word_list(tx.STOPWORDS)}
+    UNION ALL SELECT doc_id, source, lower(unnest({_HEADINGS}[1:3])), 3.0 FROM documents) GROUP BY doc_id, source, term),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM k) WHERE rank <= 15)"""
 
 
 def _keywords(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
-    return profiles.keywords(rows, "doc_id")
+    rows = documents(spark, sf).select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("content"), web.heading_lines(F.col("text")).alias("headings"))
+    return profiles.keywords(rows, "doc_id", headings="headings")
 
 
 @entered(f"WITH {KEYWORDS} SELECT doc_id, rank, term, weight FROM top")
@@ -134,22 +136,24 @@ def source_keywords(spark, sf) -> DataFrame:
 
 @entered(f"WITH {KEYWORDS} SELECT source, rank, term, weight, sources FROM (SELECT source, term, sum(weight) AS weight, count(*) AS sources, row_number() OVER (PARTITION BY source ORDER BY sum(weight) DESC, term) AS rank FROM top GROUP BY source, term) WHERE rank <= 10")
 def key_topics(spark, sf) -> DataFrame:
-    words = _keywords(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    words = _keywords(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
     return profiles.key_topics(words, "source").select("source", "rank", "term", "weight", "sources")
 
 
-@entered(f"""WITH {KEYWORDS}, n AS (SELECT doc_id, count(*) AS n FROM top GROUP BY doc_id)
-    SELECT x.source, x.doc_id AS a, y.doc_id AS b, count(*) AS shared, round(count(*) / (any_value(nx.n) + any_value(ny.n) - count(*)), 6) AS overlap
-    FROM top x JOIN top y ON x.source = y.source AND x.term = y.term AND x.doc_id < y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id GROUP BY ALL""")
+@entered(f"""WITH {KEYWORDS}, s AS (SELECT source, doc_id, list_sort(list_distinct(list(term))) AS terms FROM top GROUP BY source, doc_id),
+    c AS (SELECT source, terms, min(doc_id) AS doc_id, count(*) AS n FROM s GROUP BY source, terms)
+    SELECT x.source, x.doc_id AS a, y.doc_id AS b, x.n AS sources_a, y.n AS sources_b, len(list_intersect(x.terms, y.terms)) AS shared,
+           round(len(list_intersect(x.terms, y.terms)) / (len(x.terms) + len(y.terms) - len(list_intersect(x.terms, y.terms))), 6) AS overlap
+    FROM c x JOIN c y ON x.source = y.source AND x.doc_id < y.doc_id WHERE len(list_intersect(x.terms, y.terms)) > 0""")
 def source_overlap(spark, sf) -> DataFrame:
-    words = _keywords(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    words = _keywords(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
     return profiles.source_overlap(words, "source", "doc_id").withColumn("overlap", F.round("overlap", 6))
 
 
 @entered(r"""SELECT doc_id, CASE WHEN length(f) <= 220 THEN f ELSE rtrim(substr(f, 1, 217)) || '...' END AS excerpt, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview
     FROM (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)""")
 def excerpts(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"), tx.preview(F.col("text")).alias("preview"))
+    return documents(spark, sf).select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"), tx.preview(F.col("text")).alias("preview"))
 
 
 @entered(r"SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[㐀-䶿一-鿿]') THEN 'zh' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'same_as_user' END AS language FROM conversations")
@@ -157,7 +161,18 @@ def message_language(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.language(F.col("text")).alias("language"))
 
 
-@entered()
+_STOPS = word_list([*tx.STOPWORDS, *tx.GENERIC_TERMS])
+_GATED = rf"""g AS (SELECT conv_id, turn, turn > 1 AS history, q, len(g) AS n, len([t for t in g if t NOT IN {_STOPS} AND length(t) >= 3]) AS terms,
+        len(list_distinct([lower(trim(t)) for t in list_concat(regexp_extract_all(q, '`([^`]+)`', 1), [t for t in regexp_extract_all(q, '{tx.TOPIC_TOKEN}') if lower(t) NOT IN {_STOPS}]) if trim(t) <> ''])) AS protected,
+        regexp_matches(q, '{tx.CODE_OR_ERROR}') AS code, regexp_matches(q, '{tx.PRONOUN}') AS pronoun, regexp_matches(q, '{tx.FOLLOW_UP}') AS follow, regexp_matches(q, '{tx.SUMMARY}') AS summary,
+        regexp_matches(q, '{tx.COMPARISON}') AS comparison, regexp_matches(q, '{tx.EVIDENCE}') AS evidence
+    FROM (SELECT *, regexp_extract_all(lower(q), '{tx.GATE_TOKEN}') AS g FROM (SELECT conv_id, turn, coalesce(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS q FROM conversations WHERE role = 'user'))),
+f AS (SELECT *, CASE WHEN q = '' THEN false WHEN code THEN true WHEN pronoun OR follow OR summary OR comparison OR evidence THEN false ELSE (protected > 0 AND n >= 3) OR (terms >= 2 AND n >= 6) END AS friendly,
+        CASE WHEN history THEN 'standalone_expansion' ELSE 'keyword_enrichment' END AS expand FROM g)"""
+
+
+@entered(rf"""WITH {_GATED} SELECT conv_id, turn, protected, CASE WHEN q = '' OR code THEN 'no_rewrite' WHEN history AND pronoun THEN 'reference_resolution' WHEN history AND follow THEN 'standalone_expansion' WHEN summary THEN expand
+    WHEN comparison OR evidence THEN CASE WHEN terms > 0 THEN 'keyword_enrichment' ELSE 'standalone_expansion' END WHEN n <= 6 AND NOT friendly THEN expand WHEN history AND n <= 4 THEN 'standalone_expansion' ELSE 'no_rewrite' END AS strategy FROM f""")
 def rewrite_strategies(spark, sf) -> DataFrame:
     asked = table(spark, sf, "conversations").where("role = 'user'")
     return asked.select("conv_id", "turn", tx.rewrite_strategy(F.col("text"), F.col("turn") > 1).alias("strategy"), F.size(tx.protected_terms(F.col("text"))).alias("protected"))
@@ -168,19 +183,73 @@ def meaningful_terms(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.size(tx.meaningful_terms(F.col("text"))).alias("terms"))
 
 
-@entered()
+@entered(rf"""WITH m AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user'),
+    l AS (SELECT conv_id, turn, [x for x in regexp_extract_all(t, '{tx.TOPIC_TOKEN}') if lower(x) NOT IN {_STOPS} AND regexp_matches(x, '[A-Z0-9_./:-]')] AS names, [lower(x) for x in regexp_extract_all(t, '{tx.WORD_TOKEN}') if lower(x) NOT IN {_STOPS}] AS words FROM m),
+    e AS (SELECT conv_id, turn, 0 AS kind, unnest(names) AS label, unnest(range(len(names))) AS pos FROM l
+          UNION ALL SELECT conv_id, turn, 1, unnest([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]), unnest(range(greatest(len(words) - 1, 0))) FROM l UNION ALL SELECT conv_id, turn, 2, unnest(words), unnest(range(len(words))) FROM l),
+    c AS (SELECT conv_id, lower(label) AS low, kind, count(*) AS n, min(turn * 1000000 + pos) AS first, arg_min(label, turn * 1000000 + pos) AS topic FROM e GROUP BY conv_id, lower(label), kind),
+    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, low ORDER BY kind) AS p FROM c) WHERE p = 1)
+    SELECT conv_id, rank, topic, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, CASE WHEN kind > 0 THEN -n ELSE 0 END, first) AS rank FROM o) WHERE rank <= 6""")
 def conversation_topics(spark, sf) -> DataFrame:
     return tables.history_topics(table(spark, sf, "conversations").where("role = 'user'"), "conv_id", "turn")
 
 
+def _headed(spark, sf) -> DataFrame:
+    """Chunks with the first heading lines of their content."""
+    made = chunk(documents(spark, sf))
+    return made.withColumn("headings", F.slice(web.heading_lines(F.col("content")), 1, 3))
+
+
+def _digested(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Chunks, outline, keywords and digests of the documents."""
+    chunks = _headed(spark, sf)
+    sections, terms = profiles.outline(chunks, "id", "headings"), profiles.keywords(chunks, headings="headings")
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return chunks, sections, terms, profiles.digests(docs, chunks, sections, terms)
+
+
 @entered()
 def source_digests(spark, sf) -> DataFrame:
-    made = chunk(table(spark, sf, "documents"))
-    first = made.where("chunk_index = 0").select("id", profiles.overview(F.col("content")).alias("overview"))
-    return first.join(profiles.passages(made), "id").join(profiles.content_metrics(made), "id")
+    return _digested(spark, sf)[3]
+
+
+@entered()
+def source_outlines(spark, sf) -> DataFrame:
+    return profiles.outline(_headed(spark, sf), "id", "headings")
 
 
 @entered()
+def source_snapshots(spark, sf) -> DataFrame:
+    chunks, sections, terms, digested = _digested(spark, sf)
+    docs = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return profiles.snapshots(docs, digested, profiles.content_metrics(chunks, sections=sections, terms=terms))
+
+
+@entered()
+def snapshot_summaries(spark, sf) -> DataFrame:
+    _, _, terms, digested = _digested(spark, sf)
+    listed = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("keywords"))
+    return profiles.snapshot_summaries(digested.join(listed.hint("merge"), "id", "left"))
+
+
+@entered()
+def normalised_digests(spark, sf) -> DataFrame:
+    """Drafts whose passages partly point to chunks that don't exist, and every third without any words."""
+    chunks, _, terms, digested = _digested(spark, sf)
+    listed = terms.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "weight", "chunks"))), lambda x: F.struct(x["label"].alias("term"), x["weight"].alias("weight"), x["chunks"].alias("chunks"))).alias("keywords"))
+    full = digested.join(listed.hint("merge"), "id")
+    bare = F.col("id") % 3 == 0
+    moved = F.transform("passages", lambda p: F.struct((p["chunk_index"] * 2).alias("chunk_index"), p["text"].alias("text")))
+    drafts = full.select("id", F.when(bare, "").otherwise(F.col("overview")).alias("overview"), "themes", "assertions", moved.alias("passages"), "gaps", F.when(bare, F.slice("keywords", 1, 0)).otherwise(F.col("keywords")).alias("keywords"))
+    return profiles.normalised_digests(drafts, chunks, full)
+
+
+_V5 = "substr({0}, 1, 12) || '5' || substr({0}, 14, 3) || substr('89ab', ('0x' || substr({0}, 17, 1))::INT % 4 + 1, 1) || substr({0}, 18, 15)"
+
+
+@entered(CHUNKS + f""", n AS (SELECT id, chunk_index, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(id::VARCHAR)) AS p, chunk_index || ':' || char_start || ':' || char_end || ':' || substr(sha1(content), 1, 12) AS name FROM chunks),
+    h AS (SELECT id, chunk_index, sha1(unhex({_V5.format('p')}) || encode(name)) AS h FROM n), u AS (SELECT id, chunk_index, {_V5.format('h')} AS u FROM h)
+    SELECT id, chunk_index, substr(u, 1, 8) || '-' || substr(u, 9, 4) || '-' || substr(u, 13, 4) || '-' || substr(u, 17, 4) || '-' || substr(u, 21, 12) AS chunk_id FROM u""")
 def stable_chunk_ids(spark, sf) -> DataFrame:
-    made = chunk(table(spark, sf, "documents"))
-    return made.select("id", "chunk_index", tx.stable_chunk_id(F.col("id"), F.col("chunk_index"), F.col("char_start"), F.col("char_end"), F.col("content")).alias("chunk_id"))
+    made = chunk(documents(spark, sf))
+    return made.select("id", "chunk_index", tx.stable_chunk_id(tx.named_uuid(F.col("id")), F.col("chunk_index"), F.col("char_start"), F.col("char_end"), F.col("content")).alias("chunk_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import grounding, requests, retrieval, tables
 from corpusloom.plans import search
-from corpusloom.plans.base import Query, register, table
+from corpusloom.plans.base import Query, documents, register, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,7 +19,7 @@ def entered(sql: str | None = None):
 
 @entered("SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(source), 'license')")
 def text_search(spark, sf) -> DataFrame:
-    return requests.text_search(table(spark, sf, "documents"), F.lit(" License"), "text", "source").select("doc_id")
+    return requests.text_search(documents(spark, sf), F.lit(" License"), "text", "source").select("doc_id")
 
 
 @entered(r"""WITH l AS (SELECT conv_id, turn, role || ': ' || trim(regexp_replace(text, '\s+', ' ', 'g')) AS line FROM conversations WHERE trim(coalesce(text, '')) <> ''),
@@ -30,14 +30,14 @@ def history_contexts(spark, sf) -> DataFrame:
 
 @entered(f"WITH {search._BM25}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN id % 3 = 0 THEN id END DESC NULLS LAST, score DESC, id) AS rank FROM bm25 WHERE rank <= 20) SELECT query_id, id, rank FROM r WHERE rank <= 5")
 def reranked(spark, sf) -> DataFrame:
-    found = retrieval.bm25_search(search.asked(spark, sf), search.passages(spark, sf), 20)
+    found = retrieval.bm25_search(search.asked(spark, sf), k=20, index=search.index(spark, sf))
     scores = found.where("id % 3 = 0").select("query_id", "id", F.col("id").cast("double").alias("score"))
     return requests.rerank(found, scores, 5).select("query_id", "id", "rank")
 
 
 @entered("SELECT source, toxic AS verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source, toxic")
 def verdict_rates(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("verdict")), "doc_id")
+    rows = documents(spark, sf).select("doc_id", "source").join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("verdict")), "doc_id")
     return requests.verdict_rates(rows, "source", "verdict").withColumn("rate", F.round("rate", 6))
 
 
@@ -52,27 +52,33 @@ def fixed_batches(spark, sf) -> DataFrame:
     return tables.batches(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id", 32)
 
 
-@entered()
+@entered("""WITH RECURSIVE r AS (SELECT source, doc_id, length(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE length(text) <= 20000),
+    f AS (SELECT source, doc_id, k, true AS kept, t AS used FROM r WHERE k = 1
+          UNION ALL SELECT r.source, r.doc_id, r.k, f.used + r.t <= 20000, CASE WHEN f.used + r.t <= 20000 THEN f.used + r.t ELSE f.used END FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1)
+    SELECT source, doc_id, length(text) AS tokens FROM f JOIN documents d USING (doc_id, source) WHERE kept""")
 def budgeted_chunks(spark, sf) -> DataFrame:
-    rows = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("tokens"))
+    rows = documents(spark, sf).select("source", "doc_id", F.length("text").alias("tokens"))
     return requests.within_budget(rows, "source", "doc_id", "tokens", 20_000)
 
 
-@entered()
+@entered(f"WITH {search._BM25} SELECT query_id, rank AS citation_index, id FROM bm25 WHERE rank <= 5")
 def prepared_answers(spark, sf) -> DataFrame:
+    """Requests for which no model has answered: each is its own search."""
     asked = search.asked(spark, sf).select(F.col("query_id").alias("request_id"), "scope", "query", F.lit(False).alias("has_history"))
-    outputs = asked.select("request_id", F.concat(F.lit('{"query": "'), F.substring("query", 1, 40), F.lit('"}')).alias("raw"))
-    return requests.prepare_answers(requests.apply_rewrites(asked, outputs), search.passages(spark, sf)).select("query_id", "citation_index", "id")
+    none = asked.select("request_id", F.lit(None).cast("string").alias("raw"))
+    return requests.prepare_answers(requests.apply_rewrites(asked, none), search.passages(spark, sf), index=search.index(spark, sf)).select("query_id", "citation_index", "id")
 
 
-@entered()
+_LONG = "l AS (UNPIVOT (SELECT query_id, recall::DOUBLE AS recall, precision::DOUBLE AS precision, hit::DOUBLE AS hit, ndcg::DOUBLE AS ndcg, reciprocal_rank::DOUBLE AS reciprocal_rank FROM m) ON recall, precision, hit, ndcg, reciprocal_rank INTO NAME metric_type VALUE metric_value)"
+
+
+@entered(f"WITH {search._BM25}, {search._COSINE}, {search._FUSED}, ranked AS (SELECT query_id, id, rank FROM fused WHERE rank <= 10), {search._TRUTH}, {search.MEASURED}, {_LONG} SELECT query_id, metric_type, round(metric_value, 6) AS metric_value FROM l")
 def evaluation_runs(spark, sf) -> DataFrame:
-    q = search.asked(spark, sf).withColumn("scope", F.lit("all"))
-    p = search.passages(spark, sf).withColumn("scope", F.lit("all"))
-    return requests.evaluation_run(q, p, search.truth(spark, sf))
+    q, p = search.embedded(spark, sf)
+    return requests.evaluation_run(q, p, search.truth(spark, sf), index=search.index(spark, sf)).withColumn("metric_value", F.round("metric_value", 6))
 
 
-@entered()
+@entered("SELECT event_id, props AS object FROM events")
 def recovered_json(spark, sf) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", F.concat(F.lit("note {x "), "props", F.lit(" end")).alias("raw"))
     return requests.recover_json(rows, "raw").select("event_id", "object")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import evaluation, grounding, retrieval, tables
-from corpusloom.plans.base import Query, register, table
+from corpusloom.plans.base import Query, documents, register, stored, table
+from corpusloom.plans.tables import TOKENS
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,13 +26,22 @@ def asked(spark, sf) -> DataFrame:
 
 
 def passages(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("scope"), "text")
+    return documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("scope"), "text")
+
+
+def index(spark, sf) -> retrieval.Index:
+    """The stored BM25 index of the passages: built once, then only the buckets of the asked scopes are read."""
+    path = stored(spark, sf, "bm25", lambda to: retrieval.store_index(passages(spark, sf), to))
+    return retrieval.load_index(spark, path, asked(spark, sf))
 
 
 def embedded(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The queries and the passages (without their text) with embeddings; those of the passages are stored."""
+    def build(to: str) -> None:
+        passages(spark, sf).select("scope", "id", retrieval.hash_embedding(F.col("text")).alias("embedding")).write.parquet(to)
+
     q = asked(spark, sf)
-    p = passages(spark, sf)
-    return q.withColumn("embedding", retrieval.hash_embedding(F.col("query"))), p.withColumn("embedding", retrieval.hash_embedding(F.col("text")))
+    return q.withColumn("embedding", retrieval.hash_embedding(F.col("query"))), spark.read.parquet(stored(spark, sf, "embedded", build))
 
 
 _TOKENS = r"[w for w in regexp_split_to_array(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+') if length(w) > 1]"
@@ -55,12 +65,12 @@ fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id O
 
 @entered(f"WITH {_INDEX} SELECT scope, term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark, sf) -> DataFrame:
-    return retrieval.bm25_index(passages(spark, sf))[1].withColumn("idf", F.round("idf", 6))
+    return retrieval.bm25_index(passages(spark, sf)).terms().withColumn("idf", F.round("idf", 6))
 
 
 @entered(f"WITH {_BM25} SELECT query_id, id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10")
 def bm25_search(spark, sf) -> DataFrame:
-    return retrieval.bm25_search(asked(spark, sf), passages(spark, sf)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return retrieval.bm25_search(asked(spark, sf), index=index(spark, sf)).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @entered("""WITH p AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS id, list_cosine_similarity(q.v, p.v) AS score FROM p q JOIN p ON q.label = p.label WHERE q.vec_id % 50 = 0)
@@ -79,24 +89,24 @@ def approximate_search(spark, sf) -> DataFrame:
 
 @entered(f"SELECT doc_id, round(v[1] / sqrt(list_sum([x * x for x in v])), 6) AS first, round(v[64] / sqrt(list_sum([x * x for x in v])), 6) AS last FROM (SELECT doc_id, {_HASH} AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents))")
 def hash_embeddings(spark, sf) -> DataFrame:
-    made = table(spark, sf, "documents").select("doc_id", retrieval.hash_embedding(F.col("text")).alias("v"))
+    made = documents(spark, sf).select("doc_id", retrieval.hash_embedding(F.col("text")).alias("v"))
     return made.select("doc_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
 
 
 @entered(f"WITH {_BM25}, {_COSINE}, {_FUSED} SELECT query_id, id, rank, round(score, 8) AS score FROM fused WHERE rank <= 10")
 def hybrid_search(spark, sf) -> DataFrame:
-    return retrieval.hybrid_search(*embedded(spark, sf)).select("query_id", "id", "rank", F.round("score", 8).alias("score"))
+    return retrieval.hybrid_search(*embedded(spark, sf), index=index(spark, sf)).select("query_id", "id", "rank", F.round("score", 8).alias("score"))
 
 
 @entered(f"WITH {_BM25} SELECT request_id, id, rank, round(score, 6) AS score, lists FROM (SELECT query_id % 20 AS request_id, id, sum(score) AS score, count(*) AS lists, row_number() OVER (PARTITION BY query_id % 20 ORDER BY round(sum(score), 9) DESC, id) AS rank FROM bm25 WHERE rank <= 20 GROUP BY query_id % 20, id) WHERE rank <= 10")
 def merged_queries(spark, sf) -> DataFrame:
-    found = retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 20).withColumn("request_id", F.col("query_id") % 20)
+    found = retrieval.bm25_search(asked(spark, sf), k=20, index=index(spark, sf)).withColumn("request_id", F.col("query_id") % 20)
     return retrieval.merge_queries(found).select("request_id", "id", "rank", F.round("score", 6).alias("score"), "lists")
 
 
 @entered(f"WITH {_BM25} SELECT query_id, rank AS citation_index, bm25.id, CASE WHEN length(text) <= 220 THEN text ELSE substr(text, 1, 217) || '...' END AS quote FROM bm25 JOIN documents ON doc_id = bm25.id WHERE rank <= 5")
 def evidence_packs(spark, sf) -> DataFrame:
-    found = retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 5)
+    found = retrieval.bm25_search(asked(spark, sf), k=5, index=index(spark, sf))
     return grounding.evidence(found, passages(spark, sf)).select("query_id", "citation_index", "id", "quote")
 
 
@@ -106,14 +116,14 @@ def _answers(spark, sf) -> DataFrame:
 
 @entered(f"WITH {_BM25}, c AS (SELECT query_id, unnest([0, 1]) AS place, unnest([query_id % 4 + 1, 9]) AS citation_index FROM asked) SELECT c.query_id, place, citation_index, bm25.id, bm25.id IS NULL AS missing FROM c LEFT JOIN bm25 ON bm25.query_id = c.query_id AND bm25.rank = c.citation_index AND rank <= 5")
 def citation_alignment(spark, sf) -> DataFrame:
-    found = grounding.evidence(retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 5), passages(spark, sf))
+    found = grounding.evidence(retrieval.bm25_search(asked(spark, sf), k=5, index=index(spark, sf)), passages(spark, sf))
     return grounding.align(_answers(spark, sf), found)
 
 
 @entered("SELECT id, id IN (SELECT doc_id FROM documents) AS valid FROM (SELECT DISTINCT l_partkey AS id FROM lineitem)")
 def citation_validation(spark, sf) -> DataFrame:
     cited = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"))
-    return grounding.validate_ids(cited, table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+    return grounding.validate_ids(cited, documents(spark, sf).select(F.col("doc_id").alias("id")))
 
 
 _PAIRS = "pairs AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"
@@ -132,12 +142,12 @@ def answer_quality(spark, sf) -> DataFrame:
 
 
 def truth(spark, sf) -> DataFrame:
-    """Documents of the asked source that hold all eight-word shingles of an item; joined by shingle."""
+    """Documents, of any source, that hold all eight-word shingles of an item; joined by shingle."""
     shingles = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 7, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(c, i, 8), " "))))
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).select("query_id", shingles(F.col("w")).alias("s"))
     q = q.select("query_id", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("w")).select("id", F.explode(shingles(F.col("w"))).alias("shingle"))
+    d = documents(spark, sf).select(F.col("doc_id").alias("id"), words.alias("w")).select("id", F.explode(shingles(F.col("w"))).alias("shingle"))
     met = q.hint("shuffle_hash").join(d, "shingle").groupBy("query_id", "id", "n").agg(F.count(F.lit(1)).alias("met"))
     return met.where("met = n").select("query_id", "id")
 
@@ -156,9 +166,10 @@ def _wide(spark, sf) -> DataFrame:
 
 
 _ALL = _BM25.replace("'src' || (item_id % 20)", "'all'").replace("SELECT source AS scope, doc_id AS id", "SELECT 'all' AS scope, doc_id AS id").split("every AS")[0] + "ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits)"
-_METRICS = f"""{_ALL}, {_TRUTH}, t AS (SELECT query_id, count(*) AS relevant FROM truth GROUP BY query_id), h AS (SELECT query_id, rank FROM ranked JOIN truth USING (query_id, id) WHERE rank <= 10),
+MEASURED = """t AS (SELECT query_id, count(*) AS relevant FROM truth GROUP BY query_id), h AS (SELECT query_id, rank FROM ranked JOIN truth USING (query_id, id) WHERE rank <= 10),
 m AS (SELECT t.query_id, count(rank) / any_value(relevant) AS recall, count(rank) / 10 AS precision, (count(rank) > 0)::INT AS hit,
         coalesce(sum(1 / log2(rank + 1)), 0) / any_value(list_sum([1 / log2(i + 1) for i in range(1, least(relevant, 10) + 1)])) AS ndcg, coalesce(1 / min(rank), 0) AS reciprocal_rank FROM t LEFT JOIN h USING (query_id) GROUP BY t.query_id)"""
+_METRICS = f"{_ALL}, {_TRUTH}, {MEASURED}"
 
 
 @entered(f"WITH {_METRICS} SELECT query_id, round(recall, 6) AS recall, round(precision, 6) AS precision, hit, round(ndcg, 6) AS ndcg, round(reciprocal_rank, 6) AS reciprocal_rank FROM m")
@@ -191,7 +202,7 @@ def judge_agreement(spark, sf) -> DataFrame:
     r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY a) + (count(*) OVER (PARTITION BY source, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY source ORDER BY b) + (count(*) OVER (PARTITION BY source, b) - 1) / 2 AS rb FROM p)
     SELECT source, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY source""")
 def rank_correlation(spark, sf) -> DataFrame:
-    pairs = table(spark, sf, "documents").select("source", F.col("n_chars").alias("a"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("b"))
+    pairs = documents(spark, sf).select("source", F.col("n_chars").alias("a"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("b"))
     return evaluation.spearman(pairs, "source").withColumn("spearman", F.round("spearman", 6))
 
 
@@ -221,8 +232,12 @@ def poor_questions(spark, sf) -> DataFrame:
     return pairs.select("conv_id", "turn", tables.poor_question(F.col("question"), F.col("answer")).alias("problem"))
 
 
-@entered()
+_PROMPT = f"""{_BM25}, e AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM bm25 JOIN documents ON doc_id = bm25.id WHERE rank <= 3 GROUP BY query_id),
+p AS (SELECT query_id, concat_ws(chr(10) || chr(10), evidence, 'Question: ' || query) AS prompt FROM asked LEFT JOIN e USING (query_id))"""
+
+
+@entered(f"WITH {_PROMPT} SELECT query_id, {TOKENS.format('prompt')} AS tokens, {TOKENS.format('prompt')} > 102400 AS too_long FROM p")
 def prompts(spark, sf) -> DataFrame:
-    found = grounding.evidence(retrieval.bm25_search(asked(spark, sf), passages(spark, sf), 3), passages(spark, sf))
+    found = grounding.evidence(retrieval.bm25_search(asked(spark, sf), k=3, index=index(spark, sf)), passages(spark, sf))
     made = grounding.prompt(found, asked(spark, sf))
     return made.select("query_id", tx.token_estimate(F.col("prompt")).alias("tokens"), tx.over_budget(tx.token_estimate(F.col("prompt"))).alias("too_long"))

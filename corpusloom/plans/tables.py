@@ -32,7 +32,8 @@ def latest_job(spark, sf) -> DataFrame:
 
 @entered("SELECT user_id, bool_or(event_type NOT IN ('click', 'view')) AS has_pending, count(*) AS n FROM events GROUP BY user_id")
 def has_pending(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(F.bool_or(~F.col("event_type").isin("click", "view")).alias("has_pending"), F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("event_type") == "click", "ready").when(F.col("event_type") == "view", "failed").otherwise("pending")
+    return ops.pending(table(spark, sf, "events").select("user_id", status.alias("status")), "user_id")
 
 
 @entered("SELECT conv_id, turn, p AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations) WHERE p <= 3")
@@ -100,7 +101,7 @@ def soft_deleted(spark, sf) -> DataFrame:
 
 @entered("SELECT n_name, count(*) AS orders FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE o_orderdate BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY n_name")
 def runs_in_time_range(spark, sf) -> DataFrame:
-    inside = table(spark, sf, "orders").where(F.col("o_orderdate").between(F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date"))).select("o_custkey")
+    inside = ops.in_time_range(table(spark, sf, "orders"), "o_orderdate", F.lit("1995-01-01").cast("date"), F.lit("1996-12-31").cast("date")).select("o_custkey")
     joined = inside.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"))
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from corpusloom.functions.text import collapse, normalise_lines
+from corpusloom.functions.text import collapse, normalise_text
 
-# Entities replaced without a table, largest uploads by type.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+# Parts of a page that are no text, largest uploads by type, shapes of video addresses.
+SCRIPT = r"(?is)<script[^>]*>.*?</script>"
+STYLE = r"(?is)<style[^>]*>.*?</style>"
+TAG = r"<[^>]+>"
 UPLOAD_LIMITS = {"pdf": 50 << 20, "text": 10 << 20, "docx": 10 << 20}
 _VIDEO = (r"(?:youtube\.com/watch\?(?:.*&)?v=)([A-Za-z0-9_-]{11})", r"youtu\.be/([A-Za-z0-9_-]{11})", r"youtube\.com/embed/([A-Za-z0-9_-]{11})", r"youtube\.com/shorts/([A-Za-z0-9_-]{11})")
 
@@ -20,21 +27,25 @@ def decode(content: Column) -> Column:
 
 def text_pages(files: DataFrame) -> DataFrame:
     """Files (path, content) as page rows, with an error instead of text where nothing is left."""
-    text = normalise_lines(decode(F.col("content")))
+    text = normalise_text(decode(F.col("content")))
     return files.select("path", text.alias("text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"), F.when(F.trim(text) == "", "no text content").alias("error"))
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page without scripts, styles and tags."""
-    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", " "), r"(?is)<style[^>]*>.*?</style>", " ")
-    bare = F.regexp_replace(bare, r"<[^>]+>", " ")
-    for entity, sign in ENTITIES:
-        bare = F.replace(bare, F.lit(entity), F.lit(sign))
-    return collapse(bare)
+@F.arrow_udf(StringType())
+def unescaped(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Every named and numeric character reference as its character. Arrow, as Spark has no such function."""
+    for batch in texts:
+        yield pa.array([None if t is None else html.unescape(t) for t in batch.to_pylist()], pa.string())
+
 
+def html_text(page: Column) -> Column:
+    """Text of a page: scripts and styles leave nothing, tags a space, references become characters."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(page, SCRIPT, ""), STYLE, ""), TAG, " ")
+    return collapse(F.when(F.contains(bare, F.lit("&")), unescaped(bare)).otherwise(bare))
 
-def html_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit(""))
+
+def html_title(page: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(page, r"(?i)<title[^>]*>([^<]+)</title>", 1)), F.lit(""))
 
 
 def heading_lines(text: Column, most: int = 10) -> Column:
@@ -61,7 +72,7 @@ def document_id(url: Column) -> Column:
 def page_offsets(pages: DataFrame, source: str, order: str, text: str) -> DataFrame:
     """char_start and char_end of each page in its source's joined text; blank pages take no room."""
     blank = F.trim(F.col(text)) == ""
-    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # numbers only
     start = F.coalesce(F.sum(F.when(blank, 0).otherwise(F.length(text) + 1)).over(before), F.lit(0))
     return pages.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.when(blank, 0).otherwise(F.length(text)))
 
@@ -93,3 +104,15 @@ def export_csv(table: DataFrame, path: str, columns: list[str]) -> None:
     kinds = dict(table.dtypes)
     cells = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in columns]
     table.select(*cells).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+def joined_pages(pages: DataFrame, source: str, order: str, text: str) -> DataFrame:
+    """The full text of each source: its pages that aren't blank, in order, joined by a line end."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))), lambda x: x["_t"]), "\n")
+    return pages.where(F.trim(text) != "").groupBy(source).agg(whole.alias("full_text"))
+
+
+def sanitised_name(name: Column, most: int = 255) -> Column:
+    """A file name without folders and control characters, cut to ``most`` characters; null if nothing is left."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"[\x00-\x1f\x7f]", ""))
+    return F.nullif(F.substring(bare, 1, most), F.lit(""))

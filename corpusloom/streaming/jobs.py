@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_hash, stable_chunk_id
+from corpusloom.functions.text import content_hash, named_uuid, stable_chunk_id
 from corpusloom.operators.chunking import chunk
 
 
@@ -30,31 +31,37 @@ def delivery_mode(counts: Column) -> Column:
     return F.when(counts == 0, "no_chunks").when(counts == 1, "single_chunk").otherwise("streaming")
 
 
-def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text"):
+def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None):
     """Start a stream that keeps the chunks of new and changed sources in ``store`` (Parquet, by batch).
 
-    A batch keeps each source's last row, leaves out those whose content hash is stored, chunks the rest
-    and writes them with stable ids under the batch's own folder, so that a replayed batch writes the
-    same rows again. :func:`current_chunks` reads the latest version of each source.
+    A batch keeps each source's last row by ``order_col`` (of equal or absent orders the one with the larger hash),
+    leaves out those whose content hash is that of their newest stored version, chunks the rest and writes them
+    with stable ids under the batch's own folder, so that a replayed batch writes the same rows again. A source
+    that has no chunks any more writes one row without content. :func:`current_chunks` reads the newest versions.
     """
 
     def build(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"]).withColumn("hash", content_hash(F.col("text")))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        order = F.struct((F.lit(0) if order_col is None else F.col(order_col)).alias("at"), content_hash(text).alias("hash"))
+        last = batch.groupBy(F.col(id_col).alias("id")).agg(F.max_by(text, order).alias("text"))
+        rows = last.withColumn("hash", content_hash(F.col("text")))
         try:
-            known = spark.read.parquet(store).where(F.col("version") < number).select("id", "hash").distinct()
+            known = spark.read.parquet(store).where(F.col("version") < number).groupBy("id").agg(F.max_by("hash", "version").alias("hash"))
             rows = rows.join(known, ["id", "hash"], "left_anti")
-        except Exception as error:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        except AnalysisException as error:  # the first batch finds no store
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        pieces = chunk(rows, "id", "text").join(rows.select("id", "hash"), "id")
-        made = pieces.withColumn("chunk_id", stable_chunk_id(F.col("id"), F.col("chunk_index"), F.col("char_start"), F.col("char_end"), F.col("content")))
+        pieces = chunk(rows, "id", "text")
+        uuid = F.when(F.col("id").cast("string").rlike("^[0-9a-fA-F-]{36}$"), F.col("id").cast("string")).otherwise(named_uuid(F.col("id")))
+        named = pieces.withColumn("chunk_id", stable_chunk_id(uuid, F.col("chunk_index"), F.col("char_start"), F.col("char_end"), F.col("content")))
+        made = rows.select("id", "hash").hint("merge").join(named, "id", "left")
         made.write.mode("overwrite").parquet(f"{store}/version={number}")
 
     return sources.writeStream.foreachBatch(build).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_chunks(stored: DataFrame) -> DataFrame:
-    """The chunks of each source's newest version."""
+    """The chunks of each source's newest version; a source whose newest version is blank has none."""
     newest = stored.groupBy("id").agg(F.max("version").alias("version"))
-    return stored.join(newest, ["id", "version"], "left_semi")
+    return stored.join(newest, ["id", "version"], "left_semi").where("chunk_id IS NOT NULL")
