@@ -58,10 +58,11 @@ def removed_counts(citations: DataFrame, known: DataFrame, by: str = "query_id",
 
 
 def finalise(answers: DataFrame, counts: DataFrame, question: str = "question") -> DataFrame:
-    """Answers without evidence or text say so in the question's language; ``cited`` is whether citations stay."""
+    """Answers without evidence or text say so in the question's language (English if there is none); ``cited`` is whether citations stay."""
     joined = answers.join(counts.select("query_id", "chunk_count"), "query_id", "left")
     bare = (F.coalesce("chunk_count", F.lit(0)) == 0) | (F.trim(F.coalesce("answer", F.lit(""))) == "")
-    made = joined.withColumn("answer", F.when(bare, unknown_message(language(F.coalesce(question, F.lit(""))))).otherwise(F.col("answer")))
+    asked = F.coalesce(question, F.lit("")) if question in answers.columns else F.lit("")
+    made = joined.withColumn("answer", F.when(bare, unknown_message(language(asked))).otherwise(F.col("answer")))
     return made.withColumn("cited", ~bare & ~is_unknown(F.col("answer")))
 
 

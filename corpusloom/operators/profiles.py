@@ -43,7 +43,7 @@ def keywords(chunks: DataFrame, key: str = "id", text: str = "content", most: in
     lists = [weighed(latin, 1.0), weighed(han, 0.8)]
     if headings is not None:
         lists.insert(0, weighed(F.filter(F.transform(F.slice(F.coalesce(headings, F.array().cast("array<string>")), 1, depth), collapse), lambda t: t != ""), 3.0))
-    each = chunks.select(key, "chunk_index", F.posexplode(F.concat(*lists)).alias("pos", "t")).select(key, "chunk_index", "pos", "t.*")
+    each = chunks.select(key, "chunk_index", F.posexplode(F.concat(*lists)).alias("pos", "_t")).select(key, "chunk_index", "pos", "_t.*")
     by_chunk = each.groupBy(key, F.lower("label").alias("term"), "chunk_index").agg(F.sum("w").alias("w"), F.min_by("label", "pos").alias("label"))
     summed = by_chunk.groupBy(key, "term").agg(F.round(F.sum("w"), 3).alias("weight"), F.min_by("label", "chunk_index").alias("label"), F.slice(F.array_sort(F.collect_list("chunk_index")), 1, 3).alias("chunks"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))

@@ -165,7 +165,7 @@ def history_topics(messages: DataFrame, by: str, order: str, text: str = "text",
     words = F.transform(F.filter(F.regexp_extract_all(flat, F.lit(WORD_TOKEN), F.lit(0)), plain), F.lower)
     tag = lambda items, kind: F.transform(items, lambda t: F.struct(t.alias("label"), F.lit(kind).alias("kind")))
     every = F.concat(tag(names, 0), tag(bigrams(words), 1), tag(words, 2))
-    each = messages.select(by, order, F.posexplode(every).alias("pos", "t")).select(by, order, "pos", "t.*")
+    each = messages.select(by, order, F.posexplode(every).alias("pos", "_t")).select(by, order, "pos", "_t.*")
     found = each.groupBy(by, F.lower("label").alias("topic"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos", "label")).alias("first"))
     once = found.withColumn("turn", F.row_number().over(Window.partitionBy(by, "topic").orderBy("kind"))).where("turn = 1")
     rank = F.row_number().over(Window.partitionBy(by).orderBy("kind", F.when(F.col("kind") > 0, -F.col("n")).otherwise(0), "first"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, flows, search, tables
+from corpusloom.plans import corpus, flows, search, services, tables
 
 FLAGSHIP = "hybrid_search"
-QUERIES = tables.QUERIES | corpus.QUERIES | search.QUERIES | flows.QUERIES
-ORACLE_SQL = tables.ORACLE_SQL | corpus.ORACLE_SQL | search.ORACLE_SQL | flows.ORACLE_SQL
+QUERIES = tables.QUERIES | corpus.QUERIES | search.QUERIES | flows.QUERIES | services.QUERIES
+ORACLE_SQL = tables.ORACLE_SQL | corpus.ORACLE_SQL | search.ORACLE_SQL | flows.ORACLE_SQL | services.ORACLE_SQL

@@ -1,5 +1,6 @@
 """Golden cases and awkward rows for the operators."""
 
+import hashlib
 import json
 import math
 import uuid
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, evaluation, grounding, profiles, retrieval, tables
+from corpusloom.operators import chunking, evaluation, grounding, profiles, requests, retrieval, tables
 from corpusloom.sources import web
 from corpusloom.streaming import jobs
 
@@ -31,7 +32,7 @@ def test_small_text_functions(spark):
     assert one(spark, tx.slug(F.col("t")), t="  A b/C! ") == "a-b-c" and one(spark, tx.slug(F.col("t")), t="!!") == "node"
     assert one(spark, tx.trim_to_tokens(F.col("t"), 3), t="aaaa bbbb cccc dddd eeee") == "aaaa bbbb"
     assert one(spark, tx.clean_query(F.col("t")), t="\n Query: 'who is it' \nx") == "who is it"
-    assert one(spark, tx.error_class(F.lit(503), F.col("t")), t="x") == "temporary"
+    assert one(spark, tx.retryable(F.lit(503)), t="x")
 
 
 @pytest.mark.parametrize(
@@ -42,9 +43,52 @@ def test_rewrite_strategy(spark, query, history, strategy):
     assert one(spark, tx.rewrite_strategy(F.col("q"), F.lit(history)), q=query) == strategy
 
 
-def test_stable_chunk_id_is_a_version_5_uuid(spark):
-    found = one(spark, tx.stable_chunk_id(F.lit("s"), F.lit(0), F.lit(0), F.lit(3), F.col("t")), t="abc")
-    assert uuid.UUID(found).version == 5 and uuid.UUID(found).variant == uuid.RFC_4122
+def test_stable_chunk_id_is_the_uuid_of_its_name(spark):
+    source, name = uuid.UUID("0f8fad5b-d9cb-469f-a165-70867728950e"), "3:10:13:" + hashlib.sha1(b"abc").hexdigest()[:12]
+    made = lambda s: one(spark, tx.stable_chunk_id(F.col("s"), F.lit(3), F.lit(10), F.lit(13), F.lit("abc")), s=s)
+    assert made(str(source)) == made(str(source).upper()) == str(uuid.uuid5(source, name)) and made("no uuid") is None
+    assert one(spark, tx.named_uuid(F.col("s")), s="17") == str(uuid.uuid5(uuid.NAMESPACE_URL, "17"))
+
+
+def test_normalising(spark):
+    assert one(spark, tx.normalise_text(F.col("t")), t="ﬁne　x  １２\n\u00a0 ½ ") == "fine x 12\n1⁄2"
+    assert one(spark, tx.collapse(F.col("t")), t="\u2003a\u00a0\u3000b\x85") == "a b"
+    assert one(spark, web.html_text(F.col("t")), t="foo<script>x</script>bar &eacute;&#x41; &amp;lt; <b>y</b><STYLE a>z</STYLE>") == "foobar éA &lt; y"
+
+
+@pytest.mark.parametrize(
+    ("status", "message", "name", "kind"),
+    [(429, "slow down", None, "internal"), (429, "Quota exceeded", None, "quota"), (402, "insufficient funds", None, "internal"), (None, "余额不足", "RateLimitError", "quota"), (400, "CONTENT_FILTER hit", None, "safety"),
+     (503, "x", None, "internal"), (503, "Bad Gateway", None, "temporary"), (None, None, "APITimeoutError", "temporary"), (200, "connection reset", None, "internal"), (None, "error 429: no credit", None, "quota")],
+)
+def test_error_classes(spark, status, message, name, kind):
+    assert one(spark, tx.error_class(F.lit(status).cast("int"), F.lit(message).cast("string"), F.lit(name).cast("string"))) == kind
+
+
+def test_queries_and_rewrites(spark):
+    clean = lambda t: one(spark, tx.clean_query(F.col("t")), t=t)
+    assert clean(" \n Standalone query:  - 'why \t so' -\nx") == "why so" and clean("") == "" and clean("a" * 300) == "a" * 240
+    assert clean("word " * 60) == " ".join(["word"] * 48) and clean("`x` fails") == "`x` fails"
+    looks = lambda t: one(spark, tx.looks_like_query(F.col("t")), t=t)
+    assert looks("what is {x} now") and not looks("{x") and not looks("Because I say so") and not looks("你好") and not looks("a " * 33) and not looks("Here's the rewritten query a")
+    parse = lambda t: one(spark, requests.parse_rewrite(F.col("t"), F.lit("keyword_enrichment")), t=t)
+    assert parse('{"query": "a b", "strategy": " NO_rewrite ", "search_queries": ["x", "X", "", "y", "z", "w"]}').asDict() == {"query": "a b", "searches": ["x", "y", "z"], "strategy": "no_rewrite"}
+    assert parse('```json\n{"standalone_query": "q", "strategy": "odd"}\n```')["strategy"] == "keyword_enrichment" and parse("```\n[1]\n``` {")["query"] is None
+    assert parse("plain words")["searches"] == ["plain words"] and parse('{"query": ""}')["query"] is None
+    topics = spark.createDataFrame([(1, 0, "Kafka uses my_topic and the log"), (1, 1, "kafka retention retention policy v2-x")], "c int, t int, text string")
+    assert [r["topic"] for r in tables.history_topics(topics, "c", "t").orderBy("rank").collect()] == ["Kafka", "my_topic", "v2-x", "kafka uses", "uses log", "kafka retention"]
+    assert one(spark, tx.ordered_distinct(F.col("w"), 2), w=[" A  b", "a B", "", "c", "d"]) == ["A b", "c"]
+
+
+def test_usage_and_messages(spark):
+    usage = lambda t: one(spark, tx.usage_payload(F.col("t")), t=t)
+    assert tuple(usage('{"usage": {"prompt_tokens": 3, "completion_tokens": "4", "input_tokens_details": {"cached_tokens": 2}}}')) == (3, 4, 7, 2)
+    assert tuple(usage('{"total_tokens": 9.0}')) == (0, 0, 9, None) and usage("{}") is None and usage("no json") is None
+    assert one(spark, tx.safe_message(F.col("s")), s="embed").endswith("embeddings.") and one(spark, tx.safe_message(F.col("s")), s="x") == "Ingestion failed."
+    assert one(spark, tx.clamp(F.col("v"), 1, 20, 5), v="99") == 20 and one(spark, tx.clamp(F.col("v"), 1, 20, 5), v="x") == 5
+    assert one(spark, tx.is_unknown(F.col("v")), v=" 我没有足够的信息 ") and one(spark, tx.retryable(F.lit(None).cast("int"), F.col("n")), n="RateLimitError")
+    said = spark.createDataFrame([(1, "user", "hi"), (1, "user", "你好"), (2, "assistant", "hi"), (2, "user", "1")], "c int, role string, text string")
+    assert {r["c"]: r["l"] for r in said.groupBy("c").agg(tx.thread_language(F.col("text"), F.col("role")).alias("l")).collect()} == {1: "zh", 2: "same_as_user"}
 
 
 def pack(text, high=800, overlap=75):
@@ -130,6 +174,21 @@ def test_bm25_pads_and_scores(spark):
     assert got == [(1, 1, True), (1, 2, True), (1, 3, False)]
 
 
+def test_stored_index_is_searched_refreshed_and_invalidated(spark, tmp_path):
+    rows = [(k, f"s{k % 5}", f"word{k} common text{k % 3}") for k in range(60)]
+    passages = lambda r: spark.createDataFrame(r, "id int, scope string, text string")
+    asked = spark.createDataFrame([(1, "s1", "word6 common"), (2, "s2", "text0 word7"), (3, "s4", "newword")], "query_id int, scope string, query string")
+    path = str(tmp_path / "index")
+    retrieval.store_index(passages(rows), path)
+    answer = lambda r, **how: sorted(map(tuple, retrieval.bm25_search(asked, r, 4, **how).select("query_id", "id", "rank", "score").collect()))
+    index = lambda: retrieval.load_index(spark, path, asked.select("scope"))
+    assert answer(None, index=index()) == answer(passages(rows)) and len(answer(None, index=index())) == 12
+    changed = [(k, s, t + (" newword" if k == 4 else "")) for k, s, t in rows if s != "s2"]
+    retrieval.refresh_index(passages(changed), path, spark.createDataFrame([("s2",), ("s4",)], "scope string"))
+    assert answer(None, index=index()) == answer(passages(changed)) and {q for q, *_ in answer(None, index=index())} == {1, 3}
+    assert retrieval.load_index(spark, path).members.count() == len(changed)
+
+
 def test_evaluation_golden_cases(spark):
     ranked = spark.createDataFrame([(1, "a", 1), (1, "x", 2), (1, "y", 3), (2, "x", 1), (2, "y", 2), (2, "b", 3), (3, "x", 1)], "query_id int, id string, rank int")
     truth = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (3, "q")], "query_id int, id string")
@@ -142,6 +201,15 @@ def test_evaluation_golden_cases(spark):
     rows = spark.createDataFrame([("m", float(i % 10), i) for i in range(200)], "metric_type string, metric_value double, key int")
     r = evaluation.bootstrap(rows, 200).first()
     assert r["low"] < 4.5 < r["high"] and r["high"] - r["low"] < 2
+    one_row = evaluation.bootstrap(spark.createDataFrame([("m", 3.0, 1)], "metric_type string, metric_value double, key int"), 50).first()
+    assert one_row["low"] == one_row["high"] == 3.0
+    cited = spark.createDataFrame([(1, "some answer", "has some text"), (1, "some answer", None)], "query_id int, answer string, content string")
+    found = {r["query_id"]: (r["support_rate"], r["wrong_rate"]) for r in evaluation.citation_support(cited, spark.createDataFrame([(1,), (2,)], "query_id int")).collect()}
+    assert found == {1: (0.5, 0.5), 2: (1.0, 0.0)}
+    runs, old = spark.createDataFrame([(1,), (2,)], "query_id int"), spark.createDataFrame([(1, "recall", 0.1), (2, "recall", 0.2), (9, "recall", 0.3)], "query_id int, metric_type string, metric_value double")
+    marked, left = requests.record_run(runs, old, old.where("query_id = 1").withColumn("metric_value", F.lit(0.9)))
+    assert {r["query_id"]: r["status"] for r in marked.collect()} == {1: "completed", 2: "failed"}
+    assert sorted(map(tuple, left.collect())) == [(1, "recall", 0.9), (9, "recall", 0.3)]
 
 
 def test_citations(spark):
@@ -151,8 +219,8 @@ def test_citations(spark):
     assert got == [(1, "a", False), (3, None, True)]
     assert one(spark, grounding.structured_indices(F.col("r")), r=json.dumps([2, "3", {"index": 4}, 0, "x", 2])) == [2, 3, 4]
     assert one(spark, grounding.answer_text(F.col("r")), r='{"response": " hi "}') == "hi"
-    done = grounding.finalise(answers, spark.createDataFrame([], "query_id int, chunk_count long"), F.lit("none")).first()
-    assert done["answer"] == "none" and not done["grounded"]
+    done = grounding.finalise(answers, spark.createDataFrame([], "query_id int, chunk_count long")).first()
+    assert done["answer"] == tx.UNKNOWN["en"] and not done["cited"]
 
 
 def test_coverage_and_profiles(spark):
@@ -164,6 +232,39 @@ def test_coverage_and_profiles(spark):
     assert nodes == {"a": (None, [0, 1]), "a/b": ("a", [0]), "a/c": ("a", [1]), "a/c/d": ("a/c", [1])}
 
 
+def test_keywords_weigh_headings_and_keep_references(spark):
+    rows = [(1, k, "Spark jobs spark 我们 数据", ["Data Flow"] if k < 2 else []) for k in range(5)]
+    chunks = spark.createDataFrame(rows, "id int, chunk_index int, content string, headings array<string>")
+    got = {r["term"]: (r["rank"], r["label"], r["weight"], r["chunks"]) for r in profiles.keywords(chunks, headings="headings").collect()}
+    assert got == {"spark": (1, "Spark", 10.0, [0, 1, 2]), "data flow": (2, "Data Flow", 6.0, [0, 1]), "jobs": (3, "jobs", 5.0, [0, 1, 2]), "数据": (4, "数据", 4.0, [0, 1, 2])}
+
+
+def test_digests_and_snapshots(spark):
+    text = "First thing. Second thing! Third one. First  thing. Fifth."
+    docs = spark.createDataFrame([(1, text), (2, "only"), (3, "no chunks")], "id int, text string")
+    chunks = spark.createDataFrame([(1, k, f"chunk {k} " + "x" * 300, ["Head", "Sub"] if k == 1 else []) for k in range(4)] + [(2, 0, "only", [])], "id int, chunk_index int, content string, headings array<string>")
+    sections, terms = profiles.outline(chunks, "id", "headings"), profiles.keywords(chunks, headings="headings")
+    made = {r["id"]: r for r in profiles.digests(docs, chunks, sections, terms).collect()}
+    assert set(made) == {1, 2} and made[1]["overview"] == "First thing. Second thing!" and made[1]["assertions"] == ["First thing.", "Second thing!", "Third one.", "Fifth."]
+    assert made[1]["themes"][:3] == ["Head", "Sub", "chunk"] and made[1]["gaps"] == [] and made[2]["gaps"] == [profiles.NO_OUTLINE]
+    assert [p["chunk_index"] for p in made[1]["passages"]] == [0, 1, 2] and made[1]["passages"][0]["text"].endswith("...")
+    drafts = spark.createDataFrame([(1, "", ["T", "t", " "], ["a"], [(9, "gone"), (3, " kept ")], [], [("  big   term ", None, [0, 7]), ("", 1.0, [0]), ("other", 2.0, [8])]), (2, "own", [], [], [(5, "gone")], ["g"], [])],
+                                   "id int, overview string, themes array<string>, assertions array<string>, passages array<struct<chunk_index: int, text: string>>, gaps array<string>, keywords array<struct<term: string, weight: double, chunks: array<int>>>")
+    fallback = spark.createDataFrame([(1, "fb", [(0, "p")], [("k", 1.0, [0])]), (2, "fb2", [(0, "only")], [("k2", 1.0, [0])])], "id int, overview string, passages array<struct<chunk_index: int, text: string>>, keywords array<struct<term: string, weight: double, chunks: array<int>>>")
+    got = {r["id"]: r for r in profiles.normalised_digests(drafts, chunks, fallback).collect()}
+    assert got[1]["overview"] == "fb" and got[1]["themes"] == ["T"] and [tuple(p) for p in got[1]["passages"]] == [(3, "kept")]
+    assert [(k["term"], k["weight"], k["chunks"]) for k in got[1]["keywords"]] == [("big term", 1.0, [0]), ("other", 2.0, [0])]
+    assert got[2]["overview"] == "own" and [tuple(p) for p in got[2]["passages"]] == [(0, "only")] and got[2]["keywords"][0]["term"] == "k2"
+    assert one(spark, profiles.fallback_overview(F.col("t"), F.array(F.lit("c1"), F.lit("c2"))), t="") == "c1 c2"
+    stored = spark.createDataFrame([(1, " ", [], ["a", "b", "c"], [], []), (2, "", [], [], [(0, " "), (1, "p")], []), (3, "", [" "], [], [], [""]), (4, "o", ["x", "x "], [], [], ["k"] * 3)],
+                                   "id int, overview string, themes array<string>, assertions array<string>, passages array<struct<chunk_index: int, text: string>>, keywords array<string>")
+    assert {r["id"]: (r["overview"], r["themes"], r["top_keywords"]) for r in profiles.snapshot_summaries(stored).collect()} == {1: ("a b", [], []), 2: ("p", [], []), 4: ("o", ["x"], ["k"])}
+    metrics = profiles.content_metrics(chunks.withColumns({"char_start": F.lit(0), "char_end": F.lit(5), "token_count": F.lit(2)}), sections=sections, terms=terms)
+    assert {r["id"]: (r["section_count"], r["heading_depth"]) for r in metrics.collect()} == {1: (2, 2), 2: (0, 0)}
+    snaps = profiles.snapshots(docs, profiles.digests(docs, chunks, sections, terms), metrics).collect()
+    assert {r["source_content_hash"] for r in snaps} == {hashlib.sha256(t.encode()).hexdigest() for t in (text, "only")} and snaps[0]["schema_version"] == "1.0"
+
+
 def test_pages_meet_chunks(spark):
     chunks = spark.createDataFrame([(1, 0, 0, 12), (1, 1, 12, 20)], "id int, chunk_index int, char_start int, char_end int")
     pages = spark.createDataFrame([(1, 1, ["H"], 0, 10), (1, 2, ["K"], 11, 20)], "id int, page_number int, headings array<string>, char_start int, char_end int")
@@ -179,6 +280,20 @@ def test_tables(spark):
     assert one(spark, tables.bigrams(F.col("w")), w=["a", "b", "c"]) == ["a b", "b c"]
 
 
+def test_scopes_and_resets(spark):
+    books = spark.createDataFrame([(1, "me", None), (2, "me", "2024-01-01"), (3, "you", None)], "notebook_id int, owner string, deleted_at string")
+    sources = spark.createDataFrame([(10, 1, "failed", "x"), (20, 2, "ready", None), (30, 3, "ready", None)], "source_id int, notebook_id int, status string, error_message string")
+    asked = spark.createDataFrame([(10,), (20,), (30,), (40,), (10,)], "source_id int")
+    found = lambda **how: {r["source_id"]: r["found"] for r in tables.live_sources(asked, sources, books, **how).collect()}
+    assert found() == {10: True, 20: False, 30: True, 40: False} and found(owner=F.lit("me"))[30] is False
+    jobs_ = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "job_id int, source_id int")
+    assert {r["job_id"] for r in tables.live_jobs(jobs_, sources, books).collect()} == {1, 3}
+    fresh, left, chunks = tables.reset_ingestion(sources, jobs_, jobs_, asked.where("source_id = 10"))
+    assert {r["source_id"]: (r["status"], r["error_message"]) for r in fresh.collect()}[10] == ("pending", None) and left.count() == chunks.count() == 2
+    empty = retrieval.embedding_coverage(spark.createDataFrame([], "embedding array<double>")).first()
+    assert (empty["total"], empty["coverage_percent"]) == (0, 0.0)
+
+
 def test_sources(spark, tmp_path):
     assert one(spark, web.html_text(F.col("h")), h="<p>a&amp;b</p><script>x</script> c") == "a&b c"
     assert one(spark, web.video_id(F.col("u")), u="https://youtu.be/abcdefghijk?t=1") == "abcdefghijk"
@@ -203,6 +318,11 @@ def test_streams(spark, tmp_path):
     stored = spark.read.parquet(store)
     assert sorted((r["id"], r["version"]) for r in stored.collect()) == [(1, 0), (2, 0), (2, 1)]
     assert sorted((r["id"], r["content"]) for r in jobs.current_chunks(stored).collect()) == [(1, "One sentence. Two."), (2, "Changed.")]
+    for k, more in enumerate(([(2, "Other text.")], [(1, " "), (3, "Only a.")])):
+        spark.createDataFrame(more, "doc_id long, text string").write.mode("append").parquet(str(source))
+        jobs.incremental_chunks(read(), store, check).awaitTermination()
+        now = sorted((r["id"], r["content"]) for r in jobs.current_chunks(spark.read.parquet(store)).collect())
+        assert now == [[(1, "One sentence. Two."), (2, "Other text.")], [(2, "Other text."), (3, "Only a.")]][k]
     fields = spark.createDataFrame([(1, 1, "a", None), (1, 2, None, "b"), (1, 3, None, None)], "k int, t int, x string, y string")
     assert jobs.merged_fields(fields, "k", "t", ["x", "y"]).first()[1:] == ("a", "b")
 
