@@ -76,7 +76,7 @@ def test_queries_and_rewrites(spark):
     assert parse('```json\n{"standalone_query": "q", "strategy": "odd"}\n```')["strategy"] == "keyword_enrichment" and parse("```\n[1]\n``` {")["query"] is None
     assert parse("plain words")["searches"] == ["plain words"] and parse('{"query": ""}')["query"] is None
     topics = spark.createDataFrame([(1, 0, "Kafka uses my_topic and the log"), (1, 1, "kafka retention retention policy v2-x")], "c int, t int, text string")
-    assert [r["topic"] for r in tables.history_topics(topics, "c", "t").orderBy("rank").collect()] == ["Kafka", "my_topic", "v2-x", "kafka uses", "uses log", "kafka retention"]
+    assert [r["topic"] for r in tables.history_topics(topics, "c", "t").orderBy("rank").collect()] == ["Kafka", "my_topic", "v2-x", "kafka uses", "uses topic", "topic log"]
     assert one(spark, tx.ordered_distinct(F.col("w"), 2), w=[" A  b", "a B", "", "c", "d"]) == ["A b", "c"]
 
 
