@@ -1,7 +1,12 @@
 """Document fingerprints as invertible Bloom lookup sketches. DataFrame and SQL operations only.
 
-A paragraph is a line, cut every ``PIECE`` code points; blank lines are passed over. Its digest has 48 bits
-of a hash and 16 bits of a hash of those. A sketch has three subtables of 16 cells, each with a count and
+A paragraph is a stretch of text up to a line end or the end of a sentence, at least a sixteenth and at most a quarter
+of the text long: after as many code points as the largest power of two in an eighth of the text's length
+(``LEAST`` or more) it goes on to the next such end, for at most as many again. So a text has at most sixteen,
+whatever its length; an insertion changes the paragraph it falls in and, where texts have ends, no later one;
+and a replaced last third leaves whole paragraphs ahead of it in any text of 48 code points or more. Versions on
+two sides of a power of two in length are cut differently and share hardly any. A digest has 48 bits of a hash
+and 16 bits of a hash of those. A sketch has three subtables of 16 cells, each with a count and
 the exclusive-or of the digests that fall there. The sketches of two versions are subtracted cell by cell;
 then a cell with a count of one and a digest that checks gives up that digest, which is taken out of its
 other cells, and so on (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables"). If cells are left over
@@ -24,7 +29,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import materialise
 
-PIECE, BITS, ROUNDS = 256, 4, 10
+LEAST, BITS, ROUNDS = 16, 4, 10
+_END = "\\n.!?。！？"
 #: Digests of both sides that one subsketch of a retry is planned for.
 SUBSKETCH = 20
 _LOW = "281474976710655L"
@@ -32,9 +38,16 @@ _ZERO = "named_struct('c', 0, 'x', 0L)"
 _NONE = "cast(array() as array<bigint>)"
 
 
+def paragraphs(text: Column) -> Column:
+    """The text cut into paragraphs; joined they are the text."""
+    size = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.length(F.bin(F.floor(F.length(text) / 8))) - 1).cast("int")).cast("string")
+    pattern = F.concat(F.lit("(?s).{"), size, F.lit(f"}}[^{_END}]{{0,"), size, F.lit(f"}}[{_END}]?|.+"))
+    return F.regexp_extract_all(text, pattern, F.lit(0))
+
+
 def paragraph_digests(text: Column) -> Column:
     """Different digests of a text's paragraphs."""
-    low = F.transform(F.regexp_extract_all(text, F.lit(rf"[^\n]{{1,{PIECE}}}"), F.lit(0)), lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 48) - 1)))
+    low = F.transform(paragraphs(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 48) - 1)))
     return F.array_distinct(F.transform(low, lambda d: F.shiftleft(F.xxhash64(d).bitwiseAND(F.lit(65535)), 48).bitwiseOR(d)))
 
 
@@ -121,7 +134,8 @@ def neighbours(ids: DataFrame) -> DataFrame:
 
 
 def _key(key: str) -> Column:
-    return F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    """A key of an id; null is told from every text."""
+    return F.when(F.col(key).isNull(), F.lit("-")).otherwise(F.concat(F.lit(":"), F.col(key).cast("string")))
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
