@@ -1,7 +1,7 @@
 """Personal data: generators propose spans, boosted trees choose among them. DataFrame operations only.
 
 Generators are patterns of high recall whose spans may overlap: for each kind the base pattern, and looser
-ones (spelled-out addresses, numbers without a plus sign, dotted card numbers). A base span that passes its
+ones (spelled-out addresses, numbers without a plus sign, dotted card numbers, addresses with bracketed dots). A base span that passes its
 check (octets, Luhn, number of digits) is always kept. The others are scored by gradient-boosted trees over
 format and context features, taught by base spans that pass and that fail their checks, by passing ones as
 the looser generators would see them, and by other candidates that format or context contradicts (these are
@@ -10,7 +10,8 @@ small whole numbers, so one aggregation over every candidate gives the complete
 at most a few thousand different feature rows with counts; trees are fitted to those counts and scored as a
 SQL expression. Each kind's threshold is the lowest at which the other half of the documents shows a
 precision of ``precision`` or more, 0.5 for a kind without failures there; one without passes adds nothing. Added spans never
-overlap base spans; of those that overlap each other the best one stays.
+overlap base spans; of those that overlap each other the best one stays, then the best that doesn't overlap it,
+and so on.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans. Repeated rows are separate rows.
 Patterns use possessive quantifiers and start at the edge of a run, so a very long run of one character
@@ -30,6 +31,8 @@ from corpusloom.llm.shared import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
+#: A dot between octets that is written so that it isn't read as one.
+_DOT = r"(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\x20dot\x20)"
 
 #: (kind, whether it is the base pattern, a character the text must have, pattern)
 GENERATORS = (
@@ -40,6 +43,7 @@ GENERATORS = (
     ("email", False, r"[\[(]|\bat\b", rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?(?:\[at\]|\(at\)|(?<= )at(?= )) ?[A-Za-z0-9-]++ ?(?:\[dot\]|\(dot\)|(?<= )dot(?= )|\.) ?[A-Za-z]{{2,24}}"),
     ("card", False, "[0-9]", r"(?<![0-9.])[0-9]{4}([.\x20_/-]{1,2})[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}(?![0-9.])"),
     ("phone", False, "[0-9]", r"(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])"),
+    ("ip", False, "[0-9]", rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
     ("phone", False, "[0-9]", r"(?<![0-9A-Za-z.])00[1-9][0-9 ()-]{8,16}[0-9](?![0-9A-Za-z])"),
 )
 
@@ -84,7 +88,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     size = F.length("hit")
     spans = spans.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
     digits = F.regexp_replace("hit", "[^0-9]", "")
-    octets = F.forall(F.split("hit", r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(F.concat(F.lit("00"), p), F.lit(3)).try_cast("int") <= 255))
+    plain = F.when(F.col("kind") == 1, F.regexp_replace("hit", _DOT, ".")).otherwise(F.col("hit"))
+    octets = F.forall(F.split(plain, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.right(F.concat(F.lit("00"), p), F.lit(3)).try_cast("int") <= 255))
     n = F.length(digits)
     made = spans.select(
         "row", "id", "mark", "kind", "base", "start", "end",
@@ -96,7 +101,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.least(F.length(F.regexp_replace("hit", "[^A-Za-z]", "")), F.lit(3)).alias("letters"),
         F.least(F.length(F.regexp_replace("hit", r"[^.]", "")), F.lit(4)).alias("dots"),
         F.col("hit").startswith("+").cast("int").alias("plus"),
-        F.when(F.col("kind") == 0, F.col("hit").rlike(r"@|[\[(]at[\])]").cast("int")).when(F.col("hit").rlike(r"^[0-9]+(\.[0-9]+){3}$"), octets.cast("int")).otherwise(0).alias("octets"),
+        F.when(F.col("kind") == 0, F.col("hit").rlike(r"@|[\[(]at[\])]").cast("int")).when(plain.rlike(r"^[0-9]+(\.[0-9]+){3}$"), octets.cast("int")).otherwise(0).alias("octets"),
         F.when(F.col("prior").rlike(_CUE_FOR), 2).when(F.col("prior").rlike(_CUE_AGAINST), 1).otherwise(0).alias("cue"),
         n.alias("n"),
         F.coalesce(F.col("next").rlike(r"^[\x20.-][0-9]") | F.col("prior").rlike(r"[0-9][\x20.-]$"), F.lit(False)).alias("runs_on"),
@@ -104,6 +109,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     valid = (F.when(F.col("kind") == 0, F.lit(True)).when(F.col("kind") == 1, F.col("octets") == 1)
              .when(F.col("kind") == 2, F.col("n").between(14, 19) & (F.col("luhn") == 1)).otherwise(F.col("n").between(10, 15)))
     against = (F.when(F.col("cue") == 1, True).when(F.col("kind") == 0, (F.col("octets") == 0) & (F.col("cue") != 2))
+               .when(F.col("kind") == 1, F.col("octets") == 0)
                .when(F.col("kind") == 2, ~F.col("n").between(14, 19) | (F.col("luhn") == 0)).otherwise(~F.col("n").between(10, 15) | F.col("runs_on")))
     return made.withColumn("valid", F.when(F.col("base"), valid).when(against, False)).drop("n")
 
@@ -202,7 +208,7 @@ def _loosened(x: tuple) -> list[tuple]:
         fewer = [{"digits": row["digits"] - 1, "groups": row["groups"] - 1, "plus": 0}] if row["digits"] > 10 else []
         forms = [{"plus": 0}, *fewer]
     else:
-        forms = []
+        forms = [{"letters": letters, "dots": dots} for letters, dots in ((0, 3), (3, 0))]
     return [tuple((row | form | {"cue": cue}).values()) for form in forms for cue in sorted({0, row["cue"]})]
 
 
@@ -233,11 +239,17 @@ def choose(found: DataFrame, model: BoostedTrees) -> DataFrame:
     taken = taken.withColumn("next_base", F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing)))
     clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("next_base") >= F.col("end"), F.lit(True))
     taken = taken.where(F.col("base") | clear)
-    each = Window.partitionBy("row", "base").orderBy("start", "end", "kind")
-    taken = taken.withColumn("fresh", (F.coalesce(F.max("end").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= F.col("start")).cast("int"))
-    taken = taken.withColumn("island", F.sum("fresh").over(each.rowsBetween(Window.unboundedPreceding, 0)))
-    best = Window.partitionBy("row", "base", "island").orderBy(F.desc("score"), "start", F.desc("end"), "kind")
-    return taken.withColumn("place", F.row_number().over(best)).where("base OR place = 1").select("row", "id", "kind", "start", "end", "base", "score")
+    kept = ["row", "id", "kind", "start", "end", "base", "score"]
+    added = taken.where(~F.col("base"))
+    each = Window.partitionBy("row").orderBy("start", "end", "kind")
+    added = added.withColumn("fresh", (F.coalesce(F.max("end").over(each.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) <= F.col("start")).cast("int"))
+    added = added.withColumn("island", F.sum("fresh").over(each.rowsBetween(Window.unboundedPreceding, 0)))
+    # an island is a chain of overlapping spans; it is emptied from the best span down
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("loss"), "start", (-F.col("end")).alias("back"), "kind")))
+    free = "NOT exists(a, y -> y.start < -x.back AND -y.back > x.start)"
+    islands = added.groupBy("row", "id", "island").agg(best.alias("s")).select("row", "id", F.expr(f"inline(aggregate(s, slice(s, 1, 0), (a, x) -> IF({free}, concat(a, array(x)), a)))"))
+    chosen = islands.select("row", "id", "kind", "start", (-F.col("back")).alias("end"), F.lit(False).alias("base"), (-F.col("loss")).alias("score"))
+    return taken.where("base").select(*kept).unionByName(chosen.select(*kept))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:

@@ -11,7 +11,8 @@ the exclusive-or of the digests that fall there. The sketches of two versions ar
 then a cell with a count of one and a digest that checks gives up that digest, which is taken out of its
 other cells, and so on (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables"). If cells are left over
 the difference was too large: the comparison is made again with a sketch that is larger by as many
-subsketches as the digests need, and a subsketch that fails once more gets tables of 32, 64 and 128 cells.
+subsketches as the digests need, and a subsketch that fails once more gets tables of 32, 64 and 128 cells. These
+larger sketches, of the same digests, belong to the comparison; under one in twenty neighbours needs one.
 
 A fingerprint is the number of different paragraphs and the cells. The likeness of two fingerprints is the
 share of paragraphs that both have among those that either has; two empty texts are alike (1). Paragraphs

@@ -93,3 +93,31 @@ def test_spelled_out_addresses_and_bare_phones_are_redacted(spark):
     assert [text[i] for i in range(1000, 1004)] == ["reach [EMAIL] soon", "ask [EMAIL] today", "ring [PHONE] or so", "[PHONE]"]
     assert [text[i] for i in range(1004, 1008)] == [t for _, t in rows[-4:]]
     assert text[7] == "write to [EMAIL] or call [PHONE] now"
+
+
+def test_chains_of_overlapping_spans_lose_only_what_overlaps(spark):
+    """A meets B and B meets C: with B the worst, A and C stay; with B the best, only B."""
+    model = pii.BoostedTrees([(1, 10, -0.5, (1, 12, 2.0, 1.0))], 1.0, 0.0, [0.5] * 4)
+    feature = {f: 0 for f in pii.FEATURES}
+
+    def span(row, start, end, digits, base=False):
+        return {**feature, "row": row, "id": row, "mark": 0, "kind": 3, "base": base, "start": start, "end": end, "digits": digits, "valid": True if base else None, "runs_on": False}
+
+    rows = [span(1, 0, 10, 11), span(1, 8, 20, 15), span(1, 18, 30, 11), span(2, 0, 10, 15), span(2, 8, 20, 11), span(2, 18, 30, 11), span(3, 0, 10, 11), span(3, 5, 15, 0, True), span(3, 40, 50, 9)]
+    schema = "row long, id long, mark long, base boolean, start long, end long, valid boolean, runs_on boolean, " + ", ".join(f"{f} int" for f in pii.FEATURES)
+    names = [c.split()[0] for c in schema.split(", ")]
+    frame = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    got = sorted((r["row"], r["start"], r["end"]) for r in pii.choose(frame, model).collect())
+    assert got == [(1, 0, 10), (1, 18, 30), (2, 8, 20), (3, 5, 15)]
+
+
+def test_bracketed_dots_and_awkward_rows(spark):
+    rows = [(i, f"host 10.0.{i % 250}.7 and mail u{i}@x.org, section 400.1.1.{i}") for i in range(300)]
+    rows += [(1000, "see 10[.]0[.]3[.]9 or 192 dot 168 dot 1 dot 20 there"), (1001, "not 300[.]0[.]3[.]9"), (1000, "see 10[.]0[.]3[.]9 or 192 dot 168 dot 1 dot 20 there"), (None, "a@b.cd"), (None, "a@b.cd"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, kind int")
+    found = pii.find(docs).collect()
+    assert len(found) == len(rows)
+    taken = [[(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in found if r["id"] in (1000, 1001)]
+    assert sorted(taken) == [[], [("ip", 4, 18), ("ip", 22, 46)], [("ip", 4, 18), ("ip", 22, 46)]]
+    assert [len(r["spans"]) for r in found if r["id"] is None].count(1) == 2
+    assert pii.redact(docs).where("doc_id = 1000").first()["text"] == "see [IP] or [IP] there"
