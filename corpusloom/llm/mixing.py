@@ -43,15 +43,15 @@ def cycle_weights(sources: DataFrame, cycle: int = 3) -> DataFrame:
 def targets(sources: DataFrame, most: int = 3) -> DataFrame:
     """``sources`` (source, source_size, weight) with ``target``: shares by weight, at most ``most`` times the size."""
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    capped = F.lit(False)
-    held = -1
+    # shares only grow, so whatever any round caps is what the largest share so far caps
+    top, held = None, -1
     while True:
+        capped = F.lit(False) if top is None else F.lit(top) * F.col("weight") > F.lit(float(most)) * F.col("source_size")
         row = sources.agg(F.sum(F.when(capped, F.col("source_size"))).alias("size"), F.sum(F.when(~capped, F.col("weight"))).alias("weight"), F.count_if(capped).alias("n")).first()
         share = float(total - most * (row["size"] or 0)) / float(row["weight"]) if row["weight"] else 0.0
         if row["n"] == held:
             break
-        held = row["n"]
-        capped = capped | (F.lit(share) * F.col("weight") > F.lit(float(most)) * F.col("source_size"))
+        held, top = row["n"], share if top is None else max(top, share)
     return sources.withColumn("target", F.when(capped, F.lit(float(most)) * F.col("source_size")).otherwise(F.lit(share) * F.col("weight")))
 
 

@@ -29,19 +29,23 @@ def tokenizer_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its source's target and the words the mix takes. A null text has size 0; a null source is one; repeated rows draw alike."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with the row of its group that stays. Null is empty; an empty table gives no rows."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its scores. Null is empty; a null id is in training; repeated rows count as often as they occur."""
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its fingerprint and component. Null is empty; a null id is the largest; repeated rows have one fingerprint."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
@@ -54,6 +58,7 @@ def toxicity_chain(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its probabilities. Null is empty; labels without a document are passed over; repeated rows are scored alike."""
     docs = table(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity_chain(spark, sf_dir, docs))
     return found.select(F.col("id").alias("doc_id"), "p_toxic_in_good", "p_toxic_in_poor", "p_toxic", F.col("flagged").alias("toxic"))
@@ -64,6 +69,7 @@ def _is_kind(kind: str, span: Column) -> Column:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its spans. Null is empty; repeated rows are separate rows."""
     found = pii.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.filter(base, partial(_is_kind, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -71,6 +77,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every row. Null is empty, its one id the end; repeated rows are separate documents."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -94,10 +101,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row against its edited text and the next one. Null is empty; repeated rows follow each other."""
     return sketches.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with what is left of it. Null has no words; rows of one id are one document; a null id is the largest."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -69,23 +69,32 @@ def _chance(z: np.ndarray) -> np.ndarray:
 
 
 def fit_linear(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, weight: np.ndarray, earlier: np.ndarray, steps: int = 60, decay: float = 1e-4) -> Linear:
-    """A logistic model by full-batch gradient steps (Adam), with L2 decay."""
+    """A logistic model by full-batch gradient steps (Adam), with L2 decay.
+
+    A feature's value is the log-odds by which the class's share among its documents differs from that among all,
+    shrunk for rare features: telling features move far in a few steps, chance ones hardly.
+    """
     n, share = len(y), float(np.clip(np.average(y, weights=weight), 1e-6, 1 - 1e-6)) if len(y) else 0.5
     bias, weights, extra = float(np.log(share / (1 - share))), np.zeros(1 << BITS), np.zeros(earlier.shape[1])
     if n == 0 or y.min() == y.max():
         return Linear(weights, extra, bias)
     chosen, place = np.unique(feature, return_inverse=True)
-    k = len(chosen)
+    k, plain = len(chosen), y.mean()
+    with_, seen = np.bincount(place, y[doc], k), np.bincount(place, minlength=k)
+    odds = np.log((with_ + 2 * plain) / (seen - with_ + 2 * (1 - plain))) - np.log(plain / (1 - plain))
+    scale = np.abs(odds) * seen / (seen + 3)
+    scale /= max(scale.max(initial=0.0), 1e-12)
+    value = scale[place]
     theta = np.zeros(k + len(extra) + 1)
     theta[-1] = bias
     m, v, w = np.zeros_like(theta), np.zeros_like(theta), weight / weight.sum()
     for t in range(1, steps + 1):
-        g = w * (_chance(np.bincount(doc, theta[place], n) + earlier @ theta[k:-1] + theta[-1]) - y)
-        grad = np.concatenate([np.bincount(place, g[doc], k), earlier.T @ g, [g.sum()]])
+        g = w * (_chance(np.bincount(doc, theta[place] * value, n) + earlier @ theta[k:-1] + theta[-1]) - y)
+        grad = np.concatenate([np.bincount(place, g[doc], k) * scale, earlier.T @ g, [g.sum()]])
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    weights[chosen] = theta[:k]
+    weights[chosen] = theta[:k] * scale
     return Linear(weights, theta[k:-1].copy(), float(theta[-1]))
 
 

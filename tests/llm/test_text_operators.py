@@ -241,6 +241,16 @@ def test_packing_round_trip(spark, docs, plain):
     assert 0 <= digest["ids_crc32"] < 1 << 32 and zlib.crc32(b"") == 0
 
 
+def test_packing_null_and_repeated_ids(spark, plain):
+    rows = [(None, "one two"), (None, None), (3, "same text here"), (3, "same text here"), (3, "other")]
+    pieces = packing.pack_documents(frame(spark, rows), queries.tokenizer_path()).collect()
+    want = sorted((i is None, i or 0, len(plain(t)) + 1) for i, t in rows)
+    got = defaultdict(int)
+    for p in pieces:
+        got[p["doc_id"]] += p["length"]
+    assert {k: got[k] for k in got} == {None: sum(n for none, _, n in want if none), 3: sum(n for none, _, n in want if not none)}
+
+
 def test_packer_places_by_sum_of_squares():
     rng = np.random.default_rng(1)
     packer = packing.LevelPacker(64)
