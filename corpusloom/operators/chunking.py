@@ -65,8 +65,8 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low:
 def with_pages(chunks: DataFrame, pages: DataFrame, source: str = "id") -> DataFrame:
     """Chunks with the pages that they overlap, the page of their start, and that page's headings."""
     p = pages.select(F.col(source).alias("_s"), "page_number", "headings", F.col("char_start").alias("p_start"), F.col("char_end").alias("p_end"))
-    met = chunks.join(p, (F.col(source) == F.col("_s")) & (F.col("char_start") < F.col("p_end")) & (F.col("char_end") > F.col("p_start")), "left")
+    met = chunks.hint("merge").join(p, (F.col(source) == F.col("_s")) & (F.col("char_start") < F.col("p_end")) & (F.col("char_end") > F.col("p_start")), "left")
     holds = (F.col("p_start") <= F.col("char_start")) & (F.col("char_start") < F.col("p_end"))
     main = F.min_by(F.struct("page_number", "headings"), F.struct(~holds, "p_start"))
     found = met.groupBy(source, "chunk_index").agg(F.array_sort(F.collect_set("page_number")).alias("pages"), main.alias("main"))
-    return chunks.join(found, [source, "chunk_index"]).withColumns({"page": F.col("main.page_number"), "headings": F.col("main.headings")}).drop("main")
+    return chunks.hint("merge").join(found, [source, "chunk_index"]).withColumns({"page": F.col("main.page_number"), "headings": F.col("main.headings")}).drop("main")

@@ -11,7 +11,7 @@ from corpusloom.functions.text import citation_indices, is_unknown, language, qu
 def evidence(ranked: DataFrame, passages: DataFrame) -> DataFrame:
     """Ranked passages with their number, quote and text; payload is joined after ranking."""
     body = passages.select("id", F.col("text").alias("content"), quote(F.col("text")).alias("quote"))
-    return ranked.join(body, "id").select("query_id", F.col("rank").alias("citation_index"), "id", "score", "quote", "content")
+    return ranked.hint("merge").join(body, "id").select("query_id", F.col("rank").alias("citation_index"), "id", "score", "quote", "content")
 
 
 def diagnostics(found: DataFrame, source: str = "scope") -> DataFrame:
@@ -87,4 +87,4 @@ def prompt(found: DataFrame, questions: DataFrame) -> DataFrame:
     """The numbered evidence block of each question."""
     line = F.concat(F.lit("["), F.col("citation_index"), F.lit("] "), F.col("content"))
     blocks = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation_index", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("evidence"))
-    return questions.join(blocks, "query_id", "left").withColumn("prompt", F.concat_ws("\n\n", F.col("evidence"), F.concat(F.lit("Question: "), F.col("query"))))
+    return questions.join(blocks.hint("merge"), "query_id", "left").withColumn("prompt", F.concat_ws("\n\n", F.col("evidence"), F.concat(F.lit("Question: "), F.col("query"))))

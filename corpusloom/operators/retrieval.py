@@ -171,14 +171,22 @@ def embed(rows: DataFrame, text: str, model: Callable | None = None, size: int =
     return rows.withColumn("embedding", run(text))
 
 
+#: Passages of a scope that one task meets with the scope's queries.
+BLOCK = 50_000
+
+
 def cosine_search(queries: DataFrame, passages: DataFrame, k: int = 10, least: float = 0.0) -> DataFrame:
     """Exact cosine over the passages of a query's scope; null, empty and zero vectors are never returned.
 
-    Both sides are normalised once before the join; scores are computed row by row in the JVM.
+    Both sides are normalised once before the join; scores are computed row by row in the JVM. The passages of a
+    scope are met in blocks of about ``BLOCK``, to each of which its queries are sent, so that a large scope isn't
+    one task; the best k of a block go on.
     """
-    q = queries.where(has_vector(F.col("embedding"))).select("query_id", "scope", l2_normalise(F.col("embedding")).alias("q"))
-    p = passages.where(has_vector(F.col("embedding"))).where(norm(F.col("embedding")) > 0).select("scope", "id", l2_normalise(F.col("embedding")).alias("p"))
-    return top_k(q.join(p, "scope").select("query_id", "id", dot(F.col("q"), F.col("p")).alias("score")).where(F.col("score") >= least), k)
+    sizes = passages.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-sizes // BLOCK))
+    q = queries.where(has_vector(F.col("embedding"))).select("query_id", "scope", l2_normalise(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    p = passages.where(has_vector(F.col("embedding"))).where(norm(F.col("embedding")) > 0).select("scope", "id", l2_normalise(F.col("embedding")).alias("p"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    return top_k(q.hint("merge").join(p, ["scope", "block"]).select("query_id", "id", dot(F.col("q"), F.col("p")).alias("score")).where(F.col("score") >= least), k)
 
 
 def approximate_search(queries: DataFrame, passages: DataFrame, k: int = 10, tables: int = 4, length: float = 0.6, least: float = 0.0) -> DataFrame:

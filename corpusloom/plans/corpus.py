@@ -136,7 +136,7 @@ def source_keywords(spark, sf) -> DataFrame:
 
 @entered(f"WITH {KEYWORDS} SELECT source, rank, term, weight, sources FROM (SELECT source, term, sum(weight) AS weight, count(*) AS sources, row_number() OVER (PARTITION BY source ORDER BY sum(weight) DESC, term) AS rank FROM top GROUP BY source, term) WHERE rank <= 10")
 def key_topics(spark, sf) -> DataFrame:
-    words = _keywords(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
+    words = _keywords(spark, sf).hint("merge").join(documents(spark, sf).select("doc_id", "source"), "doc_id")
     return profiles.key_topics(words, "source").select("source", "rank", "term", "weight", "sources")
 
 
@@ -146,7 +146,7 @@ def key_topics(spark, sf) -> DataFrame:
            round(len(list_intersect(x.terms, y.terms)) / (len(x.terms) + len(y.terms) - len(list_intersect(x.terms, y.terms))), 6) AS overlap
     FROM c x JOIN c y ON x.source = y.source AND x.doc_id < y.doc_id WHERE len(list_intersect(x.terms, y.terms)) > 0""")
 def source_overlap(spark, sf) -> DataFrame:
-    words = _keywords(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
+    words = _keywords(spark, sf).hint("merge").join(documents(spark, sf).select("doc_id", "source"), "doc_id")
     return profiles.source_overlap(words, "source", "doc_id").withColumn("overlap", F.round("overlap", 6))
 
 

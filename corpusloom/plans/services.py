@@ -171,7 +171,7 @@ def chunk_pages(spark, sf) -> DataFrame:
 
 @entered(f"WITH {KEYWORDS}, e AS (SELECT source, doc_id, term, weight, sum({TOKENS.format('term')}) OVER (PARTITION BY source ORDER BY weight DESC, term, doc_id) AS used FROM top) SELECT source, doc_id, term, weight FROM e WHERE used <= 2000")
 def content_maps(spark, sf) -> DataFrame:
-    words = _keywords(spark, sf).join(documents(spark, sf).select("doc_id", "source"), "doc_id")
+    words = _keywords(spark, sf).hint("merge").join(documents(spark, sf).select("doc_id", "source"), "doc_id")
     return requests.content_map(words, "source", "doc_id").select("source", "doc_id", "term", "weight")
 
 
@@ -240,7 +240,7 @@ def metric_regressions(spark, sf) -> DataFrame:
 @entered(f"WITH {search._BM25} SELECT query_id, source, string_agg(rank, ',' ORDER BY rank) AS indices FROM bm25 JOIN documents ON doc_id = bm25.id WHERE rank <= 5 GROUP BY query_id, source")
 def evidence_by_source(spark, sf) -> DataFrame:
     found = grounding.evidence(retrieval.bm25_search(search.asked(spark, sf), k=5, index=search.index(spark, sf)), search.passages(spark, sf))
-    return grounding.by_source(found.join(search.passages(spark, sf).select("id", "scope"), "id")).select("query_id", F.col("scope").alias("source"), F.array_join("indices", ",").alias("indices"))
+    return grounding.by_source(found.hint("merge").join(search.passages(spark, sf).select("id", "scope"), "id")).select("query_id", F.col("scope").alias("source"), F.array_join("indices", ",").alias("indices"))
 
 
 @entered("""WITH a AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN '' WHEN item_id % 3 = 1 THEN text ELSE 'I don''t have enough information' END AS answer, text AS question, item_id % 5 AS n FROM benchmark)

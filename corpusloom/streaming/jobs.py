@@ -48,7 +48,7 @@ def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col:
         rows = last.withColumn("hash", content_hash(F.col("text")))
         try:
             known = spark.read.parquet(store).where(F.col("version") < number).groupBy("id").agg(F.max_by("hash", "version").alias("hash"))
-            rows = rows.join(known, ["id", "hash"], "left_anti")
+            rows = rows.join(known.hint("merge"), ["id", "hash"], "left_anti")
         except AnalysisException as error:  # the first batch finds no store
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise

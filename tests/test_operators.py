@@ -139,6 +139,15 @@ def test_fusion_golden_case(spark):
     assert got["c2"] == (1, pytest.approx(1 / 62 + 1 / 61), 2, 1) and got["c1"][1] == pytest.approx(1 / 61) and got["c3"][2] is None
 
 
+def test_cosine_in_blocks_is_the_same(spark, monkeypatch):
+    rows = [(i, "s", [float((i * 7) % 11 - 5), float((i * 3) % 13 - 6)]) for i in range(200)]
+    p = spark.createDataFrame(rows, "id int, scope string, embedding array<double>")
+    q = p.where("id < 5").withColumnRenamed("id", "query_id")
+    whole = sorted(map(tuple, retrieval.cosine_search(q, p).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK", 17)
+    assert sorted(map(tuple, retrieval.cosine_search(q, p).collect())) == whole and len(whole) == 50
+
+
 def test_vectors_without_values_are_never_returned(spark):
     q = spark.createDataFrame([(1, "s", [1.0, 0.0])], "query_id int, scope string, embedding array<double>")
     p = spark.createDataFrame([(1, "s", [2.0, 0.0]), (2, "s", []), (3, "s", None), (4, "s", [0.0, 0.0]), (5, "s", [-1.0, 0.0]), (6, "t", [1.0, 0.0])], "id int, scope string, embedding array<double>")
