@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,15 @@ _stored: dict[tuple[str, str, str], str] = {}
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
     """The path of something derived from a table folder, built at its first use in an application.
 
-    It lies in the shared checkpoint folder, or in the warehouse where none is set.
+    It lies in the shared checkpoint folder; where none is set, in the warehouse on a cluster and in a temporary
+    folder on a single machine.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            local = spark.sparkContext.master.startswith("local")
+            folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
         path = f"{folder}/{name}-{key[0]}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
         build(path)
         _stored[key] = path
