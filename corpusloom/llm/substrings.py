@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import batch_size, batch_table, blobs, cuts, in_batches, mixed, pack_sorted, span_hashes, text_buffer, unblobbed, unpack_sorted, word_spans
 
