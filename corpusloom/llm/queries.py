@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, pii, simhash, sketches, substrings, toxicity
+from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, periodic_runs, pii, simhash, sketches, substrings, toxicity
 from corpusloom.llm.shared import shared_folder  # noqa: F401
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -112,6 +112,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its runs, a tenth of the texts made periodic first. Null has no words; a null id is left as it is; repeated rows are separate rows."""
+    found = periodic_runs.find_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")), "id", "text")
+    found = found.withColumn("best", periodic_runs.longest(F.col("runs")))
+    milli = F.expr("1000 * best.length div best.period")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli.alias("exponent_milli"),
+        F.sha2(periodic_runs.run_list(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -123,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
