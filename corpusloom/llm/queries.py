@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, exact_dedup, language_model, mixing, packing, periodic_runs, pii, simhash, sketches, substrings, toxicity
+from corpusloom.llm import chat, collocations, exact_dedup, language_model, mixing, packing, periodic_runs, pii, simhash, sketches, substrings, toxicity
 from corpusloom.llm.shared import shared_folder  # noqa: F401
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -123,6 +123,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases. Null texts are empty, a null language is und; repeated rows count; an empty table gives no rows."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -135,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_substrings": op10_substrings,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,6 +154,21 @@ ORACLE_SQL: dict[str, str] = {
         t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
         a AS (SELECT t.doc_id, count(c.k) AS n_removed, string_agg(word, ' ' ORDER BY t.k) FILTER (c.k IS NULL) AS kept FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.k = t.k GROUP BY t.doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)""",
+    "op12_collocations": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        f AS (SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+              FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT lang, phrase, size AS k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+        s AS (SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS score, j
+              FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:c.k], ' ')),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        h AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+              FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY ALL),
+        k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
     "op8_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
