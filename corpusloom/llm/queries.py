@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, collocations, exact_dedup, language_model, mixing, packing, periodic_runs, pii, simhash, sketches, substrings, toxicity
+from corpusloom.llm import chat, collocations, exact_dedup, language_id, language_model, mixing, packing, periodic_runs, pii, simhash, sketches, substrings, toxicity
 from corpusloom.llm.shared import shared_folder  # noqa: F401
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -128,6 +128,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its language. Texts without letters, null ones too, are und with score 0; a null id is in training; repeated rows are judged alike."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    profiles = language_id.learn(docs.where(~F.col("held_out")))
+    found = language_id.identify(docs.select(F.struct("doc_id", "held_out").alias("row"), "text"), profiles, "row")
+    return found.select("id.doc_id", "id.held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -141,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -169,6 +178,20 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a),
         o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
         SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_language_id": r"""
+        WITH c AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                     lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc FROM documents),
+        d AS (SELECT doc_id, lang, coalesce(crc % 4 = 2, false) AS held_out, lower(coalesce(text, '')) AS t FROM c),
+        w AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\p{L}+')) AS w FROM d) GROUP BY ALL),
+        g AS (SELECT doc_id, substr(x, i, k) AS g, sum(n) AS n
+              FROM (SELECT doc_id, x, n, k, unnest(range(CASE WHEN k = 1 THEN 2 ELSE 1 END, CASE WHEN k = 1 THEN length(x) ELSE length(x) - k + 2 END)) AS i
+                    FROM (SELECT doc_id, chr(1) || w || chr(1) AS x, n FROM w), (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+        l AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r FROM g JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY r < 300),
+        p AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM g QUALIFY r < 300),
+        s AS (SELECT doc_id, x.lang, sum(CASE WHEN l.r IS NULL THEN 300 ELSE abs(l.r - p.r) END) AS far, 300 * count(*) AS most
+              FROM p CROSS JOIN (SELECT DISTINCT lang FROM l) x LEFT JOIN l ON l.lang = x.lang AND l.g = p.g GROUP BY doc_id, x.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+        SELECT d.doc_id, held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1.0::DOUBLE - far::DOUBLE / most::DOUBLE, 0.0::DOUBLE) AS score FROM d LEFT JOIN b USING (doc_id)""",
     "op8_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
