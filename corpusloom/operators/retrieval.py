@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import bind, lexical_tokens
 
@@ -21,98 +22,221 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_index(passages: DataFrame, text: str = "text") -> Index:
-    """Postings, terms, scopes and members of ``passages`` (scope, id, text)."""
-    words = passages.select("scope", "id", lexical_tokens(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    members = words.select("scope", "id", "length")
-    return Index(_postings(words), members)
+#: Rows up to which a side is broadcast, after a count that stops there; beyond it sides are sorted and merged.
+FEW = 50_000
+#: Passages of a scope that share a block, and parts that a scope's numbers are sent to.
+BLOCK_OF, SALTS = 64, 32
+#: Hash buckets of scopes that a stored index is cut into, and about how many postings a file of one holds.
+BUCKETS, PER_FILE = 64, 2_000_000
 
 
-def _postings(words: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(scope, term, id, tf, length); only ``wanted`` (scope, term) pairs if given, met before anything is counted."""
-    each = words.select("scope", "id", "length", F.explode("words").alias("term"))
-    if wanted is not None:
-        each = each.join(wanted.hint("shuffle_hash"), ["scope", "term"], "left_semi")
-    return each.groupBy("scope", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def few(rows: DataFrame) -> bool:
+    """Whether there are at most ``FEW`` rows; counts no further than that."""
+    return rows.limit(FEW + 1).count() <= FEW
 
 
 @dataclass
 class Index:
-    """A BM25 index: postings (scope, term, id, tf, length) and members (scope, id, length)."""
+    """A BM25 index in blocks: a block is some ``BLOCK_OF`` passages of a scope, the same ones for every term.
+
+    postings (scope, term, block, id, part): ``part`` times the term's idf is what the term adds to the passage's score;
+    blocks (scope, term, block, n, most): postings of a block and their largest part;
+    terms (scope, term, df, idf), members (scope, id, length, mark), scopes (scope, n, mean_length, blocks, mark).
+    """
 
     postings: DataFrame
+    blocks: DataFrame
+    terms: DataFrame
     members: DataFrame
+    scopes: DataFrame
+
+
+def _members(words: DataFrame) -> DataFrame:
+    return words.select("scope", "id", F.size("words").alias("length"), "mark")
+
+
+def _scopes(members: DataFrame) -> DataFrame:
+    """Numbers of each scope; ``mark`` changes with its passages."""
+    marks = F.sum(F.col("mark").cast("decimal(38,0)")).alias("mark")
+    found = members.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"), marks)
+    return found.withColumn("blocks", F.ceil(F.col("n") / BLOCK_OF))
+
+
+def _words(passages: DataFrame, text: str) -> DataFrame:
+    return passages.select("scope", "id", lexical_tokens(F.col(text)).alias("words"), F.xxhash64("id", text).alias("mark"))
+
 
-    def scopes(self) -> DataFrame:
-        """(scope, n, mean_length)"""
-        return self.members.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+def _with_scope(words: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Passages with the numbers of their scope: sent along where scopes are few, else met in parts so that a large scope isn't one task."""
+    numbers = scopes.select("scope", "mean_length", "blocks")
+    if few(numbers):
+        return words.join(F.broadcast(numbers), "scope")
+    parts = numbers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return words.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(parts.hint("merge"), ["scope", "salt"]).drop("salt")
 
-    def terms(self) -> DataFrame:
-        """(scope, term, df, idf)"""
-        seen = self.postings.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return seen.join(self.scopes().hint("merge"), "scope").select("scope", "term", "df", idf.alias("idf"))
 
+def _occurrences(words: DataFrame, scopes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(scope, term, block, id, length, mean_length), a row for each word; only ``wanted`` (scope, term) pairs if given."""
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    each = _with_scope(words, scopes).select("scope", block.alias("block"), "id", F.size("words").alias("length"), "mean_length", F.explode("words").alias("term"))
+    return each if wanted is None else each.join(wanted.hint("shuffle_hash"), ["scope", "term"], "left_semi")
 
-#: Files by hash of the scope that a stored index is cut into; a search reads only those of its scopes.
-BUCKETS = 64
+
+def _postings(each: DataFrame, k1: float, b: float, *also: str) -> DataFrame:
+    counted = each.groupBy("scope", "term", "block", "id", *also).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.first("mean_length").alias("mean_length"))
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+    return counted.select("scope", "term", "block", "id", part.alias("part"), *also)
+
+
+def _blocks(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("scope", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("most"))
+
+
+def _terms(blocks: DataFrame, scopes: DataFrame) -> DataFrame:
+    seen = blocks.groupBy("scope", "term").agg(F.sum("n").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return seen.join(scopes.select("scope", "n").hint("merge"), "scope").select("scope", "term", "df", idf.alias("idf"))
+
+
+def bm25_index(passages: DataFrame, text: str = "text", k1: float = 1.5, b: float = 0.75, wanted: DataFrame | None = None) -> Index:
+    """The index of ``passages`` (scope, id, text), of ``wanted`` (scope, term) pairs alone if given. Nothing is stored: each use computes it."""
+    words = _words(passages, text)
+    members = _members(words)
+    scopes = _scopes(members)
+    postings = _postings(_occurrences(words, scopes, wanted), k1, b)
+    blocks = _blocks(postings)
+    return Index(postings, blocks, _terms(blocks, scopes), members, scopes)
 
 
 def _bucket() -> Column:
     return F.pmod(F.xxhash64("scope"), F.lit(BUCKETS)).cast("int")
 
 
-def store_index(passages: DataFrame, path: str, text: str = "text") -> None:
-    """Build the index of ``passages`` and write it, postings sorted by scope and term inside each bucket."""
-    index = bm25_index(passages, text)
-    for part, order in (("postings", ["scope", "term"]), ("members", ["scope", "id"])):
-        rows = getattr(index, part).withColumn("bucket", _bucket())
-        rows.repartition("bucket").sortWithinPartitions("bucket", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{part}")
+def _manifest(spark: SparkSession, path: str) -> dict[int, tuple[int, bool]]:
+    """Each bucket's newest version, and whether it has rows: at most ``BUCKETS`` + 1 entries."""
+    newest = spark.read.parquet(f"{path}/manifest").groupBy("bucket").agg(F.max(F.struct("version", "filled")).alias("m")).select("bucket", "m.*").collect()
+    return {r["bucket"]: (r["version"], r["filled"]) for r in newest}
+
 
+def _write_index(passages: DataFrame, path: str, version: int, buckets: list[int], text: str, k1: float, b: float) -> None:
+    """Write the parts beside all earlier versions; a last small file makes them the current ones."""
+    spark = passages.sparkSession
+
+    def write(rows: DataFrame, part: str, files: int, spread: list[str], order: list[str]) -> DataFrame:
+        """Rows of a bucket go to ``files`` tasks by hash of ``spread``, so that neither a large scope nor a common term is one."""
+        to = f"{path}/{part}/version={version}"
+        placed = rows.withColumn("bucket", _bucket()).withColumn("file", F.pmod(F.xxhash64(*spread), F.lit(files)))
+        placed.repartition(files * len(buckets), "bucket", "file").drop("file").sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(to)
+        rows.limit(0).write.mode("overwrite").parquet(f"{to}/bucket=-1")  # keeps the columns of an empty index
+        return spark.read.parquet(to).drop("bucket")
+
+    words = _words(passages, text)
+    rows, size = words.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    files = lambda n: max(1, -(-(n or 0) // (PER_FILE * len(buckets))))
+    members = write(_members(words), "members", files(rows), ["scope", "id"], ["scope", "id"])
+    scopes = write(_scopes(members), "scopes", 1, ["scope"], ["scope"])
+    # all words of a block's term meet in one task, at most BLOCK_OF passages of them; sorted and written there
+    many = files(size)
+    each = _occurrences(words, scopes).withColumn("bucket", _bucket()).withColumn("file", F.pmod(F.xxhash64("scope", "term", "block"), F.lit(many)))
+    to = f"{path}/postings/version={version}"
+    counted = _postings(each.repartition(many * len(buckets), "bucket", "file"), k1, b, "bucket", "file").drop("file")
+    counted.sortWithinPartitions("bucket", "scope", "term", "block", "id").write.mode("overwrite").partitionBy("bucket").parquet(to)
+    counted.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{to}/bucket=-1")
+    blocks = write(_blocks(spark.read.parquet(to)), "blocks", many, ["scope", "term", "block"], ["scope", "term", "block"])
+    write(_terms(blocks, scopes), "terms", many, ["scope", "term"], ["scope", "term"])
+    filled = {r[0] for r in scopes.select(_bucket()).distinct().collect()}
+    entries = [(version, n, n in filled) for n in buckets] + [(version, -1, True)]
+    spark.createDataFrame(entries, "version int, bucket int, filled boolean").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def store_index(passages: DataFrame, path: str, text: str = "text", k1: float = 1.5, b: float = 0.75) -> None:
+    """Build the index of ``passages`` and write it in a new folder; files of a bucket are sorted by scope, term and block."""
+    _write_index(passages, path, 1, list(range(BUCKETS)), text, k1, b)
+
+
+_columns: dict[str, StructType] = {}
+
+
+def load_index(spark: SparkSession, path: str, asked: DataFrame | None = None, query: str = "query") -> Index:
+    """A stored index, whole or what ``asked`` (scope and, if it has that column, the query) may need.
+
+    Only files of the asked scopes' buckets are read; where the queries have few different terms, the scans look for these alone.
+    The driver sees at most ``BUCKETS`` numbers and 500 terms.
+    """
+    live = {n: version for n, (version, filled) in _manifest(spark, path).items() if filled}
+    terms = None
+    if asked is not None:
+        found = {r[0] for r in asked.select(_bucket()).distinct().collect()}
+        live = {n: version for n, version in live.items() if n in found or n < 0}
+        if query in asked.columns:
+            listed = asked.select(F.explode(lexical_tokens(F.col(query)))).distinct().limit(501).collect()
+            terms = [r[0] for r in listed] if len(listed) <= 500 else None
+
+    def read(part: str) -> DataFrame:
+        where = f"{path}/{part}"
+        if where not in _columns:  # the same in every version
+            _columns[where] = spark.read.parquet(f"{where}/version={live[-1]}/bucket=-1").schema
+        rows = spark.read.schema(_columns[where]).parquet(*[f"{where}/version={version}/bucket={n}" for n, version in live.items()])
+        return rows if terms is None or "term" not in rows.columns else rows.where(F.col("term").isin(terms))
+
+    return Index(*[read(part) for part in ("postings", "blocks", "terms", "members", "scopes")])
 
-def load_index(spark: SparkSession, path: str, scopes: DataFrame | None = None) -> Index:
-    """A stored index, whole or only the buckets of ``scopes``; the driver sees at most ``BUCKETS`` numbers."""
-    parts = [spark.read.parquet(f"{path}/{part}") for part in ("postings", "members")]
-    if scopes is not None:
-        found = [r[0] for r in scopes.select(_bucket()).distinct().collect()]
-        parts = [p.where(F.col("bucket").isin(found)) for p in parts]
-    return Index(*[p.drop("bucket") for p in parts])
 
+def stale_scopes(passages: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(scope) whose passages aren't those of the stored index: changed, new or gone."""
+    now = _scopes(passages.select("scope", "id", F.lit(0).alias("length"), F.xxhash64("id", text).alias("mark"))).select("scope", "n", "mark")
+    then = load_index(passages.sparkSession, path).scopes.select("scope", "n", "mark")
+    return now.unionByName(then).groupBy("scope", "n", "mark").agg(F.count(F.lit(1)).alias("times")).where("times = 1").select("scope").distinct()
 
-def refresh_index(passages: DataFrame, path: str, changed: DataFrame, text: str = "text") -> None:
-    """Rebuild the buckets of ``changed`` (scope) from ``passages``; the others' files stay.
 
-    A scope that has no passages any more leaves the index with that; a bucket left with none at all is written empty.
+def refresh_index(passages: DataFrame, path: str, changed: DataFrame, text: str = "text", k1: float = 1.5, b: float = 0.75) -> None:
+    """Rebuild the buckets of ``changed`` (scope) from ``passages``, beside the old files, which earlier readers may still hold.
+
+    A scope that has no passages any more leaves the index with that. Nothing is written if nothing changed.
     """
-    spark = passages.sparkSession
-    found = [r[0] for r in changed.select(_bucket()).distinct().collect()]
-    store_index(passages.where(_bucket().isin(found)), path, text)
-    for part in ("postings", "members"):
-        have = {r[0] for r in spark.read.parquet(f"{path}/{part}").where(F.col("bucket").isin(found)).join(passages.select("scope").distinct(), "scope", "left_semi").select("bucket").distinct().collect()}
-        for bucket in set(found) - have:
-            spark.read.parquet(f"{path}/{part}").drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/{part}/bucket={bucket}")
+    found = sorted(r[0] for r in changed.select(_bucket()).distinct().collect())
+    if found:
+        version = 1 + max(v for v, _ in _manifest(passages.sparkSession, path).values())
+        _write_index(passages.where(_bucket().isin(found)), path, version, found, text, k1, b)
+
+
+def _bounds(wanted: DataFrame, index: Index, asked_few: bool) -> tuple[DataFrame, DataFrame]:
+    """(query_id, scope, term, idf), and of every block that a query's terms occur in: its terms, the greatest score a passage
+    of it may have, and one that some passage of it has at least."""
+    side = (lambda d: F.broadcast(d)) if asked_few else (lambda d: d.hint("merge"))
+    weighted = index.terms.join(side(wanted), ["scope", "term"]).select("query_id", "scope", "term", "idf")
+    met = index.blocks.join(side(weighted), ["scope", "term"]).withColumn("bound", F.col("idf") * F.col("most"))
+    bounds = met.groupBy("query_id", "scope", "block").agg(F.sum("bound").alias("upper"), F.max("bound").alias("lower"), F.collect_list(F.struct("term", "idf")).alias("terms"))
+    return weighted, bounds
+
+
+def kept_blocks(wanted: DataFrame, index: Index, k: int, least: float = 0.0, asked_few: bool = False) -> DataFrame:
+    """Blocks (query_id, scope, block, terms) that a query's best k passages may be in.
+
+    Different blocks hold different passages, so the k-th largest of their lower bounds is a score that k passages
+    reach; a block whose upper bound is below that can't add one.
+    """
+    _, bounds = _bounds(wanted, index, asked_few)
+    floor = top_k(bounds.select("query_id", "block", "lower"), k, score="lower", tie="block").where(F.col("rank") == k).select("query_id", F.col("lower").alias("floor"))
+    near = 2e-9  # scores are rounded to nine places
+    return bounds.join(floor.hint("merge"), "query_id", "left").where(F.col("upper") >= F.greatest(F.coalesce("floor", F.lit(0.0)), F.lit(float(least))) - near).select("query_id", "scope", "block", "terms")
 
 
 def bm25_search(queries: DataFrame, passages: DataFrame | None = None, k: int = 10, k1: float = 1.5, b: float = 0.75, least: float = 0.0, pad_zero: bool = True, query: str = "query", index: Index | None = None) -> DataFrame:
-    """BM25 over distinct query terms, in ``index`` or else in ``passages``.
+    """BM25 over distinct query terms, in ``index`` (built with its own ``k1`` and ``b``) or else in ``passages``.
 
-    Without an index, tokens meet the asked (scope, term) pairs before they are counted. Scores are rounded to
+    Blocks that can't hold one of the best k are left out by their bounds; postings of the others meet their queries by
+    (scope, term, block), at most ``BLOCK_OF`` to a key, so that a common term or a large scope is many keys. Scores are rounded to
     nine places, so that equal passages tie in whatever order their terms are added. With ``pad_zero``, passages
     without any term fill the list up to k: at most k of a scope, those with the smallest ids that aren't matched,
     so padding never crosses queries with all passages.
     """
     wanted = queries.select("query_id", "scope", F.explode(F.array_distinct(lexical_tokens(F.col(query)))).alias("term"))
-    pairs = wanted.select("scope", "term").distinct()
     if index is None:
-        words = passages.select("scope", "id", lexical_tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-        index = Index(_postings(words, pairs), words.select("scope", "id", "length"))
-    postings = index.postings.join(pairs.hint("shuffle_hash"), ["scope", "term"], "left_semi")
-    seen = Window.partitionBy("scope", "term")
-    met = postings.withColumn("df", F.count(F.lit(1)).over(seen)).join(index.scopes().hint("shuffle_hash"), "scope")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    hits = wanted.hint("merge").join(met.select("scope", "term", "id", weight.alias("w")), ["scope", "term"])
-    scored = hits.groupBy("query_id", "scope", "id").agg(F.round(F.sum("w"), 9).alias("score")).where(F.col("score") >= least)
+        index = bm25_index(passages, "text", k1, b, wanted.select("scope", "term").distinct())
+    kept = kept_blocks(wanted, index, k, least, few(wanted)).select("query_id", "scope", "block", F.inline("terms"))
+    hits = index.postings.join(kept.hint("merge"), ["scope", "term", "block"]).select("query_id", "id", (F.col("idf") * F.col("part")).alias("w"))
+    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum("w"), 9).alias("score")).where(F.col("score") >= least)
     if pad_zero and least <= 0:
         asked = wanted.select("query_id", "scope").distinct()
         matched = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
@@ -189,33 +313,6 @@ def cosine_search(queries: DataFrame, passages: DataFrame, k: int = 10, least: f
     return top_k(q.hint("merge").join(p, ["scope", "block"]).select("query_id", "id", dot(F.col("q"), F.col("p")).alias("score")).where(F.col("score") >= least), k)
 
 
-def approximate_search(queries: DataFrame, passages: DataFrame, k: int = 10, tables: int = 4, length: float = 0.6, least: float = 0.0) -> DataFrame:
-    """Cosine by random projections: candidates that share a bucket of their scope in some table, then exact scores.
-
-    Every passage is in the index. Distances of unit vectors and cosines order alike. A pair is scored in the
-    first table where its buckets agree. Queries left with fewer than k rows are answered by ``cosine_search``.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    unit = lambda df, key, name: df.where(has_vector(F.col("embedding"))).where(norm(F.col("embedding")) > 0).select(F.col(key), "scope", l2_normalise(F.col("embedding")).alias(name)).withColumn("v", array_to_vector(name))
-    q, p = unit(queries, "query_id", "q"), unit(passages, "id", "p")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=7).fit(p)
-
-    def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
-        buckets = F.array(*[vector_to_array(F.col("h")[n])[0].cast("long") for n in range(tables)])
-        placed = model.transform(df).select(key, "scope", name, buckets.alias(f"{name}_buckets"))
-        return placed.select("*", F.posexplode(f"{name}_buckets").alias("table", "bucket"))
-
-    near = keyed(q, "query_id", "q").join(keyed(p, "id", "p"), ["scope", "table", "bucket"])
-    first = F.array_position(F.zip_with("q_buckets", "p_buckets", lambda x, y: x == y), True) == F.col("table") + 1
-    scored = near.where(first).select("query_id", "id", dot(F.col("q"), F.col("p")).alias("score")).where(F.col("score") >= least)
-    found = top_k(scored, k)
-    full = found.where(F.col("rank") == k).select("query_id")
-    rest = cosine_search(queries.join(full, "query_id", "left_anti"), passages, k, least)
-    return found.join(full, "query_id", "left_semi").unionByName(rest)
-
-
 def fuse(lists: list[DataFrame], k: int | None = None, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (constant + rank), with each list's rank and score."""
     tagged = [d.select("query_id", "id", "rank", F.col("score").alias("own"), F.lit(n).alias("list")) for n, d in enumerate(lists)]

@@ -26,25 +26,40 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-_stored: dict[tuple[str, str, str], str] = {}
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of the names, sizes and times of a table's files: another one once the table has been written to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append(f"{status.getPath()}:{status.getLen()}:{status.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
-    """The path of something derived from a table folder, built at its first use in an application.
+_stored: dict[tuple[str, str, str], tuple[str, str]] = {}
 
-    It lies in the shared checkpoint folder; where none is set, in the warehouse on a cluster and in a temporary
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None], refresh: Callable[[str], None] | None = None, of: str = "documents") -> str:
+    """The path of something derived from the table ``of``, built at its first use in an application.
+
+    Once the table's files have changed, ``refresh`` brings it up to date; without one it is built anew, elsewhere. It lies
+    in the shared checkpoint folder; where none is set, in the warehouse on a cluster and in a temporary
     folder on a single machine.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            local = spark.sparkContext.master.startswith("local")
-            folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{folder}/{name}-{key[0]}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
-        build(path)
-        _stored[key] = path
-    return _stored[key]
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), fingerprint(spark, f"{sf_dir}/{of}.parquet")
+    path, then = _stored.get(key, (None, None))
+    if then != now:
+        if path is None or refresh is None:
+            folder = spark.conf.get("spark.checkpoint.dir", None)
+            if not folder:
+                local = spark.sparkContext.master.startswith("local")
+                folder = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            path = f"{folder}/{name}-{key[0]}-{hashlib.md5(f'{sf_dir} {now}'.encode()).hexdigest()}"
+            build(path)
+        else:
+            refresh(path)
+        _stored[key] = (path, now)
+    return path
 
 
 def register(queries: dict[str, Query], oracle: dict[str, str], sql: str | None = None) -> Callable[[Query], Query]:

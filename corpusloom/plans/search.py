@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import evaluation, grounding, retrieval, tables
+from corpusloom.operators import evaluation, grounding, lists, retrieval, tables
 from corpusloom.plans.base import Query, documents, register, stored, table
 from corpusloom.plans.tables import TOKENS
 
@@ -29,10 +29,14 @@ def passages(spark, sf) -> DataFrame:
     return documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("scope"), "text")
 
 
-def index(spark, sf) -> retrieval.Index:
-    """The stored BM25 index of the passages: built once, then only the buckets of the asked scopes are read."""
-    path = stored(spark, sf, "bm25", lambda to: retrieval.store_index(passages(spark, sf), to))
-    return retrieval.load_index(spark, path, asked(spark, sf))
+def index(spark, sf, whole: bool = False) -> retrieval.Index:
+    """The stored BM25 index of the passages, by source or of the ``whole`` corpus as one scope: built once, brought up to date by scope
+    where the documents have changed. Only the buckets of the asked scopes are read."""
+    def of() -> DataFrame:
+        return passages(spark, sf).withColumn("scope", F.lit("all")) if whole else passages(spark, sf)
+
+    path = stored(spark, sf, "bm25_whole" if whole else "bm25", lambda to: retrieval.store_index(of(), to), lambda to: retrieval.refresh_index(of(), to, retrieval.stale_scopes(of(), to)))
+    return retrieval.load_index(spark, path, asked(spark, sf).withColumn("scope", F.lit("all")) if whole else asked(spark, sf))
 
 
 def embedded(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -65,7 +69,7 @@ fused AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id O
 
 @entered(f"WITH {_INDEX} SELECT scope, term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark, sf) -> DataFrame:
-    return retrieval.bm25_index(passages(spark, sf)).terms().withColumn("idf", F.round("idf", 6))
+    return retrieval.bm25_index(passages(spark, sf)).terms.withColumn("idf", F.round("idf", 6))
 
 
 @entered(f"WITH {_BM25} SELECT query_id, id, rank, round(score, 6) AS score FROM bm25 WHERE rank <= 10")
@@ -83,8 +87,11 @@ def cosine_search(spark, sf) -> DataFrame:
 
 @entered()
 def approximate_search(spark, sf) -> DataFrame:
+    """Inverted lists of every vector, stored at their first use."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), "embedding")
-    return retrieval.approximate_search(vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id"), vectors)
+    asked = vectors.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    path = stored(spark, sf, "lists", lambda to: lists.store_lists(vectors, to), of="embeddings")
+    return lists.approximate_search(asked, lists.load_lists(spark, path, asked))
 
 
 @entered(f"SELECT doc_id, round(v[1] / sqrt(list_sum([x * x for x in v])), 6) AS first, round(v[64] / sqrt(list_sum([x * x for x in v])), 6) AS last FROM (SELECT doc_id, {_HASH} AS v FROM (SELECT doc_id, sha256(text) AS h FROM documents))")
@@ -161,8 +168,7 @@ truth AS (SELECT query_id, id FROM qs JOIN ds USING (shingle) GROUP BY query_id,
 def _wide(spark, sf) -> DataFrame:
     """Evaluate over whole-corpus retrieval: one scope for all."""
     q = asked(spark, sf).withColumn("scope", F.lit("all"))
-    p = passages(spark, sf).withColumn("scope", F.lit("all"))
-    return evaluation.retrieval_metrics(retrieval.bm25_search(q, p, 10, pad_zero=False), truth(spark, sf))
+    return evaluation.retrieval_metrics(retrieval.bm25_search(q, k=10, pad_zero=False, index=index(spark, sf, whole=True)), truth(spark, sf))
 
 
 _ALL = _BM25.replace("'src' || (item_id % 20)", "'all'").replace("SELECT source AS scope, doc_id AS id", "SELECT 'all' AS scope, doc_id AS id").split("every AS")[0] + "ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits)"

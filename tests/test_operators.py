@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, evaluation, grounding, profiles, requests, retrieval, tables
+from corpusloom.operators import chunking, evaluation, grounding, lists, profiles, requests, retrieval, tables
 from corpusloom.sources import web
 from corpusloom.streaming import jobs
 
@@ -154,26 +154,81 @@ def test_vectors_without_values_are_never_returned(spark):
     assert [(r["id"], r["score"]) for r in retrieval.cosine_search(q, p).collect()] == [(1, 1.0)]
 
 
-def test_approximate_search_recalls_the_exact_neighbours(spark):
+def test_inverted_lists_recall_the_exact_neighbours(spark, tmp_path):
+    """At least nine of ten of the nearest ten, from less than 30 % of the passages of their scopes."""
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").alias("scope"), "embedding")
     asked = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    path = str(tmp_path / "lists")
+    lists.store_lists(rows, path)
+    held = lists.load_lists(spark, path, asked)
+    assert held.members.count() == rows.count() == held.members.select("id").distinct().count()
     exact = {(r["query_id"], r["id"]): r["score"] for r in retrieval.cosine_search(asked, rows).collect()}
-    found = {(r["query_id"], r["id"]): r["score"] for r in retrieval.approximate_search(asked, rows).collect()}
+    found = {(r["query_id"], r["id"]): r["score"] for r in lists.approximate_search(asked, held).collect()}
     recall = len(exact.keys() & found.keys()) / len(exact)
-    print(f"recall@10 {recall:.4f} of {len(exact)} rows")
-    assert len(found) == len(exact) == 400 and recall >= 0.9
+    sizes = {r["scope"]: r["count"] for r in rows.groupBy("scope").count().collect()}
+    scored = lists.probes(asked, held).groupBy("query_id", "scope").agg(F.sum("n").alias("n")).collect()
+    share = sum(r["n"] for r in scored) / sum(sizes[r["scope"]] for r in scored)
+    print(f"recall@10 {recall:.4f} of {len(exact)} rows, {share:.3f} of the passages scored")
+    assert len(found) == len(exact) == 400 and recall >= 0.9 and share < 0.3
     assert all(found[key] == pytest.approx(exact[key]) for key in exact.keys() & found.keys())
 
 
-def test_approximate_search_without_enough_candidates_is_exact(spark):
-    rows = spark.createDataFrame([(n, "s", [math.cos(n * 0.01), math.sin(n * 0.01)]) for n in range(150)] + [(900, "s", [0.0, 0.0]), (901, "t", [1.0, 0.0])], "id int, scope string, embedding array<double>")
-    asked = rows.where("id IN (0, 70, 149, 900, 901)").withColumnRenamed("id", "query_id")
+def test_inverted_lists_of_small_scopes_are_exact(spark, tmp_path, monkeypatch):
+    """Whole scopes are searched where they are small or the share is all; in parts and shelves too; ties, zero vectors and scopes without passages."""
+    rows = spark.createDataFrame([(n, "s", [math.cos((n % 120) ** 1.1 * 0.01), math.sin((n % 120) ** 1.1 * 0.01)]) for n in range(150)] + [(900, "s", [0.0, 0.0]), (901, "t", [1.0, 0.0]), (902, "s", None), (903, "s", [])], "id int, scope string, embedding array<double>")
+    asked = rows.where("id IN (0, 70, 149, 900, 901, 902)").withColumnRenamed("id", "query_id").union(spark.createDataFrame([(7, "gone", [1.0, 0.0])], "query_id int, scope string, embedding array<double>"))
     plain = lambda found: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in found.collect())
-    for length, k in ((0.6, 3), (0.0001, 3), (0.6, 200)):
-        found = plain(retrieval.approximate_search(asked, rows, k, length=length))
-        assert len({r[::2] for r in found}) == len(found)
-        if length < 0.01 or k > 150:
-            assert found == plain(retrieval.cosine_search(asked, rows, k))
+    for shelf, part in ((2_000, 4_000), (20, 2)):
+        monkeypatch.setattr(lists, "SHELF", shelf)
+        monkeypatch.setattr(lists, "ASKED", part)
+        path = str(tmp_path / f"lists{shelf}")
+        lists.store_lists(rows, path)
+        for share, k in ((1.0, 3), (0.1, 200)):
+            assert plain(lists.approximate_search(asked, lists.load_lists(spark, path, asked), k, share)) == plain(retrieval.cosine_search(asked.where("query_id <> 900"), rows, k))
+        near = plain(lists.approximate_search(asked, lists.load_lists(spark, path), 3, 0.1))
+        assert len(near) == 10 and {r for r in near if r[1] == 1} == {r for r in plain(retrieval.cosine_search(asked.where("query_id <> 900"), rows, 3)) if r[1] == 1}
+    none = rows.where("id < 0")
+    lists.store_lists(none, str(tmp_path / "none"))
+    assert lists.approximate_search(asked, lists.load_lists(spark, str(tmp_path / "none"), asked)).collect() == []
+
+
+def hot_rows(n):
+    """A scope of n passages that all hold one word, few of them another."""
+    return [(k, "hot", f"common w{k % 97} {'rare ' * (k % 1000 == 3)}x{k}") for k in range(n)] + [(10**6 + k, f"s{k}", f"common y{k}") for k in range(20)]
+
+
+def test_blocks_are_left_out_and_nothing_is_lost(spark, tmp_path):
+    """Every query against a search without bounds; a rare word leaves most blocks of a common one out."""
+    passages = spark.createDataFrame(hot_rows(3000), "id int, scope string, text string")
+    asked = spark.createDataFrame([(1, "hot", "rare common"), (2, "hot", "common"), (3, "hot", "w5 w6 x77 common nothing"), (4, "s3", "common y3"), (5, "hot", "absent"), (6, "none", "common")], "query_id int, scope string, query string")
+    path = str(tmp_path / "index")
+    retrieval.store_index(passages, path)
+    held = retrieval.load_index(spark, path, asked)
+    wanted = asked.select("query_id", "scope", F.explode(F.split("query", " ")).alias("term"))
+    for k in (1, 3, 10, 100):
+        got = sorted(map(tuple, retrieval.bm25_search(asked, k=k, pad_zero=False, index=held).select("query_id", "id", "score", "rank").collect()))
+        terms = held.terms.join(wanted, ["scope", "term"]).select("query_id", "scope", "term", "idf")
+        full = held.postings.join(terms, ["scope", "term"]).groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * F.col("part")), 9).alias("score"))
+        assert got == sorted(map(tuple, retrieval.top_k(full, k).select("query_id", "id", "score", "rank").collect())) and len({g[0] for g in got}) == 4
+    blocks = {r["query_id"]: r["n"] for r in retrieval.kept_blocks(wanted, held, 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    print("blocks kept of 47:", blocks)
+    assert blocks[1] <= 3 and blocks[2] <= 47
+
+
+def test_a_common_term_is_many_keys(spark, tmp_path):
+    """The largest group of postings that meets its queries is a block, at any number of passages with the word; no window over terms."""
+    largest = []
+    for n in (1500, 6000):
+        path = str(tmp_path / f"index{n}")
+        retrieval.store_index(spark.createDataFrame(hot_rows(n), "id int, scope string, text string"), path)
+        held = retrieval.load_index(spark, path)
+        assert held.terms.where("scope = 'hot' AND term = 'common'").first()["df"] == n
+        largest.append(held.postings.groupBy("scope", "term", "block").count().agg(F.max("count")).first()[0])
+        assert held.blocks.where("scope = 'hot' AND term = 'common'").count() == -(-n // retrieval.BLOCK_OF)
+    assert max(largest) < 2 * retrieval.BLOCK_OF
+    asked = spark.createDataFrame([(1, "hot", "common rare")], "query_id int, scope string, query string")
+    plan = retrieval.bm25_search(asked, k=3, pad_zero=False, index=held)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("query_id" in line.split("windowspecdefinition(")[1] for line in plan.splitlines() if "windowspecdefinition(" in line)
 
 
 def test_bm25_pads_and_scores(spark):
