@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import STOPWORDS, collapse, content_hash, excerpt, ordered_distinct, slug, snapshot_sentences, trim_to_tokens
+from corpusloom.functions.text import collapse, content_hash, excerpt, ordered_distinct, slug, snapshot_sentences, trim_to_tokens
 
-# Term patterns, Han words that are no keywords, and the limits of a snapshot.
+# Term patterns, words that are no keywords, and the limits of a snapshot.
 LATIN_TERM = r"[A-Za-z][A-Za-z0-9_.:/-]{2,}"
 HAN_TERM = "[一-鿿]{2,8}"
+KEYWORD_STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
 CHINESE_STOPWORDS = ["我们", "你们", "他们", "以及", "这个", "那个", "这里", "那里", "因为", "所以", "如果", "但是", "然后"]
 THEMES, ASSERTIONS, PASSAGES, KEYWORDS, OVERVIEW_TOKENS = 8, 5, 3, 15, 120
 SCHEMA_VERSION = "1.0"
@@ -38,7 +39,7 @@ def keywords(chunks: DataFrame, key: str = "id", text: str = "content", most: in
     the label is the first form seen, ``chunks`` the first three chunks that have the term. Ties go by the term.
     """
     weighed = lambda items, w: F.transform(items, lambda t: F.struct(t.alias("label"), F.lit(w).alias("w")))
-    latin = F.filter(F.regexp_extract_all(F.col(text), F.lit(LATIN_TERM), F.lit(0)), lambda t: ~_among(F.lower(t), STOPWORDS))
+    latin = F.filter(F.regexp_extract_all(F.col(text), F.lit(LATIN_TERM), F.lit(0)), lambda t: ~_among(F.lower(t), KEYWORD_STOPWORDS))
     han = F.filter(F.regexp_extract_all(F.col(text), F.lit(HAN_TERM), F.lit(0)), lambda t: ~_among(t, CHINESE_STOPWORDS))
     lists = [weighed(latin, 1.0), weighed(han, 0.8)]
     if headings is not None:

@@ -119,7 +119,7 @@ def representative_chunks(spark, sf) -> DataFrame:
 _HEADINGS = r"[l for l in [trim(regexp_replace(x, '\s+', ' ', 'g')) for x in string_split(text, chr(10))] if length(l) > 0 AND length(l) < 100 AND NOT regexp_matches(l, '[.,;:]$') AND len(string_split(l, ' ')) <= 10]"
 KEYWORDS = rf"""t AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '{profiles.LATIN_TERM}')) AS label, 1.0 AS w FROM documents
     UNION ALL SELECT doc_id, source, unnest([h for h in regexp_extract_all(text, '{profiles.HAN_TERM}') if h NOT IN {word_list(profiles.CHINESE_STOPWORDS)}]), 0.8 FROM documents),
-k AS (SELECT doc_id, source, term, round(sum(w)::DOUBLE, 3) AS weight FROM (SELECT doc_id, source, lower(label) AS term, w FROM t WHERE lower(label) NOT IN {word_list(tx.STOPWORDS)}
+k AS (SELECT doc_id, source, term, round(sum(w)::DOUBLE, 3) AS weight FROM (SELECT doc_id, source, lower(label) AS term, w FROM t WHERE lower(label) NOT IN {word_list(profiles.KEYWORD_STOPWORDS)}
     UNION ALL SELECT doc_id, source, lower(unnest({_HEADINGS}[1:3])), 3.0 FROM documents) GROUP BY doc_id, source, term),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank FROM k) WHERE rank <= 15)"""
 
