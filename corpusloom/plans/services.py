@@ -9,9 +9,10 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, evaluation, grounding, requests, retrieval, tables
 from corpusloom.plans import search
 from corpusloom.plans.base import Query, documents, register, table
-from corpusloom.plans.corpus import KEYWORDS, _keywords
+from corpusloom.plans.corpus import _HTML, KEYWORDS, _keywords
 from corpusloom.plans.tables import TOKENS
-from corpusloom.sources import web
+from corpusloom.sources import readers, web
+from corpusloom.streaming import progress as jobs_progress
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,6 +147,44 @@ def routed_sources(spark, sf) -> DataFrame:
     return web.route(rows).select("page_id", F.col("error.message").alias("problem"), web.document_id(F.col("original_url")).alias("document"), web.file_title(name).alias("title"))
 
 
+_STEPS = ["queued", "starting", "fetching", "parsing", "chunking", "snapshot", "embedding", "saving", "completed", "unknown"]
+
+
+def job_events(spark, sf) -> DataFrame:
+    """The events of users as those of jobs: statuses and steps by event."""
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k + 1).cast("int"))
+    status = pick(["queued", "running", "failed", "running", "completed"], F.col("event_id") % 5)
+    return table(spark, sf, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", status.alias("status"), pick(_STEPS, F.col("event_id") % 10).alias("step"))
+
+
+@entered(f"""WITH e AS (SELECT user_id AS job_id, ts, event_id::VARCHAR AS tie, ['queued', 'running', 'failed', 'running', 'completed'][event_id % 5 + 1] AS status, {_STEPS}[event_id % 10 + 1] AS step FROM events),
+    n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, tie DESC) AS k, min(ts) FILTER (status = 'failed') OVER (PARTITION BY job_id) AS failed, count(*) OVER (PARTITION BY job_id) AS events FROM e)
+    SELECT job_id, status, step, CASE WHEN status = 'completed' THEN 100 ELSE coalesce({list(jobs_progress.STEPS.values())}[list_position({list(jobs_progress.STEPS)}, step)], 0) END AS percent,
+           status IN ('queued', 'running') AND coalesce(failed < ts, false) AS retrying, events FROM n WHERE k = 1""")
+def job_progress(spark, sf) -> DataFrame:
+    return jobs_progress.progress(job_events(spark, sf), "job_id", "ts", "status", "step", "event_id").drop("updated")
+
+
+def mixed_sources(spark, sf) -> DataFrame:
+    """Every page as a source, of types that can and can't be read."""
+    k = F.col("page_id") % 6
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("url", "url", "mail", "pdf", "url", "text")]), (k + 1).cast("int"))
+    url = F.when(k == 0, F.col("url")).when(k == 4, F.concat("url", F.lit("#gone")))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("source_id"), kind.alias("source_type"), F.when(k == 3, F.lit("/in/a.pdf")).alias("file_path"), url.alias("original_url"))
+
+
+@entered(f"""WITH p AS (SELECT url, min({_HTML}) AS text FROM pages GROUP BY url), s AS (SELECT page_id AS source_id, page_id % 6 AS k, CASE WHEN page_id % 6 = 0 THEN url WHEN page_id % 6 = 4 THEN url || '#gone' END AS url FROM pages),
+    t AS (SELECT s.*, p.text, p.url IS NOT NULL AS there FROM s LEFT JOIN p USING (url))
+    SELECT source_id, CASE WHEN k IN (0, 4) AND trim(text) <> '' THEN md5(text) END AS text_md5,
+           CASE WHEN k IN (0, 4) AND there AND trim(coalesce(text, '')) <> '' THEN NULL WHEN k = 3 OR k IN (0, 4) AND there THEN 'parse' ELSE 'fetch' END AS step,
+           CASE WHEN k IN (0, 4) THEN CASE WHEN NOT there THEN 'page not fetched' WHEN trim(coalesce(text, '')) = '' THEN 'no text content' END
+                ELSE ['missing URL', 'unsupported type', 'no reader for PDF layout', NULL, 'missing file path'][k] END AS message FROM t""")
+def read_sources(spark, sf) -> DataFrame:
+    """Each source's text, or the step that it fails in."""
+    read = readers.read_sources(mixed_sources(spark, sf), pages=table(spark, sf, "pages").select("url", "html"))
+    return read.select("source_id", F.md5("text").alias("text_md5"), "error.step", "error.message")
+
+
 @entered("SELECT vec_id, round(embedding[1]::DOUBLE, 3) AS first, len(embedding) AS size FROM embeddings")
 def parsed_vectors(spark, sf) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("vec_id", F.to_json("embedding").alias("raw"))

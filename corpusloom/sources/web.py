@@ -28,7 +28,7 @@ def decode(content: Column) -> Column:
 def text_pages(files: DataFrame) -> DataFrame:
     """Files (path, content) as page rows, with an error instead of text where nothing is left."""
     text = normalise_text(decode(F.col("content")))
-    return files.select("path", text.alias("text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"), F.when(F.trim(text) == "", "no text content").alias("error"))
+    return files.select("path", text.alias("text"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"), F.when(~text.rlike(r"\S"), "no text content").alias("error"))
 
 
 @F.arrow_udf(StringType())
@@ -78,9 +78,9 @@ def page_offsets(pages: DataFrame, source: str, order: str, text: str) -> DataFr
 
 
 def route(sources: DataFrame) -> DataFrame:
-    """A reader for every source, or an error that names the step."""
+    """Sources with an error that names the step where something is missing; :func:`readers.read_sources` reads the others."""
     kind, path, url = F.col("source_type"), F.col("file_path"), F.col("original_url")
-    problem = F.when(kind.isin("pdf", "text") & path.isNull(), "missing file path").when(kind.isin("url", "video", "document") & url.isNull(), "missing URL").when(~kind.isin("pdf", "text", "url", "video", "document"), "unsupported type")
+    problem = F.when(kind.isin("pdf", "text") & path.isNull(), "missing file path").when(kind.isin("url", "video", "document") & url.isNull(), "missing URL").when(~F.coalesce(kind.isin("pdf", "text", "url", "video", "document"), F.lit(False)), "unsupported type")
     return sources.withColumn("error", F.when(problem.isNotNull(), F.struct(F.lit("fetch").alias("step"), problem.alias("message"))))
 
 

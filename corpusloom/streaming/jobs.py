@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import content_hash, named_uuid, stable_chunk_id
@@ -31,13 +33,17 @@ def delivery_mode(counts: Column) -> Column:
     return F.when(counts == 0, "no_chunks").when(counts == 1, "single_chunk").otherwise("streaming")
 
 
-def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None):
+def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, live: Callable[[SparkSession], DataFrame] | None = None):
     """Start a stream that keeps the chunks of new and changed sources in ``store`` (Parquet, by batch).
 
     A batch keeps each source's last row by ``order_col`` (of equal or absent orders the one with the larger hash),
     leaves out those whose content hash is that of their newest stored version, chunks the rest and writes them
     with stable ids under the batch's own folder, so that a replayed batch writes the same rows again. A source
     that has no chunks any more writes one row without content. :func:`current_chunks` reads the newest versions.
+
+    ``live`` gives the sources (id) that still exist; it is asked anew in every batch. Rows of other sources are passed over,
+    and stored sources that are gone get an empty version, so that work on a source that was deleted meanwhile
+    leaves nothing behind.
     """
 
     def build(batch: DataFrame, number: int) -> None:
@@ -45,10 +51,15 @@ def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col:
         text = F.coalesce(F.col(text_col), F.lit(""))
         order = F.struct((F.lit(0) if order_col is None else F.col(order_col)).alias("at"), content_hash(text).alias("hash"))
         last = batch.groupBy(F.col(id_col).alias("id")).agg(F.max_by(text, order).alias("text"))
-        rows = last.withColumn("hash", content_hash(F.col("text")))
+        rows, gone = last.withColumn("hash", content_hash(F.col("text"))), None
+        here = None if live is None else live(spark).select("id").distinct()
+        if here is not None:
+            rows = rows.join(here.hint("merge"), "id", "left_semi")
         try:
-            known = spark.read.parquet(store).where(F.col("version") < number).groupBy("id").agg(F.max_by("hash", "version").alias("hash"))
+            known = spark.read.parquet(store).where(F.col("version") < number).groupBy("id").agg(F.max(F.struct("version", "hash"))["hash"].alias("hash"))
             rows = rows.join(known.hint("merge"), ["id", "hash"], "left_anti")
+            if here is not None:
+                gone = known.where("hash IS NOT NULL").join(here.hint("merge"), "id", "left_anti").select("id", F.lit(None).cast("string").alias("hash"))
         except AnalysisException as error:  # the first batch finds no store
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -56,6 +67,7 @@ def incremental_chunks(sources: DataFrame, store: str, checkpoint: str, id_col:
         uuid = F.when(F.col("id").cast("string").rlike("^[0-9a-fA-F-]{36}$"), F.col("id").cast("string")).otherwise(named_uuid(F.col("id")))
         named = pieces.withColumn("chunk_id", stable_chunk_id(uuid, F.col("chunk_index"), F.col("char_start"), F.col("char_end"), F.col("content")))
         made = rows.select("id", "hash").hint("merge").join(named, "id", "left")
+        made = made if gone is None else made.unionByName(gone, allowMissingColumns=True)
         made.write.mode("overwrite").parquet(f"{store}/version={number}")
 
     return sources.writeStream.foreachBatch(build).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
