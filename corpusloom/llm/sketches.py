@@ -1,22 +1,23 @@
 """Document fingerprints as invertible Bloom lookup sketches. DataFrame and SQL operations only.
 
-A paragraph is a stretch of text up to a line end or the end of a sentence, at least a sixteenth and at most a quarter
-of the text long: after as many code points as the largest power of two in an eighth of the text's length
-(``LEAST`` or more) it goes on to the next such end, for at most as many again. So a text has at most sixteen,
-whatever its length; an insertion changes the paragraph it falls in and, where texts have ends, no later one;
-and a replaced last third leaves whole paragraphs ahead of it in any text of 48 code points or more. Versions on
-two sides of a power of two in length are cut differently and share hardly any. A digest has 48 bits of a hash
-and 16 bits of a hash of those. A sketch has three subtables of 16 cells, each with a count and
-the exclusive-or of the digests that fall there. The sketches of two versions are subtracted cell by cell;
-then a cell with a count of one and a digest that checks gives up that digest, which is taken out of its
-other cells, and so on (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables"). If cells are left over
-the difference was too large: the comparison is made again with a sketch that is larger by as many
-subsketches as the digests need, and a subsketch that fails once more gets tables of 32, 64 and 128 cells. These
-larger sketches, of the same digests, belong to the comparison; under one in twenty neighbours needs one.
-
-A fingerprint is the number of different paragraphs and the cells. The likeness of two fingerprints is the
-share of paragraphs that both have among those that either has; two empty texts are alike (1). Paragraphs
-count once, in no order.
+A text is taken as pieces, words with the white space and stops behind them (64 code points at most), and cut into
+paragraphs after those pieces whose hash, taken over the piece and the next one, is among the lowest share. So cuts go
+by content alone: an edit moves the cuts next to it and no others, and versions keep the paragraphs that the edit leaves
+alone. The share follows from the text's length without any step: ``FINE`` paragraphs, or ``GROWTH`` times the root of its
+code points where that is more, divided by its pieces; one more code point changes it by a thousandth or less.
+Texts of some hundred code points are cut nearly at every word.
+
+A digest has 48 bits of a hash and 16 bits of a hash of those. A sketch has parts, as many as the smallest power of two that
+is a sixth of the digests or more; a part has three subtables of 16 cells, each with a count and the
+exclusive-or of the digests that fall there. A comparison takes both texts' sketches with the larger number of parts
+and subtracts them cell by cell; then a cell with a count of one and a digest that checks gives up that digest,
+which is taken out of its other cells, and so on (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables"). If cells of
+a part are left over the difference was too large for it: the part is compared again with subtables of 32, then
+64, then 128 cells, and only where all four fail by the digests themselves. About one part in a hundred needs a second try.
+
+A fingerprint is the number of different paragraphs and the cells of all parts. The likeness of two
+fingerprints is the share of paragraphs that both have among those that either has; two empty texts are alike (1).
+Paragraphs count once, in no order: a text that repeats one line is one or two paragraphs.
 
 Null text is an empty text. The order of documents is by descending id, null last, ties by a hash of the
 text; the next of the last is the first. Repeated rows follow each other, and give a row each. Empty tables
@@ -30,20 +31,32 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import materialise
 
-LEAST, BITS, ROUNDS = 16, 4, 10
-_END = "\\n.!?。！？"
-#: Digests of both sides that one subsketch of a retry is planned for.
-SUBSKETCH = 20
+FINE, GROWTH, BITS, ROUNDS = 24, 0.3, 4, 10
+_STOP = r"\s.!?。！？，、；："
+_PIECE = rf"[^{_STOP}]{{1,64}}[{_STOP}]*|[{_STOP}]+"
+#: Marks a cut while pieces are put together; a character that texts don't have, as it is none.
+_CUT = "\U0010ffff"
+#: Digests that a part is planned for.
+PLANNED = 6
 _LOW = "281474976710655L"
 _ZERO = "named_struct('c', 0, 'x', 0L)"
 _NONE = "cast(array() as array<bigint>)"
 
 
+def _bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def paragraphs(text: Column) -> Column:
-    """The text cut into paragraphs; joined they are the text."""
-    size = F.greatest(F.lit(LEAST), F.pow(F.lit(2), F.length(F.bin(F.floor(F.length(text) / 8))) - 1).cast("int")).cast("string")
-    pattern = F.concat(F.lit("(?s).{"), size, F.lit(f"}}[^{_END}]{{0,"), size, F.lit(f"}}[{_END}]?|.+"))
-    return F.regexp_extract_all(text, pattern, F.lit(0))
+    """The text cut into paragraphs; joined they are the text (a text with the character U+10FFFF is cut there too, and loses it)."""
+
+    def cut(words: Column) -> Column:
+        share = F.greatest(F.lit(float(FINE)), GROWTH * F.sqrt(F.length(text))) * F.lit(float(1 << 20))
+        chance = lambda w, i: F.xxhash64(w, F.coalesce(F.get(words, i + 1), F.lit(""))).bitwiseAND(F.lit((1 << 20) - 1)) * F.size(words)
+        return _bind(share, lambda limit: F.array_join(F.transform(words, lambda w, i: F.when(chance(w, i) < limit, F.concat(w, F.lit(_CUT))).otherwise(w)), ""))
+
+    return F.filter(F.split(_bind(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), cut), _CUT), lambda p: p != "")
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -79,8 +92,8 @@ def peel_sql(cells: str, level: int = 0) -> str:
     taken = f"transform(s.z, (q, i) -> aggregate(filter(p, e -> {here('e.x')}), q, (a, e) -> named_struct('c', a.c - e.c, 'x', a.x ^ e.x)))"
     side = lambda k: f"concat(s.{'l' if k > 0 else 'r'}, transform(filter(p, e -> e.c = {k}), e -> e.x))"
     step = f"element_at(transform(array({pure}), p -> IF(size(p) = 0, s, named_struct('z', {taken}, 'l', {side(1)}, 'r', {side(-1)}))), 1)"
-    done = "IF(forall(s.z, q -> q.c = 0 AND q.x = 0L), named_struct('l', s.l, 'r', s.r), NULL)"
-    return f"aggregate(sequence(1, {ROUNDS + 2 * level}), named_struct('z', {cells}, 'l', {_NONE}, 'r', {_NONE}), (s, n) -> {step}, s -> {done})"
+    empty = "forall(s.z, q -> q.c = 0 AND q.x = 0L)"
+    return f"aggregate(sequence(1, {ROUNDS + 2 * level}), named_struct('z', {cells}, 'l', {_NONE}, 'r', {_NONE}), (s, n) -> IF({empty}, s, {step}), s -> IF({empty}, named_struct('l', s.l, 'r', s.r), NULL))"
 
 
 def differing_sql(left: str, right: str, level: int = 0) -> str:
@@ -88,9 +101,31 @@ def differing_sql(left: str, right: str, level: int = 0) -> str:
     return peel_sql(subtract_sql(cells_sql(left, level), cells_sql(right, level)), level)
 
 
+def parts_sql(digests: str) -> str:
+    """How many parts the sketch of an array of digests has: a power of two."""
+    return f"cast(pow(2, ceil(log2(greatest(1.0D, size({digests}) / {PLANNED}.0D)))) AS int)"
+
+
+def _part(digests: str, count: str) -> str:
+    """The digests of part ``p`` of ``count``, by bits that no cell goes by."""
+    return f"filter({digests}, k -> (shiftrightunsigned(k, 20) & {(1 << 28) - 1}L) % {count} = p)"
+
+
+def difference_sql(left: str, right: str) -> str:
+    """How many digests only one of two arrays has, part by part, each with larger subtables until it can be peeled."""
+    tries = ", ".join(differing_sql("d.l", "d.r", level) for level in range(4))
+    exact = "named_struct('l', array_except(d.l, d.r), 'r', array_except(d.r, d.l))"  # only where four tables have failed
+    found = f"element_at(transform(array(coalesce({tries}, {exact})), f -> size(f.l) + size(f.r)), 1)"
+    each = f"named_struct('l', {_part(left, 'm')}, 'r', {_part(right, 'm')})"
+    count = f"aggregate(transform(sequence(0, m - 1), p -> {each}), 0, (n, d) -> n + {found})"
+    return f"element_at(transform(array(greatest({parts_sql(left)}, {parts_sql(right)})), m -> {count}), 1)"
+
+
 def fingerprint(digests: str) -> Column:
-    cells = F.transform(F.expr(cells_sql(digests)), lambda q: F.when((q["c"] == 0) & (q["x"] == 0), F.lit("")).otherwise(F.concat(q["c"].cast("string"), F.lit("."), F.lower(F.hex(q["x"])))))
-    return F.concat(F.size(digests).cast("string"), F.lit("|"), F.array_join(cells, ","))
+    """Number of digests, then the cells of all parts: count.exclusive-or, nothing for an empty one."""
+    cells = f"flatten(transform(sequence(0, {parts_sql(digests)} - 1), p -> element_at(transform(array({_part(digests, parts_sql(digests))}), k -> {cells_sql('k')}), 1)))"
+    shown = F.transform(F.expr(cells), lambda q: F.when((q["c"] == 0) & (q["x"] == 0), F.lit("")).otherwise(F.concat(q["c"].cast("string"), F.lit("."), F.lower(F.hex(q["x"])))))
+    return F.concat(F.size(digests).cast("string"), F.lit("|"), F.array_join(shown, ","))
 
 
 def likeness(left: Column, right: Column, differing: Column) -> Column:
@@ -99,23 +134,6 @@ def likeness(left: Column, right: Column, differing: Column) -> Column:
     return F.when(either > 0, (either - differing) / either).otherwise(1.0)
 
 
-def _retried(pairs: DataFrame) -> DataFrame:
-    """(row, which, diff) for comparisons (row, which, l, r) that the first sketch couldn't tell apart.
-
-    Digests are dealt into subsketches by 20 of their bits; no task holds more than a few at a time.
-    """
-    parts = F.greatest(F.lit(1), F.ceil((F.size("l") + F.size("r")) / SUBSKETCH)).cast("long")
-    sides = F.array(F.struct(F.lit(True).alias("mine"), F.col("l").alias("keys")), F.struct(F.lit(False).alias("mine"), F.col("r").alias("keys")))
-    each = pairs.select("row", "which", parts.alias("parts"), F.inline(sides)).select("row", "which", "parts", "mine", F.explode("keys").alias("key"))
-    dealt = each.withColumn("part", F.shiftrightunsigned("key", 20).bitwiseAND(F.lit((1 << 28) - 1)) % F.col("parts"))
-    lists = dealt.groupBy("row", "which", "part").agg(F.collect_list(F.when(F.col("mine"), F.col("key"))).alias("l"), F.collect_list(F.when(~F.col("mine"), F.col("key"))).alias("r"))
-    tries = ", ".join(differing_sql("l", "r", level) for level in range(4))
-    # an exact difference only where four tables have failed
-    exact = "named_struct('l', array_except(l, r), 'r', array_except(r, l))"
-    found = lists.select("row", "which", F.expr(f"coalesce({tries}, {exact})").alias("d"))
-    return found.groupBy("row", "which").agg(F.sum(F.size("d.l") + F.size("d.r")).alias("diff"))
-
-
 def neighbours(ids: DataFrame) -> DataFrame:
     """``ids`` (id, mark, n, ...) with next_id and next_mark, in descending order of id.
 
@@ -160,12 +178,6 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = texts.hint("merge").join(gave.hint("merge"), ["k", "mark"])
     edited = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("need")).cast("int")), "tail"))
     keyed = edited.select("id", "n", "times", F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("keys"), paragraph_digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    count = lambda name: F.size(f"{name}.l") + F.size(f"{name}.r")
-    tried = keyed.withColumns({"de": F.expr(differing_sql("keys", "edited_keys")), "dn": F.expr(differing_sql("keys", "next_keys"))})
-    tried = materialise(tried.select(F.monotonically_increasing_id().alias("row"), "id", "n", "times", "edited_sha256", "keys", "edited_keys", "next_keys", F.when(F.col("de").isNotNull(), count("de")).alias("diff_edited"), F.when(F.col("dn").isNotNull(), count("dn")).alias("diff_next")))
-    again = [tried.where(f"diff_{which} IS NULL").select("row", F.lit(which).alias("which"), F.col("keys").alias("l"), F.col(f"{which}_keys").alias("r")) for which in ("edited", "next")]
-    more = _retried(again[0].unionByName(again[1])).groupBy("row").agg(*[F.max(F.when(F.col("which") == w, F.col("diff"))).alias(f"more_{w}") for w in ("edited", "next")])
-    done = tried.join(more.hint("merge"), "row", "left")
-    done = done.withColumns({f"near_{w}": likeness(F.size("keys"), F.size(f"{w}_keys"), F.coalesce(f"diff_{w}", f"more_{w}")) for w in ("edited", "next")})
-    done = done.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", fingerprint("keys").alias("fingerprint"), fingerprint("edited_keys").alias("edited_fingerprint"), "near_edited", "near_next", "times")
+    found = keyed.withColumns({f"near_{w}": likeness(F.size("keys"), F.size(f"{w}_keys"), F.expr(difference_sql("keys", f"{w}_keys"))) for w in ("edited", "next")})
+    done = found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", fingerprint("keys").alias("fingerprint"), fingerprint("edited_keys").alias("edited_fingerprint"), "near_edited", "near_next", "times")
     return done.withColumn("time", F.explode(F.expr("sequence(1L, times)"))).drop("time", "times")
