@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import citation_indices, is_unknown, language, quote, unknown_message
+from corpusloom.functions.text import citation_indices, language, quote, unknown_message
 
 
 def evidence(ranked: DataFrame, passages: DataFrame) -> DataFrame:
@@ -57,13 +57,17 @@ def removed_counts(citations: DataFrame, known: DataFrame, by: str = "query_id",
     return marked.groupBy(by).agg(F.count("_known").alias("kept"), F.count_if(F.col("_known").isNull()).alias("removed"))
 
 
-def finalise(answers: DataFrame, counts: DataFrame, question: str = "question") -> DataFrame:
-    """Answers without evidence or text say so in the question's language (English if there is none); ``cited`` is whether citations stay."""
+def finalise(answers: DataFrame, counts: DataFrame, question: str = "question", spoken: str = "thread_language") -> DataFrame:
+    """Answers without evidence or text say that there isn't enough information, and cite nothing; all others stay as they are.
+
+    That is said in the thread's language where there is a column ``spoken`` (:func:`text.thread_language`), else in the question's, in
+    English if there is none. ``cited`` is whether citations stay: an answer that itself says it doesn't know keeps them.
+    """
     joined = answers.join(counts.select("query_id", "chunk_count"), "query_id", "left")
-    bare = (F.coalesce("chunk_count", F.lit(0)) == 0) | (F.trim(F.coalesce("answer", F.lit(""))) == "")
-    asked = F.coalesce(question, F.lit("")) if question in answers.columns else F.lit("")
-    made = joined.withColumn("answer", F.when(bare, unknown_message(language(asked))).otherwise(F.col("answer")))
-    return made.withColumn("cited", ~bare & ~is_unknown(F.col("answer")))
+    bare = (F.coalesce("chunk_count", F.lit(0)) == 0) | ~F.coalesce(F.col("answer").rlike(r"\S"), F.lit(False))
+    asked = language(F.coalesce(question, F.lit("")) if question in answers.columns else F.lit(""))
+    heard = F.coalesce(spoken, asked) if spoken in answers.columns else asked
+    return joined.withColumns({"answer": F.when(bare, unknown_message(heard)).otherwise(F.col("answer")), "cited": ~bare})
 
 
 def citation_rows(answers: DataFrame, found: DataFrame, titles: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import evaluation, grounding, retrieval
@@ -18,6 +19,42 @@ def text_search(passages: DataFrame, wanted: Column, content: str = "content", t
     return passages.where((phrase == "") | F.contains(F.lower(content), phrase) | F.coalesce(F.contains(F.lower(title), phrase), F.lit(False)))
 
 
+#: Phrases that one automaton may hold; they go to the tasks with the function.
+PHRASES = 200_000
+
+
+def phrase_matches(rows: DataFrame, phrases: DataFrame, key: str, text: str, phrase: str = "phrase") -> DataFrame:
+    """(key, phrase) wherever the text holds a phrase, whatever its case: what :func:`text_search` finds for each phrase.
+
+    All phrases are met in one pass over a text by an Aho-Corasick automaton, in Arrow batches, where the rows lie. Blank phrases
+    are left out; more than ``PHRASES`` different ones are an error.
+    """
+    lowered = F.lower(F.trim(F.col(phrase)))
+    listed = [r[0] for r in phrases.where(lowered != "").select(lowered).distinct().limit(PHRASES + 1).collect()]
+    if len(listed) > PHRASES:
+        raise ValueError(f"more than {PHRASES} phrases")
+    kind = rows.schema[key].dataType
+    wanted = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for one in listed:
+            words.add_word(one, one)
+        if listed:
+            words.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for k, value in enumerate(batch.column(1).to_pylist() if listed else []):
+                seen = {p for _, p in words.iter(value)} if value else ()
+                at += [k] * len(seen)
+                found += sorted(seen)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())).cast(wanted), pa.array(found, pa.string())], [key, "phrase"])
+
+    return rows.select(key, F.lower(F.col(text)).alias("_text")).mapInArrow(run, f"`{key}` {kind.simpleString()}, phrase string")
+
+
 def history_context(messages: DataFrame, by: str, order: str, most: int = 1200, role: str = "role", text: str = "text") -> DataFrame:
     """The newest lines of each conversation that fit ``most`` characters, oldest first."""
     line = F.concat(F.col(role), F.lit(": "), tx.collapse(F.col(text)))
@@ -52,19 +89,24 @@ def search_queries(listed: Column, standalone: Column, most: int = 3) -> Column:
     return tx.ordered_distinct(F.when(F.size(clean) > 0, clean).otherwise(F.array(standalone)), most)
 
 
-def apply_rewrites(requests: DataFrame, outputs: DataFrame) -> DataFrame:
+def apply_rewrites(requests: DataFrame, outputs: DataFrame, allowed: list[str] | None = None) -> DataFrame:
     """Requests (request_id, query, has_history) with their strategy, final query and searches.
 
-    A model's output (request_id, raw) counts only where the gate asks for a rewrite, it can be parsed,
-    and it keeps the protected terms. ``rewritten`` is whether the query that is used is another one.
+    A model's output (request_id, raw) counts only where the gate asks for a rewrite of an ``allowed`` strategy (all if not given),
+    it can be parsed, its query holds no code fence, and query and searches together keep the protected terms. Every
+    request whose output doesn't count is its own search, with strategy no_rewrite. ``rewritten`` is whether the query that
+    is used is another one.
     """
-    strategy = tx.rewrite_strategy(F.col("query"), F.col("has_history"))
+    gate = tx.rewrite_strategy(F.col("query"), F.col("has_history"))
+    gate = F.when(gate.isin(allowed if allowed is not None else tx.STRATEGIES), gate).otherwise("no_rewrite")
     parsed = outputs.select("request_id", parse_rewrite(F.col("raw")).alias("r"))
-    joined = requests.withColumn("strategy", strategy).join(parsed, "request_id", "left")
+    joined = requests.withColumn("strategy", gate).join(parsed, "request_id", "left")
     plain = tx.collapse(F.col("query"))
-    good = F.coalesce((F.col("strategy") != "no_rewrite") & F.col("r.query").isNotNull() & tx.keeps_terms(F.col("r.query"), tx.protected_terms(F.col("query"))), F.lit(False))
+    fenced = F.contains("r.query", F.lit("```")) | F.contains("r.query", F.lit("~~~"))
+    said = F.concat_ws(" ", "r.query", "r.searches")
+    good = F.coalesce((F.col("strategy") != "no_rewrite") & F.col("r.query").isNotNull() & ~fenced & tx.keeps_terms(said, tx.protected_terms(F.col("query"))), F.lit(False))
     final = F.when(good, F.col("r.query")).otherwise(plain)
-    return joined.select(*requests.columns, F.when(good, F.coalesce("r.strategy", "strategy")).otherwise(F.col("strategy")).alias("strategy"), final.alias("final_query"),
+    return joined.select(*requests.columns, F.when(good, F.coalesce("r.strategy", "strategy")).otherwise("no_rewrite").alias("strategy"), final.alias("final_query"),
                          F.when(good, F.col("r.searches")).otherwise(F.array(plain)).alias("searches"), (F.lower(final) != F.lower(plain)).alias("rewritten"))
 
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import bind, lexical_tokens
@@ -295,6 +297,42 @@ def embed(rows: DataFrame, text: str, model: Callable | None = None, size: int =
     return rows.withColumn("embedding", run(text))
 
 
+def embed_batches(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]], tuple[list, list[int]]], size: int = 100, price: float = 0.0) -> DataFrame:
+    """(key, embedding, tokens, cost) from a provider that takes ``size`` texts a call and returns vectors and tokens.
+
+    Texts of a partition are regrouped across Arrow batches, so that only its last call is smaller; a task holds one call's
+    texts. Blank and null texts aren't sent and have no vector and no tokens. ``price`` is that of a million tokens.
+    """
+    kind = rows.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts = [], []
+
+        def call() -> pa.RecordBatch:
+            sent = [k for k, t in enumerate(texts) if t and t.strip()]
+            vectors, tokens = provider([texts[k] for k in sent]) if sent else ([], [])
+            own = dict(zip(sent, zip(vectors, tokens, strict=True), strict=True))
+            made = [own.get(k, (None, 0)) for k in range(len(texts))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(keys, to_arrow_type(kind)), pa.array([None if v is None else list(v) for v, _ in made], pa.list_(pa.float64())), pa.array([int(n) for _, n in made], pa.int64()), pa.array([n * price / 1e6 for _, n in made], pa.float64())],
+                [key, "embedding", "tokens", "cost"],
+            )
+
+        ready = 0
+        for batch in batches:
+            for one, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(one)
+                texts.append(value)
+                ready += bool(value and value.strip())
+                if ready == size:
+                    yield call()
+                    keys, texts, ready = [], [], 0
+        if keys:
+            yield call()
+
+    return rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind.simpleString()}, embedding array<double>, tokens long, cost double")
+
+
 #: Passages of a scope that one task meets with the scope's queries.
 BLOCK = 50_000
 

@@ -59,9 +59,29 @@ def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+#: Numbers of the order column that share a segment of a running sum.
+SEGMENT = 10_000
+
+
+def running(rows: DataFrame, by: str, order: str, value: Column, segment: int = SEGMENT) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``value`` over all rows of the same ``by`` that come earlier in ``order``, a whole number column.
+
+    In two levels: sums of segments of the order, at most one row to ``segment`` numbers, get running totals of their own;
+    rows are summed inside their segment. So one large group is many tasks. Rows without an order come first.
+    """
+    cut = F.coalesce(F.floor(F.col(order) / segment), F.lit(-(1 << 62))).cast("long")
+    rows = rows.withColumns({"_segment": cut, "_value": value})
+    earlier = Window.partitionBy(by).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(by, "_segment").agg(F.sum("_value").alias("_sum")).select(F.col(by).alias("_by"), F.col("_segment").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy(by, "_segment").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    met = summed.join(totals.hint("merge"), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_segment") == F.col("_at")))
+    return met.withColumn("before", F.col("_inside") + F.col("_carried")).drop("_by", "_at", "_carried", "_inside", "_segment", "_value")
+
+
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
-    """Number batches of fixed size inside each group."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    """Number batches of fixed size inside each group, in the order of a whole number column."""
+    return running(rows, by, order, F.lit(1)).withColumn("batch", F.floor(F.col("before") / size)).drop("before")
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -69,6 +69,33 @@ def prepared_answers(spark, sf) -> DataFrame:
     return requests.prepare_answers(requests.apply_rewrites(asked, none), search.passages(spark, sf), index=search.index(spark, sf)).select("query_id", "citation_index", "id")
 
 
+_FIRST = "regexp_extract(text, '[A-Za-z]+')"
+
+
+@entered(f"""WITH a AS (SELECT item_id AS request_id, 'it ' || {_FIRST} || ' Kafka_' || item_id AS query, {_FIRST} AS w, item_id % 6 AS k FROM benchmark),
+    o AS (SELECT *, CASE k WHEN 0 THEN 'what about ' || w || ' Kafka_' || request_id WHEN 1 THEN 'what about ' || w ELSE query END AS said FROM a)
+    SELECT request_id, CASE WHEN k IN (0, 1) THEN 'standalone_expansion' WHEN k = 5 THEN 'reference_resolution' ELSE 'no_rewrite' END AS strategy,
+           CASE WHEN k IN (0, 1, 5) THEN said ELSE query END AS final_query,
+           CASE k WHEN 0 THEN said WHEN 1 THEN w || ' Kafka_' || request_id ELSE query END AS first_search, k IN (0, 1) AS rewritten FROM o""")
+def rewritten_requests(spark, sf) -> DataFrame:
+    """Model outputs of every branch, made from the items: a good one; one whose searches alone keep the terms; one in a code
+    fence; one that drops a term; one that can't be read; and one that says the same with a strategy that isn't known."""
+    k, word = F.col("item_id") % 6, F.regexp_extract("text", "[A-Za-z]+", 0)
+    name = F.concat(F.lit("Kafka_"), F.col("item_id"))
+    query = F.concat(F.lit("it "), word, F.lit(" "), name)
+    items = table(spark, sf, "benchmark")
+    asked = items.select(F.col("item_id").alias("request_id"), query.alias("query"), F.lit(True).alias("has_history"))
+    said = lambda text, searches, strategy: F.to_json(F.struct(text.alias("query"), searches.alias("search_queries"), strategy.alias("strategy")))
+    about, none, expand = F.concat(F.lit("what about "), word), F.array().cast("array<string>"), F.lit("standalone_expansion")
+    whole = F.concat(about, F.lit(" "), name)
+    raw = (
+        F.when(k == 0, said(whole, none, expand)).when(k == 1, said(about, F.array(F.concat_ws(" ", word, name)), expand)).when(k == 2, said(F.concat(F.lit("``` "), whole), F.array(whole), expand))
+        .when(k == 3, said(F.lit("tell me more"), none, expand)).when(k == 4, F.lit("{ not an object")).otherwise(said(query, none, F.lit("other")))
+    )
+    made = requests.apply_rewrites(asked, items.select(F.col("item_id").alias("request_id"), raw.alias("raw")))
+    return made.select("request_id", "strategy", "final_query", F.get("searches", F.lit(0)).alias("first_search"), "rewritten")
+
+
 _LONG = "l AS (UNPIVOT (SELECT query_id, recall::DOUBLE AS recall, precision::DOUBLE AS precision, hit::DOUBLE AS hit, ndcg::DOUBLE AS ndcg, reciprocal_rank::DOUBLE AS reciprocal_rank FROM m) ON recall, precision, hit, ndcg, reciprocal_rank INTO NAME metric_type VALUE metric_value)"
 
 

@@ -282,31 +282,32 @@ def evidence_by_source(spark, sf) -> DataFrame:
     return grounding.by_source(found.hint("merge").join(search.passages(spark, sf).select("id", "scope"), "id")).select("query_id", F.col("scope").alias("source"), F.array_join("indices", ",").alias("indices"))
 
 
-@entered("""WITH a AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN '' WHEN item_id % 3 = 1 THEN text ELSE 'I don''t have enough information' END AS answer, text AS question, item_id % 5 AS n FROM benchmark)
-    SELECT query_id, CASE WHEN n = 0 OR answer = '' THEN CASE WHEN regexp_matches(question, '[㐀-䶿一-鿿]') THEN '我没有足够的信息' ELSE 'I don''t have enough information' END ELSE answer END AS answer, NOT (n = 0 OR answer = '') AND query_id % 3 <> 2 AS cited FROM a""")
+@entered("""WITH a AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN '' WHEN item_id % 3 = 1 THEN text ELSE 'I don''t have enough information' END AS answer, text AS question, item_id % 5 AS n, CASE WHEN item_id % 2 = 0 THEN 'zh' END AS spoken FROM benchmark)
+    SELECT query_id, CASE WHEN n = 0 OR answer = '' THEN CASE WHEN spoken = 'zh' OR regexp_matches(question, '[㐀-䶿一-鿿]') THEN '我没有足够的信息' ELSE 'I don''t have enough information' END ELSE answer END AS answer, NOT (n = 0 OR answer = '') AS cited FROM a""")
 def final_answers(spark, sf) -> DataFrame:
+    """Every second thread is in Chinese."""
     n = F.col("item_id") % 3
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(n == 0, "").when(n == 1, F.col("text")).otherwise(tx.UNKNOWN["en"]).alias("answer"), F.col("text").alias("question"))
+    spoken = F.when(F.col("item_id") % 2 == 0, "zh").alias("thread_language")
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(n == 0, "").when(n == 1, F.col("text")).otherwise(tx.UNKNOWN["en"]).alias("answer"), F.col("text").alias("question"), spoken)
     counts = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).alias("chunk_count"))
     return grounding.finalise(rows, counts).select("query_id", "answer", "cited")
 
 
-def _bigram_sql(words: str) -> str:
-    return f"[{words}[i] || ' ' || {words}[i + 1] for i in range(1, len({words}))]"
-
-
-@entered(rf"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{tx.GATE_TOKEN}') AS w FROM documents) SELECT doc_id, md5(array_to_string({_bigram_sql('w')}, '|')) AS bigrams FROM w")
-def bigrams(spark, sf) -> DataFrame:
-    rows = documents(spark, sf).select("doc_id", tx.gate_tokens(F.col("text")).alias("w"))
-    return rows.select("doc_id", F.md5(F.array_join(tables.bigrams(F.col("w")), "|")).alias("bigrams"))
-
-
-@entered(r"""WITH q AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS q FROM benchmark),
-    c AS (SELECT item_id, q, regexp_replace(q, '^[ \-:*''"]+|[ \-:*''"]+$', '', 'g') AS b FROM q),
-    s AS (SELECT item_id, CASE WHEN length(b) <= 240 THEN b ELSE trim(regexp_replace(substr(b, 1, 240), ' [^ ]*$', '')) END AS s FROM c)
-    SELECT item_id, s AS query, len(string_split(s, ' ')) <= 32 AND regexp_matches(s, '[A-Za-z0-9]') AND NOT starts_with(s, '{') AND NOT ends_with(s, '}') AND NOT regexp_matches(s, '(?i)^(because|reason|explanation|this query|i rewrote|i would rewrite|here(?:''s| is) the rewritten query)') AS usable FROM s""")
-def cleaned_queries(spark, sf) -> DataFrame:
-    raw = F.concat(F.lit("\n  Search query: \""), F.regexp_replace("text", r"\s+", " "), F.lit("\"\nmore"))
-    rows = table(spark, sf, "benchmark").select("item_id", tx.clean_query(raw).alias("query"))
-    return rows.select("item_id", "query", tx.looks_like_query(F.col("query")).alias("usable"))
-
+@entered("""WITH v AS (SELECT event_type, value, ('0x' || substr(md5('11:' || event_id), 1, 12))::BIGINT AS n FROM events WHERE value IS NOT NULL),
+    d AS (SELECT event_type, value, r, n, ((n % 1000003 * 48271 % 1000003) + r * 69621 % 1000003) % 1000003 AS m FROM v, (SELECT unnest(range(1, 201)) AS r)),
+    u AS (SELECT event_type, value, r, ((m * m % 1000003 * m + n // 1000003) % 1000003)::DOUBLE / 1000003::DOUBLE AS u FROM d),
+    w AS (SELECT event_type, value, r, (u >= 0.367879::DOUBLE)::INT + (u >= 0.735759::DOUBLE)::INT + (u >= 0.919699::DOUBLE)::INT + (u >= 0.981012::DOUBLE)::INT + (u >= 0.996340::DOUBLE)::INT AS w FROM u),
+    m AS (SELECT event_type, r, coalesce(sum(w * value) / nullif(sum(w), 0), avg(value)) AS m FROM w GROUP BY event_type, r)
+    SELECT event_type AS metric_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY event_type""")
+def bootstrap_intervals(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "events").select(F.col("event_type").alias("metric_type"), F.col("value").alias("metric_value"), F.col("event_id").alias("key"))
+    return evaluation.bootstrap(rows, 200).select("metric_type", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@entered("""WITH p AS (SELECT DISTINCT lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+')[1:2], ' ')) AS phrase FROM benchmark)
+    SELECT phrase, count(*) AS documents FROM p JOIN documents ON phrase <> '' AND contains(lower(text), phrase) GROUP BY phrase""")
+def phrase_matches(spark, sf) -> DataFrame:
+    """How many documents hold the first two words of a benchmark item; all phrases are met in one pass."""
+    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 2)
+    wanted = table(spark, sf, "benchmark").select(F.array_join(words, " ").alias("phrase"))
+    return requests.phrase_matches(documents(spark, sf), wanted, "doc_id", "text").groupBy("phrase").agg(F.count(F.lit(1)).alias("documents"))

@@ -6,11 +6,12 @@ import html
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusloom.functions.text import collapse, normalise_text
+from corpusloom.operators.tables import running
 
 # Parts of a page that are no text, largest uploads by type, shapes of video addresses.
 SCRIPT = r"(?is)<script[^>]*>.*?</script>"
@@ -70,11 +71,10 @@ def document_id(url: Column) -> Column:
 
 
 def page_offsets(pages: DataFrame, source: str, order: str, text: str) -> DataFrame:
-    """char_start and char_end of each page in its source's joined text; blank pages take no room."""
-    blank = F.trim(F.col(text)) == ""
-    before = Window.partitionBy(source).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # numbers only
-    start = F.coalesce(F.sum(F.when(blank, 0).otherwise(F.length(text) + 1)).over(before), F.lit(0))
-    return pages.withColumn("char_start", start).withColumn("char_end", F.col("char_start") + F.when(blank, 0).otherwise(F.length(text)))
+    """char_start and char_end of each page in its source's joined text, pages in ``order``, a whole number; blank pages take no room."""
+    room = F.when(F.trim(F.col(text)) == "", 0).otherwise(F.length(text) + 1)
+    placed = running(pages, source, order, room).withColumnRenamed("before", "char_start")
+    return placed.withColumn("char_end", F.col("char_start") + F.greatest(room - 1, F.lit(0)))
 
 
 def route(sources: DataFrame) -> DataFrame:

@@ -285,6 +285,47 @@ def test_citations(spark):
     assert one(spark, grounding.answer_text(F.col("r")), r='{"response": " hi "}') == "hi"
     done = grounding.finalise(answers, spark.createDataFrame([], "query_id int, chunk_count long")).first()
     assert done["answer"] == tx.UNKNOWN["en"] and not done["cited"]
+    rows = spark.createDataFrame([(1, " \n", "zh", "why"), (2, tx.UNKNOWN["en"], "zh", "why"), (3, "yes", None, "why"), (4, None, None, "为什么")], "query_id int, answer string, thread_language string, question string")
+    counts = spark.createDataFrame([(k, 2) for k in range(1, 5)], "query_id int, chunk_count long")
+    got = {r["query_id"]: (r["answer"], r["cited"]) for r in grounding.finalise(rows, counts).collect()}
+    assert got == {1: (tx.UNKNOWN["zh"], False), 2: (tx.UNKNOWN["en"], True), 3: ("yes", True), 4: (tx.UNKNOWN["zh"], False)}
+
+
+def test_running_sums_in_segments(spark):
+    """Any cut into segments gives the sums of one window; a large group is many tasks."""
+    rows = spark.createDataFrame([(g, o, (o * 7 + g) % 11) for g in (1, 2) for o in [*range(-5, 40), 1000, 10**9]] + [(None, 3, 4), (None, 5, 6), (3, None, 9), (3, 1, 2)], "g int, o long, v int")
+    want = {}
+    for g, o, v in sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0)):
+        want[g, o] = sum(x for (h, p), x in [((r["g"], r["o"]), r["v"]) for r in rows.collect()] if h == g and (p is None or o is not None and p < o) and (h, p) != (g, o))
+    for segment in (1, 7, 10_000):
+        assert {(r["g"], r["o"]): r["before"] for r in tables.running(rows, "g", "o", F.col("v"), segment).collect()} == want
+    many = spark.range(60_000).select(F.lit("one").alias("s"), F.col("id").alias("page"), F.lit("ab").alias("text"))
+    placed = web.page_offsets(many, "s", "page", "text")
+    assert placed.where("char_start <> page * 3 OR char_end <> char_start + 2").count() == 0
+    assert placed.groupBy(F.floor(F.col("page") / tables.SEGMENT)).count().count() == 6
+    assert tables.batches(many, "s", "page", 32).where("batch <> page div 32").count() == 0
+
+
+def test_providers_get_full_batches(spark, tmp_path):
+    """Every call but a task's last has as many texts as asked for, across Arrow batches; blank texts are never sent."""
+    calls = str(tmp_path / "calls")
+
+    def provider(texts):
+        with open(calls, "a") as file:
+            file.write(f"{len(texts)}\n")
+        assert all(t.strip() for t in texts)
+        return [[float(len(t)), 1.0] for t in texts], [len(t) // 4 for t in texts]
+
+    rows = spark.createDataFrame([(k, None if k % 50 == 0 else " " if k % 50 == 1 else "word " * (k % 9 + 1), "x") for k in range(1000)], "id int, text string, cost string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {r["id"]: r for r in retrieval.embed_batches(rows, "id", "text", provider, 64, 2.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [int(x) for x in open(calls)] == [64] * 15 and len(got) == 1000
+    assert got[0]["embedding"] is None and got[1]["tokens"] == 0 and got[2]["embedding"] == [15.0, 1.0]
+    assert got[8]["tokens"] == 11 and got[8]["cost"] == pytest.approx(22e-6)
+    assert retrieval.embed_batches(rows.limit(0), "id", "text", provider).collect() == []
 
 
 def test_coverage_and_profiles(spark):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import requests
@@ -19,6 +20,31 @@ def test_rewrites_are_gated_and_checked(spark):
     assert got[2] == ("`x` fails", ["`x` fails"], False) and not got[3][2] and not got[4][2]
 
 
+def test_rewrites_that_do_not_count(spark):
+    """A fence, a strategy that isn't allowed, dropped terms: the request is its own search, without a rewrite. Searches may keep the terms."""
+    asked = spark.createDataFrame([(k, "what about Kafka_x", True) for k in range(5)], "request_id int, query string, has_history boolean")
+    said = lambda **x: json.dumps({"strategy": "keyword_enrichment"} | x)
+    raw = [said(query="what about kafka_X logs"), said(query="logs", search_queries=["Kafka_x logs"]), said(query="``` Kafka_x"), said(query="logs"), None]
+    outputs = spark.createDataFrame(list(enumerate(raw)), "request_id int, raw string")
+    got = {r["request_id"]: (r["strategy"], r["final_query"], r["rewritten"]) for r in requests.apply_rewrites(asked, outputs).collect()}
+    kept = ("no_rewrite", "what about Kafka_x", False)
+    assert got == {0: ("keyword_enrichment", "what about kafka_X logs", True), 1: ("keyword_enrichment", "logs", True), 2: kept, 3: kept, 4: kept}
+    assert {tuple(r) for r in requests.apply_rewrites(asked, outputs, ["keyword_enrichment"]).select("strategy", "rewritten").collect()} == {("no_rewrite", False)}
+
+
+def test_phrases_are_found_as_contains_finds_them(spark, monkeypatch):
+    texts = ["The cat sat.", "concatenate CATS", None, "", "a b c", "ÀÉ été"]
+    phrases = ["cat", " Cat ", "at", "b", "été", "zz", "", "  ", None, "the cat"]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "id int, text string, phrase string").repartition(3)
+    wanted = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    got = sorted(map(tuple, requests.phrase_matches(rows, wanted, "id", "text").collect()))
+    assert got == sorted((k, p) for k, t in enumerate(texts) for p in {(p or "").strip().lower() for p in phrases} if p and t and p in t.lower())
+    assert requests.phrase_matches(rows, wanted.limit(0), "id", "text").count() == 0
+    monkeypatch.setattr(requests, "PHRASES", 3)
+    with pytest.raises(ValueError, match="phrases"):
+        requests.phrase_matches(rows, wanted, "id", "text")
+
+
 def test_budget_passes_over_what_does_not_fit(spark):
     rows = spark.createDataFrame([("s", 1, 5), ("s", 2, 9), ("s", 3, 4), ("t", 1, 99)], "s string, o int, n int")
     assert sorted((r["s"], r["o"]) for r in requests.within_budget(rows, "s", "o", "n", 10).collect()) == [("s", 1), ("s", 3)]
