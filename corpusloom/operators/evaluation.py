@@ -86,6 +86,32 @@ def summary(metrics: DataFrame, runs: DataFrame, key: str) -> DataFrame:
     return metrics.join(runs.select(key).distinct(), key, "left_semi").groupBy("metric_type").agg(F.avg("metric_value").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def with_metadata(metrics: DataFrame, *fields: str) -> DataFrame:
+    """``metrics`` with ``metadata``, a VARIANT object of some of its columns, which leave: k, counts, lists of mixed types.
+
+    Kinds of metrics have different fields; a null field isn't in the object. Read one with ``variant_get``.
+    """
+    return metrics.withColumn("metadata", F.parse_json(F.to_json(F.struct(*fields)))).drop(*fields)
+
+
+#: The columns of an export, in their order.
+EXPORTED = ["run_id", "notebook_id", "query", "status", "metric_type", "metric_value", "created_at", "completed_at", "metadata"]
+
+
+def metrics_export(runs: DataFrame, metrics: DataFrame, kinds: list[str] | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """A row (``EXPORTED``) for each metric of the chosen runs, newest runs first; metadata as JSON.
+
+    Runs of a time range (created_at) are chosen, and with ``kinds`` those that have one of these metrics, with all
+    their metrics. Runs without metrics have no row.
+    """
+    chosen = in_time_range(runs, "created_at", start, end)
+    if kinds is not None:
+        chosen = chosen.join(metrics.where(F.col("metric_type").isin(kinds)).select("run_id"), "run_id", "left_semi")
+    shown = F.to_json("metadata").alias("metadata") if "metadata" in metrics.columns else F.lit(None).cast("string").alias("metadata")
+    joined = chosen.hint("merge").join(metrics.select("run_id", "metric_type", "metric_value", shown), "run_id")
+    return joined.select(*EXPORTED).orderBy(F.desc("created_at"), "run_id", "metric_type")
+
+
 def runs_with_metrics(runs: DataFrame, metrics: DataFrame, key: str, kinds: list[str] | None = None, time: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Runs of a time range, with ``metrics``: their (metric_type, metric_value) by type, empty if they have none.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import evaluation, grounding, retrieval
+from corpusloom.operators import evaluation, grounding, retrieval, tables
 
 
 def text_search(passages: DataFrame, wanted: Column, content: str = "content", title: str = "title") -> DataFrame:
@@ -64,6 +64,32 @@ def history_context(messages: DataFrame, by: str, order: str, most: int = 1200,
     return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n").alias("history"))
 
 
+# The most characters of a rewrite's context and of a message in it, and its headings.
+CONTEXT_CHARS, MESSAGE_CHARS, TURNS = 4000, 240, 4
+TOPICS_HEADING, TURNS_HEADING = "Recent topics/entities: ", "Recent turns:"
+
+
+def rewrite_context(messages: DataFrame, by: str, order: str, most: int = CONTEXT_CHARS, turns: int = TURNS, role: str = "role", text: str = "text") -> DataFrame:
+    """(by, context) of each conversation, for rewriting its next question: topics, then the messages since the ``turns``-th last of the user.
+
+    A longer message keeps its last ``MESSAGE_CHARS`` characters, dots included. A context of more than ``most`` characters keeps the
+    last lines that fit. Blank messages don't count; a conversation of no others has no row.
+    """
+    spoken = messages.withColumn(role, F.coalesce(F.nullif(F.lower(F.trim(role)), F.lit("")), F.lit("unknown")))
+    chosen = tables.last_user_turns(spoken, by, order, turns, role, text)
+    said = tx.collapse(F.col(text))
+    short = F.when(F.length(said) <= MESSAGE_CHARS, said).otherwise(F.concat(F.lit("..."), F.substring(said, -(MESSAGE_CHARS - 3), MESSAGE_CHARS - 3)))
+    lines = chosen.select(by, F.lit(2).alias("part"), F.col(order).alias("_at"), F.concat(F.lit("- "), F.col(role), F.lit(": "), short).alias("line"))
+    topics = tables.history_topics(chosen, by, order, text).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda t: t["topic"]), ", ").alias("topics"))
+    heads = lines.select(by).distinct().join(topics.hint("merge"), by, "left")
+    named = F.array(F.struct(F.lit(0).alias("part"), F.concat(F.lit(TOPICS_HEADING), "topics").alias("line")), F.struct(F.lit(1).alias("part"), F.lit(TURNS_HEADING).alias("line")))
+    every = heads.select(by, F.inline(named)).where("line IS NOT NULL").withColumn("_at", F.lit(None).cast(lines.schema["_at"].dataType)).unionByName(lines)
+    back = Window.partitionBy(by).orderBy(F.desc("part"), F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("line") + 1
+    kept = every.withColumns({"_used": F.sum(size).over(back), "_all": F.sum(size).over(Window.partitionBy(by))}).where((F.col("_all") - 1 <= most) | (F.col("_used") <= most))
+    return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "_at", "line"))), lambda x: x["line"]), "\n").alias("context"))
+
+
 def parse_rewrite(raw: Column, fallback: Column | None = None) -> Column:
     """struct(query, searches, strategy) of a model's answer; the query is null where it can't be used.
 

@@ -375,10 +375,16 @@ def hybrid_search(queries: DataFrame, passages: DataFrame, k: int = 10, depth: i
 def merge_queries(found: DataFrame, k: int = 10) -> DataFrame:
     """Results (request_id, query_id, id, score, rank) of a request's rewritten queries as one list.
 
-    Scores are summed; ``best_score`` and ``best_rank`` keep the best of the lists.
+    Scores are summed; ``best_score`` and ``best_rank`` keep the best of the lists. Results of a hybrid search keep their best
+    cosine (vector_score) and the rank in the list it comes from, and likewise bm25_score and bm25_rank: of equal
+    scores the smaller rank.
     """
     best = [F.max("score").alias("best_score"), F.min("rank").alias("best_rank")]
+    both = [(name, n) for n, name in enumerate(("vector", "bm25")) if f"own_{n}" in found.columns]
+    best += [F.max(F.when(F.col(f"own_{n}").isNotNull(), F.struct(F.col(f"own_{n}").alias("score"), (-F.col(f"rank_{n}")).alias("rank")))).alias(f"_{name}") for name, n in both]
     merged = found.groupBy("request_id", "id").agg(F.round(F.sum("score"), 9).alias("score"), F.count(F.lit(1)).alias("lists"), *best)
+    for name, _ in both:
+        merged = merged.withColumns({f"{name}_score": F.col(f"_{name}.score"), f"{name}_rank": -F.col(f"_{name}.rank")}).drop(f"_{name}")
     return top_k(merged, k, by="request_id")
 
 

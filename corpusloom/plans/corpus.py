@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import profiles, tables
+from corpusloom.operators import profiles, requests, tables
 from corpusloom.operators.chunking import chunk
 from corpusloom.plans.base import Query, documents, register, table
 from corpusloom.plans.tables import TOKENS
@@ -183,17 +183,33 @@ def meaningful_terms(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.size(tx.meaningful_terms(F.col("text"))).alias("terms"))
 
 
-@entered(rf"""WITH m AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user'),
+_TOPICS = rf"""m AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM chosen),
     l AS (SELECT conv_id, turn, [x for x in regexp_extract_all(t, '{tx.TOPIC_TOKEN}') if lower(x) NOT IN {_STOPS} AND regexp_matches(x, '[A-Z0-9_./:-]')] AS names, [lower(x) for x in regexp_extract_all(t, '{tx.WORD_TOKEN}') if lower(x) NOT IN {_STOPS}] AS words FROM m),
     e AS (SELECT conv_id, turn, 0 AS kind, unnest(names) AS label, unnest(range(len(names))) AS pos FROM l
           UNION ALL SELECT conv_id, turn, 1, unnest([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]), unnest(range(greatest(len(words) - 1, 0))) FROM l UNION ALL SELECT conv_id, turn, 2, unnest(words), unnest(range(len(words))) FROM l),
     c AS (SELECT conv_id, lower(label) AS low, kind, count(*) AS n, min(turn * 1000000 + pos) AS first, arg_min(label, turn * 1000000 + pos) AS topic FROM e GROUP BY conv_id, lower(label), kind),
-    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, low ORDER BY kind) AS p FROM c) WHERE p = 1)
-    SELECT conv_id, rank, topic, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, CASE WHEN kind > 0 THEN -n ELSE 0 END, first) AS rank FROM o) WHERE rank <= 6""")
+    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, low ORDER BY kind) AS p FROM c) WHERE p = 1),
+    topics AS (SELECT conv_id, rank, topic, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY kind, CASE WHEN kind > 0 THEN -n ELSE 0 END, first) AS rank FROM o) WHERE rank <= 6)"""
+
+
+@entered(f"WITH chosen AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), {_TOPICS} SELECT * FROM topics")
 def conversation_topics(spark, sf) -> DataFrame:
     return tables.history_topics(table(spark, sf, "conversations").where("role = 'user'"), "conv_id", "turn")
 
 
+@entered(rf"""WITH spoken AS (SELECT conv_id, turn, coalesce(nullif(lower(trim(role)), ''), 'unknown') AS role, text FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+    chosen AS (SELECT * FROM (SELECT *, coalesce(count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS u FROM spoken) WHERE u < 4), {_TOPICS},
+    f AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM chosen),
+    x AS (SELECT conv_id, 2 AS part, turn, '- ' || role || ': ' || CASE WHEN length(t) <= 240 THEN t ELSE '...' || right(t, 237) END AS line FROM f
+          UNION ALL SELECT conv_id, 0, NULL, 'Recent topics/entities: ' || string_agg(topic, ', ' ORDER BY rank) FROM topics GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 1, NULL::INT, 'Recent turns:' FROM f),
+    s AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY conv_id ORDER BY part DESC, turn DESC) AS used, sum(length(line) + 1) OVER (PARTITION BY conv_id) AS every FROM x)
+    SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY part, turn)) AS context, count(*) AS lines FROM s WHERE every - 1 <= 700 OR used <= 700 GROUP BY conv_id""")
+def rewrite_contexts(spark, sf) -> DataFrame:
+    """Contexts of at most 700 characters, so that long ones are cut."""
+    made = requests.rewrite_context(table(spark, sf, "conversations"), "conv_id", "turn", 700)
+    return made.select("conv_id", F.md5("context").alias("context"), F.size(F.split("context", "\n")).cast("long").alias("lines"))
+
+
 def _headed(spark, sf) -> DataFrame:
     """Chunks with the first heading lines of their content."""
     made = chunk(documents(spark, sf))

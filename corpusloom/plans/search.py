@@ -111,6 +111,19 @@ def merged_queries(spark, sf) -> DataFrame:
     return retrieval.merge_queries(found).select("request_id", "id", "rank", F.round("score", 6).alias("score"), "lists")
 
 
+@entered(f"""WITH {_BM25}, {_COSINE}, l AS (SELECT query_id, id, rank, score, 0 AS n FROM cosine WHERE rank <= 20 UNION ALL SELECT query_id, id, rank, score, 1 FROM bm25 WHERE rank <= 20),
+    f AS (SELECT query_id, id, sum(1 / (60 + rank)) AS score, max(score) FILTER (n = 0) AS v, max(rank) FILTER (n = 0) AS vr, max(score) FILTER (n = 1) AS b, max(rank) FILTER (n = 1) AS br FROM l GROUP BY query_id, id),
+    t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10),
+    m AS (SELECT query_id % 20 AS request_id, id, round(sum(score), 9) AS score, max({{'s': v, 'r': -vr}}) FILTER (v IS NOT NULL) AS v, max({{'s': b, 'r': -br}}) FILTER (b IS NOT NULL) AS b FROM t GROUP BY query_id % 20, id)
+    SELECT request_id, id, rank, round(score, 6) AS score, round(v.s, 6) AS vector_score, -v.r AS vector_rank, round(b.s, 6) AS bm25_score, -b.r AS bm25_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS rank FROM m) WHERE rank <= 10""")
+def merged_hybrid(spark, sf) -> DataFrame:
+    """Hybrid results of a request's queries as one list, with the scores and ranks of both retrievers."""
+    found = retrieval.hybrid_search(*embedded(spark, sf), index=index(spark, sf)).withColumn("request_id", F.col("query_id") % 20)
+    made = retrieval.merge_queries(found)
+    return made.select("request_id", "id", "rank", *[F.round(c, 6).alias(c) for c in ("score", "vector_score", "bm25_score")], "vector_rank", "bm25_rank")
+
+
 @entered(f"WITH {_BM25} SELECT query_id, rank AS citation_index, bm25.id, CASE WHEN length(text) <= 220 THEN text ELSE substr(text, 1, 217) || '...' END AS quote FROM bm25 JOIN documents ON doc_id = bm25.id WHERE rank <= 5")
 def evidence_packs(spark, sf) -> DataFrame:
     found = retrieval.bm25_search(asked(spark, sf), k=5, index=index(spark, sf))

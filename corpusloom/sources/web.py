@@ -100,10 +100,10 @@ def lenient_json(text: Column, schema: str) -> Column:
 
 
 def export_csv(table: DataFrame, path: str, columns: list[str]) -> None:
-    """Columns in a fixed order, times in ISO form, nothing for null."""
+    """Columns in a fixed order, times in ISO form, nothing for null; a table without rows has no header either."""
     kinds = dict(table.dtypes)
     cells = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if kinds[c].startswith("timestamp") else F.col(c) for c in columns]
-    table.select(*cells).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    table.select(*cells).write.mode("overwrite").option("header", not table.isEmpty()).option("emptyValue", "").csv(path)
 
 
 def joined_pages(pages: DataFrame, source: str, order: str, text: str) -> DataFrame:

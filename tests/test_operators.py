@@ -438,3 +438,38 @@ def test_status_counts_as_a_stream(spark, sf):
     query.awaitTermination()
     batch = jobs.latest_status(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "ts", "event_type", "event_id")
     assert sorted(map(tuple, spark.table("newest").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_newest_first_and_exports_are_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(k, None if k == 3 else f"2024-01-0{k % 3 + 1}") for k in range(6)], "id int, day string").withColumn("at", F.to_timestamp("day")).repartition(4)
+    assert [r["id"] for r in tables.newest_first(rows, "at", "id").collect()] == [2, 5, 1, 4, 0, 3]
+    runs = spark.createDataFrame([("a", 1, "q, 1", "completed", "2024-01-01", None), ("b", 1, 'say "x"', "completed", "2024-02-01", "2024-02-02"), ("c", 2, "q", "failed", "2024-03-01", None)], "run_id string, notebook_id int, query string, status string, c string, d string")
+    runs = runs.select("run_id", "notebook_id", "query", "status", F.to_timestamp("c").alias("created_at"), F.to_timestamp("d").alias("completed_at"))
+    metrics = evaluation.with_metadata(spark.createDataFrame([("a", "recall", 0.5, 10, None), ("b", "mrr", 0.25, None, "x"), ("b", "recall", 1.0, 5, None)], "run_id string, metric_type string, metric_value double, k int, note string"), "k", "note")
+    made = evaluation.metrics_export(runs, metrics)
+    assert [(r["run_id"], r["metric_type"], r["metadata"]) for r in made.collect()] == [("b", "mrr", '{"note":"x"}'), ("b", "recall", '{"k":5}'), ("a", "recall", '{"k":10}')]
+    assert [r["run_id"] for r in evaluation.metrics_export(runs, metrics, ["mrr"]).collect()] == ["b", "b"] and evaluation.metrics_export(runs, metrics, end=F.lit("2024-01-01").cast("timestamp")).count() == 1
+    web.export_csv(made.coalesce(1), str(tmp_path / "out"), evaluation.EXPORTED)
+    (file,) = (tmp_path / "out").glob("*.csv")
+    lines = file.read_text().splitlines()
+    assert lines[0] == ",".join(evaluation.EXPORTED) and len(lines) == 4 and lines[3].startswith('a,1,"q, 1",completed,recall,0.5,2024-01-01T00:00:00,,')
+    web.export_csv(made.limit(0), str(tmp_path / "none"), evaluation.EXPORTED)
+    assert not any(f.read_text() for f in (tmp_path / "none").glob("*.csv"))
+
+
+def test_merged_lists_keep_both_retrievers(spark):
+    rows = [(1, 1, "x", 0.5, 1, 0.9, 2, None, None), (1, 2, "x", 0.25, 3, 0.9, 1, 4.0, 7), (1, 2, "y", 0.5, 1, None, None, 2.0, 1)]
+    found = spark.createDataFrame(rows, "request_id int, query_id int, id string, score double, rank int, own_0 double, rank_0 int, own_1 double, rank_1 int")
+    got = {r["id"]: (r["rank"], r["score"], r["vector_score"], r["vector_rank"], r["bm25_score"], r["bm25_rank"]) for r in retrieval.merge_queries(found).collect()}
+    assert got == {"x": (1, 0.75, 0.9, 1, 4.0, 7), "y": (2, 0.5, None, None, 2.0, 1)}
+
+
+def test_rewrite_contexts(spark):
+    said = [(1, 0, "user", "old words here"), (1, 1, " User ", "Kafka_x  and logs"), (1, 2, "assistant", "y" * 300), (1, 3, None, "note"), (1, 4, "user", " "), (2, 0, "user", "")]
+    rows = spark.createDataFrame(said, "c int, t int, role string, text string")
+    whole = requests.rewrite_context(rows, "c", "t", turns=1).collect()
+    assert len(whole) == 1
+    lines = whole[0]["context"].split("\n")
+    assert lines[0].startswith("Recent topics/entities: Kafka_x") and lines[1:] == ["Recent turns:", "- user: Kafka_x and logs", "- assistant: ..." + "y" * 237, "- unknown: note"]
+    cut = requests.rewrite_context(rows, "c", "t", most=280, turns=1).first()["context"]
+    assert cut == "\n".join(lines[3:])
