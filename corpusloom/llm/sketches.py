@@ -7,11 +7,12 @@ alone. The share follows from the text without any step: ``FINE`` paragraphs, or
 code points where that is more, divided by its different pairs of neighbouring pieces; one more code point
 changes it hardly at all. Texts of some hundred code points, or of one line many times, are cut nearly at every word.
 
-A digest has 48 bits of a hash and 16 bits of a hash of those. A sketch has parts, as many as the smallest power of two that
-is a quarter of the digests or more; a part has three subtables of 8 cells, each with a count and the
+A digest has 40 bits of a hash and 24 bits of a hash of those. A sketch has parts, as many as the smallest power of two that
+is a quarter of the digests or more; a part has three subtables of 8 cells, each the
 exclusive-or of the digests that fall there. A comparison takes both texts' sketches with the larger number of parts
-and subtracts them cell by cell; then a cell with a count of one and a digest that checks gives up that digest,
-which is taken out of its other cells, and so on (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables"). If cells of
+and subtracts them (again by exclusive-or) cell by cell; then a cell that holds a digest that checks gives it up:
+it is taken out of its other cells, and so on (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables"; the check stands in
+for their counts, and a false one leaves cells over). If cells of
 a part are left over the difference was too large for it: the part is compared again with subtables of 16, then
 32, then 64 cells, and only where all four fail by the digests themselves. Small parts keep the work in proportion to
 the digests; under one part in twenty needs a second try.
@@ -32,15 +33,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import materialise
 
-FINE, GROWTH, BITS, ROUNDS = 20, 0.15, 3, 8
+FINE, GROWTH, BITS, ROUNDS = 14, 0.15, 3, 8
 #: Pieces end at spaces; a space is put behind these first, so that they end pieces too.
 _STOPS = ["\n", "。", "，", "、"]
 #: Marks a cut while pieces are put together. A text that has this control character is cut there too.
 _CUT = "\x01"
 #: Digests that a part is planned for.
 PLANNED = 4
-_LOW = "281474976710655L"
-_ZERO = "named_struct('c', 0, 'x', 0L)"
+#: Bits of a digest's hash; the others check it.
+_HASH, _CHECK = (1 << 40) - 1, (1 << 24) - 1
 _NONE = "cast(array() as array<bigint>)"
 
 
@@ -70,39 +71,37 @@ def paragraphs(text: Column) -> Column:
 
 def paragraph_digests(text: Column) -> Column:
     """Different digests of a text's paragraphs."""
-    low = F.transform(paragraphs(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit((1 << 48) - 1)))
-    return F.array_distinct(F.transform(low, lambda d: F.shiftleft(F.xxhash64(d).bitwiseAND(F.lit(65535)), 48).bitwiseOR(d)))
+    low = F.transform(paragraphs(text), lambda p: F.xxhash64(p).bitwiseAND(F.lit(_HASH)))
+    return F.array_distinct(F.transform(low, lambda d: F.shiftleft(F.xxhash64(d), 40).bitwiseOR(d)))
 
 
 def _place(digest: str, table: str, level: int) -> str:
     """The cell of a digest in subtable 0, 1 or 2."""
     bits = BITS + level
-    source = digest if level == 0 else f"xxhash64({digest} & {_LOW}, {level})"
+    source = digest if level == 0 else f"xxhash64({digest} & {_HASH}L, {level})"
     return f"(shiftright({source}, {bits} * ({table})) & {2**bits - 1}L)"
 
 
 def cells_sql(digests: str, level: int = 0) -> str:
-    """The sketch of an array of digests: 3 x 2^(4 + level) cells of count and exclusive-or."""
+    """The sketch of an array of digests: 3 x 2^(3 + level) cells."""
     last = 2 ** (BITS + level) - 1
-    tables = (f"transform(sequence(0L, {last}L), at -> aggregate({digests}, {_ZERO}, (a, k) -> IF({_place('k', str(j), level)} = at, named_struct('c', a.c + 1, 'x', a.x ^ k), a)))" for j in range(3))
+    tables = (f"transform(sequence(0L, {last}L), at -> aggregate({digests}, 0L, (a, k) -> IF({_place('k', str(j), level)} = at, a ^ k, a)))" for j in range(3))
     return f"flatten(array({', '.join(tables)}))"
 
 
 def subtract_sql(left: str, right: str) -> str:
-    return f"zip_with({left}, {right}, (a, b) -> named_struct('c', a.c - b.c, 'x', a.x ^ b.x))"
+    return f"zip_with({left}, {right}, (a, b) -> a ^ b)"
 
 
 def peel_sql(cells: str, level: int = 0) -> str:
-    """struct(l, r): digests of the left and the right side only; null if cells are left over."""
+    """The digests of one side only; null if cells are left over."""
     width = 2 ** (BITS + level)
     here = lambda x: f"{_place(x, f'i div {width}', level)} = i % {width}"
-    checks = f"shiftrightunsigned(q.x, 48) = (xxhash64(q.x & {_LOW}) & 65535L)"
-    pure = f"array_distinct(filter(s.z, (q, i) -> (q.c = 1 OR q.c = -1) AND {checks} AND {here('q.x')}))"
-    taken = f"transform(s.z, (q, i) -> aggregate(filter(p, e -> {here('e.x')}), q, (a, e) -> named_struct('c', a.c - e.c, 'x', a.x ^ e.x)))"
-    side = lambda k: f"concat(s.{'l' if k > 0 else 'r'}, transform(filter(p, e -> e.c = {k}), e -> e.x))"
-    step = f"element_at(transform(array({pure}), p -> IF(size(p) = 0, s, named_struct('z', {taken}, 'l', {side(1)}, 'r', {side(-1)}))), 1)"
-    empty = "forall(s.z, q -> q.c = 0 AND q.x = 0L)"
-    return f"aggregate(sequence(1, {ROUNDS + 2 * level}), named_struct('z', {cells}, 'l', {_NONE}, 'r', {_NONE}), (s, n) -> IF({empty}, s, {step}), s -> IF({empty}, named_struct('l', s.l, 'r', s.r), NULL))"
+    pure = f"array_distinct(filter(s.z, (q, i) -> q <> 0 AND shiftrightunsigned(q, 40) = (xxhash64(q & {_HASH}L) & {_CHECK}L) AND {here('q')}))"
+    taken = f"transform(s.z, (q, i) -> aggregate(p, q, (a, e) -> IF({here('e')}, a ^ e, a)))"
+    step = f"element_at(transform(array({pure}), p -> IF(size(p) = 0, s, named_struct('z', {taken}, 'k', concat(s.k, p)))), 1)"
+    empty = "array_distinct(s.z) = array(0L)"
+    return f"aggregate(sequence(1, {ROUNDS + 2 * level}), named_struct('z', {cells}, 'k', {_NONE}), (s, n) -> IF({empty}, s, {step}), s -> IF({empty}, s.k, NULL))"
 
 
 def differing_sql(left: str, right: str, level: int = 0) -> str:
@@ -112,29 +111,28 @@ def differing_sql(left: str, right: str, level: int = 0) -> str:
 
 def parts_sql(digests: str) -> str:
     """How many parts the sketch of an array of digests has: a power of two."""
-    return f"cast(pow(2, ceil(log2(greatest(1.0D, size({digests}) / {PLANNED}.0D)))) AS int)"
+    return f"cast(pow(2, ceil(log2(greatest(1.0D, size({digests}) / {PLANNED}.0D)))) AS bigint)"
 
 
 def _part(digests: str, count: str) -> str:
-    """The digests of part ``p`` of ``count``, by bits that no cell goes by."""
-    return f"filter({digests}, k -> (shiftrightunsigned(k, 20) & {(1 << 28) - 1}L) % {count} = p)"
+    """The digests of part ``p`` of ``count``, a power of two, by bits that no cell goes by."""
+    return f"filter({digests}, k -> (shiftright(k, 20) & ({count} - 1)) = p)"
 
 
 def difference_sql(left: str, right: str) -> str:
     """How many digests only one of two arrays has, part by part, each with larger subtables until it can be peeled."""
     tries = ", ".join(differing_sql("d.l", "d.r", level) for level in range(4))
-    exact = "named_struct('l', array_except(d.l, d.r), 'r', array_except(d.r, d.l))"  # only where four tables have failed
-    found = f"element_at(transform(array(coalesce({tries}, {exact})), f -> size(f.l) + size(f.r)), 1)"
+    exact = "concat(array_except(d.l, d.r), array_except(d.r, d.l))"  # only where four tables have failed
     each = f"named_struct('l', {_part(left, 'm')}, 'r', {_part(right, 'm')})"
-    count = f"aggregate(transform(sequence(0, m - 1), p -> {each}), 0, (n, d) -> n + {found})"
+    count = f"aggregate(transform(sequence(0L, m - 1), p -> {each}), 0, (n, d) -> n + size(coalesce({tries}, {exact})))"
     return f"element_at(transform(array(greatest({parts_sql(left)}, {parts_sql(right)})), m -> {count}), 1)"
 
 
 def fingerprint(digests: str) -> Column:
-    """Number of digests, then the cells of all parts: count.exclusive-or, nothing for an empty one."""
-    cells = f"flatten(transform(sequence(0, {parts_sql(digests)} - 1), p -> element_at(transform(array({_part(digests, parts_sql(digests))}), k -> {cells_sql('k')}), 1)))"
-    shown = F.transform(F.expr(cells), lambda q: F.when((q["c"] == 0) & (q["x"] == 0), F.lit("")).otherwise(F.concat(q["c"].cast("string"), F.lit("."), F.lower(F.hex(q["x"])))))
-    return F.concat(F.size(digests).cast("string"), F.lit("|"), F.array_join(shown, ","))
+    """Number of digests, then the cells of all parts in hexadecimal, nothing for an empty one."""
+    each = f"transform(sequence(0L, m - 1), p -> element_at(transform(array({_part(digests, 'm')}), k -> {cells_sql('k')}), 1))"
+    cells = F.expr(f"element_at(transform(array({parts_sql(digests)}), m -> flatten({each})), 1)")
+    return F.concat(F.size(digests).cast("string"), F.lit("|"), F.array_join(F.transform(cells, lambda q: F.when(q == 0, F.lit("")).otherwise(F.lower(F.hex(q)))), ","))
 
 
 def likeness(left: Column, right: Column, differing: Column) -> Column:
