@@ -185,6 +185,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = texts.hint("merge").join(gave.hint("merge"), ["k", "mark"])
     edited = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n") - F.col("need")).cast("int")), "tail"))
     keyed = edited.select("id", "n", "times", F.sha2("edited", 256).alias("edited_sha256"), paragraph_digests(F.col("text")).alias("keys"), paragraph_digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    found = keyed.withColumns({f"near_{w}": likeness(F.size("keys"), F.size(f"{w}_keys"), F.expr(difference_sql("keys", f"{w}_keys"))) for w in ("edited", "next")})
+    found = keyed.withColumns({f"diff_{w}": F.expr(difference_sql("keys", f"{w}_keys")) for w in ("edited", "next")})
+    found = found.withColumns({f"near_{w}": likeness(F.size("keys"), F.size(f"{w}_keys"), F.col(f"diff_{w}")) for w in ("edited", "next")})
     done = found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256", fingerprint("keys").alias("fingerprint"), fingerprint("edited_keys").alias("edited_fingerprint"), "near_edited", "near_next", "times")
     return done.withColumn("time", F.explode(F.expr("sequence(1L, times)"))).drop("time", "times")
