@@ -16,7 +16,7 @@ def cut(text):
         text = text.replace(stop, stop + " ")
     words, out, open_ = text.split(" "), [], None
     chances = [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) for a, b in zip(words, words[1:])] + [xxhash.xxh64_intdigest(words[-1].encode(), 42)]
-    share = max(14.0, 0.15 * math.sqrt(len(text) - sum(text.count(stop) for stop in "\n。，、"))) * (1 << 20)
+    share = max(20.0, 0.15 * math.sqrt(len(text) - sum(text.count(stop) for stop in "\n。，、"))) * (1 << 20)
     for w, h in zip(words, chances):
         open_ = w if open_ is None else open_ + " " + w
         if h & (1 << 20) - 1 < int(share / len(set(chances))):
@@ -137,9 +137,9 @@ def test_peeling_recovers_the_difference_or_fails(spark, size):
 
     frame = spark.range(30).select(F.col("id"), made(1, 50 + size).alias("l"), made(1 + size // 2, 50).alias("r"))
     both = F.array_sort(F.concat(F.array_except("l", "r"), F.array_except("r", "l")))
-    found = frame.select(*[F.expr(sketches.differing_sql("l", "r", level)).alias(f"d{level}") for level in range(3)], both.alias("differing")).collect()
+    found = frame.select(*[F.expr(sketches.differing_sql("l", "r", level)).alias(f"d{level}") for level in range(4)], both.alias("differing")).collect()
     for r in found:
-        got = [r[f"d{level}"] for level in range(3)]
+        got = [r[f"d{level}"] for level in range(4)]
         assert all(d is None or sorted(d) == r["differing"] for d in got)
-    rate = [sum(r[f"d{level}"] is not None for r in found) for level in range(3)]
-    assert rate[2] >= 28 and (size > 6 or rate[0] >= 25)
+    rate = [sum(r[f"d{level}"] is not None for r in found) for level in range(4)]
+    assert rate[3] >= 28 and (size > 6 or rate[0] >= 25)
