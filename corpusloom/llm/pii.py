@@ -3,13 +3,16 @@
 Generators are patterns of high recall whose spans may overlap: for each kind the base pattern, and looser
 ones (spelled-out addresses, numbers without a plus sign, dotted card numbers, addresses with bracketed dots). A base span that passes its
 check (octets, Luhn, number of digits) is always kept. The others are scored by gradient-boosted trees over
-format and context features, taught by base spans that pass and that fail their checks, by passing ones as
-the looser generators would see them, and by other candidates that format or context contradicts (these are
-never taken). ``octets`` says for an address whether it has an @ or a bracketed at. All features are
+format and context features, and the trees alone decide about them. They are taught by base spans that pass and that fail
+their checks, by passing ones as the looser generators would see them, and by candidates of the looser generators: one whose
+value stands in a passing base span of the same text too, in plain spelling, is a person's; one that isn't and has its context
+against it (a version or page before it, a bare "at" in running prose, digits that go on, a failed check) is not. So labels come
+from outside the candidate: where a corpus shows loose spellings beside plain ones the trees take them elsewhere as well.
+``octets`` says for an address whether it has an @ or a bracketed at. All features are
 small whole numbers, so one aggregation over every candidate gives the complete training set as a table of
 at most a few thousand different feature rows with counts; trees are fitted to those counts and scored as a
-SQL expression. Each kind's threshold is the lowest at which the other half of the documents shows a
-precision of ``precision`` or more, 0.5 for a kind without failures there; one without passes adds nothing. Added spans never
+SQL expression. Each kind's threshold is the lowest at which loose spans of the other half of the documents, real and
+rewritten ones, show a precision of ``precision`` or more, 0.5 for a kind without failures there; one without passes adds nothing. Added spans never
 overlap base spans; of those that overlap each other the best one stays, then the best that doesn't overlap it,
 and so on.
 
@@ -47,7 +50,7 @@ GENERATORS = (
     ("phone", False, "[0-9]", r"(?<![0-9A-Za-z.])00[1-9][0-9 ()-]{8,16}[0-9](?![0-9A-Za-z])"),
 )
 
-FEATURES = ("kind", "digits", "luhn", "groups", "before", "after", "letters", "dots", "plus", "octets", "cue")
+FEATURES = ("kind", "digits", "luhn", "groups", "before", "after", "letters", "dots", "plus", "octets", "cue", "runs_on")
 _CUE_AGAINST = r"(?i)(version|section|isbn|chapter|page|\bv|no)\W*$"
 _CUE_FOR = r"(?i)(mail|phone|tel|call|fax|mobile|contact|card|visa|host|server|address|\bip)\W*$"
 
@@ -64,9 +67,9 @@ def _class(c: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every proposed span of every text: row, id, mark, kind, base, start, end, features, and ``valid``:
-    the check of a base span; false for another that its format or context contradicts (a bare "at" in running
-    prose, a wrong number of digits, a failed Luhn check, a version or page before it), else null.
+    """Every proposed span of every text: row, id, mark, kind, base, start, end, features, and ``valid``: the check of a
+    base span; for another true if its value is that of a passing base span of the text, else false if format or context is against it
+    (a bare "at" in running prose, a wrong number of digits, a failed Luhn check, a version or page before it), else null.
 
     A text without any gives one row of nulls. ``mark`` is a hash of the text.
     """
@@ -104,14 +107,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when(F.col("kind") == 0, F.col("hit").rlike(r"@|[\[(]at[\])]").cast("int")).when(plain.rlike(r"^[0-9]+(\.[0-9]+){3}$"), octets.cast("int")).otherwise(0).alias("octets"),
         F.when(F.col("prior").rlike(_CUE_FOR), 2).when(F.col("prior").rlike(_CUE_AGAINST), 1).otherwise(0).alias("cue"),
         n.alias("n"),
-        F.coalesce(F.col("next").rlike(r"^[\x20.-][0-9]") | F.col("prior").rlike(r"[0-9][\x20.-]$"), F.lit(False)).alias("runs_on"),
+        F.coalesce(F.col("next").rlike(r"^[\x20.-][0-9]") | F.col("prior").rlike(r"[0-9][\x20.-]$"), F.lit(False)).cast("int").alias("runs_on"),
+        F.when(F.col("kind") == 0, F.lower(F.regexp_replace(F.regexp_replace(F.col("hit"), r" ?(?:[\[(]at[\])]|\bat\b) ?", "@"), r" ?(?:[\[(]dot[\])]|\bdot\b) ?", ".")))
+        .when(F.col("kind") == 1, plain).when(F.col("kind") == 2, digits).otherwise(F.right(digits, F.lit(10))).alias("value"),
     )
     valid = (F.when(F.col("kind") == 0, F.lit(True)).when(F.col("kind") == 1, F.col("octets") == 1)
              .when(F.col("kind") == 2, F.col("n").between(14, 19) & (F.col("luhn") == 1)).otherwise(F.col("n").between(10, 15)))
     against = (F.when(F.col("cue") == 1, True).when(F.col("kind") == 0, (F.col("octets") == 0) & (F.col("cue") != 2))
                .when(F.col("kind") == 1, F.col("octets") == 0)
-               .when(F.col("kind") == 2, ~F.col("n").between(14, 19) | (F.col("luhn") == 0)).otherwise(~F.col("n").between(10, 15) | F.col("runs_on")))
-    return made.withColumn("valid", F.when(F.col("base"), valid).when(against, False)).drop("n")
+               .when(F.col("kind") == 2, ~F.col("n").between(14, 19) | (F.col("luhn") == 0)).otherwise(~F.col("n").between(10, 15) | (F.col("runs_on") == 1)))
+    passed = F.col("base") & valid
+    alike = Window.partitionBy("row", "kind", "value")  # a part of the base span itself isn't another spelling
+    plainly = F.coalesce(F.min(F.when(passed, F.col("end"))).over(alike) <= F.col("start"), F.lit(False)) | F.coalesce(F.max(F.when(passed, F.col("start"))).over(alike) >= F.col("end"), F.lit(False))
+    return made.withColumn("valid", F.when(F.col("base"), valid).when(plainly, True).when(against, False)).drop("n", "value")
 
 
 # A tree is a leaf's value or (feature, threshold, left, right): left if feature <= threshold.
@@ -213,18 +221,21 @@ def _loosened(x: tuple) -> list[tuple]:
 
 
 def train(found: DataFrame, **how: float) -> BoostedTrees:
-    """Trees from base candidates, these in looser spelling, and contradicted candidates of the looser generators.
+    """Trees from base candidates, these in looser spelling, and the labelled candidates of the looser generators.
 
-    Parts of longer numbers don't count: they may be the rest of a base span. The driver sees counts of different
+    Base spans as they are only teach: thresholds go by what the looser generators find. Candidates that run on into
+    other digits may be the rest of a base span; they teach too, as such. The driver sees counts of different
     feature rows only.
     """
     half = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 2).cast("int").alias("half")
-    rows = found.where("valid IS NOT NULL AND kind IS NOT NULL AND (base OR NOT runs_on)").groupBy(*FEATURES, "base", half).agg(F.count_if(~F.col("valid")).alias("failed"), F.count_if("valid").alias("passed"))
+    rows = found.where("valid IS NOT NULL AND kind IS NOT NULL").groupBy(*FEATURES, "base", half).agg(F.count_if(~F.col("valid")).alias("failed"), F.count_if("valid").alias("passed"))
     counts: Counter = Counter()
     for r in rows.toLocalIterator():
         x = tuple(int(r[f]) for f in FEATURES)
-        for each in [x, *(_loosened(x) if r["base"] and r["passed"] else [])]:
-            counts[each, r["half"], False] += r["failed"] if each == x else 0
+        if not r["base"] or not r["half"]:
+            counts[x, r["half"], False] += r["failed"]
+            counts[x, r["half"], True] += r["passed"]
+        for each in _loosened(x) if r["base"] and r["passed"] else []:
             counts[each, r["half"], True] += r["passed"]
     keys = sorted({key[:2] for key in counts})
     return fit([(x, h, counts[x, h, False], counts[x, h, True]) for x, h in keys], **how)
@@ -233,7 +244,7 @@ def train(found: DataFrame, **how: float) -> BoostedTrees:
 def choose(found: DataFrame, model: BoostedTrees) -> DataFrame:
     """The spans to redact: row, id, kind, start, end, base, score."""
     limit = F.element_at(F.array(*[F.lit(float(t)) for t in model.thresholds]), F.col("kind") + 1)
-    taken = found.withColumn("score", F.when(F.col("base"), 1.0).otherwise(model.expression())).where((F.col("base") & F.col("valid")) | (~F.col("base") & F.col("valid").isNull() & (F.col("score") >= limit)))
+    taken = found.withColumn("score", F.when(F.col("base"), 1.0).otherwise(model.expression())).where((F.col("base") & F.col("valid")) | (~F.col("base") & (F.col("score") >= limit)))
     by_start = Window.partitionBy("row").orderBy("start")
     taken = taken.withColumn("reach", F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0)))
     taken = taken.withColumn("next_base", F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing)))
