@@ -73,7 +73,7 @@ class Graph:
         salt = {x: span_hashes(np.frombuffer(x.encode(), np.uint8), (np.array([0]), np.array([len(x.encode())])), seed=3)[0][0] for x in names}
         salts = np.array([salt[x] for x in self.langs], np.uint64)
         words = mixed(span_hashes(self.data, (self.starts, self.ends))[0] ^ salts[self.doc]) if size else np.zeros(0, np.uint64)
-        #: grams[k][i]: the k + 1 words from i on; real[k][i]: whether the piece has them all.
+        # grams[k][i]: the k + 1 words from i on; real[k][i]: whether the piece has them all
         self.grams, real = [words], [np.ones(size, bool)]
         for k in range(1, LONGEST):
             there = np.zeros(size, bool)
@@ -95,6 +95,7 @@ class Graph:
             self.orders[k] = (hashes[full], counts[full], at[full])
             if k:
                 hashes, at, counts = _summed(self.grams[k - 1][at], at, counts)
+        del self.grams, self.real  # a task's memory holds no more than the different ones from here on
 
     def words_by_lang(self) -> list[tuple[str, int]]:
         out: dict[str, int] = {}
@@ -225,7 +226,7 @@ def _parts(words: Column, size: int, skip: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(1 + skip), F.size(words) - size + 1 - skip), lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
 
 
-def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, most: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, most: int = 12 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, occurrences) of all phrases of 1 to 4 words that occur ``least`` times, and (lang, n): all word occurrences.
 
     Written to the checkpoint folder once; both results read that.
@@ -244,7 +245,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     return every, found.where(words.isNull()).groupBy("lang").agg(F.sum("occurrences").alias("n")).where("n > 0")
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000, most: int = 16 << 20) -> DataFrame:
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000, most: int = 12 << 20) -> DataFrame:
     """Each language's first ``top`` collocations: lang, rank, phrase, a, l, r, n and score.
 
     A candidate's score is that of its weakest cut, floor(2,000,000 * a / (l + r)); candidates inside a longer one that has
