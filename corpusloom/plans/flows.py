@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import grounding, requests, retrieval, tables
@@ -61,6 +61,21 @@ def budgeted_chunks(spark, sf) -> DataFrame:
     return requests.within_budget(rows, "source", "doc_id", "tokens", 20_000)
 
 
+@entered("""WITH RECURSIVE i AS (SELECT source, doc_id, length(text) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents),
+    p AS (SELECT *, CASE WHEN k = 0 THEN 0 WHEN k = n - 1 THEN 1 WHEN k = n // 2 THEN 2 WHEN k = n // 4 THEN 3 WHEN k = 3 * n // 4 THEN 4 ELSE 5 END AS spot FROM i),
+    r AS (SELECT source, doc_id, t, row_number() OVER (PARTITION BY source ORDER BY spot, k) AS k FROM p WHERE t <= 9000),
+    f AS (SELECT source, doc_id, k, true AS kept, t AS used FROM r WHERE k = 1
+          UNION ALL SELECT r.source, r.doc_id, r.k, f.used + r.t <= 9000, CASE WHEN f.used + r.t <= 9000 THEN f.used + r.t ELSE f.used END FROM f JOIN r ON r.source = f.source AND r.k = f.k + 1)
+    SELECT source, doc_id, length(text) AS tokens FROM f JOIN documents d USING (doc_id, source) WHERE kept""")
+def prioritised_chunks(spark, sf) -> DataFrame:
+    """A source's documents as its chunks, offered to the budget first, last, middle and quarters first."""
+    inside = Window.partitionBy("source").orderBy("doc_id")
+    index, count = F.row_number().over(inside) - 1, F.count(F.lit(1)).over(Window.partitionBy("source"))
+    rows = documents(spark, sf).select("source", "doc_id", F.length("text").alias("tokens"), index.alias("k"), count.alias("n"))
+    offered = rows.select("source", "doc_id", "tokens", requests.priority(F.col("k"), F.col("n")).alias("place"))
+    return requests.within_budget(offered, "source", "place", "tokens", 9000).select("source", "doc_id", "tokens")
+
+
 @entered(f"WITH {search._BM25} SELECT query_id, rank AS citation_index, id FROM bm25 WHERE rank <= 5")
 def prepared_answers(spark, sf) -> DataFrame:
     """Requests for which no model has answered: each is its own search."""
