@@ -21,9 +21,8 @@ def _words(text: Column) -> Column:
 
 def relevant_ranks(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """Every query with a truth: its size and the ranks of relevant results, in order."""
-    hits = ranked.hint("merge").join(truth, ["query_id", "id"]).select("query_id", "rank")
-    found = hits.groupBy("query_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks"))
-    return truth.groupBy("query_id").agg(F.count_distinct("id").alias("relevant")).join(found.hint("merge"), "query_id", "left")
+    met = truth.join(ranked.select("query_id", "id", "rank").hint("merge"), ["query_id", "id"], "left")  # the truth is computed once
+    return met.groupBy("query_id").agg(F.count_distinct("id").alias("relevant"), F.array_sort(F.collect_list("rank")).alias("ranks"))
 
 
 def retrieval_metrics(ranked: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
