@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import GENERIC_TERMS, STOPWORDS, TOPIC_TOKEN, WORD_TOKEN, collapse, token_estimate
+from corpusloom.functions.text import GENERIC_TERMS, STOPWORDS, TOPIC_TOKEN, WORD_TOKEN, bind, collapse, token_estimate
 
 
 def effective_status(ingestion: Column, source: Column) -> Column:
@@ -52,7 +52,8 @@ def question_pairs(messages: DataFrame, by: str, time: str, role: str = "role",
 
 
 def bigrams(words: Column) -> Column:
-    return F.when(F.size(words) > 1, F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.element_at(words, i + 2)))).otherwise(F.array().cast("array<string>"))
+    pairs = lambda ws: F.when(F.size(ws) > 1, F.transform(F.slice(ws, 1, F.size(ws) - 1), lambda w, i: F.concat(w, F.lit(" "), F.element_at(ws, i + 2)))).otherwise(F.array().cast("array<string>"))
+    return bind(words, pairs)  # else the words would be found anew for each of them
 
 
 def page(rows: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
@@ -208,4 +209,4 @@ def poor_question(question: Column, passage: Column) -> Column:
     """Why a made-up question isn't wanted: too short, yes or no, or a copy of its passage."""
     words = F.array_distinct(F.split(F.lower(collapse(question)), " "))
     copied = F.size(F.array_intersect(words, F.split(F.lower(collapse(passage)), " "))) / F.size(words)
-    return F.when(F.size(F.split(collapse(question), " ")) < 5, "short").when(F.lower(question).rlike(r"^(is|are|do|does|did|can|was|were|will|has|have)\b"), "yes or no").when(copied > 0.8, "copy")
+    return F.when(F.size(F.split(collapse(question), " ")) < 5, "short").when(F.lower(question).rlike(r"^(is|are|do|does|did|can|was|were|will|has|have)(?![\p{L}\p{M}\p{N}_])"), "yes or no").when(copied > 0.8, "copy")
