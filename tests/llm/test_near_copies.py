@@ -76,3 +76,30 @@ def test_texts_that_share_a_passage_are_not_paired(spark, monkeypatch):
     found = {r["id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
     assert {i: c for i, c in found.items() if i != c} == {1000: 7, 1001: 99}
     assert asked[1] < 4000
+
+
+def test_what_is_connected_is_not_worked_out_again(spark, monkeypatch):
+    """Checkpoints of a table with one crowd: every set of links was followed from its start, twice for the first."""
+    from corpusloom.llm import components
+
+    made = []
+    plain = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: (made.append(1), plain(df))[1])
+    rng = np.random.default_rng(7)
+    common = " ".join(f"c{k}" for k in range(60))
+    rows = [(i, common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 25))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(20)]
+    found = {r["id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: c for i, c in found.items() if i != c} == {100 + i: i for i in range(20)}
+    assert len(made) <= 8
+
+
+def test_links_that_lead_to_their_roots_take_no_round(spark, monkeypatch):
+    from corpusloom.llm import components
+
+    made = []
+    plain = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: (made.append(1), plain(df))[1])
+    of = lambda pairs: {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert of([(5, 1), (1, 7), (9, 9), (8, 2), (2, 8)]) == {1: 1, 5: 1, 7: 1, 2: 2, 8: 2} and len(made) == 1
+    assert of([(k, k + 1) for k in range(40)]) == dict.fromkeys(range(41), 0)
