@@ -103,3 +103,47 @@ def test_links_that_lead_to_their_roots_take_no_round(spark, monkeypatch):
     of = lambda pairs: {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert of([(5, 1), (1, 7), (9, 9), (8, 2), (2, 8)]) == {1: 1, 5: 1, 7: 1, 2: 2, 8: 2} and len(made) == 1
     assert of([(k, k + 1) for k in range(40)]) == dict.fromkeys(range(41), 0)
+
+
+def test_a_large_group_that_links_leave_in_parts_makes_no_pairs(spark, monkeypatch):
+    """Copies changed by different degrees: those that are near join, the others are held against all; before, as pairs in rows."""
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.integers(0, 120, 1 + i % 6):
+            words[at] = f"x{rng.integers(10**9)}"
+        rows.append((i, " ".join(words)))
+    root = list(range(len(rows)))
+    for i, a in rows:
+        for j, b in rows[:i]:
+            if root[i] != root[j] and jaccard(a, b) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    asked = []
+    plain = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *more: (asked.append(pairs.count()), plain(pairs, *more))[1])
+    monkeypatch.setattr(near_copies, "BLOCK", 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r["id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert found == dict(enumerate(root)) and 30 < len(set(root)) < 200
+    assert asked[-1] < 2000
+
+
+def test_cells_connect_what_any_pair_connects():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, n)) for n in rng.integers(1, 40, 70)] + [np.arange(5), np.arange(5)]
+    common = near_copies.common_shingles(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(72) for j in range(72) if i != j)
+    alike = np.array([[i != j and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    group = np.arange(72) // 2
+    pairs = near_copies.connecting(alike, group)
+
+    def parts(pairs):
+        top = group.copy()
+        for a, b in pairs:
+            top[top == top[a]] = top[b]
+        return {frozenset(np.flatnonzero(top == t).tolist()) for t in top}
+
+    assert parts(pairs) == parts(np.argwhere(alike)) and 0 < len(pairs) < 36
