@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shared import materialise
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    """For each node the smaller of itself and its smallest neighbour; summed up before the shuffle."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """``edges`` (u, v) with the smaller of u and its smallest neighbour (m), in one shuffle."""
+    return edges.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u"))))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_nearest(both).hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = materialise(_nearest(down))
-    moved = down.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v")))
+    low = _nearest(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    return low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
 
 
 def _stars(edges: DataFrame) -> bool:

@@ -147,3 +147,43 @@ def test_cells_connect_what_any_pair_connects():
         return {frozenset(np.flatnonzero(top == t).tolist()) for t in top}
 
     assert parts(pairs) == parts(np.argwhere(alike)) and 0 < len(pairs) < 36
+
+
+def test_crowded_texts_have_few_fine_keys_that_hardly_miss_a_pair():
+    """240 rows of each crowded text before."""
+    rng = np.random.default_rng(10)
+    missed = 0
+    for _ in range(1000):
+        common, own = rng.integers(0, 1 << 63, 80, dtype=np.uint64), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+        a, b = (near_copies.band_keys(np.concatenate([common, x]), near_copies._FINE) for x in (own[:10], own[10:]))
+        missed += not (a == b).any()
+    assert missed <= 5 and len(a) <= 50
+
+
+def test_crowds_take_few_checkpoints(spark, monkeypatch):
+    """A crowd's way through the stage, with links in two rounds; each checkpoint and each shuffle before it has a file for every partition."""
+    from corpusloom.llm import components
+
+    made = []
+    plain = near_copies.materialise
+    for module in (components, near_copies):
+        monkeypatch.setattr(module, "materialise", lambda df: (made.append(1), plain(df))[1])
+    rng = np.random.default_rng(7)
+    common = " ".join(f"c{k}" for k in range(60))
+    rows = [(i, common + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 25))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(20)]
+    found = {r["id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i: c for i, c in found.items() if i != c} == {100 + i: i for i in range(20)}
+    assert len(made) <= 20
+
+
+def test_many_texts_of_one_star_are_verified_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "STAR", 3)
+    rng = np.random.default_rng(11)
+    base = rng.integers(-(1 << 62), 1 << 62, 40)
+    sets = [np.unique(np.concatenate([base[: rng.integers(25, 41)], rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 12))]).view(np.uint64)).view(np.int64) for _ in range(30)]
+    table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in enumerate(sets)], "class long, hashes array<long>")
+    pairs = [(u, v) for u in (0, 7, 29) for v in range(30) if u != v]
+    found = near_copies.verified(spark.createDataFrame(pairs, "u long, v long").repartition(5), table, 0.8)
+    alike = {(u, v) for u, v in pairs if len(np.intersect1d(sets[u], sets[v])) >= 0.8 * len(np.union1d(sets[u], sets[v]))}
+    assert {(r["u"], r["v"]) for r in found.collect()} == alike and 3 < len(alike) < 80
