@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,68 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
+#: Bytes of text whose words are hashed at once; factors of a byte's and of a word's place.
+PIECE, BYTE, PLACE = 1 << 20, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+def _windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every run of ``width`` words, of all words of a shorter text, with the number of its text. White space only separates
+    words; equal runs have equal hashes, others hardly ever."""
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data, ends = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    inside = ~((data == 32) | (data >= 9) & (data <= 13))
+    before, after = np.concatenate([[False], inside[:-1]]) if len(inside) else inside, np.append(inside[1:], False) if len(inside) else inside
+    before[ends[:-1][ends[:-1] < len(data)]] = False
+    after[ends[1:][ends[1:] > 0] - 1] = False
+    first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    # powers of an odd number and of its inverse, so that a word's hash doesn't depend on its place
+    powers = lambda base: np.cumprod(np.append(np.uint64(1), np.full(len(data), base, np.uint64)))
+    sums = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BYTE)[:-1]))
+    words = (sums[last] - sums[first]) * powers(pow(BYTE, -1, 1 << 64))[first]
+    words = (words ^ (words >> np.uint64(29))) * np.uint64(PLACE)
+    factors = np.cumprod(np.full(width, PLACE, np.uint64))
+    at = np.searchsorted(first, ends)
+    counts, owner = np.diff(at), np.repeat(np.arange(len(texts)), np.diff(at))
+    whole = np.zeros(max(0, len(words) - width + 1), np.uint64)
+    for k in range(width):
+        whole += words[k : k + len(whole)] * factors[k]
+    inner = np.flatnonzero(owner[: len(whole)] == owner[width - 1 :]) if len(whole) else np.zeros(0, np.int64)
+    short = np.flatnonzero(counts < width)
+    part = np.zeros(len(short), np.uint64)
+    for k in range(width - 1):
+        some = counts[short] > k
+        part[some] += words[at[short[some]] + k] * factors[k]
+    return np.concatenate([whole[inner], part]), np.concatenate([owner[inner], short])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Rows with a text, about ``PIECE`` bytes of it at once, one row at least."""
+    for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(text)))
+        ends, at = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(False)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def holding_any(docs: DataFrame, items: DataFrame, width: int = 8) -> DataFrame:
+    """Those of ``docs`` (id, text) that may hold a run of ``width`` words of one of the few ``items`` (text), or all words of a shorter one:
+    all that do and, as runs are told apart by 64 bits, hardly any other. The driver holds the items' hashes; texts stay where they lie."""
+    hashed = items.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(_windows(b.column(0), width)[0].view(np.int64))], ["hash"]) for b in _pieces(batches, 0)), "hash long")
+    wanted = np.array([r[0] for r in hashed.distinct().collect()], np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches, 1):
+            hashes, owner = _windows(batch.column(1), width)
+            kept = np.zeros(batch.num_rows, bool)
+            kept[owner[np.isin(hashes, wanted)]] = True
+            yield batch.filter(pa.array(kept))
+
+    return docs.select("id", "text").mapInArrow(run, docs.select("id", "text").schema)
+
+
 def relevant_ranks(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """Every query with a truth: its size and the ranks of relevant results, in order."""
     met = truth.join(ranked.select("query_id", "id", "rank").hint("merge"), ["query_id", "id"], "left")  # the truth is computed once
